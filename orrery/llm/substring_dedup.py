@@ -10,7 +10,7 @@ around it, whose union is the set of maximal exact repeats.
    already. A bucket reports the hashes that came from two chunks, one of them
    at a block start. A passage that a third of all documents share costs one
    entry a chunk.
-2. Extension. Around hits, 20-word windows are keyed by 96 hash bits. Again a
+2. Extension. Around hits, 20-word windows are keyed by 80 hash bits and the bucket. Again a
    chunk settles its own repeats and sends only the earliest place of each key.
 3. Removal. Words covered by a window that also starts earlier go.
 
@@ -38,7 +38,8 @@ CHUNK_BYTES = 8 << 20
 #: Stands for a null id in the order of documents: after all others.
 LAST = (1 << 63) - 1
 _KEY = "_row_key"
-_MESSAGE = "bucket long, kind int, row_id long, row_key long, data binary"
+_MESSAGE = "bucket long, kind int, data binary"
+_FOUND = "bucket long, data binary"
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -65,16 +66,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     buckets = shuffle_partitions(docs.sparkSession)
     keyed = base.withColumn(_KEY, F.xxhash64(f"`{id_col}`", f"`{text_col}`"))
 
-    anchors = keyed.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("row_id"), _KEY, F.col(f"`{text_col}`").alias("text")
-    ).mapInArrow(_anchors(window // 2, buckets), _MESSAGE)
-    hits = anchors.groupBy("bucket").applyInArrow(_matched(window // 2), "row_key long, data binary")
-    hits = hits.groupBy("row_key").agg(F.collect_list("data").alias("_hits")).withColumnRenamed("row_key", _KEY)
+    def gathered(found: DataFrame) -> DataFrame:
+        return found.groupBy("bucket").applyInArrow(_gathered, f"{_KEY} long, _places binary")
 
-    seen = keyed.join(hits, _KEY, "left")
-    windows = seen.mapInArrow(_extended(id_col, text_col, window, buckets), _MESSAGE)
-    removed = windows.groupBy("bucket").applyInArrow(_repeated, "row_key long, data binary")
-    removed = removed.groupBy("row_key").agg(F.collect_list("data").alias("_hits")).withColumnRenamed("row_key", _KEY)
+    anchors = keyed.select(_KEY, F.col(f"`{text_col}`").alias("text")).mapInArrow(_anchors(window // 2, buckets), _MESSAGE)
+    hits = gathered(anchors.groupBy("bucket").applyInArrow(_matched(window // 2, buckets), _FOUND))
+    windows = keyed.join(hits, _KEY, "left").mapInArrow(_extended(id_col, text_col, window, buckets), _MESSAGE)
+    removed = gathered(windows.groupBy("bucket").applyInArrow(_repeated(buckets), _FOUND))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     extra = "n_words long, n_removed long, kept_sha256 string, removed_spans array<struct<start: long, end: long>>, clean_text string"
@@ -92,18 +90,12 @@ def substring_dedup_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select(*[c.alias(n) for n, c in picked.items()])
 
 
-def _message(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    kinds = [("bucket", pa.int64()), ("kind", pa.int32()), ("row_id", pa.int64()), ("row_key", pa.int64()), ("data", pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
-
-
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays one after another, each with its type and length."""
+    """Integer arrays one after another, each with its type and length, their bytes apart by place so that small numbers compress."""
     out = []
     for a in arrays:
         out.append(struct.pack("<2sI", a.dtype.str[1:].encode(), len(a)))
-        out.append(a.tobytes())
+        out.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes())
     return b"".join(out)
 
 
@@ -112,7 +104,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
     while at < len(data):
         kind, n = struct.unpack_from("<2sI", data, at)
         kind = np.dtype("<" + kind.decode())
-        out.append(np.frombuffer(data, kind, n, at + 6))
+        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at + 6).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
         at += 6 + n * kind.itemsize
     return out
 
@@ -121,34 +114,94 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint16) if not len(a) or a.max() < 1 << 16 else a.astype(np.uint32)
 
 
-def _bucketed(bucket: np.ndarray, doc: np.ndarray, place: np.ndarray, order_extra: tuple[np.ndarray, ...], ids: np.ndarray, keys: np.ndarray, kind: int) -> Iterator[tuple]:
-    """Messages with a bucket's entries: row ids, row keys, entries a row, places, and further columns."""
+def _steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences of ascending values, anew at each first."""
+    out = np.diff(values, prepend=0)
+    out[first] = values[first]
+    return narrow(out)
+
+
+def _summed(steps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What _steps() was made from."""
+    total = np.cumsum(steps.astype(np.int64))
+    first = np.cumsum(counts) - counts
+    return total - np.repeat(total[first] - steps[first], counts)
+
+
+def pack_places(keys: np.ndarray, places: np.ndarray) -> bytes:
+    """Places of rows, in any order, as runs of consecutive places."""
+    order = np.lexsort((places, keys))
+    keys, places = keys[order], places[order]
+    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (places[1:] > places[:-1] + 1)))
+    at = np.flatnonzero(new)
+    last = places[np.append(at[1:], len(places)) - 1]
+    rows = runs(keys[at])
+    counts = np.diff(np.append(rows, len(at)))
+    return pack(keys[at][rows], narrow(counts), _steps(places[at], rows), narrow(last - places[at] + 1))
+
+
+def unpack_places(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first place, length) of each run."""
+    keys, starts, lengths = [], [], []
+    for keys_of, counts, steps, n in map(unpack, data):
+        counts = counts.astype(np.int64)
+        keys.append(np.repeat(keys_of, counts))
+        starts.append(_summed(steps, counts))
+        lengths.append(n.astype(np.int64))
+    return np.concatenate(keys), np.concatenate(starts), np.concatenate(lengths)
+
+
+def _spread(keys: np.ndarray, places: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Places of rows, packed by the bucket of the row."""
+    bucket = keys % buckets
+    order = np.argsort(bucket, kind="stable")
+    for a, b in run_spans(bucket[order]):
+        yield int(bucket[order[a]]), pack_places(keys[order[a:b]], places[order[a:b]])
+
+
+def _messages(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "kind", "data"])
+
+
+def _bucketed(bucket: np.ndarray, doc: np.ndarray, place: np.ndarray, per_row: tuple[np.ndarray, ...], per_entry: tuple[np.ndarray, ...]) -> Iterator[tuple[int, int, bytes]]:
+    """Messages with a bucket's entries: entries of each row, places, columns by row, columns by entry."""
     order = np.argsort(bucket, kind="stable")
     for a, b in run_spans(bucket[order]):
         pick = order[a:b]
         first = runs(doc[pick])
         counts = np.diff(np.append(first, len(pick)))
         of = doc[pick][first]
-        yield int(bucket[pick[0]]), kind, None, None, pack(ids[of], keys[of], narrow(counts), narrow(place[pick]), *[x[pick] for x in order_extra])
+        yield int(bucket[pick[0]]), 0, pack(narrow(counts), _steps(place[pick], first), *[x[of] for x in per_row], *[x[pick] for x in per_entry])
 
 
-def _by_row(keys: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The places of each row, as one packed array."""
-    order = np.lexsort((places, keys))
-    keys, places = keys[order], places[order]
-    for a, b in run_spans(keys):
-        yield int(keys[a]), places[a:b].astype("<u4").tobytes()
+def _entries(data: list[bytes], per_row: int) -> list[np.ndarray]:
+    """The entries of all messages: places, then columns by row and by entry."""
+    parts = []
+    for counts, steps, *rest in map(unpack, data):
+        counts = counts.astype(np.int64)
+        parts.append([_summed(steps, counts), *[np.repeat(x, counts) for x in rest[:per_row]], *rest[per_row:]])
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def _split(table: pa.Table) -> tuple[list[tuple[int, bytes]], list[bytes]]:
+    """What a chunk has settled itself, with its bucket, to be passed on; and the messages to be matched."""
+    rows = list(zip(*[table.column(c).to_pylist() for c in ("bucket", "kind", "data")], strict=True))
+    return [(b, d) for b, k, d in rows if k], [d for _, k, d in rows if not k]
+
+
+def _found(rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "data": pa.array([d for _, d in rows], pa.binary())})
 
 
 def _anchors(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in slices(batches, "text", CHUNK_BYTES):
-            ids = np.array(batch.column("row_id").to_pylist(), np.int64)
             keys = np.array(batch.column(_KEY).to_pylist(), np.int64)
             hashes, ends = hashed_words(raw(batch.column("text")), cache)
             h = window_hashes(hashes, width)
-            doc = np.repeat(np.arange(len(ids)), np.diff(ends))[: len(h)]
+            doc = np.repeat(np.arange(len(keys)), np.diff(ends))[: len(h)]
             at = np.flatnonzero(np.arange(len(h)) + width <= ends[doc + 1]) if len(h) else np.empty(0, np.int64)
             if not len(at):
                 continue
@@ -160,126 +213,117 @@ def _anchors(width: int, buckets: int):
             # of equal hashes, one at a block start stands for all, else any
             rank = np.where(place[order] % width == 0, 0, 1 << 40) + order
             lead = np.minimum.reduceat(rank, starts) & ((1 << 40) - 1)
-            known = counts > 1
-            lead_order = np.argsort(lead)
-            lead, known = lead[lead_order], known[lead_order]
-            rows = list(_bucketed(((h[lead] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), doc[lead], place[lead], (h[lead].astype(np.uint32), known.astype(np.uint8)), ids, keys, 0))
+            by_place = np.argsort(lead)
+            known = counts[by_place] > 1
+            lead = lead[by_place]
+            bucket = ((h[lead] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            rows = list(_bucketed(bucket, doc[lead], place[lead], (keys,), (h[lead].astype(np.uint32), known.astype(np.uint8))))
             own = order[np.repeat(counts > 1, counts)]
-            rows += [(k % buckets, 1, None, k, p) for k, p in _by_row(keys[doc[own]], place[own])]
-            yield _message(rows)
+            rows += [(b, 1, d) for b, d in _spread(keys[doc[own]], place[own], buckets)]
+            yield _messages(rows)
 
     return run
 
 
-def _entries(table: pa.Table) -> list[list[np.ndarray]]:
-    return [unpack(x) for x in table.column("data").to_pylist()]
-
-
-def _joined(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """The entries of all messages: row id, row key, place and further columns."""
-    ids = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
-    keys = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
-    return ids, keys, *[np.concatenate([p[k] for p in parts]) for k in range(3, len(parts[0]))]
-
-
-def _row_table(rows: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.table({"row_key": pa.array([k for k, _ in rows], pa.int64()), "data": pa.array([d for _, d in rows], pa.binary())})
-
-
-def _passed_on(table: pa.Table) -> tuple[pa.Table, list[list[np.ndarray]]]:
-    own = table.filter(pc.equal(table.column("kind"), 1)).select(["row_key", "data"])
-    return own, _entries(table.filter(pc.equal(table.column("kind"), 0)))
-
-
-def _matched(width: int):
+def _matched(width: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        own, parts = _passed_on(table)
-        if not parts:
-            return own
-        _, keys, place, h, known = _joined(parts)
-        order = np.argsort(h)
-        starts = runs(h[order])
-        counts = np.diff(np.append(starts, len(order)))
-        anchored = np.logical_or.reduceat(place[order] % width == 0, starts) & (counts > 1)
-        hit = order[np.repeat(anchored, counts)]
-        hit = hit[known[hit] == 0]
-        return pa.concat_tables([own, _row_table(list(_by_row(keys[hit], place[hit].astype(np.int64))))])
+        own, data = _split(table)
+        if data:
+            place, keys, h, known = _entries(data, 1)
+            order = np.argsort(h)
+            starts = runs(h[order])
+            counts = np.diff(np.append(starts, len(order)))
+            anchored = np.logical_or.reduceat(place[order] % width == 0, starts) & (counts > 1)
+            hit = order[np.repeat(anchored, counts)]
+            hit = hit[known[hit] == 0]
+            own += _spread(keys[hit], place[hit], buckets)
+        return _found(own)
 
     return run
 
 
-def _covered(places: np.ndarray, n: int, before: int, after: int) -> np.ndarray:
+def _gathered(table: pa.Table) -> pa.Table:
+    """One row for each document that has places: its runs, as starts and lengths."""
+    keys, starts, lengths = unpack_places(table.column("data").to_pylist())
+    order = np.lexsort((starts, keys))
+    rows = [(int(keys[order[a]]), pack(starts[order[a:b]].astype(np.uint32), lengths[order[a:b]].astype(np.uint32))) for a, b in run_spans(keys[order])]
+    return pa.table({_KEY: pa.array([k for k, _ in rows], pa.int64()), "_places": pa.array([d for _, d in rows], pa.binary())})
+
+
+def _covered(places: bytes | None, n: int, before: int, after: int) -> np.ndarray:
     """Which of n positions lie from `before` below to `after` above one of the places."""
+    if places is None:
+        return np.zeros(n, bool)
+    starts, lengths = (x.astype(np.int64) for x in unpack(places))
     edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, np.maximum(places - before, 0), 1)
-    np.add.at(edge, np.minimum(places + after + 1, n), -1)
+    np.add.at(edge, np.maximum(starts - before, 0), 1)
+    np.add.at(edge, np.minimum(starts + lengths + after, n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
+def _earliest(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that start first under their key (more than one if ids repeat), and the others."""
+    order = np.lexsort((place, ids, h2, h1))
+    a, b = h1[order], h2[order]
+    starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    least = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
+    later = (ids[order] != ids[least]) | (place[order] != place[least])
+    return np.sort(order[~later]), order[later]
+
+
 def _extended(id_col: str, text_col: str, window: int, buckets: int):
     half = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in slices(batches, text_col, CHUNK_BYTES):
-            batch = batch.filter(pc.is_valid(batch.column("_hits")))
-            if not batch.num_rows:
-                continue
+            batch = batch.filter(pc.is_valid(batch.column("_places")))
             ids = np.array([LAST if x is None else x for x in batch.column(id_col).to_pylist()], np.int64)
             keys = np.array(batch.column(_KEY).to_pylist(), np.int64)
             hashes, ends = hashed_words(raw(batch.column(text_col)), cache)
-            near = []
-            for i, found in enumerate(batch.column("_hits").to_pylist()):
-                near.append(_covered(np.frombuffer(b"".join(found), "<u4").astype(np.int64), int(ends[i + 1] - ends[i]), half - 1, 0))
             h1 = window_hashes(hashes, window)
-            doc = np.repeat(np.arange(len(ids)), np.diff(ends))[: len(h1)]
             if not len(h1):
                 continue
+            near = [_covered(p, int(n), half - 1, 0) for p, n in zip(batch.column("_places").to_pylist(), np.diff(ends), strict=True)]
+            doc = np.repeat(np.arange(len(ids)), np.diff(ends))[: len(h1)]
             at = np.flatnonzero((np.arange(len(h1)) + window <= ends[doc + 1]) & np.concatenate(near)[: len(h1)])
             if not len(at):
                 continue
             h2 = window_hashes(second_hashes(hashes), window)[at]
             h1, doc = h1[at], doc[at]
             place = at - ends[doc]
-            order = np.lexsort((place, ids[doc], h2, h1))
-            a, b = h1[order], h2[order]
-            starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-            counts = np.diff(np.append(starts, len(order)))
-            least = np.repeat(order[starts], counts)
-            later = (ids[doc[order]] != ids[doc[least]]) | (place[order] != place[least])
-            send = np.sort(order[~later])
-            rows = list(_bucketed(((h2[send] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), doc[send], place[send], (h1[send], h2[send].astype(np.uint32)), ids, keys, 0))
-            gone = order[later]
-            rows += [(k % buckets, 1, None, k, p) for k, p in _by_row(keys[doc[gone]], place[gone])]
-            yield _message(rows)
+            send, gone = _earliest(h1, h2, ids[doc], place)
+            bucket = ((h2[send] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            rows = list(_bucketed(bucket, doc[send], place[send], (ids, keys), (h1[send], h2[send].astype(np.uint16))))
+            rows += [(b, 1, d) for b, d in _spread(keys[doc[gone]], place[gone], buckets)]
+            yield _messages(rows)
 
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    own, parts = _passed_on(table)
-    if not parts:
-        return own
-    ids, keys, place, h1, h2 = _joined(parts)
-    order = np.lexsort((place, ids, h2, h1))
-    a, b = h1[order], h2[order]
-    starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    least = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
-    gone = order[(ids[order] != ids[least]) | (place[order] != place[least])]
-    return pa.concat_tables([own, _row_table(list(_by_row(keys[gone], place[gone].astype(np.int64))))])
+def _repeated(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        own, data = _split(table)
+        if data:
+            place, ids, keys, h1, h2 = _entries(data, 2)
+            gone = _earliest(h1, h2, ids, place)[1]
+            own += _spread(keys[gone], place[gone], buckets)
+        return _found(own)
+
+    return run
 
 
 def _cut_out(names: list[str], text_col: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, CHUNK_BYTES):
-            texts, found = batch.column(text_col).to_pylist(), batch.column("_hits").to_pylist()
+            texts, found = batch.column(text_col).to_pylist(), batch.column("_places").to_pylist()
             cols = {"n_words": [], "n_removed": [], "kept_sha256": [], "removed_spans": [], "clean_text": []}
             for text, hits in zip(texts, found, strict=True):
                 data = (text or "").encode()
                 words = data.split()
                 spans, kept, clean = [], words, text
                 if hits:
-                    gone = _covered(np.frombuffer(b"".join(hits), "<u4").astype(np.int64), len(words), 0, window - 1)
+                    gone = _covered(hits, len(words), 0, window - 1)
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
                     spans = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
