@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.substring_dedup import pack, unpack
 from orrery.llm.words import raw, run_spans, runs, slices
-from orrery.operators.graph import connected_components
+from orrery.operators.graph import connected_components, forest
 from orrery.plans.durable import cut, shuffle_partitions
 
 BITS = 2
@@ -216,20 +216,6 @@ def between_links(nodes: np.ndarray, members: np.ndarray) -> Iterator[tuple[np.n
         yield lead[other], owner[order][other]
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest node that each of n nodes is linked to through any number of links."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[left], root[right])
-        new = root.copy()
-        np.minimum.at(new, root[left], low)
-        np.minimum.at(new, root[right], low)
-        new = new[new]
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: _row_key, doc_id, fingerprint (16 hex digits), component_id.
 
