@@ -26,9 +26,12 @@ from orrery.llm.words import raw, slices
 #: Labelled texts that a model is fitted on, of each class, and the longest of them in characters.
 SAMPLE, SAMPLE_CHARS = 3000, 32_768
 WINDOW, STEP = 32, 24
-BASE_BYTES = 32_768
+BASE_BYTES = 8_192
 STAND_OUT = 100
-SAVED = (2, 3, 4, 5, 6, 7)
+LEAST_GAIN = 9.0
+#: Rounds in which ordinary windows that the toxic words explain join both dictionaries, and how many at most.
+ROUNDS, SHARED = 3, 1000
+SAVED = (2, 3, 4, 5, 6, 7, 8, 10)
 MATCH = 6
 _TRIM = b".,;:!?|%$#&*()\"'"
 CHUNK_BYTES = 4 << 20
@@ -52,7 +55,7 @@ def windows(text: bytes) -> list[bytes]:
 
 def _compressor(content: bytes):
     params = zstandard.ZstdCompressionParameters.from_level(
-        1, min_match=MATCH, strategy=zstandard.STRATEGY_FAST, window_log=17, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+        1, min_match=MATCH, strategy=zstandard.STRATEGY_FAST, window_log=17, write_content_size=0, write_checksum=0, write_dict_id=0, hash_log=18, format=zstandard.FORMAT_ZSTD1_MAGICLESS
     )
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress
 
@@ -91,8 +94,14 @@ def train_dictionaries(texts: list[bytes], labels: list[int]) -> tuple[bytes, by
         all_of = c + ordinary[w]
         if len(w) > 2 and c >= 2 and c > share * all_of:
             gain[w] = c * math.log(c / (share * all_of)) + (ordinary[w] * math.log(ordinary[w] / ((1 - share) * all_of)) if ordinary[w] else 0)
-    best = sorted(gain, key=lambda w: (gain[w], w))[-STAND_OUT:]
-    return base or b" ", (base or b" ") + b"".join(b" " + w for w in best) + b" "
+    best = sorted((w for w in gain if gain[w] >= LEAST_GAIN), key=lambda w: (gain[w], w))[-STAND_OUT:]
+    tail = b"".join(b" " + w for w in best) + b" "
+    # what ordinary text has in common with the toxic words belongs to both
+    for _ in range(ROUNDS):
+        short, long = _compressor(base or b" "), _compressor(base + tail)
+        shared = {w: None for t, y in zip(texts, labels, strict=True) if not y for w in windows(t) if len(short(w)) - len(long(w)) >= SAVED[0]}
+        base = b" ".join(list(shared)[:SHARED]) + b" " + base
+    return base or b" ", base + tail
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
