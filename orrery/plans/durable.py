@@ -26,3 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Let Arrow batches to Python hold at most so many bytes in this session: long texts would make batches of 10,000 rows large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or int(now.rstrip("b")) > most or int(now.rstrip("b")) <= 0:
+        spark.conf.set(key, f"{most}b")

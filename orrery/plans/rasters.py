@@ -38,10 +38,10 @@ _COLOUR = """c AS (
 l AS (SELECT view, avg(0.2126 * r + 0.7152 * g + 0.0722 * b) AS m, stddev_pop(0.2126 * r + 0.7152 * g + 0.0722 * b) AS s FROM pixels GROUP BY view)"""
 
 
-@query(f"{_F}, {_COLOUR} SELECT view, dominant_share, entropy_bits, round(m, 4) AS light_mean, round(s, 4) AS light_std FROM c JOIN l USING (view)")
+@query(f"{_F}, {_COLOUR} SELECT view, dominant_share, entropy_bits, round(m + 1e-7, 4) AS light_mean, round(s, 4) AS light_std FROM c JOIN l USING (view)")
 def quantised_entropy(spark, d):
     s = _rounded(R.colour_stats(frames(spark, d)), "dominant_share", "entropy_bits")
-    return s.withColumn("light_mean", F.round("light_mean", 4)).withColumn("light_std", F.round("light_std", 4))
+    return s.withColumn("light_mean", F.round(F.col("light_mean") + 1e-7, 4)).withColumn("light_std", F.round("light_std", 4))
 
 
 _COLLISION = """k AS (
