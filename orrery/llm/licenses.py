@@ -1,7 +1,7 @@
 """Licence scans by canonical digest.
 
-A text is brought to a canonical form (copyright lines left out, ASCII letters
-in lower case, anything that is no letter or digit one space, equivalent
+A text is brought to a canonical form (copyright lines left out, letters in
+lower case, anything that is no letter or digit one space, equivalent
 spellings the same) and its digest joined with the digests of known licences.
 Whole texts are looked up, and so is every line, since notices stand alone on
 a line. The known digests are a fixed table, so the join is a hash join with
@@ -52,7 +52,6 @@ EQUIVALENT = (
     ("wilful", "wilfull"),
 )
 _COPYRIGHT = r"(?i)^[ \t\r]*(copyright|\(c\)|©)[^\n]*$"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -104,7 +103,7 @@ KNOWN = (
 def canonical(text: str) -> str:
     """The canonical form of a text."""
     text = "\n".join(line for line in text.split("\n") if not re.match(r"(?i)[ \t\r]*(copyright|\(c\)|©)", line))
-    text = re.sub(r"[^a-z0-9\u0080-\U0010FFFF]+", " ", text.translate(str.maketrans(_UPPER, _LOWER)).replace("'", ""))
+    text = re.sub(r"[^a-z0-9\u0080-\U0010FFFF]+", " ", text.lower().replace("'", ""))
     text = f" {text.strip(' ')} "
     for a, b in EQUIVALENT:
         text = text.replace(f" {a} ", f" {b} ")
@@ -114,7 +113,7 @@ def canonical(text: str) -> str:
 def canonical_column(text: Column) -> Column:
     """The same of a column, all JVM-side."""
     text = F.regexp_replace(text, "(?m)" + _COPYRIGHT, "")
-    text = F.replace(F.translate(text, _UPPER, _LOWER), F.lit("'"), F.lit(""))
+    text = F.replace(F.lower(text), F.lit("'"), F.lit(""))
     text = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " ")), F.lit(" "))
     for a, b in EQUIVALENT:
         text = F.replace(text, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -153,7 +152,7 @@ def oracle_sql(known: tuple = KNOWN) -> str:
 
     def form(x: str) -> str:
         x = rf"regexp_replace({x}, '(?m)^[ \t\r]*(?i:copyright|\(c\)|©)[^\n]*$', '', 'g')"
-        x = f"replace(translate({x}, '{_UPPER}', '{_LOWER}'), '''', '')"
+        x = f"replace(lower({x}), '''', '')"
         x = rf"' ' || trim(regexp_replace({x}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'), ' ') || ' '"
         for a, b in EQUIVALENT:
             x = f"replace({x}, ' {a} ', ' {b} ')"
