@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.words import raw, slices
-from orrery.plans.durable import cut
+from orrery.plans.durable import bounded_batches, cut
 
 FEATURES = 1 << 14
 RANK, OVERSAMPLE = 128, 16
@@ -37,8 +37,8 @@ WINDOW = BLOCK * BLOCKS
 SAMPLE = 10_000
 ITEM_WEIGHT = 4.0
 ITEM_BLOCK = 1024
-#: Least cosine of a candidate.
-COSINE = 0.35
+#: Least cosine of a candidate with an item as long as a window; a shorter item fills less of it, so less by the root of its share.
+COSINE = 0.34
 #: Share of an item's words, in order, that marks a copy; or, with the answer, a paraphrase.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.55, 0.6
 #: Items with fewer words are too common to search for.
@@ -49,6 +49,8 @@ CHUNK_BYTES = 1 << 20
 #: Blocks, or windows, that are projected at a time.
 PROJECTED = 1024
 _OUTER = b".,;:!?\"'()[]{}|*#$%&<>-"
+#: Blocks in which the sums over tasks are made.
+SUM_BLOCKS = 32
 _FAN = 256
 
 
@@ -93,23 +95,24 @@ def passage_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([task], pa.int64()), pa.array([passages], pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=["kind", "row_key", "doc_id", "data"])
 
+    bounded_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.xxhash64(f"`{id_col}`", text).alias("row_key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
     return rows.mapInArrow(run, "kind int, row_key long, doc_id long, data binary")
 
 
 def _sums(rows: DataFrame, dtype: type) -> np.ndarray:
-    """The sum of equally long packed arrays (columns part, data), by parts and then over parts."""
+    """The sum of packed arrays that come in blocks (columns part, block, data): by some parts, over parts, and the blocks joined in order."""
 
-    def total(table: pa.Table) -> pa.Table:
+    def total(key: tuple, table: pa.Table) -> pa.Table:
         out = 0
         for x in table.column("data").to_pylist():
             out = out + np.frombuffer(x, dtype)
-        return pa.table({"part": pa.array([0], pa.int64()), "data": pa.array([out.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([out.tobytes()], pa.binary())})
 
-    once = rows.groupBy((F.col("part") % _FAN).alias("p")).applyInArrow(lambda key, t: total(t), "part long, data binary")
-    found = once.groupBy("part").applyInArrow(total, "part long, data binary").collect()
-    return np.frombuffer(found[0]["data"], dtype) if found else np.zeros(0, dtype)
+    once = rows.groupBy("block", (F.col("part") % _FAN).alias("p")).applyInArrow(total, "block long, data binary")
+    found = once.groupBy("block").applyInArrow(total, "block long, data binary").collect()
+    return np.concatenate([np.frombuffer(r["data"], dtype) for r in sorted(found, key=lambda r: r["block"])]) if found else np.zeros(0, dtype)
 
 
 def _weights(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +131,7 @@ def fit_index(words: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]])
     spark = words.sparkSession
     tasks = words.where("kind = 1")
     passages = tasks.agg(F.sum("doc_id")).first()[0] or 0
-    df = _sums(tasks.select(F.col("row_key").alias("part"), "data"), np.int64)
+    df = _sums(tasks.select(F.col("row_key").alias("part"), F.lit(0).cast("long").alias("block"), "data"), np.int64)
     idf = np.log((passages + 1.0) / ((df if len(df) else np.zeros(FEATURES)) + 1.0)).astype(np.float32) + 0.05
     below = min(1.0, SAMPLE / max(1, passages))
 
@@ -156,11 +159,13 @@ def fit_index(words: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]])
                 y = w @ omega[terms]
                 gram += np.outer(y, y)
                 back[terms] += np.outer(w, y)
-        task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([gram.tobytes() + back.tobytes()], pa.binary())], names=["part", "data"])
+        blocks = [gram, *np.split(back, SUM_BLOCKS)]
+        part = pa.array([TaskContext.get().partitionId()] * len(blocks), pa.int64())
+        data = pa.array([x.tobytes() for x in blocks], pa.binary())
+        yield pa.RecordBatch.from_arrays([part, pa.array(range(len(blocks)), pa.int64()), data], names=["part", "block", "data"])
 
     # the sample is bounded, so a few tasks do
-    both = _sums(sample.unionAll(own).repartition(8).mapInArrow(products, "part long, data binary"), np.float32).astype(np.float64)
+    both = _sums(sample.unionAll(own).repartition(8).mapInArrow(products, "part long, block long, data binary"), np.float32).astype(np.float64)
     gram, back = both[: size * size].reshape(size, size), both[size * size :].reshape(FEATURES, size)
     values, vectors = np.linalg.eigh(gram)
     good = values > max(values.max(), 1e-12) * 1e-6
@@ -178,7 +183,7 @@ def fit_index(words: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]])
 
 
 def window_candidates(index: Index, table: np.ndarray, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
-    """(text, window, item) where the cosine reaches COSINE, in order.
+    """(text, window, item) where the cosine reaches the item's least one, in order.
 
     table: the weighted basis of each term, and zeros for the filling after a
     text's last word. Repeated terms count together within a block, for a
@@ -202,9 +207,10 @@ def window_candidates(index: Index, table: np.ndarray, texts: list[np.ndarray])
     z /= np.sqrt(np.maximum(sum(length[k : k + count] for k in range(BLOCKS)), 1e-9))[:, None]
     text = np.repeat(np.arange(len(texts)), sizes)
     whole = text[:count] == text[BLOCKS - 1 :]
+    least = COSINE * np.sqrt(np.minimum(1, np.array([len(h) for _, h, _ in index.items]) / WINDOW))
     for at in range(0, len(index.items), ITEM_BLOCK):
         for w in range(0, count, PROJECTED):
-            win, item = np.nonzero((z[w : w + PROJECTED] @ index.latent[at : at + ITEM_BLOCK].T >= COSINE) & whole[w : w + PROJECTED, None])
+            win, item = np.nonzero((z[w : w + PROJECTED] @ index.latent[at : at + ITEM_BLOCK].T >= least[at : at + ITEM_BLOCK]) & whole[w : w + PROJECTED, None])
             win += w
             yield from zip(text[win].tolist(), (win - begin[text[win]]).tolist(), (item + at).tolist(), strict=True)
 
