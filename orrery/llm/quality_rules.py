@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.words import WordHashes, hashed_words, mix, raw, runs, slices, window_hashes
+from orrery.plans.durable import bounded_batches
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -94,6 +95,7 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
             cols = [n_words, np.array(chars), np.array(symbols), np.array(dups), repeats, np.array(kept_words), failed, kept]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *map(pa.array, cols), pa.array(clean, pa.string())], names=[*names, *ADDED])
 
+    bounded_batches(docs.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     longs = ", ".join(f"{c} long" for c in ADDED[:6])
     return base.mapInArrow(run, f"{kinds}, {longs}, base_failed boolean, kept boolean, clean_text string")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from orrery.llm.substring_dedup import pack, unpack
 from orrery.llm.words import raw, run_spans, runs, slices
 from orrery.operators.graph import connected_components, forest
-from orrery.plans.durable import cut, shuffle_partitions
+from orrery.plans.durable import bounded_batches, cut, shuffle_partitions
 
 BITS = 2
 SEED = 42
@@ -138,6 +138,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = _fingerprints(raw(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column(_KEY), batch.column("doc_id"), pa.array(prints.view(np.int64))], names=[_KEY, "doc_id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.xxhash64(f"`{id_col}`", text).alias(_KEY), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
     return rows.mapInArrow(run, f"{_KEY} long, doc_id long, fp long")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.words import WordHashes, hashed_words, raw, run_spans, runs, second_hashes, slices, window_hashes
-from orrery.plans.durable import shuffle_partitions
+from orrery.plans.durable import bounded_batches, shuffle_partitions
 
 WINDOW = 20
 CHUNK_BYTES = 8 << 20
@@ -64,6 +64,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     names = [c for c in docs.columns if c not in added]
     base = docs.select(*[F.col(f"`{c}`") for c in names])
     buckets = shuffle_partitions(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     keyed = base.withColumn(_KEY, F.xxhash64(f"`{id_col}`", f"`{text_col}`"))
 
     def gathered(found: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.words import slices
+from orrery.plans.durable import bounded_batches
+
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 BATCH_BYTES = 1 << 20
@@ -80,9 +83,8 @@ def token_counts(docs: DataFrame, text_col: str = "text", path: str | None = Non
     columns of the added names are replaced. Any length: one text must fit in
     a task's memory.
     """
-    from orrery.llm.words import slices
-
     path = path or model_path()
+    bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     base = docs.select(*[F.col(f"`{c}`") for c in kept])
 

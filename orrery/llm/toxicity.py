@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.words import raw, slices
+from orrery.plans.durable import bounded_batches
 
 #: Labelled texts that a model is fitted on, of each class, and the longest of them in characters.
 SAMPLE, SAMPLE_CHARS = 3000, 32_768
@@ -176,6 +177,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             scores = np.array([score(t) for t in raw(batch.column(text_col))], np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
+    bounded_batches(docs.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     return base.mapInArrow(run, f"{kinds}, score double, predicted int")
 
