@@ -253,7 +253,7 @@ def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: s
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", answer_col: str | None = None) -> DataFrame:
-    """Rows (_row_key, doc_id, item_id, item_share, answer_share, start_word): a benchmark item that a row of docs holds, where it does best.
+    """Rows (orrery_row_key, doc_id, item_id, item_share, answer_share, start_word): a benchmark item that a row of docs holds, where it does best.
 
     Null and empty texts and items hold nothing. Repeated rows and repeated
     items are each reported. Texts of any length are searched whole; further
@@ -275,12 +275,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             keys, docs_of = batch.column("row_key").to_pylist(), batch.column("doc_id").to_pylist()
             found = [(keys[t], docs_of[t], index.items[i][0], s, a, -w) for (t, i), (s, a, w) in sorted(best.items())]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names=["_row_key", "doc_id", "item_id", "item_share", "answer_share", "start_word"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names=["orrery_row_key", "doc_id", "item_id", "item_share", "answer_share", "start_word"])
 
-    return words.where("kind = 0").select("row_key", "doc_id", "data").mapInArrow(run, "_row_key long, doc_id long, item_id long, item_share double, answer_share double, start_word long")
+    return words.where("kind = 0").select("row_key", "doc_id", "data").mapInArrow(run, "orrery_row_key long, doc_id long, item_id long, item_share double, answer_share double, start_word long")
 
 
 def decontamination_stage(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Docs that hold no benchmark item."""
-    found = cut(contaminated(docs, benchmark, id_col, text_col).select("_row_key").distinct())
-    return docs.withColumn("_row_key", F.xxhash64(f"`{id_col}`", f"`{text_col}`")).join(found, "_row_key", "left_anti").drop("_row_key")
+    found = cut(contaminated(docs, benchmark, id_col, text_col).select("orrery_row_key").distinct())
+    return docs.withColumn("orrery_row_key", F.xxhash64(f"`{id_col}`", f"`{text_col}`")).join(found, "orrery_row_key", "left_anti").drop("orrery_row_key")

@@ -138,13 +138,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     table = docs.sparkSession.createDataFrame(list(known_digests(known).items()), "known_digest string, known_license string")
     small = F.broadcast(table)  # as many rows as KNOWN
-    rows = docs.select(F.xxhash64(f"`{id_col}`", text).alias("_row_key"), F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
-    whole = rows.select("_row_key", "doc_id", F.sha2(canonical_column(F.col("text")), 256).alias("canonical_digest"))
-    whole = whole.join(small, F.col("canonical_digest") == F.col("known_digest"), "left").select("_row_key", "doc_id", "canonical_digest", F.col("known_license").alias("license"))
-    lines = rows.select("_row_key", F.explode(F.split("text", "\n")).alias("line")).where("line != ''")
-    lines = lines.select("_row_key", F.sha2(canonical_column(F.col("line")), 256).alias("d")).join(small, F.col("d") == F.col("known_digest"))
-    notices = lines.groupBy("_row_key").agg(F.array_join(F.array_sort(F.collect_set("known_license")), ",").alias("notices"))
-    return whole.join(notices, "_row_key", "left").select("doc_id", "canonical_digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
+    rows = docs.select(F.xxhash64(f"`{id_col}`", text).alias("orrery_row_key"), F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
+    whole = rows.select("orrery_row_key", "doc_id", F.sha2(canonical_column(F.col("text")), 256).alias("canonical_digest"))
+    whole = whole.join(small, F.col("canonical_digest") == F.col("known_digest"), "left").select("orrery_row_key", "doc_id", "canonical_digest", F.col("known_license").alias("license"))
+    lines = rows.select("orrery_row_key", F.explode(F.split("text", "\n")).alias("line")).where("line != ''")
+    lines = lines.select("orrery_row_key", F.sha2(canonical_column(F.col("line")), 256).alias("d")).join(small, F.col("d") == F.col("known_digest"))
+    notices = lines.groupBy("orrery_row_key").agg(F.array_join(F.array_sort(F.collect_set("known_license")), ",").alias("notices"))
+    return whole.join(notices, "orrery_row_key", "left").select("doc_id", "canonical_digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def oracle_sql(known: tuple = KNOWN) -> str:

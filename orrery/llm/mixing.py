@@ -49,7 +49,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **shares) -> DataFrame:
-    """A row for each row of docs: _row_key, doc_id, size, source_size, target, copies, taken.
+    """A row for each row of docs: orrery_row_key, doc_id, size, source_size, target, copies, taken.
 
     size: words of the text (null: 0). copies: 0, 1 or 2 of the document are
     taken, taken = copies * size. Each source takes whole passes of its
@@ -60,7 +60,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """
     number = F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`").cast("long")), 64 - LEVELS * BITS)
     sized = docs.select(
-        F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("_row_key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("orrery_row_key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), number.alias("number"),
     )
     sized = cut(sized)
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     plan = plan.select(F.col("source").alias("s"), "source_size", "target", "passes", threshold.alias("threshold"))
     copies = F.col("passes") + F.when((F.col("number") < F.col("threshold")) & (F.col("passes") < 2), 1).otherwise(0)
     out = sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    return out.select("_row_key", "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("orrery_row_key", "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def _refined(sized: DataFrame, plan: DataFrame, level: int) -> DataFrame:
@@ -103,7 +103,7 @@ def _refined(sized: DataFrame, plan: DataFrame, level: int) -> DataFrame:
 def mixing_stage(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The documents that the mix takes, each once, with copies, size, source_size, target and taken."""
     added = ["copies", "size", "source_size", "target", "taken"]
-    chosen = mix(docs, id_col, source_col, text_col).where("copies > 0").dropDuplicates(["_row_key"]).select("_row_key", *added)
+    chosen = mix(docs, id_col, source_col, text_col).where("copies > 0").dropDuplicates(["orrery_row_key"]).select("orrery_row_key", *added)
     own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    keyed = docs.select(*own, F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("_row_key"))
-    return keyed.join(chosen, "_row_key").drop("_row_key")
+    keyed = docs.select(*own, F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("orrery_row_key"))
+    return keyed.join(chosen, "orrery_row_key").drop("orrery_row_key")

@@ -41,7 +41,7 @@ PAIRWISE = 48
 BETWEEN = 2_000_000
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 _GENERATOR = 0xC75
-_KEY = "_row_key"
+_KEY = "orrery_row_key"
 
 
 def _remainder(word: int) -> int:
@@ -131,7 +131,7 @@ def _fingerprints(texts: list[bytes]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: _row_key, doc_id, fingerprint as long. Null and wordless texts: 0."""
+    """A row for each row of docs: orrery_row_key, doc_id, fingerprint as long. Null and wordless texts: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK_BYTES):
@@ -218,7 +218,7 @@ def between_links(nodes: np.ndarray, members: np.ndarray) -> Iterator[tuple[np.n
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: _row_key, doc_id, fingerprint (16 hex digits), component_id.
+    """A row for each row of docs: orrery_row_key, doc_id, fingerprint (16 hex digits), component_id.
 
     Fingerprints over 3-word shingles, repeats included, of the text with A-Z
     in lower case; two documents are linked if their fingerprints differ in at

@@ -37,7 +37,7 @@ WINDOW = 20
 CHUNK_BYTES = 8 << 20
 #: Stands for a null id in the order of documents: after all others.
 LAST = (1 << 63) - 1
-_KEY = "_row_key"
+_KEY = "orrery_row_key"
 _MESSAGE = "bucket long, kind int, data binary"
 _FOUND = "bucket long, data binary"
 
@@ -68,7 +68,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = base.withColumn(_KEY, F.xxhash64(f"`{id_col}`", f"`{text_col}`"))
 
     def gathered(found: DataFrame) -> DataFrame:
-        return found.groupBy("bucket").applyInArrow(_gathered, f"{_KEY} long, _places binary")
+        return found.groupBy("bucket").applyInArrow(_gathered, f"{_KEY} long, orrery_places binary")
 
     anchors = keyed.select(_KEY, F.col(f"`{text_col}`").alias("text")).mapInArrow(_anchors(window // 2, buckets), _MESSAGE)
     hits = gathered(anchors.groupBy("bucket").applyInArrow(_matched(window // 2, buckets), _FOUND))
@@ -248,7 +248,7 @@ def _gathered(table: pa.Table) -> pa.Table:
     keys, starts, lengths = unpack_places(table.column("data").to_pylist())
     order = np.lexsort((starts, keys))
     rows = [(int(keys[order[a]]), pack(starts[order[a:b]].astype(np.uint32), lengths[order[a:b]].astype(np.uint32))) for a, b in run_spans(keys[order])]
-    return pa.table({_KEY: pa.array([k for k, _ in rows], pa.int64()), "_places": pa.array([d for _, d in rows], pa.binary())})
+    return pa.table({_KEY: pa.array([k for k, _ in rows], pa.int64()), "orrery_places": pa.array([d for _, d in rows], pa.binary())})
 
 
 def _covered(places: bytes | None, n: int, before: int, after: int) -> np.ndarray:
@@ -278,14 +278,14 @@ def _extended(id_col: str, text_col: str, window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in slices(batches, text_col, CHUNK_BYTES):
-            batch = batch.filter(pc.is_valid(batch.column("_places")))
+            batch = batch.filter(pc.is_valid(batch.column("orrery_places")))
             ids = np.array([LAST if x is None else x for x in batch.column(id_col).to_pylist()], np.int64)
             keys = np.array(batch.column(_KEY).to_pylist(), np.int64)
             hashes, ends = hashed_words(raw(batch.column(text_col)), cache)
             h1 = window_hashes(hashes, window)
             if not len(h1):
                 continue
-            near = [_covered(p, int(n), half - 1, 0) for p, n in zip(batch.column("_places").to_pylist(), np.diff(ends), strict=True)]
+            near = [_covered(p, int(n), half - 1, 0) for p, n in zip(batch.column("orrery_places").to_pylist(), np.diff(ends), strict=True)]
             doc = np.repeat(np.arange(len(ids)), np.diff(ends))[: len(h1)]
             at = np.flatnonzero((np.arange(len(h1)) + window <= ends[doc + 1]) & np.concatenate(near)[: len(h1)])
             if not len(at):
@@ -317,7 +317,7 @@ def _repeated(buckets: int):
 def _cut_out(names: list[str], text_col: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, CHUNK_BYTES):
-            texts, found = batch.column(text_col).to_pylist(), batch.column("_places").to_pylist()
+            texts, found = batch.column(text_col).to_pylist(), batch.column("orrery_places").to_pylist()
             cols = {"n_words": [], "n_removed": [], "kept_sha256": [], "removed_spans": [], "clean_text": []}
             for text, hits in zip(texts, found, strict=True):
                 data = (text or "").encode()
