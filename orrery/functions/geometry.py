@@ -6,6 +6,8 @@ Frame: right-handed metres, +X right, +Y forward, +Z up; yaw turns left
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ from pyspark.sql import functions as F
 EPSILON = 1e-9
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it stands in it: what keeps composed poses small."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def vec(x: Column, y: Column, z: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
 
@@ -75,7 +82,7 @@ def hamilton(a: Column, b: Column) -> Column:
 
 def quat_multiply(a: Column, b: Column) -> Column:
     """Hamilton product of unit length."""
-    return quat_normalize(hamilton(a, b))
+    return bind(a, lambda p: bind(b, lambda q: bind(hamilton(p, q), quat_normalize)))
 
 
 def quat_rotate(q: Column, v: Column) -> Column:
@@ -108,19 +115,27 @@ def quat_matrix(q: Column) -> Column:
 
 def transform_apply(t: Column, p: Column) -> Column:
     """A transform is a struct (parent, child, translation, rotation)."""
-    return vec_add(quat_rotate(t["rotation"], p), t["translation"])
+    return bind(t, lambda u: bind(p, lambda v: vec_add(quat_rotate(u["rotation"], v), u["translation"])))
 
 
 def transform_inverse(t: Column) -> Column:
-    back = quat_conjugate(t["rotation"])
-    moved = quat_rotate(back, vec_scale(t["translation"], F.lit(-1.0)))
-    return F.struct(t["child"].alias("parent"), t["parent"].alias("child"), moved.alias("translation"), back.alias("rotation"))
+
+    def turned(u: Column) -> Column:
+        back = quat_conjugate(u["rotation"])
+        moved = quat_rotate(back, vec_scale(u["translation"], F.lit(-1.0)))
+        return F.struct(u["child"].alias("parent"), u["parent"].alias("child"), moved.alias("translation"), back.alias("rotation"))
+
+    return bind(t, turned)
 
 
 def transform_compose(a: Column, b: Column) -> Column:
     """a after b; a's child frame must be b's parent frame."""
-    parent = F.when(a["child"] == b["parent"], a["parent"]).otherwise(F.raise_error(F.lit("frames do not meet")).cast("string"))
-    return F.struct(parent.alias("parent"), b["child"].alias("child"), transform_apply(a, b["translation"]).alias("translation"), quat_multiply(a["rotation"], b["rotation"]).alias("rotation"))
+
+    def both(p: Column, q: Column) -> Column:
+        parent = F.when(p["child"] == q["parent"], p["parent"]).otherwise(F.raise_error(F.lit("frames do not meet")).cast("string"))
+        return F.struct(parent.alias("parent"), q["child"].alias("child"), transform_apply(p, q["translation"]).alias("translation"), quat_multiply(p["rotation"], q["rotation"]).alias("rotation"))
+
+    return bind(a, lambda p: bind(b, lambda q: both(p, q)))
 
 
 def yaw_quaternion(yaw_rad: Column) -> Column:

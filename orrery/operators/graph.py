@@ -60,8 +60,9 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
-    u, v = (table.column(c).to_numpy() for c in ("u", "v"))
+    none = np.empty(0, np.int64)
+    parts = [[none, none], *[[b.column(c).to_numpy() for c in ("u", "v")] for b in batches]]
+    u, v = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     root = forest(len(nodes), at[: len(u)], at[len(u) :])
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[root], pa.int64())], names=["u", "v"])

@@ -10,13 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-EPISODE = W.partitionBy("episode")
-ENTITY = W.partitionBy("episode", "entity")
+
+def _episode():
+    return W.partitionBy("episode")
+
+
+def _entity():
+    return W.partitionBy("episode", "entity")
 
 
 def belief_deltas(seen: DataFrame) -> DataFrame:
     """Rows (episode, step, entity, change): added at the first sighting, reobserved after."""
-    first = F.min("step").over(ENTITY)
+    first = F.min("step").over(_entity())
     return seen.select("episode", "step", "entity", F.when(F.col("step") == first, "added").otherwise("reobserved").alias("change"))
 
 
@@ -36,13 +41,13 @@ def beliefs(seen: DataFrame) -> DataFrame:
 def numbered_entities(seen: DataFrame, prefix: str = "ent-") -> DataFrame:
     """Entities by first sighting, then name: ent-000, ent-001, ..."""
     first = seen.groupBy("episode", "entity").agg(F.min("step").alias("first_step"))
-    nth = F.row_number().over(EPISODE.orderBy("first_step", "entity")) - 1
+    nth = F.row_number().over(_episode().orderBy("first_step", "entity")) - 1
     return first.withColumn("observable_id", F.concat(F.lit(prefix), F.lpad(nth.cast("string"), 3, "0")))
 
 
 def reappearances(seen: DataFrame) -> DataFrame:
     """Sightings after a gap: (episode, entity, step, gap), gap over 1."""
-    gap = F.col("step") - F.lag("step").over(ENTITY.orderBy("step"))
+    gap = F.col("step") - F.lag("step").over(_entity().orderBy("step"))
     return seen.select("episode", "entity", "step", gap.alias("gap")).where("gap > 1")
 
 
@@ -58,7 +63,7 @@ def views(seen: DataFrame) -> DataFrame:
 
 def first_entry(seen: DataFrame) -> DataFrame:
     """For each episode, the first step whose view has exactly one entity that the view before lacks."""
-    before = F.lag("entities").over(EPISODE.orderBy("step"))
+    before = F.lag("entities").over(_episode().orderBy("step"))
     new = views(seen).withColumn("new", F.array_except("entities", before)).where(F.size("new") == 1)
     return new.groupBy("episode").agg(F.min(F.struct("step", F.col("new")[0].alias("entity"))).alias("e")).select("episode", "e.step", "e.entity")
 
@@ -165,7 +170,7 @@ def known_before(seen: DataFrame) -> DataFrame:
     first = seen.groupBy("episode", "entity").agg(F.min("step").alias("first_step"))
     new = first.groupBy("episode", F.col("first_step").alias("step")).agg(F.count("*").alias("n_new"))
     per = views(seen).select("episode", "step", F.size("entities").alias("n_seen")).join(new, ["episode", "step"], "left").fillna(0, ["n_new"])
-    total = F.sum("n_new").over(EPISODE.orderBy("step").rowsBetween(W.unboundedPreceding, 0))
+    total = F.sum("n_new").over(_episode().orderBy("step").rowsBetween(W.unboundedPreceding, 0))
     return per.withColumn("known_after", total).withColumn("n_known", F.col("n_seen") - F.col("n_new"))
 
 
