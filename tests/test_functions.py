@@ -157,3 +157,33 @@ def test_templates_and_leaks(spark):
     pointer = value(spark, T.lfs_pointer(F.lit("version https://x/v1\noid sha256:" + "a" * 64 + "\nsize 12\n")))
     assert pointer["size"] == 12 and value(spark, T.lfs_pointer(F.lit("no")))["oid"] is None
     assert value(spark, ids.redact_paths(F.lit("at /home/me/x/file.py, fine"))) == "at <path>/file.py, fine"
+
+
+def test_structured_equality(spark):
+    from orrery.functions import structs
+
+    rows = [
+        ('{"a": 1.0}', '{"a": 1.0000001}', True), ('{"a": true}', '{"a": 1}', False), ("[1, 2]", "[2, 1]", False), ("null", "null", True), ("null", "false", False),
+        ("NaN", "NaN", False), ('"x"', '"x"', True), ("not json", "not json", False), (None, None, False), ('{"a": {"b": [1]}}', '{"a": {"b": [1]}}', True), ('{"a": 1}', '{"a": 1, "b": 2}', False),
+    ]
+    df = spark.createDataFrame([(a, b) for a, b, _ in rows], "a string, b string").coalesce(1)
+    got = [r[0] for r in df.select(structs.structured_equal(F.col("a"), F.col("b"), F.lit(1e-6))).collect()]
+    assert got == [w for _, _, w in rows]
+    assert value(spark, *[structs.tolerance_of(c) for c in (F.lit(0.2), F.lit(-1.0), F.lit(float("nan")), F.lit(None).cast("double"))]) == (0.2, 1e-6, 1e-6, 1e-6)
+
+
+def test_json_walks_and_schemas(spark):
+    from orrery.functions import structs
+
+    text = F.lit('{"a": ["x", {"ratio": 2}], "ratio": 1.5, "b": true}')
+    found, ratios = value(spark, structs.strings(text), structs.numbers_under(text, "ratio"))
+    assert [(r["path"], r["text"]) for r in found] == [("$.a[0]", "x")] and sorted(ratios) == [1.5, 2.0]
+    schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 0}, "b": {"type": "array", "items": {"enum": ["p"]}}}}
+    assert structs.schema_errors({"a": 1, "b": ["p"]}, schema) == []
+    assert len(structs.schema_errors({"a": True, "b": ["q"], "c": 1}, schema)) == 3 and structs.schema_errors({}, schema) == ["$.a: missing"]
+    assert value(spark, structs.schema_faults(F.lit('{"a": -1}'), schema)) == ["$.a: out of bounds"]
+    assert structs.merged({"a": {"b": 1}, "c": 2}, {"a": {"b": 3}}) == {"a": {"b": 3}, "c": 2}
+    with pytest.raises(KeyError, match="a.z"):
+        structs.merged({"a": {"b": 1}}, {"a": {"z": 1}})
+    good, bad = value(spark, structs.reviewed_at(F.lit("2024-01-02T03:04:05Z")), structs.reviewed_at(F.lit("2024-01-02T03:04:05")))
+    assert good is not None and bad is None

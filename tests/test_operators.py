@@ -308,3 +308,38 @@ def test_components_of_a_long_path(spark):
     edges = spark.range(300).selectExpr("id as a", "id + 1 as b")
     for at_once in (0, 10_000):
         assert {r["component"] for r in connected_components(edges, at_once=at_once).collect()} == {0}
+
+
+class TestQuestions:
+    def test_program_faults(self, spark):
+        from orrery.operators import questions as K
+
+        i = "array<struct<name: string, type: string>>"
+        nodes = spark.createDataFrame(
+            [("p", 0, "e", [("v", "view")], "entity"), ("p", 1, "a", [("e", "entity")], "boolean"), ("q", 0, "a", [("b", "x")], "y"), ("q", 1, "b", [("v", "frame"), ("z", "t")], "x"), ("r", 0, "d", [], "x"), ("r", 1, "d", [], "x")],
+            f"program_id string, place int, node_id string, inputs {i}, output_type string",
+        )
+        given = spark.createDataFrame([("p", "v", "view"), ("q", "v", "view")], "program_id string, name string, type string")
+        got = {tuple(r) for r in K.program_faults(nodes, given).collect()}
+        assert got == {("q", "a", "input made later"), ("q", "b", "wrong type"), ("q", "b", "unknown input"), ("r", "d", "made twice")}
+
+    def test_legal_tasks_and_replay(self, spark):
+        from orrery.operators import questions as K
+
+        rows = spark.createDataFrame([("T1", "a"), ("T1", "b"), ("T2", "a")], "trajectory_class string, task_type string")
+        good, bad = K.legal(rows, spark.createDataFrame([("T1", "a")], "trajectory_class string, task_type string"))
+        assert [tuple(r) for r in good.collect()] == [("T1", "a")] and bad.count() == 2
+        asked = spark.createDataFrame([("h1",), ("h2",), ("h3",)], "request_hash string")
+        told = spark.createDataFrame([("h1", "x"), ("h1", "x"), ("h2", "x"), ("h2", "y")], "request_hash string, response string")
+        assert {r["request_hash"]: r["status"] for r in K.replayed_responses(asked, told).collect()} == {"h1": "replayed", "h2": "conflict", "h3": "missing"}
+
+    def test_relations_replay_and_inverses(self, spark):
+        from orrery.operators import verify
+
+        df = spark.createDataFrame([(1, 7, 0.0, 0.0, 0.0, 0.1, 0.1, 0.1), (2, 7, 2.0, 0.1, 0.0, 0.1, 0.1, 0.1)], "entity_id long, region long, x double, y double, z double, hx double, hy double, hz double")
+        found = L.relation_candidates(df)
+        assert verify.inverses_hold(found).count() == 0
+        wrong = found.withColumn("relation", F.lit("above")).limit(1).unionByName(found.withColumn("subject", F.lit(99)).limit(1))
+        assert sorted(r["status"] for r in verify.replay_relations(found.unionByName(wrong), df).collect()) == ["no_such_pair", "ok", "ok", "wrong_relation"]
+        same = verify.same_rows(found, found).first()
+        assert same["same"] and not verify.same_rows(found, found.limit(1)).first()["same"]
