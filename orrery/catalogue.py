@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.plans import metrics, rasters, registry, samples, seen, spatial, tasks, texts  # noqa: F401  modules register their queries
+from orrery.plans import metrics, rasters, registry, releases, samples, seen, spatial, tasks, texts  # noqa: F401  modules register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

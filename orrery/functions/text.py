@@ -197,3 +197,40 @@ def lfs_pointer(text: Column) -> Column:
     """struct(version, oid, size) of a large-file pointer, nulls where it is none."""
     part = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
     return F.struct(part(r"(?m)^version (\S+)$").alias("version"), part(r"(?m)^oid sha256:([0-9a-f]{64})$").alias("oid"), part(r"(?m)^size (\d+)$").cast("long").alias("size"))
+
+
+def lexicon_hits(text: Column, words: tuple[str, ...]) -> Column:
+    """Words of a list that a text holds as whole words, sorted."""
+    found = [F.when(text.rlike(rf"(?i)(?<![\w]){w.replace('.', chr(92) + '.')}(?![\w])"), F.lit(w)) for w in sorted(words)]
+    return F.array_compact(F.array(*found))
+
+
+def numbers_in(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?<![\w.])(\d+(?:\.\d+)?)(?![\w.]*\w)"), F.lit(1))
+
+
+def unlisted_numbers(text: Column, allowed: Column) -> Column:
+    """Numbers in a sentence that no claim allows."""
+    return F.array_except(numbers_in(text), allowed)
+
+
+#: Longest first, so that "front left" is not read as "left".
+DIRECTIONS = ("front left", "front right", "back left", "back right", "in front of", "left of", "right of", "behind", "above", "below", "front", "right", "left", "back")
+
+
+def directions_in(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\b(" + "|".join(DIRECTIONS) + r")\b"), F.lit(1))
+
+
+def turn_phrase(degrees: Column) -> Column:
+    """A clockwise turn in words."""
+    size = F.abs(degrees)
+    side = F.when(degrees >= 0, "right").otherwise("left")
+    return F.when(size >= 175, "turn around").when(size < 5, "keep facing ahead").otherwise(F.concat(F.lit("turn "), side, F.lit(" by "), F.rint(size).cast("int").cast("string"), F.lit(" degrees")))
+
+
+def choice_labels(question: Column) -> Column:
+    """Map of letter to text of the options in a question."""
+    letters = F.regexp_extract_all(question, F.lit(r"(?m)^\s*([A-D])\.\s*(.+?)\s*$"), F.lit(1))
+    labels = F.regexp_extract_all(question, F.lit(r"(?m)^\s*([A-D])\.\s*(.+?)\s*$"), F.lit(2))
+    return F.map_from_entries(F.arrays_zip(F.array_distinct(letters).alias("k"), F.slice(labels, F.lit(1), F.size(F.array_distinct(letters))).alias("v")))

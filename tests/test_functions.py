@@ -187,3 +187,11 @@ def test_json_walks_and_schemas(spark):
         structs.merged({"a": {"b": 1}}, {"a": {"z": 1}})
     good, bad = value(spark, structs.reviewed_at(F.lit("2024-01-02T03:04:05Z")), structs.reviewed_at(F.lit("2024-01-02T03:04:05")))
     assert good is not None and bad is None
+
+
+def test_words_numbers_and_turns(spark):
+    assert value(spark, T.lexicon_hits(F.lit("A wall_lamp, wall and Floor."), ("wall", "floor", "lamp"))) == ["floor", "wall"]
+    assert value(spark, T.unlisted_numbers(F.lit("2 chairs, 3.5 m, v2"), F.array(F.lit("2")))) == ["3.5"]
+    assert value(spark, T.directions_in(F.lit("front left of it, then behind"))) == ["front left", "behind"]
+    assert value(spark, *[T.turn_phrase(c) for c in lit(90, -45, 180, 1)]) == ("turn right by 90 degrees", "turn left by 45 degrees", "turn around", "keep facing ahead")
+    assert value(spark, T.choice_labels(F.lit("Where?\nA. front\nB. left \n"))) == {"A": "front", "B": "left"}

@@ -343,3 +343,54 @@ class TestQuestions:
         assert sorted(r["status"] for r in verify.replay_relations(found.unionByName(wrong), df).collect()) == ["no_such_pair", "ok", "ok", "wrong_relation"]
         same = verify.same_rows(found, found).first()
         assert same["same"] and not verify.same_rows(found, found.limit(1)).first()["same"]
+
+
+class TestReleases:
+    def test_inputs_and_oracle_share_the_id_alone(self, spark):
+        from orrery.operators import release
+
+        q = spark.createDataFrame([("a", "test", "x?", "1", "t", None), ("b", "train", "y?", "2", "t", False), ("c", "test", "z?", "3", "t", True)], "record_id string, split string, question string, answer string, task_type string, training_only boolean")
+        inputs, oracle = release.benchmark_export(q)
+        assert set(inputs.columns) & set(oracle.columns) == {"record_id"} and [r["record_id"] for r in inputs.collect()] == ["a"]
+        assert release.oracle_predictions(oracle).first()["answer_value"] == "1"
+
+    def test_capabilities_and_content(self, spark):
+        from orrery.functions import text
+        from orrery.operators import release
+
+        rows = spark.createDataFrame([(1, ["F", "AUX"]), (1, ["G", "F"])], "k int, c array<string>")
+        assert release.capabilities(rows, "k", "c").first()["capabilities"] == ["F", "G"]
+        made = spark.range(1).select(release.content(F.lit("hi"), F.array(F.lit("v0"), F.lit("v1"))).alias("c"))
+        assert tuple(made.select(text.message_text(F.col("c")), text.message_images(F.col("c"))).first()) == ("hi", ["v0", "v1"])
+
+    def test_evidence_is_released_first(self, spark):
+        from orrery.operators import dialogue
+
+        seen = spark.createDataFrame([(1, s, e) for s, e in ((0, "a"), (1, "b"), (2, "b"), (3, "c"), (4, "a"), (5, "c"))], "episode long, step long, entity string")
+        released, rounds = dialogue.releases(seen), dialogue.memory_rounds(seen)
+        assert dialogue.evidence_faults(rounds, released).count() == 0
+        early = rounds.withColumn("evidence", F.lit(5).cast("long")).where("round = 1")
+        assert dialogue.evidence_faults(early, released).count() == 1
+        turns = dialogue.messages(rounds.withColumn("q", F.lit("?")).withColumn("a", F.col("entity")), "q", "a").orderBy("turn").collect()
+        assert [(r["turn"], r["role"]) for r in turns] == [(0, "user"), (1, "assistant"), (2, "user"), (3, "assistant")] and turns[1]["text"] == "a"
+
+    def test_bound_everywhere_and_sources(self, spark):
+        from orrery.operators import witness
+
+        m = spark.createDataFrame([(1, 0, "g", "x"), (1, 1, "g", "x"), (1, 1, "g", "y")], "episode long, step long, group string, entity string")
+        need = spark.createDataFrame([("q", 1, 0, "g"), ("r", 1, 0, "g"), ("r", 1, 1, "g")], "question string, episode long, step long, group string")
+        assert {r["question"]: r["bound"] for r in witness.bound_everywhere(m, need).collect()} == {"q": True, "r": False}
+        t = spark.createDataFrame([("s", "t", "a"), ("s", "t", "b")], "scene string, target string, entity string")
+        s = spark.createDataFrame([("s", "one", 1, "a", "l"), ("s", "two", 2, "a", "l"), ("s", "two", 2, "b", "k")], "scene string, source string, rank int, entity string, label string")
+        assert witness.best_sources(t, s).first()["source"] == "two"
+
+    def test_reports(self, spark, tmp_path):
+        from orrery.sources import reports
+
+        df = spark.createDataFrame([("a|b", 0.5, None)], "name string, share double, n1 int")
+        text = reports.markdown("T", {"part": df})
+        assert text == "# T\n\n## part\n\n| name | share | n1 |\n|---|---|---|\n| a\\|b | 0.5 |  |\n"
+        assert "\\newcommand{\\xShare}{0.5}" in reports.latex_macros("x", df) and "\\xNb}" in reports.latex_macros("x", df)
+        reports.write_text(df, text, str(tmp_path / "r"))
+        assert spark.read.text(str(tmp_path / "r"), wholetext=True).first()[0].strip() == text.strip()
+        assert '"name":"share"' in reports.schemas({"t": df})["t"]
