@@ -99,9 +99,12 @@ def view_pair_overlap(seen: DataFrame, high: float = 0.5) -> DataFrame:
     return best.select("episode", "overlap", "n_pairs", (-F.col("p.m")).alias("a"), F.col("p.b").alias("b"), "p.jaccard")
 
 
-def view_subsets(seen: DataFrame, size: int = 3, most_views: int = 8) -> DataFrame:
-    """All ascending subsets of `size` of an episode's first views with what all of them show: (episode, steps, shared)."""
-    v = views(seen).where(F.col("step") < most_views)
+def view_subsets(seen: DataFrame, size: int = 3) -> DataFrame:
+    """All ascending subsets of `size` of an episode's views with what all of them show: (episode, steps, shared).
+
+    Their number is set by the views of one trajectory.
+    """
+    v = views(seen)
     out = v.select("episode", F.array("step").alias("steps"), F.col("entities").alias("shared"))
     for _ in range(size - 1):
         more = v.select("episode", F.col("step").alias("s"), F.col("entities").alias("e"))

@@ -95,12 +95,12 @@ def majority_prior(spark, d):
     return E.majority(table(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus")
 
 
-@query("""WITH n AS (SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey % 10 < 7 GROUP BY ALL),
+@query("""WITH n AS (SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL),
 f AS (SELECT l_linenumber, l_returnflag AS guess FROM n QUALIFY row_number() OVER (PARTITION BY l_linenumber ORDER BY n DESC, l_returnflag) = 1)
-SELECT count(guess) AS covered, CAST(sum((guess = l_returnflag)::INT) AS BIGINT) AS correct, count(*) AS total FROM lineitem LEFT JOIN f USING (l_linenumber) WHERE l_orderkey % 10 >= 7""")
+SELECT count(guess) AS covered, CAST(sum((guess = l_returnflag)::INT) AS BIGINT) AS correct, count(*) AS total FROM lineitem LEFT JOIN f USING (l_linenumber) WHERE l_linestatus = 'O'""")
 def train_fitted_prior(spark, d):
     rows = _lines(spark, d)
-    return E.fitted_majority(rows.where("l_orderkey % 10 < 7"), rows.where("l_orderkey % 10 >= 7"), "l_linenumber", "l_returnflag")
+    return E.fitted_majority(rows.where("l_linestatus = 'F'"), rows.where("l_linestatus = 'O'"), "l_linenumber", "l_returnflag")
 
 
 @query("SELECT *, n / sum(n) OVER (PARTITION BY o_orderstatus) AS share FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)")

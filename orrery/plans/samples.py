@@ -113,11 +113,11 @@ def covered_subset(spark, d):
     return S.covered_subset(table(spark, d, "part"), "p_partkey", "p_brand", "p_size", 2000, "v6")
 
 
-@query("""WITH a AS (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL), b AS (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 AND l_tax < 0.08 GROUP BY ALL)
+@query("""WITH a AS (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_tax < 0.08 GROUP BY ALL)
 SELECT l_orderkey, CAST(sum(coalesce(a.n, 0)) AS BIGINT) AS n_left, CAST(sum(coalesce(b.n, 0)) AS BIGINT) AS n_right, bool_and(coalesce(a.n, 0) = coalesce(b.n, 0)) AS same_facts
 FROM a FULL JOIN b USING (l_orderkey, l_suppkey) GROUP BY l_orderkey""")
 def paired_arms(spark, d):
-    rows = table(spark, d, "lineitem").where("l_linenumber <= 2")
+    rows = table(spark, d, "lineitem")
     return X.arm_pairs(rows, rows.where("l_tax < 0.08"), "l_orderkey", "l_suppkey")
 
 
@@ -150,8 +150,8 @@ def answer_segments(spark, d):
     return X.answer_segments(table(spark, d, "conversations").where("role = 'assistant'"), "text", "conv_id", "turn")
 
 
-@query("""WITH o AS (SELECT l_suppkey, l_partkey FROM lineitem), s AS (SELECT p_partkey AS l_partkey, p_size AS width, p_size + 1 AS height FROM part WHERE p_partkey > 20)
+@query("""WITH o AS (SELECT l_suppkey, l_partkey FROM lineitem), s AS (SELECT p_partkey AS l_partkey, p_size AS width, p_size + 1 AS height FROM part WHERE p_size > 1)
 SELECT l_suppkey, count(*) AS n_images, CASE WHEN count(*) = count(width) THEN CAST(sum(width * height) AS BIGINT) END AS pixels FROM o LEFT JOIN s USING (l_partkey) GROUP BY 1""")
 def pixel_exposure(spark, d):
-    sizes = table(spark, d, "part").where("p_partkey > 20").selectExpr("p_partkey as l_partkey", "p_size as width", "p_size + 1 as height")
+    sizes = table(spark, d, "part").where("p_size > 1").selectExpr("p_partkey as l_partkey", "p_size as width", "p_size + 1 as height")
     return X.pixel_exposure(table(spark, d, "lineitem"), sizes, "l_suppkey", "l_partkey")

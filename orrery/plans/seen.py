@@ -85,7 +85,7 @@ def view_pair_overlap_classes(spark, d):
     return V.view_pair_overlap(sightings(spark, d))
 
 
-@query(f"""{_S}, v AS (SELECT episode, step, array_agg(entity) AS e FROM sightings WHERE step < 8 GROUP BY ALL)
+@query(f"""{_S}, v AS (SELECT episode, step, array_agg(entity) AS e FROM sightings GROUP BY ALL)
 SELECT a.episode, a.step || ',' || b.step || ',' || c.step AS steps, CAST(len(list_intersect(list_intersect(a.e, b.e), c.e)) AS INT) AS n_shared
 FROM v a JOIN v b ON a.episode = b.episode AND a.step < b.step JOIN v c ON c.episode = b.episode AND b.step < c.step""")
 def view_subsets(spark, d):
