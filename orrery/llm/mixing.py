@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms, in DataFrame functions alone.
 
-Documents are numbered by 30 bits of a hash of their id. For each source,
+Documents are numbered by 30 bits of the MD5 of their id. For each source,
 sizes are summed by the first 10 bits; the bucket where the budget is passed
 is refined by the next 10 bits, and so once more. All documents below the
 threshold that this gives are taken: no sort, and every run agrees. Only sums
@@ -54,11 +54,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     size: words of the text (null: 0). copies: 0, 1 or 2 of the document are
     taken, taken = copies * size. Each source takes whole passes of its
     documents and one more of those below a hash threshold. Rows of equal id
-    are decided alike; a null id hashes like any other value. Sources of no
+    are decided alike; a null id has number 0. Sources of no
     words have target 0. Further columns are not looked at; an empty table
     gives an empty result.
     """
-    number = F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`").cast("long")), 64 - LEVELS * BITS)
+    digest = F.md5(F.col(f"`{id_col}`").cast("string").cast("binary"))
+    number = F.coalesce(F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), 32 - LEVELS * BITS), F.lit(0).cast("long"))
     sized = docs.select(
         F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("orrery_row_key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), number.alias("number"),
@@ -107,3 +108,27 @@ def mixing_stage(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
     keyed = docs.select(*own, F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("orrery_row_key"))
     return keyed.join(chosen, "orrery_row_key").drop("orrery_row_key")
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    coalesce(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) // 4, 0) AS num FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
+w AS (SELECT source, source_size, ([3, 1, 2])[nth % 3 + 1] AS weight, CAST(2 * source_size AS DOUBLE) AS cap FROM s),
+l AS (
+  SELECT *, cap / weight AS rate,
+    (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (
+  SELECT source, source_size, least(cap, coalesce((SELECT level FROM l WHERE level * weight <= cap ORDER BY rate, level LIMIT 1) * weight, cap)) AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(least(floor(target / source_size), 2) AS BIGINT) ELSE 0 END AS passes FROM t),
+q AS (SELECT *, greatest(target - passes * source_size, 0) AS want FROM p),
+c AS (SELECT source, num, n, sum(n) OVER (PARTITION BY source ORDER BY num) AS until FROM (SELECT source, num, sum(size) AS n FROM d GROUP BY ALL)),
+b AS (
+  SELECT q.source, num + CASE WHEN want > 0 AND until - want < want - (until - n) THEN 1 ELSE 0 END AS threshold
+  FROM q JOIN c ON c.source IS NOT DISTINCT FROM q.source WHERE until > want
+  QUALIFY row_number() OVER (PARTITION BY q.source ORDER BY num) = 1)
+SELECT doc_id, size, source_size, target, size * (passes + CASE WHEN passes < 2 AND num < coalesce(threshold, 0) THEN 1 ELSE 0 END) AS taken
+FROM d JOIN q ON q.source IS NOT DISTINCT FROM d.source LEFT JOIN b ON b.source IS NOT DISTINCT FROM d.source
+"""

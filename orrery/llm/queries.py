@@ -8,10 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat_format, licenses, mixing, quality_rules, warc
+from orrery.llm import chat_format, licenses, mixing, quality_rules, substring_dedup, warc
 from orrery.llm.decontamination import contaminated
 from orrery.llm.simhash import near_groups
-from orrery.llm.substring_dedup import dedup_substrings
 from orrery.llm.token_counts import token_counts
 from orrery.llm.toxicity import fit_on_labels, toxicity
 from orrery.plans.durable import checkpoint_dir
@@ -22,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +81,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": substring_dedup.ORACLE_SQL,
         "op3_warc": warc.ORACLE_SQL,
         "op4_chat_format": chat_format.ORACLE_SQL,
+        "op5_mixing": mixing.ORACLE_SQL,
         "op7_license_scan": licenses.oracle_sql(),
         "op10_quality_rules": quality_rules.ORACLE_SQL,
     }
