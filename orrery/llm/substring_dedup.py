@@ -30,11 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.words import WordHashes, hashed_words, raw, run_spans, runs, second_hashes, slices, window_hashes
+from orrery.llm.words import WordHashes, chunks, hashed_words, raw, run_spans, runs, second_hashes, slices, window_hashes
 from orrery.plans.durable import bounded_batches, shuffle_partitions
 
 WINDOW = 20
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: Stands for a null id in the order of documents: after all others.
 LAST = (1 << 63) - 1
 _KEY = "orrery_row_key"
@@ -81,13 +81,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def substring_dedup_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Docs with the repeated words cut out of the texts; no row goes."""
-    out = dedup_substrings(docs, id_col, text_col)
-    changed = F.col("n_removed") > 0
-    picked = {c: F.col(f"`{c}`") for c in docs.columns}
+    """Docs with the repeated words cut out of the texts, and n_chars, where it is a column, counted anew for them; no row goes."""
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    out = dedup_substrings(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()]), at[id_col], at[text_col])
+    picked = {c: F.col(n) for c, n in at.items()}
     picked[text_col] = F.col("clean_text")
     if "n_chars" in picked:
-        picked["n_chars"] = F.when(changed, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        picked["n_chars"] = F.when(F.col("n_removed") > 0, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(picked["n_chars"])
     return out.select(*[c.alias(n) for n, c in picked.items()])
 
 
@@ -198,7 +198,7 @@ def _found(rows: list[tuple[int, bytes]]) -> pa.Table:
 def _anchors(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in slices(batches, "text", CHUNK_BYTES):
+        for batch in chunks(batches, "text", CHUNK_BYTES):
             keys = np.array(batch.column(_KEY).to_pylist(), np.int64)
             hashes, ends = hashed_words(raw(batch.column("text")), cache)
             h = window_hashes(hashes, width)
@@ -277,7 +277,7 @@ def _extended(id_col: str, text_col: str, window: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in slices(batches, text_col, CHUNK_BYTES):
+        for batch in chunks(batches, text_col, CHUNK_BYTES):
             batch = batch.filter(pc.is_valid(batch.column("orrery_places")))
             ids = np.array([LAST if x is None else x for x in batch.column(id_col).to_pylist()], np.int64)
             keys = np.array(batch.column(_KEY).to_pylist(), np.int64)
@@ -355,3 +355,16 @@ def _without(data: bytes, words: list[bytes], spans: list[dict]) -> bytes:
         last = begins[s["end"]]
     out.append(data[last:])
     return b"".join(out)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 19], ' ')) AS key FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20)),
+later AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS words
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -31,6 +31,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int) -> Ite
             yield batch.slice(start, batch.num_rows - start)
 
 
+def chunks(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches filled up to about so many bytes of text, across Arrow's batches."""
+    held, size = [], 0
+    for part in slices(batches, text, most_bytes):
+        n = sum(text_bytes(part.column(text)))
+        if held and size + n > most_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(part)
+        size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def text_bytes(column: pa.Array) -> list[int]:
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()
 

@@ -85,8 +85,9 @@ def test_clean_text_keeps_what_is_kept(spark):
 
 
 def test_stage_and_empty_table(spark):
-    docs = spark.createDataFrame([(1, "a " * 50, 100), (2, "b c", 3), (3, None, None)], "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame([(1, "a " * 50, 100, "own"), (2, "b c", 3, "own"), (3, None, None, "own")], "doc_id long, text string, n_chars long, clean_text string")
     out = {r["doc_id"]: r for r in S.substring_dedup_stage(docs).collect()}
+    assert S.substring_dedup_stage(docs).columns == docs.columns and all(r["clean_text"] == "own" for r in out.values())
     assert out[2]["text"] == "b c" and out[2]["n_chars"] == 3 and out[3]["text"] is None
     assert len(out[1]["text"]) == out[1]["n_chars"] < 100
     assert S.dedup_substrings(rows_of(spark, [])).collect() == []
