@@ -394,3 +394,30 @@ class TestReleases:
         reports.write_text(df, text, str(tmp_path / "r"))
         assert spark.read.text(str(tmp_path / "r"), wholetext=True).first()[0].strip() == text.strip()
         assert '"name":"share"' in reports.schemas({"t": df})["t"]
+
+
+class TestClaims:
+    def test_sheets_and_texts(self, spark):
+        from orrery.operators import claims as C
+
+        rows = spark.createDataFrame([(1, 2, "left_of", 1.5, 2.349), (3, 4, "above", 2.0, 10.0)], "subject long, reference long, relation string, margin double, distance double")
+        sheets = C.sheet(C.relation_claims(rows, F.array(F.lit("v1"), F.lit("v0")))).cache()
+        held = {r["question_id"]: (r["claims"], r["views"]) for r in sheets.collect()}
+        assert held["1:2:left_of"] == ({"relation": "left_of", "margin_m": "1.5", "distance_m": "2.35"}, ["v0", "v1"]) and held["3:4:above"][0]["margin_m"] == "2"
+        texts = spark.createDataFrame([("1:2:left_of", "It is left of it by 1.5 m."), ("3:4:above", "It is behind, 3 m away."), ("x", "?")], "question_id string, text string")
+        assert {tuple(r) for r in C.text_faults(texts, sheets).collect()} == {("3:4:above", "unlisted_number", "3"), ("3:4:above", "unclaimed_direction", "behind"), ("x", "no_sheet", "")}
+        exposed = spark.createDataFrame([("1:2:left_of", "v0"), ("1:2:left_of", "v1"), ("3:4:above", "v0")], "question_id string, view string")
+        assert [tuple(r) for r in C.unexposed(sheets, exposed).collect()] == [("3:4:above", "v1")]
+        hidden = {r["question_id"]: r["slots"] for r in C.blueprint(sheets, "{{margin_m}}", ("relation",)).collect()}
+        assert "relation" not in hidden["3:4:above"] and hidden["3:4:above"]["distance_m"] == "10"
+
+    def test_families(self, spark):
+        from orrery.operators import claims as C
+
+        f = spark.createDataFrame([("g", 1), ("g", 2), ("h", 3), (None, 4)], "g string, f long")
+        assert sorted(map(tuple, C.related(f, "g", "f").collect())) == [(1, 2), (2, 1)]
+        out = spark.createDataFrame([(2,), (4,)], "f long")
+        assert sorted(r["f"] for r in C.excluded_families(f, out, "g", "f").collect()) == [1, 2, 4]
+        q = spark.createDataFrame([("b", "a")], "x string, y string")
+        p = spark.createDataFrame([("a", "b", "p2"), ("b", "a", "p1")], "x string, y string, proof string")
+        assert C.linked_by_pair(q, p, "x", "y").first()["proof"] == "p1"
