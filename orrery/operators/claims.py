@@ -14,8 +14,8 @@ from orrery.functions import text as T
 
 def number(value: Column, digits: int = 2) -> Column:
     """A measure as it may be said: so many digits at most, no trailing zeros."""
-    said = F.format_number(value, f"0.{'#' * digits}")
-    return F.regexp_replace(said, "[.]$", "")
+    said = F.round(value, digits).cast(f"decimal(20, {digits})").cast("string")
+    return F.regexp_replace(F.regexp_replace(said, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
 def relation_claims(rows: DataFrame, evidence: Column) -> DataFrame:
