@@ -66,7 +66,7 @@ def multiset_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> D
 
 def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Ids of one side alone: (id, side)."""
-    only_left = left.select(key).exceptAll(left.select(key).intersectAll(right.select(key))).distinct().join(right.select(key).distinct(), key, "left_anti")
+    only_left = left.select(key).distinct().join(right.select(key).distinct(), key, "left_anti")
     only_right = right.select(key).distinct().join(left.select(key).distinct(), key, "left_anti")
     return only_left.select(F.col(key).alias("id"), F.lit("left").alias("side")).unionByName(only_right.select(F.col(key).alias("id"), F.lit("right").alias("side")))
 
