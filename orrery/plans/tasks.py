@@ -143,6 +143,9 @@ def report_replay(spark, d):
     return V.same_rows(left, table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.lit(5).cast("long").alias("n")))
 
 
-@query()
+_PROGRAMS = ", ".join("('" + "', '".join(p) + "')" for p in Q.PROGRAMS)
+
+
+@query(rf"""SELECT *, array_to_string(regexp_extract_all(signature, '(?:^|->|\+)([GFBMRPV])', 1), '') AS atoms FROM (VALUES {_PROGRAMS}) AS p(task_type, program_id, signature)""")
 def task_programs(spark, d):
     return Q.programs(spark).withColumn("atoms", F.array_join(Q.program_atoms(F.col("signature")), ""))
