@@ -65,7 +65,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = docs.select(*[F.col(f"`{c}`") for c in names])
     buckets = shuffle_partitions(docs.sparkSession)
     bounded_batches(docs.sparkSession)
-    keyed = base.withColumn(_KEY, F.xxhash64(f"`{id_col}`", f"`{text_col}`"))
+    # a row's key is its id with 16 bits of its text's hash, which pack far smaller than a hash of both
+    number, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    plain = F.shiftleft(number, 16).bitwiseOR(F.xxhash64(text).bitwiseAND(0xFFFF))
+    keyed = base.withColumn(_KEY, F.when(number.between(0, (1 << 47) - 1), plain).otherwise(F.xxhash64(number, text)))
 
     def gathered(found: DataFrame) -> DataFrame:
         return found.groupBy("bucket").applyInArrow(_gathered, f"{_KEY} long, orrery_places binary")
