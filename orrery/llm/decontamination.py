@@ -3,12 +3,14 @@
 1. Words. Each text becomes the 32-bit hashes of its words (lower case, outer
    punctuation off), written once; passages of 48 words that hold each of
    FEATURES hashed terms are counted over all texts.
-2. Space. A randomised SVD of TF-IDF rows (all benchmark items and a bounded
-   sample of corpus passages) gives RANK latent dimensions. Tasks project
-   their rows on a random matrix and sum two small products, from which the
-   driver takes the basis: its size is set by FEATURES and RANK alone.
+2. Spaces. A randomised SVD of TF-IDF rows (at most SPACE_ROWS item passages
+   and a bounded sample of corpus passages) gives RANK latent dimensions; more
+   items make more spaces, so each holds its items whatever their number.
+   Tasks project the sample on a random matrix and sum two small products,
+   once; the driver adds those of a space's items and takes its basis, whose
+   size is set by FEATURES and RANK alone.
 3. Candidates. Every window of 48 words, 16 apart, of every text is projected
-   and compared with all items, in blocks; the cosine is taken against the
+   into every space and compared with its items, in blocks; the cosine is taken against the
    whole TF-IDF length of the window.
 4. Checks. The longest common subsequence of item and surroundings, in words,
    must hold most of the item; a weaker one must hold its answer too.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +39,14 @@ WINDOW = BLOCK * BLOCKS
 #: Corpus passages that the basis is fitted on, besides all items.
 SAMPLE = 10_000
 ITEM_WEIGHT = 4.0
+#: Item passages that one space of RANK dimensions holds, and spaces (8 MB each) that a pass over the corpus compares with.
+SPACE_ROWS, SPACES = 256, 8
 ITEM_BLOCK = 1024
 #: Least cosine of a candidate with an item as long as a window; a shorter item fills less of it, so less by the root of its share.
 COSINE = 0.34
 #: Share of an item's words, in order, that marks a copy; or, with the answer, a paraphrase.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.55, 0.6
-#: Items with fewer words are too common to search for.
+#: Items with fewer words are too common to search for (said in the README).
 MIN_ITEM_WORDS = 8
 #: Words at the end of an item that stand for its answer where none is given.
 ANSWER_WORDS = 8
@@ -67,12 +72,25 @@ def word_hashes(text: bytes, cache: dict | None = None) -> np.ndarray:
     return np.fromiter(map((_Hashes() if cache is None else cache).__getitem__, words), np.uint32, len(words))
 
 
+@dataclass
+class Space:
+    """A basis and the item passages in it: the number of the item, its least cosine, its latent row."""
+
+    basis: np.ndarray
+    item: np.ndarray
+    least: np.ndarray
+    latent: np.ndarray
+
+
 @dataclass
 class Index:
     items: list[tuple[int, np.ndarray, np.ndarray]]
     idf: np.ndarray
-    basis: np.ndarray
-    latent: np.ndarray
+    spaces: list[Space]
+
+
+def passages(item: np.ndarray) -> list[np.ndarray]:
+    return [item]
 
 
 def passage_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,14 +144,13 @@ def _random_matrix() -> np.ndarray:
     return np.random.default_rng(7).standard_normal((FEATURES, RANK + OVERSAMPLE), np.float32)
 
 
-def fit_index(words: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]]) -> Index:
-    """The latent space of the corpus words (see passage_words) and the items (id, word hashes, answer hashes)."""
-    spark = words.sparkSession
+def fit_indexes(words: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]]) -> list[Index]:
+    """The latent spaces of the corpus words (see passage_words) and the items (id, word hashes, answer hashes), one index for each pass over the corpus."""
     tasks = words.where("kind = 1")
-    passages = tasks.agg(F.sum("doc_id")).first()[0] or 0
+    count = tasks.agg(F.sum("doc_id")).first()[0] or 0
     df = _sums(tasks.select(F.col("row_key").alias("part"), F.lit(0).cast("long").alias("block"), "data"), np.int64)
-    idf = np.log((passages + 1.0) / ((df if len(df) else np.zeros(FEATURES)) + 1.0)).astype(np.float32) + 0.05
-    below = min(1.0, SAMPLE / max(1, passages))
+    idf = np.log((count + 1.0) / ((df if len(df) else np.zeros(FEATURES)) + 1.0)).astype(np.float32) + 0.05
+    below = min(1.0, SAMPLE / max(1, count))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,53 +160,79 @@ def fit_index(words: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]])
                 n = -(-len(hashes) // WINDOW)
                 place = (np.arange(n, dtype=np.uint64) + np.uint64(key & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
                 out += [hashes[i * WINDOW : (i + 1) * WINDOW].tobytes() for i in np.flatnonzero((place ^ place >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40) < below * (1 << 24))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(out))), pa.array(out, pa.binary())], names=["weight", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["data"])
 
-    sample = words.where("kind = 0").select("row_key", "data").mapInArrow(sampled, "weight double, data binary")
-    own = spark.createDataFrame([(ITEM_WEIGHT, h.tobytes()) for _, h, _ in items] or [], "weight double, data binary")
+    sample = words.where("kind = 0").select("row_key", "data").mapInArrow(sampled, "data binary")
     size = RANK + OVERSAMPLE
 
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(rows: Iterator[np.ndarray], weight: float) -> tuple[np.ndarray, np.ndarray]:
         omega = _random_matrix()
         gram, back = np.zeros((size, size), np.float32), np.zeros((FEATURES, size), np.float32)
-        for batch in batches:
-            for weight, data in zip(batch.column("weight").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                terms, w = _weights(np.frombuffer(data, np.uint32), idf)
-                w = (weight * w).astype(np.float32)
-                y = w @ omega[terms]
-                gram += np.outer(y, y)
-                back[terms] += np.outer(w, y)
+        for hashes in rows:
+            terms, w = _weights(hashes, idf)
+            w = (weight * w).astype(np.float32)
+            y = w @ omega[terms]
+            gram += np.outer(y, y)
+            back[terms] += np.outer(w, y)
+        return gram, back
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, back = summed((np.frombuffer(x, np.uint32) for batch in batches for x in batch.column("data").to_pylist()), 1.0)
         blocks = [gram, *np.split(back, SUM_BLOCKS)]
         part = pa.array([TaskContext.get().partitionId()] * len(blocks), pa.int64())
         data = pa.array([x.tobytes() for x in blocks], pa.binary())
         yield pa.RecordBatch.from_arrays([part, pa.array(range(len(blocks)), pa.int64()), data], names=["part", "block", "data"])
 
+    passes, full = [], SPACES * SPACE_ROWS
+    for i, (_, hashes, _) in enumerate(items):
+        rows = [(i, p) for p in passages(hashes)]
+        if passes and len(passes[-1]) + len(rows) <= full:
+            passes[-1] += rows
+        else:
+            passes.append(rows)
+    if not passes:
+        return [Index(items, idf, [])]
     # the sample is bounded, so a few tasks do
-    both = _sums(sample.unionAll(own).repartition(8).mapInArrow(products, "part long, block long, data binary"), np.float32).astype(np.float64)
-    gram, back = both[: size * size].reshape(size, size), both[size * size :].reshape(FEATURES, size)
+    both = _sums(sample.repartition(8).mapInArrow(products, "part long, block long, data binary"), np.float32).astype(np.float64)
+    if not len(both):
+        both = np.zeros(size * size + FEATURES * size)
+
+    def space(mine: list[tuple[int, np.ndarray]]) -> Space:
+        gram, back = summed((p for _, p in mine), ITEM_WEIGHT)
+        basis = _basis(both[: size * size].reshape(size, size) + gram, both[size * size :].reshape(FEATURES, size) + back)
+        latent = np.zeros((len(mine), basis.shape[1]), np.float32)
+        for i, (_, hashes) in enumerate(mine):
+            terms, w = _weights(hashes, idf)
+            latent[i] = w @ basis[terms]
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        least = COSINE * np.sqrt(np.minimum(1, np.array([len(p) for _, p in mine]) / WINDOW))
+        return Space(basis, np.array([i for i, _ in mine]), least, latent)
+
+    out = []
+    for rows in passes:
+        parts = np.array_split(np.arange(len(rows)), -(-len(rows) // SPACE_ROWS))
+        out.append(Index(items, idf, [space([rows[i] for i in part.tolist()]) for part in parts]))
+    return out
+
+
+def _basis(gram: np.ndarray, back: np.ndarray) -> np.ndarray:
     values, vectors = np.linalg.eigh(gram)
     good = values > max(values.max(), 1e-12) * 1e-6
     projected = back @ (vectors[:, good] / np.sqrt(values[good]))
     inner, turn = np.linalg.eigh(projected.T @ projected)
     top = np.argsort(-inner)[:RANK]
     top = top[inner[top] > 1e-9]
-    basis = (projected @ (turn[:, top] / np.sqrt(inner[top]))).astype(np.float32)
-    latent = np.zeros((len(items), basis.shape[1]), np.float32)
-    for i, (_, hashes, _) in enumerate(items):
-        terms, w = _weights(hashes, idf)
-        latent[i] = w @ basis[terms]
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Index(items, idf, basis, latent)
+    return (projected @ (turn[:, top] / np.sqrt(inner[top]))).astype(np.float32)
 
 
-def window_candidates(index: Index, table: np.ndarray, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
-    """(text, window, item) where the cosine reaches the item's least one, in order.
+def window_candidates(index: Index, tables: list[np.ndarray], texts: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    """(text, window, item) where the cosine reaches the least one of a passage of the item.
 
-    table: the weighted basis of each term, and zeros for the filling after a
-    text's last word. Repeated terms count together within a block, for a
+    tables: for each space, the weighted basis of each term, and zeros for the
+    filling after a text's last word. Repeated terms count together within a block, for a
     length that is never too long, so no window is missed.
     """
-    if not texts or not len(index.items):
+    if not texts or not index.spaces:
         return
     sizes = np.array([max(BLOCKS, -(-len(t) // BLOCK)) for t in texts])
     begin = np.cumsum(sizes) - sizes
@@ -201,18 +244,19 @@ def window_candidates(index: Index, table: np.ndarray, texts: list[np.ndarray])
     length = squares.sum(1)
     for s in range(1, BLOCK):
         length += 2 * np.where(terms[:, s:] == terms[:, :-s], squares[:, s:], 0).sum(1)
-    blocks = np.concatenate([table[terms[i : i + PROJECTED]].sum(1) for i in range(0, len(terms), PROJECTED)])
     count = len(terms) - BLOCKS + 1
-    z = sum(blocks[k : k + count] for k in range(BLOCKS))
-    z /= np.sqrt(np.maximum(sum(length[k : k + count] for k in range(BLOCKS)), 1e-9))[:, None]
+    root = np.sqrt(np.maximum(sum(length[k : k + count] for k in range(BLOCKS)), 1e-9))[:, None]
     text = np.repeat(np.arange(len(texts)), sizes)
     whole = text[:count] == text[BLOCKS - 1 :]
-    least = COSINE * np.sqrt(np.minimum(1, np.array([len(h) for _, h, _ in index.items]) / WINDOW))
-    for at in range(0, len(index.items), ITEM_BLOCK):
-        for w in range(0, count, PROJECTED):
-            win, item = np.nonzero((z[w : w + PROJECTED] @ index.latent[at : at + ITEM_BLOCK].T >= least[at : at + ITEM_BLOCK]) & whole[w : w + PROJECTED, None])
-            win += w
-            yield from zip(text[win].tolist(), (win - begin[text[win]]).tolist(), (item + at).tolist(), strict=True)
+    for space, table in zip(index.spaces, tables, strict=True):
+        blocks = np.concatenate([table[terms[i : i + PROJECTED]].sum(1) for i in range(0, len(terms), PROJECTED)])
+        z = sum(blocks[k : k + count] for k in range(BLOCKS))
+        z /= root
+        for at in range(0, len(space.item), ITEM_BLOCK):
+            for w in range(0, count, PROJECTED):
+                win, row = np.nonzero((z[w : w + PROJECTED] @ space.latent[at : at + ITEM_BLOCK].T >= space.least[at : at + ITEM_BLOCK]) & whole[w : w + PROJECTED, None])
+                win += w
+                yield from zip(text[win].tolist(), (win - begin[text[win]]).tolist(), space.item[row + at].tolist(), strict=True)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -252,24 +296,17 @@ def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: s
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", answer_col: str | None = None) -> DataFrame:
-    """Rows (orrery_row_key, doc_id, item_id, item_share, answer_share, start_word): a benchmark item that a row of docs holds, where it does best.
-
-    Null and empty texts and items hold nothing. Repeated rows and repeated
-    items are each reported. Texts of any length are searched whole; further
-    columns are not looked at. The benchmark is a query set held in memory.
-    Empty tables give an empty result.
-    """
-    words = cut(passage_words(docs, id_col, text_col))
-    index = fit_index(words, benchmark_items(benchmark, text_col="text", answer_col=answer_col))
-
+def _search(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.vstack([index.basis * index.idf[:, None], np.zeros((1, index.basis.shape[1]), np.float32)])
+        tables = [np.vstack([s.basis * index.idf[:, None], np.zeros((1, s.basis.shape[1]), np.float32)]) for s in index.spaces]
         for batch in slices(batches, "data", CHUNK_BYTES):
             texts = [np.frombuffer(x, np.uint32) for x in batch.column("data").to_pylist()]
             best: dict[tuple[int, int], tuple] = {}
-            for text, window, i in window_candidates(index, table, texts):
+            for text, window, i in window_candidates(index, tables, texts):
                 _, item, answer = index.items[i]
+                share, said, start = best.get((text, i), (0, 0, 0))
+                if share == said == 1 and start >= -window * BLOCK:
+                    continue  # nothing does better than a whole copy that is found earlier
                 if shares := check(item, answer, texts[text], window):
                     best[text, i] = max(best.get((text, i), (0, 0, 0)), (*shares, -window * BLOCK))
             keys, docs_of = batch.column("row_key").to_pylist(), batch.column("doc_id").to_pylist()
@@ -277,7 +314,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names=["orrery_row_key", "doc_id", "item_id", "item_share", "answer_share", "start_word"])
 
-    return words.where("kind = 0").select("row_key", "doc_id", "data").mapInArrow(run, "orrery_row_key long, doc_id long, item_id long, item_share double, answer_share double, start_word long")
+    return run
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", answer_col: str | None = None) -> DataFrame:
+    """Rows (orrery_row_key, doc_id, item_id, item_share, answer_share, start_word): a benchmark item that a row of docs holds, where it does best.
+
+    Null and empty texts and items hold nothing. Repeated rows and repeated
+    items are each reported. Texts of any length are searched whole; further
+    columns are not looked at. The benchmark is a query set held in memory.
+    Empty tables give an empty result.
+    """
+    words = cut(passage_words(docs, id_col, text_col))
+    indexes = fit_indexes(words, benchmark_items(benchmark, text_col="text", answer_col=answer_col))
+
+    texts = words.where("kind = 0").select("row_key", "doc_id", "data")
+    kept = "orrery_row_key long, doc_id long, item_id long, item_share double, answer_share double, start_word long"
+    return reduce(DataFrame.unionAll, [texts.mapInArrow(_search(i), kept) for i in indexes])
 
 
 def decontamination_stage(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
