@@ -8,7 +8,8 @@
    items make more spaces, so each holds its items whatever their number.
    Tasks project the sample on a random matrix and sum two small products,
    once; the driver adds those of a space's items and takes its basis, whose
-   size is set by FEATURES and RANK alone.
+   size is set by FEATURES and RANK alone. Items longer than ONE_PASSAGE are
+   several passages of a window each.
 3. Candidates. Every window of 48 words, 16 apart, of every text is projected
    into every space and compared with its items, in blocks; the cosine is taken against the
    whole TF-IDF length of the window.
@@ -41,6 +42,8 @@ SAMPLE = 10_000
 ITEM_WEIGHT = 4.0
 #: Item passages that one space of RANK dimensions holds, and spaces (8 MB each) that a pass over the corpus compares with.
 SPACE_ROWS, SPACES = 256, 8
+#: An item of more words is indexed as passages of a window each.
+ONE_PASSAGE = WINDOW + BLOCK
 ITEM_BLOCK = 1024
 #: Least cosine of a candidate with an item as long as a window; a shorter item fills less of it, so less by the root of its share.
 COSINE = 0.34
@@ -90,7 +93,10 @@ class Index:
 
 
 def passages(item: np.ndarray) -> list[np.ndarray]:
-    return [item]
+    """The item, or for a long one windows that cover it, the last at its end."""
+    if len(item) <= ONE_PASSAGE:
+        return [item]
+    return [item[a : a + WINDOW] for a in (*range(0, len(item) - WINDOW, WINDOW), len(item) - WINDOW)]
 
 
 def passage_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

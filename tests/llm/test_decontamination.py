@@ -38,3 +38,21 @@ def test_recall_with_thousands_of_items(spark):
     got, want = found(spark, docs, items), brute(docs, items)
     assert len(want) >= 120 and len(got) == len(set(got)) and set(got) <= want
     assert len(want & set(got)) >= 0.9 * len(want)
+
+
+def test_whole_copies_of_long_items(spark):
+    rng = random.Random(7)
+    items = [(j, " ".join(words(n, rng))) for j, n in enumerate((60, 64, 65, 97, 200, 400, 500, 700, 1000, 3000))]
+    docs = []
+    for j, t in items:
+        text = words(150, rng)
+        text[70:70] = t.split()
+        docs += [(j, " ".join(text)), (100 + j, " ".join(words(300, rng)))]
+    assert sorted(found(spark, docs, items)) == [(j, j) for j, _ in items]
+
+
+def test_passages_cover_the_item():
+    for n in (1, 48, D.ONE_PASSAGE, D.ONE_PASSAGE + 1, 96, 97, 1000):
+        item = D.np.arange(n)
+        parts = D.passages(item)
+        assert sorted(set(D.np.concatenate(parts).tolist())) == list(range(n)) and (len(parts) == 1) == (n <= D.ONE_PASSAGE)
