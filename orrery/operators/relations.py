@@ -165,6 +165,41 @@ def flip_proposals(entities: DataFrame, reach: float = 3.0, margin: float = 0.03
     return free.select("target", "anchor", "relation", inverse(F.col("relation")).alias("new_relation"), "new_x", "new_y")
 
 
+def flip_moves(entities: DataFrame, reach: float = 3.0, margin: float = 0.03, cell: float = 6.0) -> DataFrame:
+    """Moves of an object to the other side of a near anchor, along the larger axis, that collide with no third object of the region.
+
+    Every ordered pair of target and anchor is tried, and every obstacle of any
+    size: moved box and obstacle meet in the cells that both cover. Rows
+    (target, anchor, relation, new_relation, new_x, new_y).
+    """
+    cols = ("x", "y", "z", "hx", "hy", "hz")
+    pairs = near_pairs(entities, reach, cols)
+    other = {"a": "b", "b": "a"}
+    ways = [F.struct(*[F.col(f"{s}_{c}").alias(f"{n}_{c}") for n, s in (("t", side), ("o", other[side])) for c in ("id", *cols)]) for side in "ab"]
+    both = pairs.select("region", F.explode(F.array(*ways)).alias("w")).select("region", "w.*")
+    across = F.abs(F.col("t_x") - F.col("o_x")) >= F.abs(F.col("t_y") - F.col("o_y"))
+    moves = both.select(
+        "region", F.col("t_id").alias("target"), F.col("o_id").alias("anchor"),
+        F.when(across, 2 * F.col("o_x") - F.col("t_x")).otherwise(F.col("t_x")).alias("new_x"),
+        F.when(across, F.col("t_y")).otherwise(2 * F.col("o_y") - F.col("t_y")).alias("new_y"),
+        *[F.col(f"t_{c}").alias(c) for c in ("z", "hx", "hy", "hz")],
+        F.when(across, F.when(F.col("t_x") > F.col("o_x"), "right_of").otherwise("left_of")).otherwise(F.when(F.col("t_y") > F.col("o_y"), "in_front_of").otherwise("behind")).alias("relation"),
+    )
+    # twice the margin, so that rounding loses no cell
+    span = lambda at, half: F.sequence(F.floor((at - half - 2 * margin) / cell), F.floor((at + half + 2 * margin) / cell))
+    moved = moves.select("region", "target", "anchor", "new_x", "new_y", "z", "hx", "hy", "hz", F.explode(span(F.col("new_x"), F.col("hx"))).alias("i"))
+    moved = moved.withColumn("j", F.explode(span(F.col("new_y"), F.col("hy"))))
+    at = entities.select(F.col("region").alias("o_region"), F.col("entity_id").alias("o"), *[F.col(c).alias(f"o_{c}") for c in cols])
+    at = at.withColumn("oi", F.explode(span(F.col("o_x"), F.col("o_hx")))).withColumn("oj", F.explode(span(F.col("o_y"), F.col("o_hy"))))
+    third = (F.col("o") != F.col("target")) & (F.col("o") != F.col("anchor"))
+    hit = F.col("region").eqNullSafe(F.col("o_region")) & (F.col("i") == F.col("oi")) & (F.col("j") == F.col("oj")) & third
+    here, there = G.vec(F.col("new_x"), F.col("new_y"), F.col("z")), G.vec(*[F.col(f"o_{k}") for k in "xyz"])
+    half, half_o = G.vec(*[F.col(f"h{k}") for k in "xyz"]), G.vec(*[F.col(f"o_h{k}") for k in "xyz"])
+    blocked = moved.join(at, hit & G.aabb_overlap(here, half, there, half_o, margin)).select("target", "anchor").distinct()
+    free = moves.join(blocked, ["target", "anchor"], "left_anti")
+    return free.select("target", "anchor", "relation", inverse(F.col("relation")).alias("new_relation"), "new_x", "new_y")
+
+
 def pair_drift(base: DataFrame, variant: DataFrame, moved: Column) -> DataFrame:
     """Objects of two captures, full outer by id: status (kept, added, removed) and distance moved; `moved` marks those that may."""
     a = base.select(F.col("entity_id"), *[F.col(k).alias(f"a{k}") for k in "xyz"])

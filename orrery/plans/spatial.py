@@ -173,6 +173,25 @@ def relation_flip_proposals(spark, sf_dir):
     return out.select("target", "anchor", "relation", "new_relation", F.round("new_x", 6).alias("new_x"), F.round("new_y", 6).alias("new_y"))
 
 
+@query(f"""
+WITH {ENTITIES_SQL},
+m AS (
+  SELECT a.region, a.entity_id AS target, b.entity_id AS anchor, a.x, a.y, a.z, a.hx, a.hy, a.hz, b.x AS bx, b.y AS by_, abs(a.x - b.x) >= abs(a.y - b.y) AS across
+  FROM entities a JOIN entities b ON a.region IS NOT DISTINCT FROM b.region AND a.entity_id <> b.entity_id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 3.0),
+p AS (SELECT *, CASE WHEN across THEN 2 * bx - x ELSE x END AS nx, CASE WHEN across THEN y ELSE 2 * by_ - y END AS ny FROM m)
+SELECT target, anchor,
+  CASE WHEN across THEN CASE WHEN x > bx THEN 'right_of' ELSE 'left_of' END ELSE CASE WHEN y > by_ THEN 'in_front_of' ELSE 'behind' END END AS relation,
+  CASE WHEN across THEN CASE WHEN x > bx THEN 'left_of' ELSE 'right_of' END ELSE CASE WHEN y > by_ THEN 'behind' ELSE 'in_front_of' END END AS new_relation,
+  round(nx, 6) AS new_x, round(ny, 6) AS new_y
+FROM p WHERE NOT EXISTS (
+  SELECT 1 FROM entities o WHERE o.region IS NOT DISTINCT FROM p.region AND o.entity_id <> p.target AND o.entity_id <> p.anchor
+    AND abs(o.x - p.nx) < o.hx + p.hx + 0.03 AND abs(o.y - p.ny) < o.hy + p.hy + 0.03 AND abs(o.z - p.z) < o.hz + p.hz + 0.03)
+""")
+def relation_flip_moves(spark, sf_dir):
+    out = R.flip_moves(entities(spark, sf_dir))
+    return out.select("target", "anchor", "relation", "new_relation", F.round("new_x", 6).alias("new_x"), F.round("new_y", 6).alias("new_y"))
+
+
 @query("""
 WITH e AS (
   SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) AS d,
