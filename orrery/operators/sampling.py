@@ -123,8 +123,9 @@ def risk_round_robin(rows: DataFrame, stratum: str, risk: str, unit: str, salt:
 def greedy_pairs(candidates: DataFrame, scene: str, subject: str, reference: str, relation: str, order: str, per_relation: int = 2) -> DataFrame:
     """In order within a scene: a pair is used once, in either direction, and a relation at most per_relation times.
 
-    State runs through a scene, so a scene is one group; how many candidates it
-    has is set by the per-relation limit that made them.
+    State runs through a scene, so a scene is one group. Of each relation its
+    first per_relation times the number of relations give the same choice, so
+    callers leave the others out before.
     """
     schema = candidates.schema
 

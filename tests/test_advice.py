@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from orrery import catalogue
 from orrery.operators import relations as R
 
 BOX = "entity_id long, region long, x double, y double, z double, hx double, hy double, hz double"
@@ -21,3 +22,15 @@ def test_flip_moves_try_both_objects_and_see_large_obstacles(spark):
     rows[2] = (3, 0, 30.0, 0.0, 0.0, 26.5, 0.2, 1.0)
     got = {(r["target"], r["anchor"]) for r in R.flip_moves(spark.createDataFrame(rows, BOX)).collect()}
     assert got == {(2, 1), (4, 5), (5, 4)}
+
+
+def test_greedy_pairs_reach_every_region(spark, tmp_path):
+    rows = [(2 * r + k, r, [0.1 * k + 0.0001 * r, 0.0, 0.0, 0.01, 0.01, 0.01]) for r in range(700) for k in range(2)]
+    # in one more region the clearest pairs come first
+    rows += [(5000 + k, 900, [0.03 * k * k, 0.0, 0.0, 0.001, 0.001, 0.001]) for k in range(4)]
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.queries()["greedy_unique_pairs"](spark, str(tmp_path)).collect()
+    assert {r["region"] for r in got} == {*range(700), 900}
+    # gaps: 0-1 0.3, 0-2 1.2, 0-3 2.7, 1-2 0.9, 1-3 2.4, 2-3 1.5
+    clear = sorted(round(r["margin"], 3) for r in got if r["region"] == 900)
+    assert clear == [1.2, 1.5, 2.4, 2.7]
