@@ -97,6 +97,16 @@ def near_duplicates(spark, d):
     return D.near_duplicates(table(spark, d, "pages"), "page_id", "url").withColumn("similarity", F.round("similarity", 9))
 
 
+@query("""WITH t AS (SELECT text, min(conv_id || ':' || turn) AS k FROM conversations WHERE text IS NOT NULL GROUP BY text),
+g AS (SELECT k, unnest(CASE WHEN length(text) = 0 THEN [] WHEN length(text) <= 4 THEN [text] ELSE list_distinct(list_transform(range(1, length(text) - 2), lambda i: substr(text, i, 4))) END) AS gram FROM t),
+s AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.k < b.k GROUP BY ALL)
+SELECT a, b, round(2 * c / (x.n + y.n), 9) AS similarity FROM p JOIN s x ON x.k = a JOIN s y ON y.k = b WHERE 2 * c / (x.n + y.n) >= 0.85""")
+def near_duplicate_turns(spark, d):
+    rows = table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("k"), "text")
+    return D.near_duplicates(rows, "k", "text").withColumn("similarity", F.round("similarity", 9))
+
+
 @query("SELECT conv_id * 1000 + turn AS k, min(conv_id * 1000 + turn) OVER (PARTITION BY text) AS class_id FROM conversations")
 def text_classes(spark, d):
     rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import itertools
+import random
+
 from orrery import catalogue
 from orrery.operators import relations as R
 
@@ -34,3 +37,25 @@ def test_greedy_pairs_reach_every_region(spark, tmp_path):
     # gaps: 0-1 0.3, 0-2 1.2, 0-3 2.7, 1-2 0.9, 1-3 2.4, 2-3 1.5
     clear = sorted(round(r["margin"], 3) for r in got if r["region"] == 900)
     assert clear == [1.2, 1.5, 2.4, 2.7]
+
+
+def test_near_duplicate_turns_against_all_pairs(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(300)]
+    rows = []
+    for c in range(12):
+        base = [rng.choice(words) for _ in range(60)]
+        for t in range(4):
+            copy = list(base)
+            for _ in range(2 * t):
+                copy[rng.randrange(60)] = rng.choice(words)
+            rows.append((c, t, " ".join(copy)))
+    rows += [(50, 0, rows[0][2]), (51, 0, None), (52, 0, "")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["a"], r["b"]) for r in catalogue.queries()["near_duplicate_turns"](spark, str(tmp_path)).collect()}
+    grams = {}
+    for c, t, text in rows:
+        if text and (len(text) > 0) and not any(text == o for o, _ in grams.values()):
+            grams[f"{c}:{t}"] = (text, {text[i : i + 4] for i in range(len(text) - 3)})
+    want = {(a, b) for a, b in itertools.combinations(sorted(grams), 2) if 2 * len(grams[a][1] & grams[b][1]) >= 0.85 * (len(grams[a][1]) + len(grams[b][1]))}
+    assert got == want and 10 < len(want)
