@@ -47,7 +47,7 @@ def inverse(relation: Column) -> Column:
 
 
 def relation_candidates(
-    entities: DataFrame, least: float = 0.3, most: float = 4.5, margin: float = 0.4, most_half: float = 2.5, vertical_reach: float = 1.5, per_relation: int | None = 100
+    entities: DataFrame, least: float = 0.3, most: float = 4.5, margin: float = 0.4, most_half: float = 2.5, vertical_reach: float = 1.5, per_relation: int | None = 100, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Relations that hold clearly between near objects of a region, in both directions.
 
@@ -55,7 +55,7 @@ def relation_candidates(
     relation at most, on the axis that is larger by `margin`; and a vertical
     one if the height difference exceeds the planar distance by `margin`
     within `vertical_reach`. Of each relation the first per_relation by id
-    hash stay (all for None).
+    hash stay (all for None). keep: ("region",) keeps that column.
     """
     d = {k: F.col(f"a_{k}") - F.col(f"b_{k}") for k in "xyz"}
     planar = F.hypot(d["x"], d["y"])
@@ -68,12 +68,12 @@ def relation_candidates(
     )
     tall = F.when((planar <= vertical_reach) & (up >= margin), found(F.when(d["z"] > 0, "above").otherwise("below"), d["z"], up))
     pairs = near_pairs(eligible(entities, most_half=most_half), most).withColumn("distance", apart).where(F.col("distance").between(least, most))
-    pairs = pairs.select("a_id", "b_id", "distance", F.explode(F.array_compact(F.array(flat, tall))).alias("r"))
+    pairs = pairs.select(*keep, "a_id", "b_id", "distance", F.explode(F.array_compact(F.array(flat, tall))).alias("r"))
     ways = F.array(
         F.struct(F.col("a_id").alias("subject"), F.col("b_id").alias("reference"), F.col("r.relation").alias("relation"), F.col("r.delta").alias("delta")),
         F.struct(F.col("b_id").alias("subject"), F.col("a_id").alias("reference"), inverse(F.col("r.relation")).alias("relation"), (-F.col("r.delta")).alias("delta")),
     )
-    both = pairs.select(F.explode(ways).alias("w"), F.col("r.margin").alias("margin"), "distance").select("w.*", "margin", "distance")
+    both = pairs.select(*keep, F.explode(ways).alias("w"), F.col("r.margin").alias("margin"), "distance").select(*keep, "w.*", "margin", "distance")
     return both if per_relation is None else top_per(both, ["relation"], [candidate_id(), F.col("subject"), F.col("reference")], per_relation)
 
 

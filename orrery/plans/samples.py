@@ -89,7 +89,8 @@ def risk_round_robin(spark, d):
 
 @query()
 def greedy_unique_pairs(spark, d):
-    c = R.relation_candidates(entities(spark, d), per_relation=None).join(entities(spark, d).selectExpr("entity_id as subject", "region"), "subject")
+    # with the region at hand, ranks are limited before anything is shuffled
+    c = R.relation_candidates(entities(spark, d), per_relation=None, keep=("region",))
     c = c.withColumn("rank", -F.round("margin", 9)).select("region", "subject", "reference", "relation", "margin", "rank")
     # two of each of six relations: ten pairs at most are taken by the others, so the first twelve of a relation hold its two
     c = R.top_per(c, ["region", "relation"], [F.col("rank"), F.col("subject"), F.col("reference")], 2 * len(R.INVERSE))
