@@ -1,47 +1,67 @@
-"""Toxicity by compression distance: two zstandard dictionaries, window by window.
-
-The ordinary dictionary is trained on ordinary texts. The toxic dictionary
-holds the same and, after it, what stands out in toxic texts, so that a window
-is shorter under it only where it says such things. Lengths saved over a text
-are counted at several thresholds; a logistic curve calibrates the counts. The
-curve is fitted on folds that the dictionaries of the other folds measured.
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, compared window by window.
+
+A window is two words. Each dictionary is trained by zstandard on windows of
+its own class alone. Most of a toxic text is ordinary prose, so the toxic
+dictionary starts from all windows of toxic texts and is trained again, ROUNDS
+times, on those that the dictionaries of other folds find toxic; ordinary
+windows that these find toxic count HARD times when the ordinary dictionary is
+trained again. No word is chosen, only windows, by lengths.
+
+What two dictionaries share by chance differs from fold to fold, so a window
+counts by the least length under two ordinary dictionaries less the greatest
+under two toxic ones. The saved lengths of a text are counted at several
+thresholds; a logistic curve, fitted on texts that the dictionaries of the
+other folds measured, calibrates the counts.
 """
 
 from __future__ import annotations
 
 import math
-import random
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.columns import numbered, others, place, row_key
 from orrery.llm.words import raw, slices
-from orrery.plans.durable import bounded_batches
-
-#: Labelled texts that a model is fitted on, of each class, and the longest of them in characters.
-SAMPLE, SAMPLE_CHARS = 3000, 32_768
-WINDOW, STEP = 32, 24
-BASE_BYTES = 8_192
-STAND_OUT = 100
-LEAST_GAIN = 9.0
-#: Rounds in which ordinary windows that the toxic words explain join both dictionaries, and how many at most.
-ROUNDS, SHARED = 3, 1000
-SAVED = (2, 3, 4, 5, 6, 7, 8, 10)
+from orrery.plans.durable import bounded_batches, cut
+
+#: Labelled texts that a model is fitted on, of each class.
+SAMPLE = 3000
+#: Windows of one such text that dictionaries are trained on, evenly over the whole text (scores and the curve take all windows).
+TEXT_WINDOWS = 512
+FOLDS, ROUNDS, HARD = 3, 3, 5
+WINDOW_WORDS = 2
+#: Longer words are taken in pieces of so many bytes.
+WORD_BYTES = 48
+ORDINARY_BYTES, TOXIC_BYTES = 32_768, 4_096
+#: Size of the first toxic dictionary, trained on all windows of toxic texts.
+FIRST_BYTES = 4 * TOXIC_BYTES
+#: Segment and match length of zstandard's trainer.
+SEGMENT, TRAINED_MATCH = 32, 6
 MATCH = 6
+#: Stands before every window and at the end of every dictionary: a frame's fixed cost is paid on it, not on the words.
+MARK = bytes((*range(1, 9), *range(14, 30)))
+SAVED = (1, 2, 3, 4, 5, 6, 7, 8, 10)
+#: Share of ordinary windows that counts besides those seen, when the threshold of a round is set.
+DOUBT = 1e-4
+REMEMBERED = 200_000
 _TRIM = b".,;:!?|%$#&*()\"'"
 CHUNK_BYTES = 4 << 20
+_DICTIONARIES = "fold int, ordinary binary, toxic binary"
+
+Pair = tuple[bytes, bytes]
 
 
 @dataclass
 class Model:
-    ordinary: bytes = b""
-    toxic: bytes = b""
+    """Ordinary and toxic dictionaries of the folds, and the curve over features(); without weights, a constant."""
+
+    pairs: list[Pair] = field(default_factory=list)
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     weights: np.ndarray | None = None
@@ -49,60 +69,56 @@ class Model:
 
 
 def windows(text: bytes) -> list[bytes]:
-    """Overlapping windows of the text in lower case (ASCII), words one space apart."""
-    flat = b" %b " % b" ".join(text.lower().split())
-    return [flat[i : i + WINDOW] for i in range(0, max(1, len(flat) - WINDOW + STEP), STEP)]
+    """The words of the text in lower case (ASCII), outer punctuation off, two by two; a text without any is one blank window."""
+    words = [w for w in (x.strip(_TRIM) for x in text.lower().split()) if w]
+    if any(len(w) > WORD_BYTES for w in words):
+        words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
+    return [b"  %b  " % b"  ".join(words[i : i + WINDOW_WORDS]) for i in range(0, max(1, len(words)), WINDOW_WORDS)]
 
 
-def _compressor(content: bytes):
+def compressor(content: bytes) -> Callable[[bytes], bytes]:
     params = zstandard.ZstdCompressionParameters.from_level(
-        1, min_match=MATCH, strategy=zstandard.STRATEGY_FAST, window_log=17, write_content_size=0, write_checksum=0, write_dict_id=0, hash_log=18, format=zstandard.FORMAT_ZSTD1_MAGICLESS
-    )
-    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress
+        1, min_match=MATCH, strategy=zstandard.STRATEGY_BTOPT, search_log=2, hash_log=18, chain_log=17, target_length=64, window_log=17,
+        write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+    )
+    held = zstandard.ZstdCompressionDict(content + MARK, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress
 
 
-def saved_lengths(ordinary, toxic, text: bytes) -> np.ndarray:
-    """For each window, how many bytes shorter it is under the toxic dictionary."""
-    return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)], np.int64)
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The content of a dictionary that zstandard trains on the samples; where they are too few to train on, themselves."""
+    order = sorted(range(len(samples)), key=lambda i: (i * 0x9E3779B97F4A7C15 & (1 << 64) - 1, i))
+    try:
+        return zstandard.train_dictionary(size + 1024, [samples[i] for i in order], k=SEGMENT, d=TRAINED_MATCH).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
-def features(saved: np.ndarray) -> list[float]:
-    n = len(saved)
-    counts = [int((saved >= k).sum()) for k in SAVED]
-    return [*map(math.log1p, counts), *[c / n for c in counts], float(saved.max()), float(saved.mean()), math.log(n)]
+def measure(pairs: list[Pair]) -> Callable[[bytes], int]:
+    """For a window, the bytes that every toxic dictionary saves over every ordinary one, or 0."""
+    made = [(compressor(o), compressor(t)) for o, t in pairs]
+    known: dict[bytes, int] = {}
 
+    def saved(window: bytes) -> int:
+        if (n := known.get(window)) is not None:
+            return n
+        marked, least, most = MARK + window, 1 << 30, 0
+        for ordinary, toxic in made:
+            least, most = min(least, len(ordinary(marked))), max(most, len(toxic(marked)))
+            if least <= most:
+                break
+        if len(known) >= REMEMBERED:
+            known.clear()
+        known[window] = n = max(0, least - most)
+        return n
 
-def _words(text: bytes) -> list[bytes]:
-    return [w.strip(_TRIM) for w in text.lower().split()]
+    return saved
 
 
-def train_dictionaries(texts: list[bytes], labels: list[int]) -> tuple[bytes, bytes]:
-    """The ordinary and the toxic dictionary."""
-    split = [_words(t) for t in texts]
-    plain = [b" %b " % b" ".join(ws[i : i + 12]) for ws, y in zip(split, labels, strict=True) if not y for i in range(0, len(ws), 12)]
-    random.Random(0).shuffle(plain)
-    plain = plain[:60_000]
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, plain, k=64, d=6).as_bytes()[1024:]
-    except zstandard.ZstdError:  # too few samples to train on: they are the dictionary themselves
-        base = b"".join(plain)[-BASE_BYTES:]
-    toxic, ordinary = Counter(), Counter()
-    for ws, y in zip(split, labels, strict=True):
-        (toxic if y else ordinary).update(set(ws))
-    share = sum(labels) / max(1, len(labels))
-    gain = {}
-    for w, c in toxic.items():
-        all_of = c + ordinary[w]
-        if len(w) > 2 and c >= 2 and c > share * all_of:
-            gain[w] = c * math.log(c / (share * all_of)) + (ordinary[w] * math.log(ordinary[w] / ((1 - share) * all_of)) if ordinary[w] else 0)
-    best = sorted((w for w in gain if gain[w] >= LEAST_GAIN), key=lambda w: (gain[w], w))[-STAND_OUT:]
-    tail = b"".join(b" " + w for w in best) + b" "
-    # what ordinary text has in common with the toxic words belongs to both
-    for _ in range(ROUNDS):
-        short, long = _compressor(base or b" "), _compressor(base + tail)
-        shared = {w: None for t, y in zip(texts, labels, strict=True) if not y for w in windows(t) if len(short(w)) - len(long(w)) >= SAVED[0]}
-        base = b" ".join(list(shared)[:SHARED]) + b" " + base
-    return base or b" ", base + tail
+def features(saved: list[int]) -> list[float]:
+    n, of = len(saved), np.bincount(np.minimum(saved, SAVED[-1]), minlength=SAVED[-1] + 1)
+    counts = [int(of[k:].sum()) for k in SAVED]
+    return [*map(math.log1p, counts), *[c / n for c in counts], float(max(saved)), sum(saved) / n, math.log(n)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -115,78 +131,170 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
     return b
 
 
-def fit(texts: list[bytes], labels: list[int]) -> Model:
-    """A model; of labels of one kind only, or none, a constant."""
-    if len(set(labels)) < 2:
-        return Model(prior=float(labels[0]) if labels else 0.0)
-    x = np.zeros((len(texts), 2 * len(SAVED) + 3))
-    for fold in range(2):
-        train = [i for i in range(len(texts)) if i % 2 != fold]
-        ordinary, toxic = map(_compressor, train_dictionaries([texts[i] for i in train], [labels[i] for i in train]))
-        for i in range(fold, len(texts), 2):
-            x[i] = features(saved_lengths(ordinary, toxic, texts[i]))
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    return Model(*train_dictionaries(texts, labels), mean, scale, _logistic((x - mean) / scale, np.array(labels)))
-
-
-def scorer(model: Model):
-    """Text to score."""
+def scorer(model: Model) -> Callable[[bytes], float]:
+    """Text to score, with the dictionaries of two folds, as when the curve was fitted."""
     if model.weights is None:
         return lambda text: model.prior
-    ordinary, toxic = _compressor(model.ordinary), _compressor(model.toxic)
+    saved = measure(model.pairs[: FOLDS - 1])
 
     def score(text: bytes) -> float:
-        x = (np.array(features(saved_lengths(ordinary, toxic, text))) - model.mean) / model.scale
+        x = (np.array(features([saved(w) for w in windows(text)])) - model.mean) / model.scale
         return float(1 / (1 + np.exp(-np.clip(model.weights[0] + x @ model.weights[1:], -30, 30))))
 
     return score
 
 
-def held_out(id_col):
+def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
+    """Rows (k, fold, y, text): of each class at most `sample` different labelled rows that are not held out, the first by hash."""
+    known = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y")).where("i is not null and y in (0, 1)").where(~held_out(F.col("i"))).distinct()
+    rows = numbered(docs).select(F.col(place(docs, id_col)).alias("i"), F.col(place(docs, text_col)).alias("text")).where("i is not null and text is not null")
+    keyed = rows.withColumn("k", row_key("i", "text"))
+    keys = keyed.select("i", "k").distinct().join(known, "i").select("k", "y")
+    picked = [keys.where(F.col("y") == y).orderBy("k").limit(sample) for y in (0, 1)]
+    # at most 2 * sample keys of 16 bytes
+    found = keyed.join(F.broadcast(picked[0].unionAll(picked[1])), "k").dropDuplicates(["k", "y"])
+    return found.select("k", F.pmod(F.xxhash64("k"), F.lit(FOLDS)).cast("int").alias("fold"), "y", "text")
+
+
+def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", CHUNK_BYTES):
+        data = []
+        for text in raw(batch.column("text")):
+            all_of = windows(text)
+            n = min(len(all_of), TEXT_WINDOWS)
+            data.append(b"\n".join(all_of[i * len(all_of) // n] for i in range(n)))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("k", "fold", "y")], pa.array(data, pa.binary())], names=["k", "fold", "y", "data"])
+
+
+def _measured(pairs: dict[int, Pair]):
+    """Adds to the windows of each text how many bytes each saves under the dictionaries of the other folds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = {f: measure([p for g, p in sorted(pairs.items()) if g != f]) for f in range(FOLDS)}
+        for batch in batches:
+            saved = [bytes(min(of[f](w), 255) for w in data.split(b"\n")) for f, data in zip(batch.column("fold").to_pylist(), batch.column("data").to_pylist(), strict=True)]
+            yield batch.append_column("saved", pa.array(saved, pa.binary()))
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((2, 256), np.int64)
+    for batch in batches:
+        for y, saved in zip(batch.column("y").to_pylist(), batch.column("saved").to_pylist(), strict=True):
+            total[y] += np.bincount(np.frombuffer(saved, np.uint8), minlength=256)
+    y, n = np.nonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int32()), pa.array(total[y, n])], names=["y", "saved", "n"])
+
+
+def _threshold(measured: DataFrame) -> int:
+    """The saved bytes from where toxic windows stand out most from ordinary ones."""
+    counts = np.zeros((2, 256))
+    for r in measured.select("y", "saved").mapInArrow(_counted, "y int, saved int, n long").groupBy("y", "saved").agg(F.sum("n").alias("n")).collect():
+        counts[r["y"], r["saved"]] = r["n"]
+    above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] / np.maximum(counts.sum(1, keepdims=True), 1)
+    return 1 + int(np.argmax(((above[1] - above[0]) / np.sqrt(above[0] + DOUBT))[1:12]))
+
+
+def _train(least: int | None, before: dict[int, Pair]):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        fold = key[0].as_py()
+        rows = sorted(table.to_pylist(), key=lambda r: (r["k"], r["y"]))
+        ordinary, toxic = [], []
+        for r in rows:
+            found = r["data"].split(b"\n")
+            saved = r["saved"] if least else None
+            if not r["y"]:
+                ordinary += found + [w for w, n in zip(found, saved or (), strict=False) if n for _ in range(HARD)]
+            else:
+                toxic += [w for w, n in zip(found, saved, strict=True) if n >= least] if least else found
+        plain = trained(ordinary, ORDINARY_BYTES)
+        marked = trained(toxic, TOXIC_BYTES if least else FIRST_BYTES) if toxic or not least else before[fold][1]
+        return pa.table({"fold": pa.array([fold], pa.int32()), "ordinary": pa.array([plain], pa.binary()), "toxic": pa.array([marked], pa.binary())})
+
+    return run
+
+
+def train_dictionaries(sample: DataFrame) -> dict[int, Pair]:
+    """The ordinary and the toxic dictionary of each fold of the sample, each trained in a task of its own; the driver sees dictionaries and counts alone."""
+    texts = cut(sample.mapInArrow(_windows_of, "k binary, fold int, y int, data binary").repartition(4 * FOLDS, "k"))
+
+    def dictionaries(rows: DataFrame, least: int | None, before: dict[int, Pair]) -> dict[int, Pair]:
+        found = {r["fold"]: (r["ordinary"], r["toxic"]) for r in rows.groupBy("fold").applyInArrow(_train(least, before), _DICTIONARIES).collect()}
+        return {f: found.get(f, (b"", b"")) for f in range(FOLDS)}
+
+    pairs = dictionaries(texts, None, {})
+    for _ in range(ROUNDS):
+        measured = cut(texts.mapInArrow(_measured(pairs), "k binary, fold int, y int, data binary, saved binary"))
+        pairs = dictionaries(measured, _threshold(measured), pairs)
+    return pairs
+
+
 def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """A model of the labelled documents that are not held out: of each class the `sample` first by hash of their id, and of these the texts of at most SAMPLE_CHARS.
+    """A model of the labelled documents that are not held out: of each class at most `sample`, the first by hash, and of these whole texts of any length.
 
-    Null labels, ids and texts are left out.
+    Null labels, ids and texts are left out. Repeated rows count once; an id
+    with several texts, or both labels, gives a row for each. Labels of one
+    kind only, or none, give a constant. Further columns are not looked at.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out(F.col("_id")))
-    order = F.xxhash64("_id")
-    picked = known.where("_y = 1").orderBy(order, "_id").limit(sample).unionAll(known.where("_y = 0").orderBy(order, "_id").limit(sample))
-    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).where(F.length("_text") <= SAMPLE_CHARS)
-    # at most 2 * sample rows of an id and a label
-    rows = texts.join(F.broadcast(picked), "_id").collect()
-    rows.sort(key=lambda r: (r["_id"], r["_text"], r["_y"]))
-    return fit([r["_text"].encode() for r in rows], [r["_y"] for r in rows])
+    bounded_batches(docs.sparkSession)
+    rows = cut(labelled_sample(docs, labels, id_col, text_col, sample))
+    kinds = [r["y"] for r in rows.select("y").distinct().collect()]
+    if len(kinds) < 2:
+        return Model(prior=float(kinds[0]) if kinds else 0.0)
+    pairs = train_dictionaries(rows)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = {f: measure([p for g, p in sorted(pairs.items()) if g != f]) for f in range(FOLDS)}
+        for batch in slices(batches, "text", CHUNK_BYTES):
+            x = [features([of[f](w) for w in windows(t)]) for f, t in zip(batch.column("fold").to_pylist(), raw(batch.column("text")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["k", "y", "x"])
+
+    # at most 2 * sample rows of some twenty numbers
+    found = rows.repartition(4 * FOLDS, "k").mapInArrow(measured, "k binary, y int, x array<double>").collect()
+    found.sort(key=lambda r: (r["k"], r["y"]))
+    x, y = np.array([r["x"] for r in found]), np.array([r["y"] for r in found])
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    return Model([pairs[f] for f in range(FOLDS)], mean, scale, _logistic((x - mean) / scale, y))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs with held_out, score and predicted after its columns (columns of these names are replaced).
+    """Every row of docs with held_out, score and predicted after its columns.
 
     The whole text counts, whatever its length; null and empty texts are
     scored as one blank window. Only the text goes into the score. Repeated
-    rows are scored alike; a null id is never held out.
+    rows are scored alike; a null id is never held out. Columns of the added
+    names, in whatever case, are replaced; any other name may be used. An
+    empty table gives an empty result.
     """
-    names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    base = docs.select(*[F.col(f"`{c}`") for c in names], held_out(F.col(f"`{id_col}`")).alias("held_out"))
+    kept = others(docs, ("held_out", "score", "predicted"))
+    text = place(docs, text_col)
+    base = numbered(docs)
+    base = base.select(*kept, F.col(text).alias("scored_text"), held_out(F.col(place(docs, id_col))).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model)
-        for batch in slices(batches, text_col, CHUNK_BYTES):
-            scores = np.array([score(t) for t in raw(batch.column(text_col))], np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+        for batch in slices(batches, "scored_text", CHUNK_BYTES):
+            scores = np.array([score(t) for t in raw(batch.column("scored_text"))], np.float64)
+            own = [batch.column(c) for c in (*kept, "held_out")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*kept, "held_out", "score", "predicted"])
 
     bounded_batches(docs.sparkSession)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(run, f"{kinds}, score double, predicted int")
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in base.schema if f.name in kept)
+    return base.mapInArrow(run, f"{kinds}held_out boolean, score double, predicted int").toDF(*kept.values(), "held_out", "score", "predicted")
 
 
 def toxicity_stage(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Docs that are not predicted toxic."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    inner = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(own)])
-    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    """Docs that are not predicted toxic, with their columns as they are, whatever the names.
+
+    Null and empty texts are scored as one blank window, repeated rows alike;
+    without labels of both kinds a constant decides. Texts of any length are
+    scored whole. An empty table stays empty.
+    """
     model = fit_on_labels(docs, labels, id_col, text_col)
-    kept = toxicity(inner, model, at[id_col], at[text_col]).where("predicted = 0")
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    kept = toxicity(numbered(docs), model, place(docs, id_col), place(docs, text_col)).where("predicted = 0")
+    return kept.drop("held_out", "score", "predicted").toDF(*docs.columns)

@@ -46,10 +46,50 @@ class TestToxicity:
         assert T.toxicity(docs.limit(0), T.Model()).collect() == []
 
     def test_windows_cover_the_text(self):
-        text = " ".join(f"w{i}" for i in range(50)).encode()
-        flat = b" " + text + b" "
+        text = " ".join(f"W{i}," for i in range(51)).encode() + b" " + b"x" * 200
         found = T.windows(text)
-        assert all(w in flat for w in found) and found[-1].endswith(b" ") and T.windows(b"") == [b"  "]
+        assert b"".join(found).split() == [*(f"w{i}".encode() for i in range(51)), *[b"x" * 48] * 4, b"x" * 8]
+        assert all(w[:2] == w[-2:] == b"  " for w in found) and T.windows(b"") == T.windows(b" .,; ") == [b"    "]
+
+    def test_scores_equal_a_slow_version(self, spark):
+        rows = self.corpus(120, 3)
+        docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+        model = T.fit_on_labels(docs, labels)
+        made = [[T.compressor(x) for x in pair] for pair in model.pairs[:2]]
+        for i, t, s in [(r["doc_id"], r["text"], r["score"]) for r in T.toxicity(docs, model).collect()]:
+            saved = [max(0, min(len(o(T.MARK + w)) for o, _ in made) - max(len(x(T.MARK + w)) for _, x in made)) for w in T.windows(t.encode())]
+            counts = [sum(n >= k for n in saved) for k in T.SAVED]
+            x = [*[np.log1p(c) for c in counts], *[c / len(saved) for c in counts], max(saved), np.mean(saved), np.log(len(saved))]
+            z = model.weights[0] + (np.array(x) - model.mean) / model.scale @ model.weights[1:]
+            assert abs(s - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+    def test_dictionaries_are_trained_apart(self, spark):
+        rows = self.corpus(200, 4)
+        docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+        pairs = T.fit_on_labels(docs, labels).pairs
+        assert len(pairs) == T.FOLDS and len(set(pairs)) == T.FOLDS
+        for ordinary, toxic in pairs:
+            assert b"grobfool" not in ordinary and b"grobfool" in toxic and len(ordinary) <= T.ORDINARY_BYTES and len(toxic) <= T.TOXIC_BYTES
+        assert T.fit_on_labels(docs.repartition(7), labels.repartition(3)).pairs == pairs
+
+    def test_the_sample_is_bounded_by_rows(self, spark):
+        rows = [(i % 5, f"text {i}") for i in range(300)] + [(1, "same")] * 40
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(i, i % 2) for i in range(5)] * 2 + [(1, 0)], "doc_id long, toxic int")
+        got = T.labelled_sample(docs, labels, "doc_id", "text", 7).collect()
+        assert sorted(r["y"] for r in got) == [0] * 7 + [1] * 7 and len({(r["text"], r["y"]) for r in got}) == 14
+
+    def test_repeated_rows_and_clashing_names(self, spark):
+        rows = [(1, "a b", 1, "x"), (1, "a b", 1, "x"), (2, None, 2, "y")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, Score int, scored_text string")
+        out = T.toxicity(docs, T.Model(prior=0.25))
+        assert out.columns == ["doc_id", "text", "scored_text", "held_out", "score", "predicted"] and out.count() == 3
+        labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+        stage = T.toxicity_stage(docs, labels)
+        assert stage.columns == docs.columns and sorted(map(tuple, stage.collect()), key=repr) == sorted(rows, key=repr)
+        assert T.toxicity_stage(docs.limit(0), labels).collect() == []
 
 
 class TestDecontamination:
