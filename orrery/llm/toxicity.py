@@ -44,6 +44,8 @@ FIRST_BYTES = 4 * TOXIC_BYTES
 #: Segment and match length of zstandard's trainer.
 SEGMENT, TRAINED_MATCH = 32, 6
 MATCH = 6
+#: Bytes that no text in lower case holds: what a window without any match costs is measured on them.
+PROBE = bytes(range(65, 91))
 #: Stands before every window and at the end of every dictionary: a frame's fixed cost is paid on it, not on the words.
 MARK = bytes((*range(1, 9), *range(14, 30)))
 SAVED = (1, 2, 3, 4, 5, 6, 7, 8, 10)
@@ -95,17 +97,25 @@ def trained(samples: list[bytes], size: int) -> bytes:
 
 
 def measure(pairs: list[Pair]) -> Callable[[bytes], int]:
-    """For a window, the bytes that every toxic dictionary saves over every ordinary one, or 0."""
-    made = [(compressor(o), compressor(t)) for o, t in pairs]
+    """For a window, the bytes that every toxic dictionary saves over every ordinary one; 0 where a toxic one finds nothing in it."""
+    made = []
+    for ordinary, toxic in pairs:
+        shorter = compressor(toxic)
+        made.append((compressor(ordinary), shorter, len(shorter(MARK + PROBE)) - len(PROBE)))
     known: dict[bytes, int] = {}
 
     def saved(window: bytes) -> int:
         if (n := known.get(window)) is not None:
             return n
         marked, least, most = MARK + window, 1 << 30, 0
-        for ordinary, toxic in made:
-            least, most = min(least, len(ordinary(marked))), max(most, len(toxic(marked)))
-            if least <= most:
+        for ordinary, toxic, nothing in made:
+            n = len(toxic(marked))
+            most = max(most, n)
+            if n >= len(window) + nothing or most >= least:
+                least = 0
+                break
+            least = min(least, len(ordinary(marked)))
+            if most >= least:
                 break
         if len(known) >= REMEMBERED:
             known.clear()

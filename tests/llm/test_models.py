@@ -57,8 +57,10 @@ class TestToxicity:
         labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
         model = T.fit_on_labels(docs, labels)
         made = [[T.compressor(x) for x in pair] for pair in model.pairs[:2]]
+        size = lambda by, w: len(by(T.MARK + w))
+        nothing = lambda w: any(size(x, w) - len(w) >= size(x, T.PROBE) - len(T.PROBE) for _, x in made)
         for i, t, s in [(r["doc_id"], r["text"], r["score"]) for r in T.toxicity(docs, model).collect()]:
-            saved = [max(0, min(len(o(T.MARK + w)) for o, _ in made) - max(len(x(T.MARK + w)) for _, x in made)) for w in T.windows(t.encode())]
+            saved = [0 if nothing(w) else max(0, min(size(o, w) for o, _ in made) - max(size(x, w) for _, x in made)) for w in T.windows(t.encode())]
             counts = [sum(n >= k for n in saved) for k in T.SAVED]
             x = [*[np.log1p(c) for c in counts], *[c / len(saved) for c in counts], max(saved), np.mean(saved), np.log(len(saved))]
             z = model.weights[0] + (np.array(x) - model.mean) / model.scale @ model.weights[1:]
