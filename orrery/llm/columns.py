@@ -32,3 +32,12 @@ def row_key(*columns: str):
     parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]
     sized = [x for p in parts for x in (F.octet_length(p).cast("string"), F.lit(":"), p)]
     return F.unhex(F.md5(F.concat(*sized).cast("binary")))
+
+
+#: Keys of at most so many rows (16 bytes each, some 60 MB in memory) are broadcast when counted; more go through a shuffle.
+KEYS_AT_ONCE = 1 << 20
+
+
+def by_keys(rows: DataFrame, keys: DataFrame, on: str, how: str, most: int = KEYS_AT_ONCE) -> DataFrame:
+    """Rows joined with a written table of keys and flags, which is counted first; what the rows carry is shuffled only if the keys are many."""
+    return rows.join(F.broadcast(keys) if keys.count() <= most else keys, on, how)

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import random
 import re
+import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +139,32 @@ class TestWarc:
         got = warc.read_warc(spark, str(tmp_path / "w")).collect()
         assert sorted(r["record_type"] for r in got) == ["response", "revisit", "revisit"]
 
+    def test_files_are_cut_by_bytes_and_each_record_is_a_member(self, spark, tmp_path, monkeypatch):
+        monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+        rng = random.Random(2)
+        noise = lambda n: "".join(rng.choice("abcdefghijklmnop0123456789") for _ in range(n))
+        pages = [(i, f"u{i}", noise(9_000)) for i in range(30)] + [(90, "big", "x" * (17 << 20)), (91, "again", "x" * (17 << 20))]
+        warc.write_warc(warc.warc_records(spark.createDataFrame([(*p, 1, 2) for p in pages], "page_id long, URL string, html string, key int, original int").coalesce(2)), str(tmp_path / "w"))
+        files = sorted((tmp_path / "w").rglob("*.warc.gz"))
+        assert len(files) >= 8 and all(f.read_bytes()[:3] == b"\x1f\x8b\x08" and f.read_bytes()[-1:] == b"\0" for f in files)
+        for f in files:
+            data, kinds = f.read_bytes(), []
+            while data:  # member by member, as a reader with an index does
+                one = zlib.decompressobj(31)
+                record = one.decompress(data)
+                data = one.unused_data
+                if record:
+                    kinds.append(next(warc.parse_warc(record))[0]["warc-type"])
+                    assert len(list(warc.parse_warc(record))) == 1
+            assert kinds.count("warcinfo") == 1 and len(kinds) > 1
+        got = {r["page_id"]: r for r in warc.read_warc(spark, str(tmp_path / "w")).drop("payload").collect()}
+        assert len(got) == 32 and got[91]["refers_to"] == 90 and got[90]["payload_bytes"] == 17 << 20
+
+    def test_payloads_stay_where_they_are(self, spark):
+        pages = spark.createDataFrame([(i, "u", "p" * (150 + i % 3)) for i in range(9)], "page_id long, url string, html string")
+        plan = warc.warc_records(pages)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
     def test_empty_table(self, spark, tmp_path):
         warc.write_warc(warc.warc_records(spark.createDataFrame([], "page_id long, url string, html string")), str(tmp_path / "w"))
         assert warc.read_warc(spark, str(tmp_path / "w")).collect() == []
@@ -196,6 +226,30 @@ class TestLicenses:
         assert licenses.license_scan(df).count() == len(rows)
         assert licenses.license_scan(df.limit(0)).collect() == []
 
+    def test_whole_licences_with_other_spelling(self, spark):
+        """Changed case, punctuation, holders, line ends and spellings."""
+        texts = {n: t for n, t in licenses.KNOWN if len(t) > 500}
+        folder = "/usr/share/common-licenses"
+        if os.path.isdir(folder):
+            texts |= {n: open(f"{folder}/{f}", encoding="utf-8").read() for f, n in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("MPL-2.0", "MPL-2.0")) if os.path.exists(f"{folder}/{f}")}
+        changed = lambda t: "Copyright (c) 2024 Other Holder\nAll rights reserved.\n\n" + re.sub(r"(?i)\blicense\b", "LICENCE", t).replace(" ", "  ").replace(",", " ,").upper().replace("ORGANIZATION", "ORGANISATION")
+        wrapped = lambda t: re.sub(r"(.{60}\S*) ", r"\1\r\n", t)
+        rows = [(n, f(t)) for n, t in texts.items() for f in ((changed, wrapped) if n != "GPL-3.0" else (changed,))]  # that one names a holder inside a line, which must stay there + [("none", t + " x") for t in texts.values()]
+        got = licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string"))
+        assert sorted((r["doc_id"], r["license"] or "none") for r in got.collect()) == sorted((n, n) for n, _ in rows)
+
+    def test_adjacent_spellings_and_line_ends(self, spark):
+        texts = ["licence licence licence", "foo\rcopyright 2020 bar\nbaz", "a\u2028copyright (c) x\nb\u0085(c) y", "COPYRIGHT HOLDERS be liable\nAll rights reserved.\nAll rights reserved by us", "non commercial non commercial"]
+        for t, c in spark.createDataFrame([(t,) for t in texts], "t string").select("t", licenses.canonical_column(F.col("t"))).collect():
+            assert c == licenses.canonical(t)
+            assert c == duckdb.sql(f"SELECT {licenses.oracle_sql().split('sha256(')[-1].split(') = k.d')[0]} FROM (SELECT ? AS t)", params=[t]).fetchall()[0][0]
+        assert licenses.canonical(texts[0]) == "license license license" and "copyright 2020 bar" in licenses.canonical(texts[1])
+
+    def test_notices_alone(self, spark):
+        rows = [(1, "x\n  Li'cenced under the MIT License!\ny"), (2, "SPDX-License-Identifier: Apache-2.0\n\nSPDX-License-Identifier: MIT")]
+        got = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, License string, names int")
+        assert {r["doc_id"]: r["notices"] for r in licenses.license_scan(got).collect()} == {1: "MIT", 2: "Apache-2.0,MIT"}
+
     def test_both_forms_agree(self, spark):
         texts = [t for _, t in licenses.KNOWN] + ["Éa ﬁ  Programme—whilst\n(c) gone\nper   cent", "don't"]
         df = spark.createDataFrame([(t,) for t in texts], "t string")
