@@ -1,10 +1,13 @@
 """WARC archives with revisit records, written and read through Spark.
 
-Headers alone (key, digest, length) are shuffled by payload digest; revisits
-are joined to the original response, and archives are written with each
-payload once and fresh headers. Every file is a WARC/1.1 file of whole
-records, compressed or not. A record's two closing line ends are the line
-separator of Spark's text writer, so any store that Spark writes to will do.
+Headers alone (key, digest, length, url) are shuffled by payload digest, and
+revisits joined to the original response. What comes back to the payloads is
+the keys of rows that are no response of their own; they are broadcast if few
+when counted, so payloads stay in the task that read them. Revisits are made
+from headers. Every record is a gzip member of its own, so a reader can start
+at any; files are cut by bytes, begin with a warcinfo record and end in
+.warc.gz. Spark's text writer writes them, to any store that it writes to: its
+line separator is the last byte of each record.
 """
 
 from __future__ import annotations
@@ -16,14 +19,18 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.llm.columns import by_keys, numbered, place, row_key
+from orrery.llm.words import raw, slices
+from orrery.plans.durable import bounded_batches, cut
+
 #: Payloads of fewer bytes are always written.
 MIN_BYTES = 100
-#: Records of one file: a reader holds one compressed file in memory.
-FILE_RECORDS = 4000
+#: A task begins another file when one has so many bytes: a reader holds one in memory.
+FILE_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CRLF = "\r\n"
 _BATCH_BYTES = 4 << 20
@@ -46,41 +53,97 @@ def warc_records(pages: DataFrame, date: str | None = None) -> DataFrame:
     Of rows with equal payloads of at least MIN_BYTES bytes, the one of the
     smallest (page_id, url), nulls last, is a response and the others revisit
     it; of rows that repeat it, one. Smaller payloads, a null payload being
-    empty, are all responses. Further columns are left out.
+    empty, are all responses. Further columns, of whatever names, are left
+    out. An empty table gives no record.
     """
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    digest = F.sha2(F.col("html").cast("binary"), 256)
-    rows = rows.withColumn("row_key", F.xxhash64("page_id", "url", "html"))
-    headers = rows.where(F.octet_length("html") >= MIN_BYTES).select("row_key", digest.alias("digest"), "page_id", "url")
-    order = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id"), F.col("url").isNull().alias("m"), F.col("url"), F.col("row_key"))
-    first = headers.groupBy("digest").agg(F.min(order).alias("o"), F.count("*").alias("times")).where("times > 1").select("digest", "o")
-    groups = headers.join(first, "digest").select("row_key", "o").distinct()
-    joined = rows.join(groups, "row_key", "left")
-    nth = F.row_number().over(W.partitionBy("row_key").orderBy("page_id"))
-    joined = joined.withColumn("nth", nth)
-    revisit = F.col("o").isNotNull() & ((F.col("row_key") != F.col("o.row_key")) | (F.col("nth") > 1))
-    size = F.octet_length("html")
-    sha = F.concat(F.lit("sha256:"), digest)
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), size.cast("string"), F.lit(_CRLF * 2))
-    block = F.when(revisit, F.lit(0)).otherwise(size) + F.octet_length(http)
+    column = lambda name: F.col(place(pages, name))
+    rows = numbered(pages).select(column("page_id").cast("long").alias("page_id"), column("url").cast("string").alias("url"), F.coalesce(column("html"), F.lit("")).alias("html"))
+    rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html"))
+    rows = rows.withColumn("key", row_key("page_id", "url", "digest"))
+    headers = cut(rows.where(F.col("size") >= MIN_BYTES).groupBy("key", "digest", "page_id", "url", "size").agg(F.count("*").alias("n")))
+    order = F.struct(F.col("page_id").isNull().alias("m"), F.col("page_id"), F.col("url").isNull().alias("u"), F.col("url"), F.col("key"))
+    first = headers.groupBy("digest").agg(F.min(order).alias("o"), F.sum("n").alias("times")).where("times > 1").select("digest", "o")
+    roles = cut(headers.join(first, "digest").withColumn("original", F.col("key") == F.col("o.key")))
+    # responses that nothing repeats need no role
+    told = cut(roles.where("not original or n > 1").select("key", "original"))
+    joined = by_keys(rows, told, "key", "left")
+    nothing = F.lit(None).cast("struct<page_id: bigint, url: string, key: binary>")
+    whole = joined.where("original is null").withColumn("nth", F.when(F.col("size") < MIN_BYTES, F.monotonically_increasing_id()).otherwise(0))
+    if told.where("original").limit(1).count():
+        whole = whole.unionAll(joined.where("original").dropDuplicates(["key"]).withColumn("nth", F.lit(0).cast("long")))
+    since = F.when(F.col("original"), 1).otherwise(0).cast("long")
+    again = roles.where("not original or n > 1").withColumn("nth", F.explode(F.sequence(since, F.col("n") - 1)))
+    again = again.select("page_id", "url", F.lit("").alias("html"), "digest", "size", "key", "nth", F.struct("o.page_id", "o.url", "o.key").alias("o"))
+    whole = whole.select("page_id", "url", "html", "digest", "size", "key", "nth", nothing.alias("o"))
+    return _records(whole, False, date).unionAll(_records(again, True, date))
+
+
+def _records(rows: DataFrame, revisit: bool, date: str) -> DataFrame:
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(_CRLF * 2))
+    block = F.octet_length(http) if revisit else F.col("size") + F.octet_length(http)
+    kind = "revisit" if revisit else "response"
+    refers = (
+        _field("WARC-Profile", F.lit(PROFILE)), _field("WARC-Refers-To", _record_id(F.hex("o.key"), F.lit(0))),
+        _field("WARC-Refers-To-Target-URI", F.col("o.url")), _field("WARC-Refers-To-Date", F.lit(date)), _field("X-Refers-To-Page", F.col("o.page_id")),
+    )
     head = F.concat(
-        F.lit(f"WARC/1.1{_CRLF}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit(_CRLF),
-        _field("WARC-Record-ID", _record_id(F.col("row_key"), F.col("nth"))), _field("WARC-Date", F.lit(date)),
-        _field("WARC-Target-URI", F.col("url")), _field("WARC-Payload-Digest", sha), _field("X-Page-Id", F.col("page_id")),
-        F.when(revisit, F.concat(
-            _field("WARC-Profile", F.lit(PROFILE)), _field("WARC-Refers-To", _record_id(F.col("o.row_key"), F.lit(1))),
-            _field("WARC-Refers-To-Target-URI", F.col("o.url")), _field("WARC-Refers-To-Date", F.lit(date)), _field("X-Refers-To-Page", F.col("o.page_id")),
-        )).otherwise(""),
+        F.lit(f"WARC/1.1{_CRLF}WARC-Type: {kind}{_CRLF}"),
+        _field("WARC-Record-ID", _record_id(F.hex("key"), F.col("nth"))), _field("WARC-Date", F.lit(date)),
+        _field("WARC-Target-URI", F.col("url")), _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), _field("X-Page-Id", F.col("page_id")),
+        *(refers if revisit else ()),
         F.lit(f"Content-Type: application/http; msgtype=response{_CRLF}Content-Length: "), block.cast("string"), F.lit(_CRLF * 2), http,
     )
-    record = F.concat(head, F.when(revisit, "").otherwise(F.col("html")))
-    return joined.select("page_id", F.when(revisit, "revisit").otherwise("response").alias("record_type"), record.alias("record"))
+    return rows.select("page_id", F.lit(kind).alias("record_type"), F.concat(head, F.col("html")).alias("record"))
+
+
+def _packed(compressed: bool):
+    """Records as bytes without their last, which the writer's line separator gives, by file."""
+    about = f"software: orrery{_CRLF}format: WARC File Format 1.1{_CRLF}".encode()
+
+    def info(task: int, volume: int) -> bytes:
+        # a record of the archive itself, known by its place
+        told = hashlib.sha256(f"{task} {volume}".encode()).hexdigest()
+        name = f"<urn:uuid:{told[:8]}-{told[8:12]}-5{told[13:16]}-8{told[17:20]}-{told[20:32]}>"
+        day = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        return f"WARC/1.1{_CRLF}WARC-Type: warcinfo{_CRLF}WARC-Record-ID: {name}{_CRLF}WARC-Date: {day}{_CRLF}Content-Type: application/warc-fields{_CRLF}Content-Length: {len(about)}{_CRLF * 2}".encode() + about
+
+    def member(record: bytes) -> bytes:
+        data = record + (_CRLF * 2).encode()
+        if not compressed:
+            return data[:-1]
+        data = gzip.compress(data, 6, mtime=0)
+        # the last byte is the length's highest: zero but for large records, which an empty member follows
+        return (data if data[-1] == 0 else data + gzip.compress(b"", mtime=0))[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, volume, held = TaskContext.get().partitionId(), -1, FILE_BYTES
+        for batch in batches:
+            for part in slices(iter([batch]), "record", _BATCH_BYTES):
+                out = []
+                for record in raw(part.column("record")):
+                    if held >= FILE_BYTES:
+                        volume, held = volume + 1, 0
+                        out.append((volume, member(info(task, volume))))
+                    out.append((volume, member(record)))
+                    held += len(out[-1][1])
+                yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in out], pa.int32()), pa.array([m for _, m in out], pa.binary())], names=["volume", "member"])
+
+    return run
 
 
 def write_warc(records: DataFrame, folder: str, compression: str = "gzip") -> None:
-    records.select("record").write.option("lineSep", _CRLF * 2).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    """Files volume=*/*.warc.gz (or .warc, for compression "none") of whole records."""
+    spark, compressed = records.sparkSession, compression == "gzip"
+    bounded_batches(spark)
+    packed = records.select("record").mapInArrow(_packed(compressed), "volume int, member binary")
+    lines = packed.select("volume", F.col("member").cast("string").alias("value"))
+    lines.write.partitionBy("volume").option("lineSep", "\0" if compressed else "\n").option("compression", "none").text(folder)
+    jvm, of = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = of.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "volume=*/part-*.txt")) or ()
+    for path in [f.getPath() for f in found]:
+        files.rename(path, jvm.org.apache.hadoop.fs.Path(path.getParent(), path.getName().removesuffix(".txt") + (".warc.gz" if compressed else ".warc")))
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
@@ -110,7 +173,13 @@ def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], dict[str, str],
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of an archive folder: page_id, url, record_type, payload_bytes and payload_digest (of the full payload), refers_to, payload (null for revisits)."""
+    """Rows of an archive folder: page_id, url, record_type, payload_bytes and payload_digest (of the full payload), refers_to, payload (null for revisits).
+
+    Files are read whole and may be compressed or not; a payload that does not
+    match its digest and a record that is cut off raise. A folder without
+    records gives no rows; records that repeat are rows each; a record without
+    a page or url has null there.
+    """
     kinds = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
     names = [n for n, _ in kinds]
 
@@ -122,6 +191,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
             for content in files.column("content"):
                 rows, held = [], 0
                 for warc, http, payload in parse_warc(content.as_py()):
+                    if warc["warc-type"] == "warcinfo":
+                        continue
                     again = warc["warc-type"] == "revisit"
                     number = lambda name, warc=warc: int(warc[name]) if name in warc else None
                     told = warc["warc-payload-digest"].removeprefix("sha256:")
@@ -137,7 +208,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                     yield batch(rows)
 
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder).select("content")
     return found.mapInArrow(run, schema)
 
 
