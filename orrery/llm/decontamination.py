@@ -15,6 +15,9 @@
    whole TF-IDF length of the window.
 4. Checks. The longest common subsequence of item and surroundings, in words,
    must hold most of the item; a weaker one must hold its answer too.
+
+Items of fewer than SHORT words hold too few terms for a cosine; they are found
+exactly, as word sequences.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.words import raw, slices
+from orrery.llm.columns import by_keys, numbered, place, row_key
+from orrery.llm.words import raw, slices, window_hashes
 from orrery.plans.durable import bounded_batches, cut
 
 FEATURES = 1 << 14
@@ -49,8 +53,12 @@ ITEM_BLOCK = 1024
 COSINE = 0.34
 #: Share of an item's words, in order, that marks a copy; or, with the answer, a paraphrase.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.55, 0.6
-#: Items with fewer words are too common to search for (said in the README).
-MIN_ITEM_WORDS = 8
+#: Items of fewer words are searched for as exact sequences of words.
+SHORT = 8
+#: The benchmark is a query set that the driver and every task hold: at most so many bytes of text.
+BENCHMARK_BYTES = 64 << 20
+#: Items of fewer words are reported but make no document go.
+LEAST_WORDS = 3
 #: Words at the end of an item that stand for its answer where none is given.
 ANSWER_WORDS = 8
 CHUNK_BYTES = 1 << 20
@@ -87,9 +95,12 @@ class Space:
 
 @dataclass
 class Index:
-    items: list[tuple[int, np.ndarray, np.ndarray]]
+    """The items of one pass over the corpus by number, their spaces, and short items by length: hashes in order with the number of each."""
+
+    items: dict[int, tuple[int, np.ndarray, np.ndarray]]
     idf: np.ndarray
     spaces: list[Space]
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def passages(item: np.ndarray) -> list[np.ndarray]:
@@ -100,7 +111,7 @@ def passages(item: np.ndarray) -> list[np.ndarray]:
 
 
 def passage_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of kind 0: a row of docs (row_key, doc_id) with its packed word hashes. Rows of kind 1: a task's passage counts by term (row_key: the task)."""
+    """Rows of kind 0: a row of docs (row_key, doc_id) with its packed word hashes. Rows of kind 1: a task's passage counts by term (part: the task, doc_id: its passages)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, counts, passages = _Hashes(), np.zeros(FEATURES, np.int64), 0
@@ -115,14 +126,18 @@ def passage_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             passages += base
             counts += np.bincount(np.unique(np.concatenate(keys)) % FEATURES, minlength=FEATURES)
             kind = pa.array(np.zeros(len(data), np.int32))
-            yield pa.RecordBatch.from_arrays([kind, batch.column("row_key"), batch.column("doc_id"), pa.array(data, pa.binary())], names=["kind", "row_key", "doc_id", "data"])
+            none = pa.nulls(len(data), pa.int64())
+            yield pa.RecordBatch.from_arrays([kind, batch.column("row_key"), batch.column("doc_id"), none, pa.array(data, pa.binary())], names=names)
         task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([task], pa.int64()), pa.array([passages], pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=["kind", "row_key", "doc_id", "data"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([1], pa.int32()), pa.nulls(1, pa.binary()), pa.array([passages], pa.int64()), pa.array([task], pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=names
+        )
 
+    names = ["kind", "row_key", "doc_id", "part", "data"]
     bounded_batches(docs.sparkSession)
-    text = F.col(f"`{text_col}`")
-    rows = docs.select(F.xxhash64(f"`{id_col}`", text).alias("row_key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
-    return rows.mapInArrow(run, "kind int, row_key long, doc_id long, data binary")
+    number, text = place(docs, id_col), place(docs, text_col)
+    rows = numbered(docs).select(row_key(number, text).alias("row_key"), F.col(number).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "kind int, row_key binary, doc_id long, part long, data binary")
 
 
 def _sums(rows: DataFrame, dtype: type) -> np.ndarray:
@@ -154,7 +169,7 @@ def fit_indexes(words: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]
     """The latent spaces of the corpus words (see passage_words) and the items (id, word hashes, answer hashes), one index for each pass over the corpus."""
     tasks = words.where("kind = 1")
     count = tasks.agg(F.sum("doc_id")).first()[0] or 0
-    df = _sums(tasks.select(F.col("row_key").alias("part"), F.lit(0).cast("long").alias("block"), "data"), np.int64)
+    df = _sums(tasks.select("part", F.lit(0).cast("long").alias("block"), "data"), np.int64)
     idf = np.log((count + 1.0) / ((df if len(df) else np.zeros(FEATURES)) + 1.0)).astype(np.float32) + 0.05
     below = min(1.0, SAMPLE / max(1, count))
 
@@ -164,7 +179,7 @@ def fit_indexes(words: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]
             for key, data in zip(batch.column("row_key").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 hashes = np.frombuffer(data, np.uint32)
                 n = -(-len(hashes) // WINDOW)
-                place = (np.arange(n, dtype=np.uint64) + np.uint64(key & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+                place = (np.arange(n, dtype=np.uint64) + np.uint64(int.from_bytes(key[:8]))) * np.uint64(0x9E3779B97F4A7C15)
                 out += [hashes[i * WINDOW : (i + 1) * WINDOW].tobytes() for i in np.flatnonzero((place ^ place >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40) < below * (1 << 24))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["data"])
 
@@ -189,15 +204,25 @@ def fit_indexes(words: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]
         data = pa.array([x.tobytes() for x in blocks], pa.binary())
         yield pa.RecordBatch.from_arrays([part, pa.array(range(len(blocks)), pa.int64()), data], names=["part", "block", "data"])
 
+    short: dict[int, list[int]] = {}
     passes, full = [], SPACES * SPACE_ROWS
     for i, (_, hashes, _) in enumerate(items):
+        if len(hashes) < SHORT:
+            short.setdefault(len(hashes), []).append(i)
+            continue
         rows = [(i, p) for p in passages(hashes)]
         if passes and len(passes[-1]) + len(rows) <= full:
             passes[-1] += rows
         else:
             passes.append(rows)
+    exact = {}
+    for n, of in short.items():
+        keys = np.concatenate([window_hashes(items[i][1].astype(np.uint64), n) for i in of])
+        order = np.argsort(keys, kind="stable")
+        exact[n] = (keys[order], np.array(of)[order])
+    few = {i: items[i] for of in short.values() for i in of}
     if not passes:
-        return [Index(items, idf, [])]
+        return [Index(few, idf, [], exact)] if few else []
     # the sample is bounded, so a few tasks do
     both = _sums(sample.repartition(8).mapInArrow(products, "part long, block long, data binary"), np.float32).astype(np.float64)
     if not len(both):
@@ -217,7 +242,8 @@ def fit_indexes(words: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]
     out = []
     for rows in passes:
         parts = np.array_split(np.arange(len(rows)), -(-len(rows) // SPACE_ROWS))
-        out.append(Index(items, idf, [space([rows[i] for i in part.tolist()]) for part in parts]))
+        mine = {i: items[i] for i, _ in rows} | ({} if out else few)
+        out.append(Index(mine, idf, [space([rows[i] for i in part.tolist()]) for part in parts], {} if out else exact))
     return out
 
 
@@ -265,6 +291,19 @@ def window_candidates(index: Index, tables: list[np.ndarray], texts: list[np.nda
                 yield from zip(text[win].tolist(), (win - begin[text[win]]).tolist(), space.item[row + at].tolist(), strict=True)
 
 
+def exact_places(index: Index, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(item, first word) of each short item that the text holds word by word."""
+    for n, (keys, items) in index.short.items():
+        found = window_hashes(hashes.astype(np.uint64), n)
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == found)
+        for key, place in zip(*np.unique(found[hit], return_index=True), strict=True):
+            first = int(hit[place])
+            for i in items[np.searchsorted(keys, key) : np.searchsorted(keys, key, "right")].tolist():
+                if np.array_equal(index.items[i][1], hashes[first : first + n]):
+                    yield i, first
+
+
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, in bit vectors."""
     places: dict[int, int] = {}
@@ -291,13 +330,16 @@ def check(item: np.ndarray, answer: np.ndarray, hashes: np.ndarray, window: int)
 
 
 def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", answer_col: str | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(item id, word hashes, answer hashes), for items with an id and MIN_ITEM_WORDS words."""
-    answer = F.col(f"`{answer_col}`") if answer_col else F.lit(None).cast("string")
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t"), answer.alias("a")).where("i is not null and t is not null").distinct().collect()
+    """(item id, word hashes, answer hashes), for items with an id and a word; more than BENCHMARK_BYTES of text are refused."""
+    answer = F.col(place(benchmark, answer_col)) if answer_col else F.lit(None).cast("string")
+    rows = numbered(benchmark).select(F.col(place(benchmark, item_col)).cast("long").alias("i"), F.col(place(benchmark, text_col)).alias("t"), answer.alias("a")).where("i is not null and t is not null").distinct()
+    size = rows.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("a"), F.lit(0)) + 16)).first()[0] or 0
+    if size > BENCHMARK_BYTES:
+        raise ValueError(f"a benchmark of {size} bytes: search for it in parts of {BENCHMARK_BYTES}")
     out = []
-    for r in sorted(rows, key=lambda r: (r["i"], r["t"])):
+    for r in sorted(rows.collect(), key=lambda r: (r["i"], r["t"], r["a"] or "")):
         hashes = word_hashes(r["t"].encode())
-        if len(hashes) >= MIN_ITEM_WORDS:
+        if len(hashes):
             out.append((r["i"], hashes, word_hashes(r["a"].encode()) if r["a"] else hashes[-ANSWER_WORDS:]))
     return out
 
@@ -315,9 +357,12 @@ def _search(index: Index):
                     continue  # nothing does better than a whole copy that is found earlier
                 if shares := check(item, answer, texts[text], window):
                     best[text, i] = max(best.get((text, i), (0, 0, 0)), (*shares, -window * BLOCK))
+            for text, hashes in enumerate(texts):
+                for i, first in exact_places(index, hashes):
+                    best[text, i] = (1.0, 1.0, -first)
             keys, docs_of = batch.column("row_key").to_pylist(), batch.column("doc_id").to_pylist()
             found = [(keys[t], docs_of[t], index.items[i][0], s, a, -w) for (t, i), (s, a, w) in sorted(best.items())]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names=["orrery_row_key", "doc_id", "item_id", "item_share", "answer_share", "start_word"])
 
     return run
@@ -327,19 +372,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Rows (orrery_row_key, doc_id, item_id, item_share, answer_share, start_word): a benchmark item that a row of docs holds, where it does best.
 
     Null and empty texts and items hold nothing. Repeated rows and repeated
-    items are each reported. Texts of any length are searched whole; further
-    columns are not looked at. The benchmark is a query set held in memory.
-    Empty tables give an empty result.
+    items are each reported. Texts and items of any length are searched whole;
+    of places where an item does equally well the first is told. Further
+    columns, of whatever names, are not looked at. The benchmark is a query
+    set held in memory, whose size is checked. Empty tables give an empty
+    result.
     """
     words = cut(passage_words(docs, id_col, text_col))
     indexes = fit_indexes(words, benchmark_items(benchmark, text_col="text", answer_col=answer_col))
 
     texts = words.where("kind = 0").select("row_key", "doc_id", "data")
-    kept = "orrery_row_key long, doc_id long, item_id long, item_share double, answer_share double, start_word long"
-    return reduce(DataFrame.unionAll, [texts.mapInArrow(_search(i), kept) for i in indexes])
+    kept = "orrery_row_key binary, doc_id long, item_id long, item_share double, answer_share double, start_word long"
+    found = [texts.mapInArrow(_search(i), kept) for i in indexes]
+    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], kept)
+
 
+def decontamination_stage(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """Docs that hold no benchmark item, with their columns as they are, whatever the names.
 
-def decontamination_stage(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Docs that hold no benchmark item."""
-    found = cut(contaminated(docs, benchmark, id_col, text_col).select("orrery_row_key").distinct())
-    return docs.withColumn("orrery_row_key", F.xxhash64(f"`{id_col}`", f"`{text_col}`")).join(found, "orrery_row_key", "left_anti").drop("orrery_row_key")
+    An item of fewer than least_words words makes no document go: such words
+    stand in any text. Null and empty texts hold nothing and stay; rows that
+    repeat an id and a text go together; rows of one id with different texts
+    are judged apart. Texts of any length are searched whole; empty tables
+    take nothing away.
+    """
+    text = place(benchmark, "text")
+    items = numbered(benchmark).withColumn(text, F.when(F.size(F.split(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " ")) >= least_words, F.col(text))).toDF(*benchmark.columns)
+    found = cut(contaminated(docs, items, id_col, text_col).select("orrery_row_key").distinct())
+    keyed = numbered(docs).withColumn("orrery_row_key", row_key(place(docs, id_col), place(docs, text_col)))
+    return by_keys(keyed, found, "orrery_row_key", "left_anti").drop("orrery_row_key").toDF(*docs.columns)

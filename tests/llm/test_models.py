@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from orrery.llm import decontamination as D
 from orrery.llm import toxicity as T
@@ -116,7 +117,7 @@ class TestDecontamination:
     def test_finds_copies_and_paraphrases_only(self, spark):
         rows, items, truth = self.corpus()
         docs = spark.createDataFrame([(*r, 1) for r in rows] + [(900, None, 1), (901, "", 1), (902, "the " * 9000, 1), (0, rows[0][1], 1)], "doc_id long, text string, kind int")
-        bench = spark.createDataFrame(items + [(90, None), (91, "too short"), (None, "a b c d e f g h i j k")], "item_id long, text string")
+        bench = spark.createDataFrame(items + [(90, None), (91, "not there"), (None, "a b c d e f g h i j k")], "item_id long, text string")
         got = D.contaminated(docs, bench).collect()
         pairs = {(r["doc_id"], r["item_id"]) for r in got}
         assert pairs == truth and len(got) == len(truth) + 1
@@ -137,6 +138,38 @@ class TestDecontamination:
                     want.add((i, j))
         assert len(found & want) >= 0.9 * len(want) and found <= want
 
+    def test_recall_by_length_band(self, spark):
+        """Verbatim items of 1 to 2,000 words and paraphrased ones of 16 to 2,000, against the check at every place."""
+        rng = random.Random(9)
+        words = [f"v{i}" for i in range(5000)]
+        lengths = [1, 2, 3, 5, 7, 8, 9, 12, 16, 24, 40, 59, 64, 65, 90, 150, 300, 600, 1200, 2000]
+        items = [(j, " ".join(rng.choice(words) + ("x" if n < 3 else "") for _ in range(n))) for j, n in enumerate(lengths)]
+        rows = []
+        for j, t in items:
+            for k in range(4):
+                said = t.split()
+                if k > 1 and len(said) >= 16:
+                    said = [rng.choice(words) if i % 6 == 3 and i < len(said) - 8 else w for i, w in enumerate(said)]
+                text = [rng.choice(words) for _ in range(rng.randrange(0, 300))]
+                at = rng.randrange(len(text) + 1)
+                rows.append((4 * j + k, " ".join(text[:at] + said + text[at:])))
+        got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+        assert got <= {(i, i // 4) for i, _ in rows}
+        for low, high in ((1, 7), (8, 15), (16, 64), (65, 300), (301, 2000)):
+            band = [(4 * j + k, j) for j, n in enumerate(lengths) if low <= n <= high for k in range(4)]
+            assert sum(p in got for p in band) >= 0.9 * len(band), (low, high)
+
+    def test_size_of_the_benchmark_is_checked(self, spark, monkeypatch):
+        monkeypatch.setattr(D, "BENCHMARK_BYTES", 100)
+        with pytest.raises(ValueError, match="parts"):
+            D.benchmark_items(spark.createDataFrame([(1, "word " * 30)], "item_id long, text string"))
+
+    def test_short_items_in_the_stage(self, spark):
+        docs = spark.createDataFrame([(1, "one two three four"), (1, "one two"), (2, None)], "doc_id long, text string")
+        bench = spark.createDataFrame([(1, "One two"), (2, "two, THREE four"), (3, " ")], "item_id long, text string")
+        assert sorted((r["doc_id"], r["item_id"], r["start_word"]) for r in D.contaminated(docs, bench).collect()) == [(1, 1, 0), (1, 1, 0), (1, 2, 1)]
+        assert sorted(map(tuple, D.decontamination_stage(docs, bench).collect()), key=repr) == [(1, "one two"), (2, None)]
+
     def test_empty_tables(self, spark):
         docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
         bench = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
