@@ -30,14 +30,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.words import WordHashes, chunks, hashed_words, raw, run_spans, runs, second_hashes, slices, window_hashes
+from orrery.llm.columns import numbered, others, place
+from orrery.llm.words import WordHashes, chunks, hashed_words, mix, raw, run_spans, runs, second_hashes, slices, window_hashes
 from orrery.plans.durable import bounded_batches, shuffle_partitions
 
 WINDOW = 20
 CHUNK_BYTES = 4 << 20
 #: Stands for a null id in the order of documents: after all others.
 LAST = (1 << 63) - 1
-_KEY = "orrery_row_key"
+#: A row's key: its id and 32 bits of its text's hash, which tell rows of one id apart.
+_ID, _TAG = "orrery_row_id", "orrery_row_tag"
+ADDED = ("n_words", "n_removed", "kept_sha256", "removed_spans", "clean_text")
 _MESSAGE = "bucket long, kind int, data binary"
 _FOUND = "bucket long, data binary"
 
@@ -54,44 +57,46 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words as a window that starts earlier: in a smaller document, or earlier
     in the same one. Null and empty texts have no words. A null id counts as
     the largest. Rows that repeat an id are never earlier than each other at
-    the same start, so an id's repeated rows share their fate; the added
-    columns win over columns of the same name. Texts of any length are
-    handled whole; one text must fit in a task's memory.
+    the same start, so an id's repeated rows share their fate. Columns of the
+    added names, in whatever case, are replaced, and any other name may be
+    used. Texts of any length are handled whole; one text must fit in a task's
+    memory. An empty table gives an empty result.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be even")
-    added = {"n_words", "n_removed", "kept_sha256", "removed_spans", "clean_text"}
-    names = [c for c in docs.columns if c not in added]
-    base = docs.select(*[F.col(f"`{c}`") for c in names])
+    kept, text = others(docs, ADDED), place(docs, text_col)
+    base = numbered(docs).select(*dict.fromkeys((*kept, text)), F.coalesce(F.col(place(docs, id_col)).cast("long"), F.lit(LAST)).alias(_ID))
+    keyed = base.withColumn(_TAG, F.xxhash64(text).bitwiseAND(0xFFFFFFFF))
     buckets = shuffle_partitions(docs.sparkSession)
     bounded_batches(docs.sparkSession)
-    # a row's key is its id with 16 bits of its text's hash, which pack far smaller than a hash of both
-    number, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    plain = F.shiftleft(number, 16).bitwiseOR(F.xxhash64(text).bitwiseAND(0xFFFF))
-    keyed = base.withColumn(_KEY, F.when(number.between(0, (1 << 47) - 1), plain).otherwise(F.xxhash64(number, text)))
 
     def gathered(found: DataFrame) -> DataFrame:
-        return found.groupBy("bucket").applyInArrow(_gathered, f"{_KEY} long, orrery_places binary")
+        return found.groupBy("bucket").applyInArrow(_gathered, f"{_ID} long, {_TAG} long, orrery_places binary")
 
-    anchors = keyed.select(_KEY, F.col(f"`{text_col}`").alias("text")).mapInArrow(_anchors(window // 2, buckets), _MESSAGE)
+    anchors = keyed.select(_ID, _TAG, F.col(text).alias("text")).mapInArrow(_anchors(window // 2, buckets), _MESSAGE)
     hits = gathered(anchors.groupBy("bucket").applyInArrow(_matched(window // 2, buckets), _FOUND))
-    windows = keyed.join(hits, _KEY, "left").mapInArrow(_extended(id_col, text_col, window, buckets), _MESSAGE)
+    windows = keyed.select(_ID, _TAG, F.col(text).alias("text")).join(hits, [_ID, _TAG], "left").mapInArrow(_extended(window, buckets), _MESSAGE)
     removed = gathered(windows.groupBy("bucket").applyInArrow(_repeated(buckets), _FOUND))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in base.schema if f.name in kept)
     extra = "n_words long, n_removed long, kept_sha256 string, removed_spans array<struct<start: long, end: long>>, clean_text string"
-    return keyed.join(removed, _KEY, "left").mapInArrow(_cut_out(names, text_col, window), f"{kinds}, {extra}")
+    return keyed.join(removed, [_ID, _TAG], "left").mapInArrow(_cut_out(list(kept), text, window), kinds + extra).toDF(*kept.values(), *ADDED)
 
 
 def substring_dedup_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Docs with the repeated words cut out of the texts, and n_chars, where it is a column, counted anew for them; no row goes."""
-    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    out = dedup_substrings(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()]), at[id_col], at[text_col])
-    picked = {c: F.col(n) for c, n in at.items()}
-    picked[text_col] = F.col("clean_text")
-    if "n_chars" in picked:
-        picked["n_chars"] = F.when(F.col("n_removed") > 0, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(picked["n_chars"])
-    return out.select(*[c.alias(n) for n, c in picked.items()])
+    """Docs with the repeated words cut out of the texts, and n_chars, where it is a column, counted anew for them; no row goes.
+
+    Nulls stay null and count as no words; repeated rows of one id share their
+    fate, a null id is the largest. All columns stay as they are otherwise,
+    whatever their names. Texts of any length are cut whole; an empty table
+    stays empty.
+    """
+    text = place(docs, text_col)
+    out = dedup_substrings(numbered(docs), place(docs, id_col), text).withColumn(text, F.col("clean_text"))
+    if "n_chars" in docs.columns:
+        chars = place(docs, "n_chars")
+        out = out.withColumn(chars, F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(chars)))
+    return out.drop(*ADDED).toDF(*docs.columns)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -132,35 +137,46 @@ def _summed(steps: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[first] - steps[first], counts)
 
 
-def pack_places(keys: np.ndarray, places: np.ndarray) -> bytes:
+def _changes(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns differ from the row before (the first does)."""
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[:1] = True
+    for x in sorted_columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def pack_places(ids: np.ndarray, tags: np.ndarray, places: np.ndarray) -> bytes:
     """Places of rows, in any order, as runs of consecutive places."""
-    order = np.lexsort((places, keys))
-    keys, places = keys[order], places[order]
-    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (places[1:] > places[:-1] + 1)))
+    order = np.lexsort((places, tags, ids))
+    ids, tags, places = ids[order], tags[order], places[order]
+    row = _changes(ids, tags)
+    new = row.copy()
+    new[1:] |= places[1:] > places[:-1] + 1
     at = np.flatnonzero(new)
     last = places[np.append(at[1:], len(places)) - 1]
-    rows = runs(keys[at])
+    rows = np.flatnonzero(row[at])
     counts = np.diff(np.append(rows, len(at)))
-    return pack(keys[at][rows], narrow(counts), _steps(places[at], rows), narrow(last - places[at] + 1))
+    return pack(ids[at][rows], tags[at][rows].astype(np.uint32), narrow(counts), _steps(places[at], rows), narrow(last - places[at] + 1))
 
 
-def unpack_places(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first place, length) of each run."""
-    keys, starts, lengths = [], [], []
-    for keys_of, counts, steps, n in map(unpack, data):
+def unpack_places(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, tag, first place, length) of each run."""
+    parts = []
+    for ids, tags, counts, steps, n in map(unpack, data):
         counts = counts.astype(np.int64)
-        keys.append(np.repeat(keys_of, counts))
-        starts.append(_summed(steps, counts))
-        lengths.append(n.astype(np.int64))
-    return np.concatenate(keys), np.concatenate(starts), np.concatenate(lengths)
+        parts.append((np.repeat(ids, counts), np.repeat(tags.astype(np.int64), counts), _summed(steps, counts), n.astype(np.int64)))
+    ids, tags, starts, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return ids, tags, starts, lengths
 
 
-def _spread(keys: np.ndarray, places: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+def _spread(ids: np.ndarray, tags: np.ndarray, places: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     """Places of rows, packed by the bucket of the row."""
-    bucket = keys % buckets
+    bucket = (mix(ids.astype(np.uint64) ^ tags.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     for a, b in run_spans(bucket[order]):
-        yield int(bucket[order[a]]), pack_places(keys[order[a:b]], places[order[a:b]])
+        pick = order[a:b]
+        yield int(bucket[pick[0]]), pack_places(ids[pick], tags[pick], places[pick])
 
 
 def _messages(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -198,14 +214,18 @@ def _found(rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "data": pa.array([d for _, d in rows], pa.binary())})
 
 
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.array(batch.column(c).to_pylist(), np.int64) for c in (_ID, _TAG))
+
+
 def _anchors(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in chunks(batches, "text", CHUNK_BYTES):
-            keys = np.array(batch.column(_KEY).to_pylist(), np.int64)
+            ids, tags = _keys(batch)
             hashes, ends = hashed_words(raw(batch.column("text")), cache)
             h = window_hashes(hashes, width)
-            doc = np.repeat(np.arange(len(keys)), np.diff(ends))[: len(h)]
+            doc = np.repeat(np.arange(len(ids)), np.diff(ends))[: len(h)]
             at = np.flatnonzero(np.arange(len(h)) + width <= ends[doc + 1]) if len(h) else np.empty(0, np.int64)
             if not len(at):
                 continue
@@ -221,9 +241,9 @@ def _anchors(width: int, buckets: int):
             known = counts[by_place] > 1
             lead = lead[by_place]
             bucket = ((h[lead] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            rows = list(_bucketed(bucket, doc[lead], place[lead], (keys,), (h[lead].astype(np.uint32), known.astype(np.uint8))))
+            rows = list(_bucketed(bucket, doc[lead], place[lead], (ids, tags.astype(np.uint32)), (h[lead].astype(np.uint32), known.astype(np.uint8))))
             own = order[np.repeat(counts > 1, counts)]
-            rows += [(b, 1, d) for b, d in _spread(keys[doc[own]], place[own], buckets)]
+            rows += [(b, 1, d) for b, d in _spread(ids[doc[own]], tags[doc[own]], place[own], buckets)]
             yield _messages(rows)
 
     return run
@@ -233,14 +253,14 @@ def _matched(width: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         own, data = _split(table)
         if data:
-            place, keys, h, known = _entries(data, 1)
+            place, ids, tags, h, known = _entries(data, 2)
             order = np.argsort(h)
             starts = runs(h[order])
             counts = np.diff(np.append(starts, len(order)))
             anchored = np.logical_or.reduceat(place[order] % width == 0, starts) & (counts > 1)
             hit = order[np.repeat(anchored, counts)]
             hit = hit[known[hit] == 0]
-            own += _spread(keys[hit], place[hit], buckets)
+            own += _spread(ids[hit], tags[hit], place[hit], buckets)
         return _found(own)
 
     return run
@@ -248,10 +268,12 @@ def _matched(width: int, buckets: int):
 
 def _gathered(table: pa.Table) -> pa.Table:
     """One row for each document that has places: its runs, as starts and lengths."""
-    keys, starts, lengths = unpack_places(table.column("data").to_pylist())
-    order = np.lexsort((starts, keys))
-    rows = [(int(keys[order[a]]), pack(starts[order[a:b]].astype(np.uint32), lengths[order[a:b]].astype(np.uint32))) for a, b in run_spans(keys[order])]
-    return pa.table({_KEY: pa.array([k for k, _ in rows], pa.int64()), "orrery_places": pa.array([d for _, d in rows], pa.binary())})
+    ids, tags, starts, lengths = unpack_places(table.column("data").to_pylist())
+    order = np.lexsort((starts, tags, ids))
+    at = np.flatnonzero(_changes(ids[order], tags[order]))
+    rows = [order[a:b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True)]
+    data = [pack(starts[r].astype(np.uint32), lengths[r].astype(np.uint32)) for r in rows]
+    return pa.table({_ID: pa.array(ids[order[at]], pa.int64()), _TAG: pa.array(tags[order[at]], pa.int64()), "orrery_places": pa.array(data, pa.binary())})
 
 
 def _covered(places: bytes | None, n: int, before: int, after: int) -> np.ndarray:
@@ -275,16 +297,15 @@ def _earliest(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, place: np.ndarray
     return np.sort(order[~later]), order[later]
 
 
-def _extended(id_col: str, text_col: str, window: int, buckets: int):
+def _extended(window: int, buckets: int):
     half = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in chunks(batches, text_col, CHUNK_BYTES):
+        for batch in chunks(batches, "text", CHUNK_BYTES):
             batch = batch.filter(pc.is_valid(batch.column("orrery_places")))
-            ids = np.array([LAST if x is None else x for x in batch.column(id_col).to_pylist()], np.int64)
-            keys = np.array(batch.column(_KEY).to_pylist(), np.int64)
-            hashes, ends = hashed_words(raw(batch.column(text_col)), cache)
+            ids, tags = _keys(batch)
+            hashes, ends = hashed_words(raw(batch.column("text")), cache)
             h1 = window_hashes(hashes, window)
             if not len(h1):
                 continue
@@ -298,8 +319,8 @@ def _extended(id_col: str, text_col: str, window: int, buckets: int):
             place = at - ends[doc]
             send, gone = _earliest(h1, h2, ids[doc], place)
             bucket = ((h2[send] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            rows = list(_bucketed(bucket, doc[send], place[send], (ids, keys), (h1[send], h2[send].astype(np.uint16))))
-            rows += [(b, 1, d) for b, d in _spread(keys[doc[gone]], place[gone], buckets)]
+            rows = list(_bucketed(bucket, doc[send], place[send], (ids, tags.astype(np.uint32)), (h1[send], h2[send].astype(np.uint16))))
+            rows += [(b, 1, d) for b, d in _spread(ids[doc[gone]], tags[doc[gone]], place[gone], buckets)]
             yield _messages(rows)
 
     return run
@@ -309,9 +330,9 @@ def _repeated(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         own, data = _split(table)
         if data:
-            place, ids, keys, h1, h2 = _entries(data, 2)
+            place, ids, tags, h1, h2 = _entries(data, 2)
             gone = _earliest(h1, h2, ids, place)[1]
-            own += _spread(keys[gone], place[gone], buckets)
+            own += _spread(ids[gone], tags[gone], place[gone], buckets)
         return _found(own)
 
     return run

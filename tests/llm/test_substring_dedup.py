@@ -96,6 +96,21 @@ def test_stage_and_empty_table(spark):
 def test_packed_places():
     import numpy as np
 
-    keys, places = np.array([5, 5, -3, 5, -3]), np.array([9, 8, 70_000, 1, 2])
-    k, s, n = S.unpack_places([S.pack_places(keys, places)])
-    assert list(zip(k.tolist(), s.tolist(), n.tolist())) == [(-3, 2, 1), (-3, 70_000, 1), (5, 1, 1), (5, 8, 2)]
+    ids, tags, places = np.array([5, 5, -3, 5, -3, 5]), np.array([7, 7, 1, 7, 1, 8]), np.array([9, 8, 70_000, 1, 2, 10])
+    got = S.unpack_places([S.pack_places(ids, tags, places), S.pack_places(ids[:1], tags[:1], places[:1])])
+    rows = sorted(zip(*[x.tolist() for x in got], strict=True))
+    assert rows == [(-3, 1, 2, 1), (-3, 1, 70_000, 1), (5, 7, 1, 1), (5, 7, 8, 2), (5, 7, 9, 1), (5, 8, 10, 1)]
+
+
+def test_rows_of_one_id_keep_their_own_words(spark):
+    """Texts of one id whose hashes agree in their low 16 bits."""
+    from pyspark.sql import functions as F
+
+    shared = " ".join(f"s{i}" for i in range(40))
+    texts = spark.range(60_000).select(F.concat(F.lit("u"), F.col("id"), *[F.lit(f" own{i}") for i in range(39)]).alias("text"))
+    low = F.xxhash64("text").bitwiseAND(0xFFFF)
+    want = spark.createDataFrame([(shared,)], "text string").select(low).first()[0]
+    same = [r["text"] for r in texts.where(low == want).limit(1).collect()]
+    docs = spark.createDataFrame([(0, shared), (1, shared), *[(1, t) for t in same]], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_removed"]) for r in S.dedup_substrings(docs).collect())
+    assert got == [(0, 0), *[(1, 0)] * len(same), (1, 40)]
