@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.llm.columns import numbered, others, place
 from orrery.plans.durable import cut
 
 WEIGHTS = (3, 1, 2)
@@ -48,23 +49,15 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
     return rows.select("source", "source_size", "weight", F.least(F.col("cap"), F.coalesce(F.col("at") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **shares) -> DataFrame:
-    """A row for each row of docs: orrery_row_key, doc_id, size, source_size, target, copies, taken.
-
-    size: words of the text (null: 0). copies: 0, 1 or 2 of the document are
-    taken, taken = copies * size. Each source takes whole passes of its
-    documents and one more of those below a hash threshold. Rows of equal id
-    are decided alike; a null id has number 0. Sources of no
-    words have target 0. Further columns are not looked at; an empty table
-    gives an empty result.
-    """
-    digest = F.md5(F.col(f"`{id_col}`").cast("string").cast("binary"))
+def _numbers(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """A numbered row's source, size and number."""
+    digest = F.md5(F.col(place(docs, id_col)).cast("string").cast("binary"))
     number = F.coalesce(F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), 32 - LEVELS * BITS), F.lit(0).cast("long"))
-    sized = docs.select(
-        F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("orrery_row_key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), number.alias("number"),
-    )
-    sized = cut(sized)
+    return F.col(place(docs, source_col)).alias("source"), word_count(F.col(place(docs, text_col))).alias("size"), number.alias("number")
+
+
+def thresholds(sized: DataFrame, **shares) -> DataFrame:
+    """Rows (s, source_size, target, passes, threshold), one a source, from a written table of (source, size, number)."""
     plan = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **shares)
     ratio = F.col("target") / F.col("source_size")
     passes = F.when(F.col("source_size") > 0, F.least(F.floor(ratio), F.lit(2))).otherwise(0).cast("int")
@@ -74,10 +67,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         plan = cut(_refined(sized, plan, level))
     nearer = F.col("had") + F.col("held") - F.col("want") < F.col("want") - F.col("had")
     threshold = F.col("below") + F.when((F.col("want") > 0) & nearer, 1).otherwise(0)
-    plan = plan.select(F.col("source").alias("s"), "source_size", "target", "passes", threshold.alias("threshold"))
-    copies = F.col("passes") + F.when((F.col("number") < F.col("threshold")) & (F.col("passes") < 2), 1).otherwise(0)
-    out = sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    return out.select("orrery_row_key", "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return plan.select(F.col("source").alias("s"), "source_size", "target", "passes", threshold.alias("threshold"))
+
+
+def _copies() -> Column:
+    return F.col("passes") + F.when((F.col("number") < F.col("threshold")) & (F.col("passes") < 2), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **shares) -> DataFrame:
+    """A row for each row of docs: doc_id, size, source_size, target, copies, taken.
+
+    size: words of the text (null: 0). copies: 0, 1 or 2 of the document are
+    taken, taken = copies * size. Each source takes whole passes of its
+    documents and one more of those below a hash threshold. Rows of equal id
+    are decided alike; a null id has number 0. Sources of no
+    words have target 0. Further columns, of whatever names, are not looked
+    at; texts of any length count whole; an empty table gives an empty result.
+    """
+    source, size, number = _numbers(docs, id_col, source_col, text_col)
+    sized = cut(numbered(docs).select(F.col(place(docs, id_col)).cast("long").alias("doc_id"), source, size, number))
+    out = sized.join(thresholds(sized, **shares), F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "size", "source_size", "target", _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"))
 
 
 def _refined(sized: DataFrame, plan: DataFrame, level: int) -> DataFrame:
@@ -102,12 +112,20 @@ def _refined(sized: DataFrame, plan: DataFrame, level: int) -> DataFrame:
 
 
 def mixing_stage(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The documents that the mix takes, each once, with copies, size, source_size, target and taken."""
+    """The rows that the mix takes, each once, with copies, size, source_size, target and taken after their columns.
+
+    Rows are decided as mix() says: those of equal id alike, null texts and
+    sources among them. Columns of the added names, in whatever case, are
+    replaced, and any other name may be used. Texts stay where they are: only
+    sums and one threshold a source are joined. An empty table stays empty.
+    """
     added = ["copies", "size", "source_size", "target", "taken"]
-    chosen = mix(docs, id_col, source_col, text_col).where("copies > 0").dropDuplicates(["orrery_row_key"]).select("orrery_row_key", *added)
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    keyed = docs.select(*own, F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("orrery_row_key"))
-    return keyed.join(chosen, "orrery_row_key").drop("orrery_row_key")
+    own = others(docs, added)
+    source, size, number = _numbers(docs, id_col, source_col, text_col)
+    rows = numbered(docs)
+    plan = thresholds(cut(rows.select(source, size, number)))
+    out = rows.select(*own, source, size, number).join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies())
+    return out.where("copies > 0").withColumn("taken", F.col("copies") * F.col("size")).select(*own, *added).toDF(*own.values(), *added)
 
 
 ORACLE_SQL = r"""
