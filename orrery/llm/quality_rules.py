@@ -14,8 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from orrery.llm.columns import numbered, others, place
 from orrery.llm.words import WordHashes, hashed_words, mix, raw, runs, slices, window_hashes
 from orrery.plans.durable import bounded_batches
 
@@ -68,7 +68,7 @@ def line_fault(line: str, words: int) -> str | None:
 
 
 def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Every row of docs with ADDED after its columns (columns of these names are replaced).
+    """Every row of docs with ADDED after its columns (columns of these names, in whatever case, are replaced; any other name may be used).
 
     n_words; word_chars: code points in words; n_symbols: characters of
     SYMBOLS; n_dup_lines: lines with a word that equal an earlier line;
@@ -77,18 +77,20 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines that pass; kept: not base_failed and kept_words at least
     MIN_KEPT_PERCENT of all; clean_text: the text without failed lines (null
     for null). Null and empty texts have no words, so they fail. Blank lines
-    are never judged. Repeated rows are judged alike; any length is read whole.
+    are never judged. Repeated rows are judged alike; any length is read whole;
+    an empty table gives an empty result.
     """
-    names = [c for c in docs.columns if c not in ADDED]
-    base = docs.select(*[F.col(f"`{c}`") for c in names])
+    names = others(docs, ADDED)
+    text = place(docs, text_col)
+    base = numbered(docs).select(*dict.fromkeys((*names, text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in slices(batches, text_col, CHUNK_BYTES):
-            hashes, ends = hashed_words(raw(batch.column(text_col)), cache)
+        for batch in slices(batches, text, CHUNK_BYTES):
+            hashes, ends = hashed_words(raw(batch.column(text)), cache)
             n_words = np.diff(ends)
             repeats = _repeat_words(hashes, ends)
-            texts = batch.column(text_col).to_pylist()
+            texts = batch.column(text).to_pylist()
             chars, symbols, dups, kept_words, clean = zip(*[_lines(t) for t in texts], strict=True)
             failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
             kept = ~failed & (100 * np.array(kept_words) >= MIN_KEPT_PERCENT * n_words)
@@ -96,9 +98,9 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *map(pa.array, cols), pa.array(clean, pa.string())], names=[*names, *ADDED])
 
     bounded_batches(docs.sparkSession)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in base.schema if f.name in names)
     longs = ", ".join(f"{c} long" for c in ADDED[:6])
-    return base.mapInArrow(run, f"{kinds}, {longs}, base_failed boolean, kept boolean, clean_text string")
+    return base.mapInArrow(run, f"{kinds}{longs}, base_failed boolean, kept boolean, clean_text string").toDF(*names.values(), *ADDED)
 
 
 def _repeat_words(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:

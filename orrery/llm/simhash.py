@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.columns import numbered, place, row_key
 from orrery.llm.substring_dedup import pack, unpack
 from orrery.llm.words import raw, run_spans, runs, slices
 from orrery.operators.graph import connected_components, forest
@@ -139,9 +140,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(_KEY), batch.column("doc_id"), pa.array(prints.view(np.int64))], names=[_KEY, "doc_id", "fp"])
 
     bounded_batches(docs.sparkSession)
-    text = F.col(f"`{text_col}`")
-    rows = docs.select(F.xxhash64(f"`{id_col}`", text).alias(_KEY), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
-    return rows.mapInArrow(run, f"{_KEY} long, doc_id long, fp long")
+    number, text = place(docs, id_col), place(docs, text_col)
+    rows = numbered(docs).select(row_key(number, text).alias(_KEY), F.col(number).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"{_KEY} binary, doc_id long, fp long")
 
 
 def fingerprint_links(prints: DataFrame) -> DataFrame:
@@ -226,7 +227,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     included. Null texts have no words; texts without words have fingerprint
     zero and link like any other. Null ids are never the smallest; a component
     of null ids alone has a null component_id. Repeated rows are kept; further
-    columns are not looked at. An empty table gives an empty result.
+    columns, of whatever names, are not looked at. An empty table gives an empty result.
     """
     marks = cut(fingerprints(docs, id_col, text_col))
     distinct = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
@@ -239,10 +240,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def near_dedup_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Docs with one document of each group: that of the smallest id (repeated rows of it: one)."""
+    """Docs with one document of each group, that of the smallest id (nulls last), and their columns as they are, whatever the names.
+
+    Of rows that repeat an id and a text one stays; of several texts under the
+    smallest id, the one whose key is least. Wordless and null texts are one
+    group. Texts of any length count whole; an empty table stays empty.
+    """
     groups = cut(near_groups(docs, id_col, text_col))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col(_KEY).alias("k"))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("print "), "fingerprint"))
     kept = groups.groupBy(group.alias("g")).agg(F.min(order).alias("first")).select(F.col("first.k").alias(_KEY))
-    keyed = docs.withColumn(_KEY, F.xxhash64(f"`{id_col}`", f"`{text_col}`"))
-    return keyed.join(kept, _KEY, "left_semi").dropDuplicates([_KEY]).drop(_KEY)
+    keyed = numbered(docs).withColumn(_KEY, row_key(place(docs, id_col), place(docs, text_col)))
+    return keyed.join(kept, _KEY, "left_semi").dropDuplicates([_KEY]).drop(_KEY).toDF(*docs.columns)

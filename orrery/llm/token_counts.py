@@ -13,8 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from orrery.llm.columns import numbered, others, place
 from orrery.llm.words import slices
 from orrery.plans.durable import bounded_batches
 
@@ -22,6 +22,7 @@ MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 BATCH_BYTES = 1 << 20
 PART_CHARS = 16_384
+ADDED = ("n_bytes", "n_tokens", "over_limit")
 _MARK = "▁"
 
 
@@ -80,22 +81,24 @@ def token_counts(docs: DataFrame, text_col: str = "text", path: str | None = Non
 
     Null and empty texts have 0 bytes and as many tokens as the library gives
     the empty text. Rows are otherwise kept as they are, repeated ones too;
-    columns of the added names are replaced. Any length: one text must fit in
-    a task's memory.
+    columns of the added names, in whatever case, are replaced, and any other
+    name may be used. Any length: one text must fit in a task's memory. An
+    empty table gives an empty result.
     """
     path = path or model_path()
     bounded_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
-    base = docs.select(*[F.col(f"`{c}`") for c in kept])
+    kept = others(docs, ADDED)
+    text = place(docs, text_col)
+    base = numbered(docs).select(*dict.fromkeys((*kept, text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(path)
-        for batch in slices(batches, text_col, BATCH_BYTES):
-            texts = [x or "" for x in batch.column(text_col).to_pylist()]
+        for batch in slices(batches, text, BATCH_BYTES):
+            texts = [x or "" for x in batch.column(text).to_pylist()]
             sizes = np.array([len(x.encode()) for x in texts], np.int64)
             counts = np.array(tokenizer.counts(texts), np.int64)
             cols = [batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes), pa.array(counts), pa.array(counts > limit)], names=[*kept, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes), pa.array(counts), pa.array(counts > limit)], names=[*kept, *ADDED])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(run, f"{kinds}, n_bytes long, n_tokens long, over_limit boolean")
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in base.schema if f.name in kept)
+    return base.mapInArrow(run, f"{kinds}n_bytes long, n_tokens long, over_limit boolean").toDF(*kept.values(), *ADDED)

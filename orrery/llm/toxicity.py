@@ -284,12 +284,12 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kept = others(docs, ("held_out", "score", "predicted"))
     text = place(docs, text_col)
     base = numbered(docs)
-    base = base.select(*kept, F.col(text).alias("scored_text"), held_out(F.col(place(docs, id_col))).alias("held_out"))
+    base = base.select(*dict.fromkeys((*kept, text)), held_out(F.col(place(docs, id_col))).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model)
-        for batch in slices(batches, "scored_text", CHUNK_BYTES):
-            scores = np.array([score(t) for t in raw(batch.column("scored_text"))], np.float64)
+        for batch in slices(batches, text, CHUNK_BYTES):
+            scores = np.array([score(t) for t in raw(batch.column(text))], np.float64)
             own = [batch.column(c) for c in (*kept, "held_out")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*kept, "held_out", "score", "predicted"])
 

@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline as P
 from orrery.llm import decontamination as D
 from orrery.llm import toxicity as T
-from tests.llm.test_simhash import brute as simhash_brute
+from tests.llm.test_near_dedup import brute as near_brute
 from tests.llm.test_substring_dedup import brute as substring_brute
 
 
@@ -59,7 +59,7 @@ def test_each_stage_against_brute_force(spark, folder, tmp_path):
             assert set(kept) == {i for i, r in before.items() if score((r["text"] or "").encode()) < 0.5}
             assert sum(1 for i in before if i < 240 and i % 8 == 1 and i not in kept) >= 27
         elif name == "near_dedup":
-            assert set(kept) == {c for _, _, c in simhash_brute([(i, r["text"]) for i, r in before.items()])}
+            assert set(kept) == near_brute([(i, r["text"]) for i, r in before.items()])
         elif name == "substring_dedup":
             want = {i: n - gone for i, n, gone, _ in substring_brute([(i, r["text"]) for i, r in before.items()])}
             assert {i: len((r["text"] or "").encode().split()) for i, r in kept.items()} == want
