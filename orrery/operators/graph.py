@@ -2,41 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.plans.durable import cut
 
 
-#: Up to so many distinct edges (16 bytes each) between numbered nodes are solved in one task.
-AT_ONCE = 200_000
-
-
-def connected_components(edges: DataFrame, left: str = "a", right: str = "b", at_once: int = AT_ONCE) -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Rows (node, component): each node that has an edge, with the smallest node that it reaches.
 
     Alternates large-star and small-star rewrites, which never add edges and
     end after a number of rounds that is logarithmic in the longest path.
     Minima are combined before the shuffle; nodes of very high degree go
     through plain equi-joins, whose large partitions adaptive execution
-    splits. A table of at most at_once edges, counted first, is solved in one
-    task, with the same result. Self-loops give a component of one node; edges
+    splits. Self-loops give a component of one node; edges
     with a null end are ignored; an empty table gives an empty result.
     """
     pairs = cut(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null").distinct())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    if dict(links.dtypes)["u"] == "bigint" and pairs.count() <= at_once:
-        links = links.coalesce(1).mapInArrow(_solved, "u long, v long")
-    else:
-        links, mark = cut(links.distinct()), None
-        while mark != (now := _mark(links)):
-            mark = now
-            links = cut(_small_star(_large_star(links)))
+    links, mark = cut(links.distinct()), None
+    while mark != (now := _mark(links)):
+        mark = now
+        links = cut(_small_star(_large_star(links)))
     return (
         nodes.join(links.select(F.col("u").alias("node"), "v"), "node", "left")
         .groupBy("node")
@@ -59,15 +48,6 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    none = np.empty(0, np.int64)
-    parts = [[none, none], *[[b.column(c).to_numpy() for c in ("u", "v")] for b in batches]]
-    u, v = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    root = forest(len(nodes), at[: len(u)], at[len(u) :])
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[root], pa.int64())], names=["u", "v"])
-
-
 def _mark(links: DataFrame) -> tuple:
     row = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
     return tuple(row)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset, as in tests, a folder of our own."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset, a folder of our own in local mode and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return named or current.get()
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
     return named or context._jsc.sc().getCheckpointDir().get()
 
