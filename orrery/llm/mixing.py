@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.llm.columns import numbered, others, place
+from orrery.llm.columns import KEYS_AT_ONCE, numbered, others, place
 from orrery.plans.durable import cut
 
 WEIGHTS = (3, 1, 2)
@@ -70,6 +70,11 @@ def thresholds(sized: DataFrame, **shares) -> DataFrame:
     return plan.select(F.col("source").alias("s"), "source_size", "target", "passes", threshold.alias("threshold"))
 
 
+def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with what their source's plan says; a plan of few sources, when counted, is broadcast, so that no source meets in one task."""
+    return rows.join(F.broadcast(plan) if plan.count() <= KEYS_AT_ONCE else plan, F.col("source").eqNullSafe(F.col("s")))
+
+
 def _copies() -> Column:
     return F.col("passes") + F.when((F.col("number") < F.col("threshold")) & (F.col("passes") < 2), 1).otherwise(0)
 
@@ -86,7 +91,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """
     source, size, number = _numbers(docs, id_col, source_col, text_col)
     sized = cut(numbered(docs).select(F.col(place(docs, id_col)).cast("long").alias("doc_id"), source, size, number))
-    out = sized.join(thresholds(sized, **shares), F.col("source").eqNullSafe(F.col("s")))
+    out = _joined(sized, thresholds(sized, **shares))
     return out.select("doc_id", "size", "source_size", "target", _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"))
 
 
@@ -124,7 +129,7 @@ def mixing_stage(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     source, size, number = _numbers(docs, id_col, source_col, text_col)
     rows = numbered(docs)
     plan = thresholds(cut(rows.select(source, size, number)))
-    out = rows.select(*own, source, size, number).join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies())
+    out = _joined(rows.select(*own, source, size, number), plan).withColumn("copies", _copies())
     return out.where("copies > 0").withColumn("taken", F.col("copies") * F.col("size")).select(*own, *added).toDF(*own.values(), *added)
 
 
