@@ -24,9 +24,12 @@ PRESENT = ("(?<![不未没])(?:能|可以|能够)确定", "(?<![不未没])(?:
 ABSENT = ("不(?:存在|成立)", "没有(?:这个|该)?(?:物体|目标|东西)?")
 CORRECTION = r"(?:而是|实际(?:上)?|其实|正确(?:的)?(?:空间)?关系\s*(?:是|为)|应(?:该)?\s*(?:是|为))"
 FINAL = r"(?:最终答案|答案|结论)\s*(?:是|为)?\s*[:：]\s*"
-# Keys and words that an input must not hold.
-HIDDEN = ("answer_value", "answer_status", "target", "certificate", "fact_id", "rationale")
-UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
+# Words that a model input must not hold anywhere.
+HIDDEN = ("expected_relation", "oracle", "certificate", "scene_ir", "relation_oracle")
+UUID = r"\b[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\b"
+# Keys, and parts of keys, that a payload without answers must not have (letters and digits alone, lower case).
+ANSWER_KEYS = ("answer", "answerkey", "answervalue", "answercontract", "canonicalanswerzh", "certificate", "certificates", "claim", "claims", "claimsheet", "oracle", "groundtruth", "expectedanswer", "rationale")
+ANSWER_PARTS = ("answer", "certificate", "claimsheet", "groundtruth", "oracle")
 
 RELATIONS = (("left_of", LEFT), ("right_of", RIGHT), ("in_front_of", FRONT), ("behind", BEHIND))
 
@@ -145,8 +148,20 @@ def trace_flags(text: Column, tags: tuple[str, ...] = ("cue", "reasoning", "answ
 
 
 def leaks(json: Column) -> Column:
-    """Whether a model input holds a hidden key or an id."""
-    return json.rlike('(?i)"(?:' + "|".join(HIDDEN) + ')"\\s*:|' + UUID)
+    """Whether a model input holds a hidden word or an id, anywhere; null for null."""
+    return json.rlike("(?i)" + "|".join((*HIDDEN, UUID)))
+
+
+def answer_keys(json: Column) -> Column:
+    """The keys of a JSON text, at any depth, that bear an answer, as written and in order; null for null."""
+    strings = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    keys = F.transform(F.filter(strings, lambda x: F.endswith(x, F.lit(":"))), lambda x: F.regexp_extract(x, r'(?s)^"(.*)"\s*:$', 1))
+
+    def bears(key: Column) -> Column:
+        plain = F.regexp_replace(F.lower(key), r"[^\p{L}\p{N}]", "")
+        return plain.isin(*ANSWER_KEYS) | plain.rlike("|".join(ANSWER_PARTS))
+
+    return F.filter(keys, bears)
 
 
 def option_order(record: Column, labels: Column) -> Column:

@@ -18,14 +18,28 @@ def _gates(rows: DataFrame, *checks: tuple[str, Column, float]) -> DataFrame:
     return rows.select("episode", F.explode(F.array(*made)).alias("g")).select("episode", "g.*")
 
 
-def rotation_gate(seen: DataFrame, poses: DataFrame, rear_only: int = 1, views_each: int = 1) -> DataFrame:
-    """A turn on the spot: views to the front (within 45 degrees) and to the rear (beyond 135), and entities that the rear alone shows."""
-    at = poses.withColumn("side", F.when(F.abs(G.wrap_degrees(F.col("yaw_deg"))) <= 45, "front").when(F.abs(G.wrap_degrees(F.col("yaw_deg"))) >= 135, "rear"))
-    n = at.groupBy("episode").agg(F.count_if(F.col("side") == "front").alias("front"), F.count_if(F.col("side") == "rear").alias("rear"))
-    shown = seen.join(at.select("episode", "step", "side"), ["episode", "step"]).groupBy("episode", "entity").agg(F.max((F.col("side") == "rear").cast("int")).alias("r"), F.max((F.coalesce(F.col("side"), F.lit("-")) != "rear").cast("int")).alias("o"))
-    only = shown.groupBy("episode").agg(F.count_if((F.col("r") == 1) & (F.col("o") == 0)).alias("only"))
-    rows = n.join(only, "episode", "left")
-    return _gates(rows, ("front_views", F.col("front"), views_each), ("rear_views", F.col("rear"), views_each), ("rear_only_entities", F.col("only"), rear_only))
+def rotation_gate(seen: DataFrame, poses: DataFrame, structural: Column | None = None, panorama: int = 8, rear_only: int = 2, baseline_m: float = 1e-6) -> DataFrame:
+    """A turn on the spot. poses: (episode, step, yaw_deg, x, y, z), and depth_questions_forbidden where the plan says so.
+
+    Front is less than 90 degrees from the first yaw and rear more; no pose
+    may leave the first position by more than baseline_m; all views together
+    must show `panorama` entities that are no structure, and the rear alone
+    `rear_only`; questions of depth must be forbidden; every yaw needs its view.
+    """
+    first = poses.groupBy("episode").agg(F.min_by(F.struct("yaw_deg", "x", "y", "z"), "step").alias("o"))
+    at = poses.join(first, "episode").withColumn("turn", F.abs(G.wrap_degrees(F.col("yaw_deg") - F.col("o.yaw_deg"))))
+    away = F.sqrt(sum((F.col(c) - F.col(f"o.{c}")) ** 2 for c in "xyz"))
+    told = F.col("depth_questions_forbidden") if "depth_questions_forbidden" in poses.columns else F.lit(False)
+    n = at.groupBy("episode").agg(F.max(away).alias("baseline"), F.min(told.cast("int")).alias("told"), F.count("yaw_deg").alias("yaws"))
+    core = seen if structural is None else seen.where(~structural)
+    shown = core.join(at.select("episode", "step", "turn"), ["episode", "step"]).groupBy("episode", "entity").agg(F.max((F.col("turn") < 90).cast("int")).alias("f"), F.max((F.col("turn") > 90).cast("int")).alias("r"))
+    kinds = shown.groupBy("episode").agg(F.count("*").alias("core"), F.count_if((F.col("r") == 1) & (F.col("f") == 0)).alias("only"))
+    views_of = seen.groupBy("episode").agg(F.count_distinct("step").alias("views"))
+    rows = n.join(kinds, "episode", "left").join(views_of, "episode", "left")
+    return _gates(
+        rows, ("zero_parallax", -F.col("baseline"), -baseline_m), ("panorama_core_entities", F.coalesce("core", F.lit(0)), panorama),
+        ("rear_only_core_entities", F.coalesce("only", F.lit(0)), rear_only), ("depth_questions_forbidden", F.col("told"), 1), ("yaw_sequence_matches_views", (F.col("yaws") == F.col("views")).cast("int"), 1),
+    )
 
 
 def orbit_gate(seen: DataFrame, poses: DataFrame, focus: str, coverage: float = 240.0, share: float = 0.8) -> DataFrame:

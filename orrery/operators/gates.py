@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import raster
+
 
 def reasons(*checks: tuple[str, Column]) -> Column:
     """Codes of the checks that fail (a null check fails), in order."""
@@ -16,14 +20,46 @@ def gated(rows: DataFrame, *checks: tuple[str, Column]) -> DataFrame:
     return rows.withColumn("reasons", reasons(*checks)).withColumn("passed", F.size("reasons") == 0)
 
 
+# Limits of a model frame.
+DOMINANT_COLOUR, LEAST_ENTROPY = 0.60, 2.75
+NEAR_THINGS, NEAR_ANY, CLOSE_GEOMETRY = 0.35, 0.90, 0.90
+ENCLOSURE, ENCLOSURE_MEDIAN_M, ENCLOSURE_SPREAD_M = 0.95, 0.90, 0.60
+FOREGROUND, FOREGROUND_MEDIAN_M, FOREGROUND_SIDES = 0.60, 0.75, ("left", "right", "top")
+
+
+def frame_evidence(pixels: DataFrame, width: int, height: int, structural: Column, enclosing: Column) -> DataFrame:
+    """One row a view: colour, collision and depth statistics, the share of enclosing pixels, and the largest instance that is no structure (ties to the smaller number).
+
+    structural, enclosing: conditions on a pixel's instance.
+    """
+    colour, collision = raster.colour_stats(pixels), raster.collision_stats(pixels, height, structural=structural)
+    context = raster.context_stats(pixels, width=width, height=height).select("view", "p10", "p50", "p90", "close_share")
+    walls = pixels.groupBy("view").agg(F.avg(enclosing.cast("int")).alias("enclosing_share"), F.count("*").alias("frame_pixels"))
+    depth = F.when((F.col("depth_m") > 0) & ~F.isnan("depth_m"), F.col("depth_m"))
+    things = pixels.where(~structural)
+    things = things.groupBy("view", "instance").agg(
+        F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.percentile(depth, 0.5).alias("median_m")
+    )
+    sides = F.array_compact(F.array(*[F.when(c, n) for n, c in (("left", F.col("x0") == 0), ("right", F.col("x1") == width - 1), ("top", F.col("y0") == 0), ("bottom", F.col("y1") == height - 1))]))
+    first = things.groupBy("view").agg(F.max_by(F.struct("n", sides.alias("sides"), "median_m"), F.struct("n", -F.col("instance"))).alias("f"))
+    rows = colour.join(collision, "view").join(context, "view").join(walls, "view").join(first, "view", "left")
+    return rows.withColumn("foreground_share", F.col("f.n") / F.col("frame_pixels")).withColumn("foreground_sides", F.col("f.sides")).withColumn("foreground_m", F.col("f.median_m")).drop("f")
+
+
 def frame_checks() -> tuple[tuple[str, Column], ...]:
-    """Checks on colour, collision and context statistics of a frame."""
+    """Checks on a row of frame_evidence(); what has no valid depth counts as 0."""
+
+    def no(*conditions: Column) -> Column:
+        return ~reduce(Column.__and__, [F.coalesce(c, F.lit(False)) for c in conditions])
+
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    all_sides = F.size(F.array_intersect("foreground_sides", F.array(*map(F.lit, FOREGROUND_SIDES)))) == len(FOREGROUND_SIDES)
     return (
-        ("degenerate_colour", (F.col("dominant_share") <= 0.92) & (F.col("entropy_bits") >= 0.5)),
-        ("near_collision", F.coalesce("near_thing_share", F.lit(0.0)) <= 0.45),
-        ("near_surface", F.coalesce("near_share", F.lit(0.0)) <= 0.6),
-        ("enclosed", F.coalesce("enclosure", F.lit(0.0)) <= 0.9),
-        ("foreground", F.col("dominant_pixels") <= 48),
+        ("degenerate_rgb", no(F.col("dominant_share") >= DOMINANT_COLOUR, F.col("entropy_bits") < LEAST_ENTROPY)),
+        ("camera_collision", (zero("near_thing_share") < NEAR_THINGS) & (zero("near_share") < NEAR_ANY)),
+        ("near_surface_saturation", zero("close_share") < CLOSE_GEOMETRY),
+        ("near_enclosure", no(F.col("enclosing_share") >= ENCLOSURE, zero("p50") <= ENCLOSURE_MEDIAN_M, zero(F.col("p90") - F.col("p10")) <= ENCLOSURE_SPREAD_M)),
+        ("foreground_occlusion", no(F.col("foreground_share") >= FOREGROUND, all_sides, F.col("foreground_m") <= FOREGROUND_MEDIAN_M)),
     )
 
 

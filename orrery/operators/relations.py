@@ -139,32 +139,6 @@ def swap_candidates(entities: DataFrame, most: float = 0.35, per_target: int = 3
     return top_per(pairs.select("target", "candidate", "aspect_distance"), ["target"], [F.round("aspect_distance", 9), F.col("candidate")], per_target)
 
 
-def flip_proposals(entities: DataFrame, reach: float = 3.0, margin: float = 0.03) -> DataFrame:
-    """Moves of an object to the other side of a near anchor, left for right, that collide with nothing near.
-
-    Rows (target, anchor, relation, new_relation, new_x, new_y).
-    """
-    cols = ("x", "y", "z", "hx", "hy", "hz")
-    pairs = near_pairs(entities, reach, cols)
-    flat = F.abs(F.col("a_x") - F.col("b_x")) >= F.abs(F.col("a_y") - F.col("b_y"))
-    moves = pairs.where(flat).select(
-        "region", F.col("a_id").alias("target"), F.col("b_id").alias("anchor"), (2 * F.col("b_x") - F.col("a_x")).alias("new_x"), F.col("a_y").alias("new_y"),
-        *[F.col(f"a_{c}").alias(c) for c in ("z", "hx", "hy", "hz")],
-        F.when(F.col("a_x") > F.col("b_x"), "right_of").otherwise("left_of").alias("relation"),
-    )
-    # an obstacle is within the sum of half sizes, so cells of twice the largest half size do
-    size = 2 * reach
-    around = F.array(*[F.struct((F.floor(F.col("new_x") / size) + i).alias("i"), (F.floor(F.col("new_y") / size) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    looked = moves.select("region", "target", "anchor", "new_x", "new_y", "z", "hx", "hy", "hz", F.explode(around).alias("c")).select("*", F.col("c.i").alias("i"), F.col("c.j").alias("j")).drop("c")
-    at = entities.where(F.greatest("hx", "hy") <= reach).select(F.col("region").alias("o_region"), F.col("entity_id").alias("o"), *[F.col(c).alias(f"o_{c}") for c in cols], F.floor(F.col("x") / size).alias("oi"), F.floor(F.col("y") / size).alias("oj"))
-    hit = F.col("region").eqNullSafe(F.col("o_region")) & (F.col("i") == F.col("oi")) & (F.col("j") == F.col("oj")) & (F.col("o") != F.col("target"))
-    here, there = G.vec(F.col("new_x"), F.col("new_y"), F.col("z")), G.vec(*[F.col(f"o_{k}") for k in "xyz"])
-    half, half_o = G.vec(*[F.col(f"h{k}") for k in "xyz"]), G.vec(*[F.col(f"o_h{k}") for k in "xyz"])
-    blocked = looked.join(at, hit & G.aabb_overlap(here, half, there, half_o, margin)).select("target", "anchor").distinct()
-    free = moves.join(blocked, ["target", "anchor"], "left_anti")
-    return free.select("target", "anchor", "relation", inverse(F.col("relation")).alias("new_relation"), "new_x", "new_y")
-
-
 def flip_moves(entities: DataFrame, reach: float = 3.0, margin: float = 0.03, cell: float = 6.0) -> DataFrame:
     """Moves of an object to the other side of a near anchor, along the larger axis, that collide with no third object of the region.
 

@@ -16,14 +16,18 @@ def _rows(source: str, *gates: tuple[str, str, float]) -> str:
     return " UNION ALL ".join(f"SELECT episode, '{n}' AS gate, {_AS.format(m=m, r=r)} FROM {source}" for n, m, r in gates)
 
 
-@query(f"""{_S}, p AS (SELECT DISTINCT episode, step, (step * 45) % 360 AS y FROM sightings), a AS (SELECT episode, step, CASE WHEN y <= 45 OR y >= 315 THEN 'front' WHEN y BETWEEN 135 AND 225 THEN 'rear' END AS side FROM p),
-n AS (SELECT episode, count(*) FILTER (side = 'front') AS f, count(*) FILTER (side = 'rear') AS r FROM a GROUP BY 1),
-e AS (SELECT s.episode, entity, max((side = 'rear')::INT) AS r, max((coalesce(side, '-') <> 'rear')::INT) AS o FROM sightings s JOIN a ON a.episode = s.episode AND a.step = s.step GROUP BY ALL),
-x AS (SELECT n.episode, f, r, (SELECT count(*) FROM e WHERE e.episode = n.episode AND e.r = 1 AND e.o = 0) AS only_rear FROM n)
-{_rows("x", ("front_views", "f", 1), ("rear_views", "r", 1), ("rear_only_entities", "only_rear", 1))}""")
+@query(f"""{_S}, p AS (SELECT DISTINCT episode, step, (step * 45 + 30) % 360 AS yaw, CASE WHEN episode % 3 = 0 THEN step * 0.25 ELSE 0 END AS x FROM sightings),
+o AS (SELECT p.*, first_value(yaw) OVER w AS yaw0, first_value(x) OVER w AS x0 FROM p WINDOW w AS (PARTITION BY episode ORDER BY step)),
+t AS (SELECT *, least((yaw - yaw0 + 720) % 360, 360 - (yaw - yaw0 + 720) % 360) AS turn FROM o),
+e AS (SELECT s.episode, s.entity, bool_or(turn < 90) AS f, bool_or(turn > 90) AS r FROM sightings s JOIN t ON t.episode = s.episode AND t.step = s.step WHERE s.entity <> 'scroll' GROUP BY ALL),
+k AS (SELECT episode, count(*) AS core, count(*) FILTER (r AND NOT f) AS only_rear FROM e GROUP BY episode),
+x AS (SELECT t.episode, -max(abs(x - x0)) AS base, (t.episode % 2)::INT AS told, 1 AS same, coalesce(any_value(core), 0) AS core, coalesce(any_value(only_rear), 0) AS only_rear FROM t LEFT JOIN k ON k.episode = t.episode GROUP BY t.episode)
+{_rows("x", ("zero_parallax", "base", -1e-6), ("panorama_core_entities", "core", 8), ("rear_only_core_entities", "only_rear", 2), ("depth_questions_forbidden", "told", 1), ("yaw_sequence_matches_views", "same", 1))}""")
 def rotation_gate(spark, d):
     s = sightings(spark, d)
-    return B.rotation_gate(s, s.select("episode", "step", (F.col("step") * 45 % 360).cast("double").alias("yaw_deg")).distinct())
+    x = F.when(F.col("episode") % 3 == 0, F.col("step") * 0.25).otherwise(0.0)
+    poses = s.select("episode", "step").distinct().select("*", ((F.col("step") * 45 + 30) % 360).cast("double").alias("yaw_deg"), x.alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), (F.col("episode") % 2 == 1).alias("depth_questions_forbidden"))
+    return B.rotation_gate(s, poses, F.col("entity") == "scroll")
 
 
 @query(f"""{_S}, p AS (SELECT DISTINCT episode, step, CAST((step * 47) % 360 AS DOUBLE) AS b FROM sightings), d AS (SELECT DISTINCT episode, b FROM p),

@@ -66,14 +66,19 @@ def frame_context(spark, d):
     return _rounded(R.context_stats(frames(spark, d)), "p10", "p50", "p90", "close_share", "enclosure")
 
 
-@query(f"""{_F}, {_COLOUR}, {_COLLISION}, {_CONTEXT}
-SELECT view, concat_ws(',', CASE WHEN NOT (dominant_share <= 0.92 AND entropy_bits >= 0.5) THEN 'degenerate_colour' END,
-  CASE WHEN coalesce(near_things / nullif(valid, 0), 0) > 0.45 THEN 'near_collision' END, CASE WHEN coalesce(near / nullif(valid, 0), 0) > 0.6 THEN 'near_surface' END,
-  CASE WHEN coalesce(enclosure, 0) > 0.9 THEN 'enclosed' END, CASE WHEN dominant_pixels > 48 THEN 'foreground' END) AS reasons
-FROM c JOIN k USING (view) JOIN x USING (view) JOIN d USING (view)""")
+@query(f"""{_F}, {_COLOUR}, {_COLLISION}, {_CONTEXT},
+e AS (SELECT view, avg((instance IN (0, 1))::INT) AS enclosing, count(*) AS size FROM pixels GROUP BY view),
+f AS (SELECT view, n, far, edges FROM (
+    SELECT view, instance, count(*) AS n, median(depth_m) FILTER (depth_m > 0) AS far, min(x) = 0 AND max(x) = 7 AND min(y) = 0 AS edges FROM pixels WHERE instance <> 0 GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY view ORDER BY n DESC, instance) = 1)
+SELECT view, concat_ws(',', CASE WHEN dominant_share >= 0.6 AND entropy_bits < 2.75 THEN 'degenerate_rgb' END,
+  CASE WHEN coalesce(near_things / nullif(valid, 0), 0) >= 0.35 OR coalesce(near / nullif(valid, 0), 0) >= 0.9 THEN 'camera_collision' END,
+  CASE WHEN coalesce(close_share, 0) >= 0.9 THEN 'near_surface_saturation' END,
+  CASE WHEN enclosing >= 0.95 AND coalesce(p50, 0) <= 0.9 AND coalesce(p90 - p10, 0) <= 0.6 THEN 'near_enclosure' END,
+  CASE WHEN n / size >= 0.6 AND edges AND far <= 0.75 THEN 'foreground_occlusion' END) AS reasons
+FROM c JOIN k USING (view) JOIN x USING (view) JOIN e USING (view) LEFT JOIN f USING (view)""")
 def frame_gate(spark, d):
-    p = frames(spark, d)
-    s = R.colour_stats(p).join(R.collision_stats(p, 8, structural=F.col("instance") == 0), "view").join(R.context_stats(p), "view")
+    s = Q.frame_evidence(frames(spark, d), 8, 8, F.col("instance") == 0, F.col("instance").isin(0, 1))
     return Q.gated(s, *Q.frame_checks()).select("view", F.array_join("reasons", ",").alias("reasons"))
 
 

@@ -155,25 +155,7 @@ def model_swap_candidates(spark, sf_dir):
     return R.swap_candidates(entities(spark, sf_dir)).withColumn("aspect_distance", F.round("aspect_distance", 6))
 
 
-@query(f"""
-WITH {ENTITIES_SQL},
-p AS (
-  SELECT a.region, a.entity_id AS target, b.entity_id AS anchor, 2 * b.x - a.x AS nx, a.y AS ny, a.z, a.hx, a.hy, a.hz, a.x > b.x AS is_right
-  FROM entities a JOIN entities b ON a.region IS NOT DISTINCT FROM b.region AND a.entity_id < b.entity_id
-  WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 3.0 AND abs(a.x - b.x) >= abs(a.y - b.y))
-SELECT target, anchor, CASE WHEN is_right THEN 'right_of' ELSE 'left_of' END AS relation,
-  CASE WHEN is_right THEN 'left_of' ELSE 'right_of' END AS new_relation, round(nx, 6) AS new_x, round(ny, 6) AS new_y
-FROM p WHERE NOT EXISTS (
-  SELECT 1 FROM entities o WHERE o.region IS NOT DISTINCT FROM p.region AND o.entity_id <> p.target AND greatest(o.hx, o.hy) <= 3.0
-    AND floor(o.x / 6.0) BETWEEN floor(p.nx / 6.0) - 1 AND floor(p.nx / 6.0) + 1 AND floor(o.y / 6.0) BETWEEN floor(p.ny / 6.0) - 1 AND floor(p.ny / 6.0) + 1
-    AND abs(o.x - p.nx) < o.hx + p.hx + 0.03 AND abs(o.y - p.ny) < o.hy + p.hy + 0.03 AND abs(o.z - p.z) < o.hz + p.hz + 0.03)
-""")
-def relation_flip_proposals(spark, sf_dir):
-    out = R.flip_proposals(entities(spark, sf_dir))
-    return out.select("target", "anchor", "relation", "new_relation", F.round("new_x", 6).alias("new_x"), F.round("new_y", 6).alias("new_y"))
-
-
-@query(f"""
+_MOVES = f"""
 WITH {ENTITIES_SQL},
 m AS (
   SELECT a.region, a.entity_id AS target, b.entity_id AS anchor, a.x, a.y, a.z, a.hx, a.hy, a.hz, b.x AS bx, b.y AS by_, abs(a.x - b.x) >= abs(a.y - b.y) AS across
@@ -186,12 +168,20 @@ SELECT target, anchor,
 FROM p WHERE NOT EXISTS (
   SELECT 1 FROM entities o WHERE o.region IS NOT DISTINCT FROM p.region AND o.entity_id <> p.target AND o.entity_id <> p.anchor
     AND abs(o.x - p.nx) < o.hx + p.hx + 0.03 AND abs(o.y - p.ny) < o.hy + p.hy + 0.03 AND abs(o.z - p.z) < o.hz + p.hz + 0.03)
-""")
+"""
+
+
+@query(_MOVES)
 def relation_flip_moves(spark, sf_dir):
     out = R.flip_moves(entities(spark, sf_dir))
     return out.select("target", "anchor", "relation", "new_relation", F.round("new_x", 6).alias("new_x"), F.round("new_y", 6).alias("new_y"))
 
 
+@query(_MOVES)
+def relation_flip_proposals(spark, sf_dir):
+    return relation_flip_moves(spark, sf_dir)
+
+
 @query("""
 WITH e AS (
   SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) AS d,

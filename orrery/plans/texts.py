@@ -76,9 +76,24 @@ def answer_parse(spark, d):
     return _answers(spark, d).select("c_custkey", T.parse_answer(task, F.col("said"), none)["parsed"].alias("parsed"))
 
 
-@query(r"""SELECT event_id, regexp_matches(props, '(?i)"(?:answer_value|answer_status|target|certificate|fact_id|rationale)"\s*:|[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}') AS leaks FROM events""")
+@query(r"""WITH m AS (SELECT conv_id, turn, coalesce(text, '') || CASE conv_id % 7 WHEN 0 THEN ' see Scene_IR' WHEN 1 THEN ' 123E4567-e89b-12d3-a456-426614174000' WHEN 2 THEN ' x123e4567-e89b-12d3-a456-426614174000' WHEN 3 THEN ' oracles' ELSE '' END AS said FROM conversations)
+SELECT conv_id, turn, contains(lower(said), 'expected_relation') OR contains(lower(said), 'oracle') OR contains(lower(said), 'certificate') OR contains(lower(said), 'scene_ir')
+  OR regexp_matches(lower(said), '\b[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\b') AS leaks FROM m""")
 def leakage_hits(spark, d):
-    return table(spark, d, "events").select("event_id", T.leaks(F.col("props")).alias("leaks"))
+    """Whole texts of conversations, with hidden words and ids planted in some."""
+    k = F.col("conv_id") % 7
+    planted = F.when(k == 0, " see Scene_IR").when(k == 1, " 123E4567-e89b-12d3-a456-426614174000").when(k == 2, " x123e4567-e89b-12d3-a456-426614174000").when(k == 3, " oracles").otherwise("")
+    return table(spark, d, "conversations").select("conv_id", "turn", T.leaks(F.concat(F.coalesce("text", F.lit("")), planted)).alias("leaks"))
+
+
+@query(r"""WITH j AS (SELECT event_id, json_object('props', try_cast(props AS JSON), 'note', '"oracle": ' || event_id, CASE event_id % 4 WHEN 0 THEN 'Answer-Key' WHEN 1 THEN 'claims' WHEN 2 THEN 'claimed' ELSE 'Ground_Truth_2' END, json_object('rationale', 1)) AS p FROM events)
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Answer-Key,rationale' WHEN 1 THEN 'claims,rationale' WHEN 2 THEN 'rationale' ELSE 'Ground_Truth_2,rationale' END AS keys FROM j""")
+def answer_bearing_keys(spark, d):
+    """Payloads of events with keys planted at two depths; a text that looks like a key is none."""
+    k = F.col("event_id") % 4
+    key = F.when(k == 0, "Answer-Key").when(k == 1, "claims").when(k == 2, "claimed").otherwise("Ground_Truth_2")
+    payload = F.concat(F.lit('{"props": '), F.coalesce("props", F.lit("null")), F.lit(', "note": "\\"oracle\\": '), F.col("event_id").cast("string"), F.lit('", "'), key, F.lit('": {"rationale": 1}}'))
+    return table(spark, d, "events").select("event_id", F.array_join(T.answer_keys(payload), ",").alias("keys"))
 
 
 @query("""WITH l AS (SELECT c_custkey, unnest(['front', 'right', 'back', 'left']) AS label FROM customer)

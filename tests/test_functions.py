@@ -153,7 +153,9 @@ def test_ngrams(spark):
 def test_templates_and_leaks(spark):
     t = F.lit("{{a}} and {{b}}")
     assert value(spark, T.rendered(t, {"a": F.lit("x"), "b": F.lit("y")}), T.rendered(F.lit("{{a}} {{a}}"), {"a": F.lit("x")})) == ("x and y", None)
-    assert value(spark, T.leaks(F.lit('{"target": 1}')), T.leaks(F.lit('{"text": "target"}')), T.leaks(F.lit("123e4567-e89b-12d3-a456-426614174000"))) == (True, False, True)
+    assert value(spark, T.leaks(F.lit('{"text": "the Scene_IR says"}')), T.leaks(F.lit('{"text": "target"}')), T.leaks(F.lit("123e4567-e89b-12d3-a456-426614174000"))) == (True, False, True)
+    keys = lambda s: value(spark, T.answer_keys(F.lit(s)))
+    assert keys('{"a": [{"Expected Answer": {"x": "answer"}}], "claim_sheet_id": 1, "claiming": ":", "q": "\\"oracle\\": 1"}') == ["Expected Answer", "claim_sheet_id"]
     pointer = value(spark, T.lfs_pointer(F.lit("version https://x/v1\noid sha256:" + "a" * 64 + "\nsize 12\n")))
     assert pointer["size"] == 12 and value(spark, T.lfs_pointer(F.lit("no")))["oid"] is None
     assert value(spark, ids.redact_paths(F.lit("at /home/me/x/file.py, fine"))) == "at <path>/file.py, fine"
