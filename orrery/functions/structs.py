@@ -146,3 +146,24 @@ def merged(base: dict, changes: dict, path: str = "") -> dict:
 def reviewed_at(text: Column) -> Column:
     """The time of an ISO 8601 text with a zone, else null."""
     return F.when(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp(text))
+
+
+# Pairs of keys under which a certificate may tell its components, in order of rank.
+COMPONENT_KEYS = (
+    ("ego_right_delta_m", "ego_front_delta_m"),
+    ("canonical_right_delta_m", "canonical_front_delta_m"),
+    ("query_right_m", "query_front_m"),
+    ("target_ego_right_m", "target_ego_front_m"),
+)
+
+
+def relation_components(certificate: Column) -> Column:
+    """The first pair (right, front) of COMPONENT_KEYS under "oracle" of a JSON text that are both numbers, or null; true and "1" are no numbers."""
+    value = F.try_parse_json(certificate)
+
+    def number(key: str) -> Column:
+        part = F.try_variant_get(value, f"$.oracle.{key}", "variant")
+        return F.when(F.schema_of_variant(part).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get(value, f"$.oracle.{key}", "double"))
+
+    pairs = [(number(r), number(f)) for r, f in COMPONENT_KEYS]
+    return F.coalesce(*[F.when(r.isNotNull() & f.isNotNull(), F.struct(r.alias("right"), f.alias("front"))) for r, f in pairs])

@@ -125,3 +125,53 @@ def signal(value: Column, low: float, high: float) -> Column:
 
 def risk(*signals: Column) -> Column:
     return F.greatest(*signals)
+
+
+def visual_blockers(views: DataFrame) -> DataFrame:
+    """Views that carry too little to learn from, with reasons; flat texture alone is no reason.
+
+    views: any keys, rgb_std, rgb_p99, rgb_p01, sharpness, instances. A null measure blocks.
+    """
+    checks = (
+        ("near_uniform_rgb", F.col("rgb_std") >= 5.0),
+        ("severe_underexposure", F.col("rgb_p99") >= 20.0),
+        ("severe_overexposure", F.col("rgb_p01") <= 235.0),
+        ("low_information_or_camera_collision", (F.col("sharpness") >= 1.5) | (F.col("instances") > 2)),
+    )
+    return gated(views, *checks).where("not passed").drop("passed")
+
+
+def anchor_checks(pixels: int = 2000, side: int = 40, outer: float = 0.80) -> tuple[tuple[str, Column], ...]:
+    """Checks, after referent_checks(), that an instance stands out enough to anchor a question about another view."""
+    return (("anchor_pixels", F.col("pixels") >= pixels), ("anchor_side", F.col("min_side") >= side), ("anchor_border", F.col("outer_share") < outer))
+
+
+def pair_tier(job: Column, base_integrity: Column, base_visual: Column, variant_integrity: Column, variant_visual: Column) -> Column:
+    """Tier and reasons of a pair of renders, before any human decision; what is null is no pass."""
+    sound = lambda c: F.coalesce(c == "pass", F.lit(False))
+    broken = F.array_compact(F.array(*[F.when(~sound(c), f"{n} sensor integrity is not a full pass") for n, c in (("base", base_integrity), ("variant", variant_integrity))]))
+    made = lambda tier, why: F.struct(F.lit(tier).alias("tier"), why.alias("reasons"))
+    one = lambda text: F.array(text if isinstance(text, Column) else F.lit(text))
+    return (
+        F.when(~F.coalesce(job.isin("certified", "needs_review"), F.lit(False)), made("excluded", one(F.concat(F.lit("intervention job status is "), F.coalesce(job, F.lit("unknown"))))))
+        .when(F.size(broken) > 0, made("audit_only", broken))
+        .when(~sound(base_visual) | ~sound(variant_visual), made("candidate", one("base or variant visual warning requires human review")))
+        .otherwise(made("candidate", one("awaiting explicit pair-level human acceptance")))
+    )
+
+
+def degenerate_views(questions: DataFrame, frames: DataFrame) -> DataFrame:
+    """Rows (question, bad_views): the views of a question, in its order, whose frame did not pass; none: an empty list.
+
+    questions: (question, views: array); frames: (view, passed). A view without a frame has not passed.
+    """
+    asked = questions.select("question", F.posexplode_outer("views").alias("at", "view"))
+    judged = asked.join(frames.select("view", "passed"), "view", "left")
+    bad = F.when(F.col("view").isNotNull() & ~F.coalesce("passed", F.lit(False)), F.struct("at", "view"))
+    return judged.groupBy("question").agg(F.transform(F.array_sort(F.collect_list(bad)), lambda x: x["view"]).alias("bad_views"))
+
+
+def adjudication_counts(jobs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows (decision, jobs, scenes). jobs: (job, scene); decisions: (job, decision); a job without one is unavailable_no_quality_report."""
+    of = F.coalesce("decision", F.lit("unavailable_no_quality_report"))
+    return jobs.join(decisions, "job", "left").groupBy(of.alias("decision")).agg(F.count("*").alias("jobs"), F.count_distinct("scene").alias("scenes"))

@@ -61,3 +61,40 @@ def shards(rows: DataFrame, n: int, ordinal: str, shard: str) -> DataFrame:
 def conflicts(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Keys for which shards give different values."""
     return rows.groupBy(key).agg(F.count_distinct(value).alias("n_values"), F.count("*").alias("n_rows")).where("n_values > 1")
+
+
+def schedule_faults(schedule: DataFrame, records: DataFrame) -> DataFrame:
+    """Draws whose source row is missing or says something else: (draw, faults).
+
+    schedule: (draw, source_jsonl, source_line, source_sha256, record_id, fact_ids, sample_weight);
+    records: (source_jsonl, source_line, source_sha256, record_id, fact_ids), lines from 1.
+    """
+    claimed = ("source_sha256", "record_id", "fact_ids")
+    found = records.select("source_jsonl", "source_line", F.lit(True).alias("found"), *[F.col(c).alias(f"own_{c}") for c in claimed])
+    joined = schedule.join(found, ["source_jsonl", "source_line"], "left")
+    missing = F.col("found").isNull()
+    faults = F.array_compact(F.array(
+        F.when(missing, "source_line"),
+        *[F.when(~missing & ~F.col(c).eqNullSafe(F.col(f"own_{c}")), c) for c in claimed],
+        F.when(~F.coalesce(F.col("sample_weight") > 0, F.lit(False)), "sample_weight"),
+    ))
+    return joined.select("draw", faults.alias("faults")).where(F.size("faults") > 0)
+
+
+def with_split(units: DataFrame, splits: DataFrame, key: str = "scene") -> DataFrame:
+    """Units with the split of their scene; a scene that has none, when its row is read, is an error."""
+    told = F.coalesce("split", F.raise_error(F.concat(F.lit("no split for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    return units.join(splits.select(key, "split"), key, "left").withColumn("split", told)
+
+
+def unequal_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows, with side and copies, by which two tables of the same columns differ as multisets; none if they are equal."""
+    names = left.columns
+    both = left.withColumn("n", F.lit(1)).unionByName(right.withColumn("n", F.lit(-1)))
+    counts = both.groupBy(*names).agg(F.sum("n").alias("n")).where("n <> 0")
+    return counts.select(*names, F.when(F.col("n") > 0, "left").otherwise("right").alias("side"), F.abs("n").alias("copies"))
+
+
+def summed_counters(rows: DataFrame, key: str, counter: str) -> DataFrame:
+    """Rows (key, name, n): the sum of maps from names to counts."""
+    return rows.select(key, F.explode(counter).alias("name", "n")).groupBy(key, "name").agg(F.sum("n").alias("n"))

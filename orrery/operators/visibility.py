@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.functions import geometry as G
+
 
 def _episode():
     return W.partitionBy("episode")
@@ -206,3 +208,17 @@ def view_links(seen: DataFrame, shared: int = 2) -> DataFrame:
 
 def visibility_status(first: Column, last: Column, end: Column) -> Column:
     return F.when(last == end, "visible").when(first.isNull(), "unknown").otherwise("remembered")
+
+
+def named_visible(seen: DataFrame, least: int = 256) -> DataFrame:
+    """Entities of a view with at least so many pixels, placed from 1 by most pixels, then id. seen: (episode, step, entity, pixels)."""
+    place = F.row_number().over(W.partitionBy("episode", "step").orderBy(F.desc("pixels"), "entity"))
+    return seen.where(F.col("pixels") >= least).select("episode", "step", "entity", "pixels", place.alias("place"))
+
+
+def turn_events(poses: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """Each view and the one before: the change of yaw, and whether it is a turnaround. poses: (episode, step, yaw_deg)."""
+    before = F.lag("yaw_deg").over(W.partitionBy("episode").orderBy("step"))
+    change = poses.withColumn("yaw_change_deg", G.wrap_degrees(F.col("yaw_deg") - before)).where("yaw_change_deg is not null")
+    verified = F.abs(F.abs("yaw_change_deg") - 180.0) <= tolerance
+    return change.select("episode", "step", F.round("yaw_change_deg", 6).alias("yaw_change_deg"), F.when(verified, "turnaround").otherwise("heading_change").alias("event"), verified.alias("verified"))
