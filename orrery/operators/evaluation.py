@@ -6,6 +6,10 @@ cases is null with the status NA_ZERO_DENOMINATOR.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,11 +140,20 @@ def bootstrap(rows: DataFrame, cluster: str, left: Column, right: Column, resamp
         raise ValueError(f"at least {LEAST_RESAMPLES} resamples")
     per = rows.groupBy(cluster).agg(F.sum(right.cast("int") - left.cast("int")).alias("d"), F.count("*").alias("n"))
     seed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), F.col(cluster).cast("string")).cast("binary")), 1, 12), 16, 10).cast("long") % _PRIME
-    drawn = per.select("d", "n", seed.alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("r"))
-    h = (F.col("h") + F.col("r") * 69_621 + 1) % _PRIME
-    for shift, factor in _STEPS:
-        drawn, h = drawn.withColumn("h", h), (F.col("h").bitwiseXOR(F.shiftright("h", shift)) * factor) % _PRIME
-    u = h / F.lit(float(_PRIME))
-    times = sum((u >= c).cast("int") for c in _POISSON)
-    each = drawn.select("r", "d", "n", times.alias("w")).groupBy("r").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum(F.col("w") * F.col("n"))).alias("delta"))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.arange(resamples, dtype=np.int64)
+        sums = np.zeros((2, resamples), np.int64)
+        for batch in batches:
+            for d, n, h in zip(*[batch.column(c).to_pylist() for c in ("d", "n", "h")], strict=True):
+                x = (h + r * 69_621 + 1) % _PRIME
+                for shift, factor in _STEPS:
+                    x = ((x ^ x >> shift) * factor) % _PRIME
+                times = np.searchsorted(_POISSON, x / _PRIME, side="right")
+                sums[0] += times * d
+                sums[1] += times * n
+        yield pa.RecordBatch.from_arrays([pa.array(r), *map(pa.array, sums)], names=["r", "d", "n"])
+
+    sums = per.select(F.coalesce("d", F.lit(0)).alias("d"), "n", seed.alias("h")).mapInArrow(drawn, "r long, d long, n long")
+    each = sums.groupBy("r").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("delta"))
     return each.agg(F.avg("delta").alias("mean"), F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from orrery.operators import relations as R
 from orrery.operators import sampling as S
 from orrery.operators import schedule as X
-from orrery.plans.registry import entities, query, table
+from orrery.plans.registry import ENTITIES_SQL, entities, query, table
+from orrery.plans.spatial import CANDIDATES_SQL
 
 
 @query("""WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY sha256('v1:' || c_custkey), c_custkey) AS r FROM customer)
@@ -87,7 +88,15 @@ def risk_round_robin(spark, d):
     return out.select("c_custkey", "c_mktsegment", F.col("turn").cast("long").alias("turn"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ENTITIES_SQL}, {CANDIDATES_SQL},
+o AS (SELECT coalesce(region, -1) AS g, region, subject, reference, relation, m, CAST(row_number() OVER (PARTITION BY region ORDER BY -round(m, 9), subject, reference) AS BIGINT) AS i,
+  CASE WHEN subject < reference THEN subject || '/' || reference ELSE reference || '/' || subject END AS pair FROM w),
+t(g, i, pairs, rels, kept) AS (
+  SELECT DISTINCT g, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false FROM o
+  UNION ALL
+  SELECT t.g, o.i, CASE WHEN ok THEN list_append(pairs, pair) ELSE pairs END, CASE WHEN ok THEN list_append(rels, relation) ELSE rels END, ok
+  FROM (SELECT t.g, o.i, t.pairs, t.rels, o.pair, o.relation, NOT list_contains(t.pairs, o.pair) AND len(list_filter(t.rels, lambda x: x = o.relation)) < 2 AS ok FROM t JOIN o ON o.g = t.g AND o.i = t.i + 1) AS o JOIN (SELECT DISTINCT g FROM o) AS t ON t.g = o.g)
+SELECT o.region, subject, reference, relation, m AS margin FROM t JOIN o USING (g, i) WHERE kept""")
 def greedy_unique_pairs(spark, d):
     # with the region at hand, ranks are limited before anything is shuffled
     c = R.relation_candidates(entities(spark, d), per_relation=None, keep=("region",))
@@ -97,13 +106,29 @@ def greedy_unique_pairs(spark, d):
     return S.greedy_pairs(c, "region", "subject", "reference", "relation", "rank").drop("rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ENTITIES_SQL}, {CANDIDATES_SQL},
+b AS (SELECT region, relation, max(m) AS m, CAST(dense_rank() OVER (ORDER BY region NULLS FIRST) AS BIGINT) AS i FROM w GROUP BY region, relation),
+t(i, rels, best) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS STRUCT(r VARCHAR, m DOUBLE))
+  UNION ALL
+  SELECT any_value(b.i), list_append(any_value(t.rels), arg_min(b.relation, row(len(list_filter(t.rels, lambda x: x = b.relation)), -b.m, b.relation))),
+    arg_min({{'r': b.relation, 'm': b.m}}, row(len(list_filter(t.rels, lambda x: x = b.relation)), -b.m, b.relation))
+  FROM t JOIN b ON b.i = t.i + 1 GROUP BY t.i)
+SELECT (SELECT any_value(region) FROM b WHERE b.i = t.i) AS region, best.r AS relation, best.m AS margin FROM t WHERE i > 0""")
 def balanced_relations(spark, d):
     c = R.relation_candidates(entities(spark, d), per_relation=None).join(entities(spark, d).selectExpr("entity_id as subject", "region"), "subject")
     return S.balanced_choices(c, "region", "relation", "margin")
 
 
-@query()
+@query("""WITH RECURSIVE pool AS (SELECT CAST(s_suppkey AS VARCHAR) AS u, CAST(s_nationkey AS VARCHAR) AS n, CAST(s_acctbal < 0 AS VARCHAR) AS neg, sha256('v5:' || s_suppkey) AS h FROM supplier),
+t(k, us, ns, gs) AS (
+  SELECT 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT k + 1, list_append(us, best.u), list_append(ns, best.n), list_append(gs, best.g) FROM (
+    SELECT t.k, any_value(t.us) AS us, any_value(t.ns) AS ns, any_value(t.gs) AS gs,
+      arg_min({'u': p.u, 'n': p.n, 'g': p.neg}, row(-(CAST(1 AS DOUBLE) / (1 + len(list_filter(t.ns, lambda x: x = p.n))) + CAST(1 AS DOUBLE) / (1 + len(list_filter(t.gs, lambda x: x = p.neg)))), p.h, p.u)) AS best
+    FROM t JOIN pool p ON NOT list_contains(t.us, p.u) WHERE t.k < 20 GROUP BY t.k))
+SELECT unnest(us) AS unit, CAST(unnest(range(len(us))) AS BIGINT) AS place FROM (SELECT us FROM t ORDER BY k DESC LIMIT 1)""")
 def balanced_remainder(spark, d):
     pool = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("u"), F.col("s_nationkey").cast("string").alias("n"), (F.col("s_acctbal") < 0).cast("string").alias("neg"))
     return S.balanced_remainder(pool, "u", ["n", "neg"], 20, "v5")

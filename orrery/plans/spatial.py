@@ -11,25 +11,29 @@ from orrery.operators import relations as R
 from orrery.plans.registry import ENTITIES_SQL, entities, query
 
 
-@query(f"""
-WITH {ENTITIES_SQL},
-e AS (SELECT * FROM entities WHERE greatest(hx, hy, hz) <= 2.5),
+#: Every relation candidate, with its region.
+CANDIDATES_SQL = """e AS (SELECT * FROM entities WHERE greatest(hx, hy, hz) <= 2.5),
 p AS (
-  SELECT a.entity_id AS a, b.entity_id AS b, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz,
+  SELECT a.region, a.entity_id AS a, b.entity_id AS b, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz,
     sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d
   FROM e a JOIN e b ON a.region IS NOT DISTINCT FROM b.region AND a.entity_id < b.entity_id),
 r AS (
-  SELECT a, b, d, CASE WHEN dx > 0 THEN 'right_of' ELSE 'left_of' END AS rel, CASE WHEN dx > 0 THEN 'left_of' ELSE 'right_of' END AS inv, dx AS delta, abs(dx) - abs(dy) AS m
+  SELECT region, a, b, d, CASE WHEN dx > 0 THEN 'right_of' ELSE 'left_of' END AS rel, CASE WHEN dx > 0 THEN 'left_of' ELSE 'right_of' END AS inv, dx AS delta, abs(dx) - abs(dy) AS m
   FROM p WHERE d BETWEEN 0.3 AND 4.5 AND abs(dx) - abs(dy) >= 0.4
   UNION ALL
-  SELECT a, b, d, CASE WHEN dy > 0 THEN 'in_front_of' ELSE 'behind' END, CASE WHEN dy > 0 THEN 'behind' ELSE 'in_front_of' END, dy, abs(dy) - abs(dx)
+  SELECT region, a, b, d, CASE WHEN dy > 0 THEN 'in_front_of' ELSE 'behind' END, CASE WHEN dy > 0 THEN 'behind' ELSE 'in_front_of' END, dy, abs(dy) - abs(dx)
   FROM p WHERE d BETWEEN 0.3 AND 4.5 AND abs(dy) - abs(dx) >= 0.4
   UNION ALL
-  SELECT a, b, d, CASE WHEN dz > 0 THEN 'above' ELSE 'below' END, CASE WHEN dz > 0 THEN 'below' ELSE 'above' END, dz, abs(dz) - sqrt(dx * dx + dy * dy)
+  SELECT region, a, b, d, CASE WHEN dz > 0 THEN 'above' ELSE 'below' END, CASE WHEN dz > 0 THEN 'below' ELSE 'above' END, dz, abs(dz) - sqrt(dx * dx + dy * dy)
   FROM p WHERE d BETWEEN 0.3 AND 4.5 AND sqrt(dx * dx + dy * dy) <= 1.5 AND abs(dz) - sqrt(dx * dx + dy * dy) >= 0.4),
 w AS (
-  SELECT a AS subject, b AS reference, rel AS relation, delta, m, d FROM r
-  UNION ALL SELECT b, a, inv, -delta, m, d FROM r),
+  SELECT region, a AS subject, b AS reference, rel AS relation, delta, m, d FROM r
+  UNION ALL SELECT region, b, a, inv, -delta, m, d FROM r)"""
+
+
+@query(f"""
+WITH {ENTITIES_SQL},
+{CANDIDATES_SQL},
 k AS (
   SELECT *, row_number() OVER (PARTITION BY relation ORDER BY sha256('relation:' || subject || ':' || reference || ':' || relation || ':world'), subject, reference) AS n FROM w)
 SELECT subject, reference, relation, round(delta, 6) AS delta, round(m, 6) AS margin, round(d, 6) AS distance FROM k WHERE n <= 100
