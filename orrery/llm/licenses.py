@@ -36,11 +36,13 @@ EQUIVALENT = (
     ("labour", "labor"),
     ("licence", "license"),
     ("licenced", "licensed"),
+    ("licences", "licenses"),
     ("modelled", "modeled"),
     ("non commercial", "noncommercial"),
     ("offence", "offense"),
     ("optimise", "optimize"),
     ("organisation", "organization"),
+    ("organisations", "organizations"),
     ("organised", "organized"),
     ("per cent", "percent"),
     ("practise", "practice"),
