@@ -75,7 +75,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     anchors = keyed.select(_ID, _TAG, F.col(text).alias("text")).mapInArrow(_anchors(window // 2, buckets), _MESSAGE)
     hits = gathered(anchors.groupBy("bucket").applyInArrow(_matched(window // 2, buckets), _FOUND))
-    windows = keyed.select(_ID, _TAG, F.col(text).alias("text")).join(hits, [_ID, _TAG], "left").mapInArrow(_extended(window, buckets), _MESSAGE)
+    # both joins take the same columns, so that texts are shuffled once
+    windows = keyed.join(hits, [_ID, _TAG], "left").mapInArrow(_extended(text, window, buckets), _MESSAGE)
     removed = gathered(windows.groupBy("bucket").applyInArrow(_repeated(buckets), _FOUND))
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in base.schema if f.name in kept)
@@ -297,15 +298,15 @@ def _earliest(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, place: np.ndarray
     return np.sort(order[~later]), order[later]
 
 
-def _extended(window: int, buckets: int):
+def _extended(text: str, window: int, buckets: int):
     half = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in chunks(batches, "text", CHUNK_BYTES):
+        for batch in chunks(batches, text, CHUNK_BYTES):
             batch = batch.filter(pc.is_valid(batch.column("orrery_places")))
             ids, tags = _keys(batch)
-            hashes, ends = hashed_words(raw(batch.column("text")), cache)
+            hashes, ends = hashed_words(raw(batch.column(text)), cache)
             h1 = window_hashes(hashes, window)
             if not len(h1):
                 continue
