@@ -338,3 +338,30 @@ def raster_cell(x: Column, y: Column, size: Column, metres: float = 0.01) -> tup
     """(row, column) of a world point in a square raster with its origin in the middle."""
     half = size / 2
     return F.floor(half - y / metres).cast("int"), F.floor(x / metres + half).cast("int")
+
+
+def view_relation(right: Column, front: Column) -> Column:
+    """dominant_relation() of two objects in a view's frame with both offsets and the lead over the other axis, in 0.1 mm."""
+    r = dominant_relation(right, front)
+    to = lambda x: F.round(x, 4)
+    lead = F.abs(F.abs(right) - F.abs(front))
+    return F.struct(r["relation"].alias("relation"), to(right).alias("right_m"), to(front).alias("front_m"), to(r["margin_m"]).alias("dominant_m"), to(lead).alias("margin_m"))
+
+
+def axis_relation(axis: Column, dx: Column, dy: Column) -> Column:
+    """struct(relation, margin) along a declared axis ("x", else y); the margin is negative where the other axis leads."""
+    across = axis == "x"
+    label = F.when(across, F.when(dx > 0, "right_of").otherwise("left_of")).otherwise(F.when(dy > 0, "in_front_of").otherwise("behind"))
+    lead = F.abs(dx) - F.abs(dy)
+    return F.struct(label.alias("relation"), F.when(across, lead).otherwise(-lead).alias("margin_m"))
+
+
+def object_anchored(right: Column, front: Column, half_right: Column, half_front: Column, least_deg: float = 20.0) -> Column:
+    """struct(quadrant, angle_margin_deg, clear) of a target from object_components() and its half lengths on the two axes.
+
+    Clear: the target lies wholly on one side of both axes and its bearing
+    stays the least angle off them. Null where the frame has no heading.
+    """
+    off = F.degrees(F.least(F.atan2(F.abs(right), F.abs(front)), F.atan2(F.abs(front), F.abs(right))))
+    clear = (off >= least_deg) & (F.abs(right) > half_right) & (F.abs(front) > half_front)
+    return F.when(right.isNotNull(), F.struct(quadrant(right, front, "-").alias("quadrant"), F.round(off, 2).alias("angle_margin_deg"), clear.alias("clear")))

@@ -34,6 +34,21 @@ def content_id(namespace: str, json: Column, digits: int = 20) -> Column:
     return F.concat(F.lit(f"{namespace}-"), F.substring(F.sha2(canonical_json(json), 256), 1, digits))
 
 
+def semantic_digest(json: Column) -> Column:
+    """SHA-256 of a JSON value, whatever the order of its keys and its blanks."""
+    return F.sha2(canonical_json(json), 256)
+
+
+def set_digest(items: Column) -> Column:
+    """semantic_digest() of a set given as an array of JSON texts: their order does not count."""
+    return F.sha2(F.concat(F.lit("["), F.array_join(F.array_sort(F.transform(items, canonical_json)), ","), F.lit("]")), 256)
+
+
+def family_id(group: Column, scene: Column, episode: Column, variant: Column) -> Column:
+    """The id of a question family: from its consistency group, or else from scene, episode and variant."""
+    return F.when(group != "", stable_id("family", group)).otherwise(stable_id("family", scene, episode, variant))
+
+
 def request_hash(*parts: Column) -> Column:
     return F.sha2(joined(*parts), 256)
 

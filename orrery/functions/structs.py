@@ -78,6 +78,32 @@ def strings(text: Column) -> Column:
     return run(text)
 
 
+def fields(text: Column, root: str = "value") -> Column:
+    """array<struct(path, value)> of a JSON text's fields, values as canonical JSON.
+
+    Objects are opened, an empty one is a value; lists are values, as their
+    places mean little. Text that is no JSON, and null, have no fields.
+    """
+
+    def opened(value: object, path: str) -> Iterator[dict]:
+        if isinstance(value, dict) and value:
+            for k in sorted(value):
+                yield from opened(value[k], f"{path}.{k}")
+        else:
+            yield {"path": path, "value": json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))}
+
+    def of(t: str | None) -> list[dict]:
+        value = _loads(t)
+        return [] if isinstance(value, float) and math.isnan(value) else list(opened(value, root))
+
+    @F.pandas_udf("array<struct<path: string, value: string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([of(t) for t in s])
+
+    return run(text)
+
+
 def numbers_under(text: Column, key: str) -> Column:
     """array<double> of the finite numbers under a key, at any depth of a JSON text."""
 

@@ -31,6 +31,14 @@ UUID = r"\b[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{1
 ANSWER_KEYS = ("answer", "answerkey", "answervalue", "answercontract", "canonicalanswerzh", "certificate", "certificates", "claim", "claims", "claimsheet", "oracle", "groundtruth", "expectedanswer", "rationale")
 ANSWER_PARTS = ("answer", "certificate", "claimsheet", "groundtruth", "oracle")
 
+# Direction words of answers with what they stand for, and phrases about what is not known.
+DIRECTION_WORDS = (("前方", "front"), ("右侧", "right"), ("后方", "back"), ("左侧", "left"))
+NOT_ABSENCE = "(?:不等于|不代表|并不意味(?:着)?|不能说明|无法说明|不说明)不存在"
+ABSENCE = "不存在|根本没有"
+SCENE_ABSENCE = r"(?:场景|房间|住宅|屋子|屋里|空间)(?:中|里|内)?[^。！？]{0,10}(?<!有)没有(?!\s*(?:观察到|看到|足够|充分|证据))"
+UNCERTAIN = "无法确定|不能确定|尚不能确定|无法判断|不能判断|证据不足|信息不足"
+QUERY = r"存在\s*([^？?。；;]+)"
+
 RELATIONS = (("left_of", LEFT), ("right_of", RIGHT), ("in_front_of", FRONT), ("behind", BEHIND))
 
 
@@ -249,3 +257,69 @@ def choice_labels(question: Column) -> Column:
     letters = F.regexp_extract_all(question, F.lit(r"(?m)^\s*([A-D])\.\s*(.+?)\s*$"), F.lit(1))
     labels = F.regexp_extract_all(question, F.lit(r"(?m)^\s*([A-D])\.\s*(.+?)\s*$"), F.lit(2))
     return F.map_from_entries(F.arrays_zip(F.array_distinct(letters).alias("k"), F.slice(labels, F.lit(1), F.size(F.array_distinct(letters))).alias("v")))
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _last(found: Column) -> Column:
+    return F.try_element_at(found, F.lit(-1))
+
+
+def _direction(word: Column) -> Column:
+    """What a direction word stands for; null for any other."""
+    out = F.lit(None).cast("string")
+    for w, name in DIRECTION_WORDS:
+        out = F.when(word == w, name).otherwise(out)
+    return out
+
+
+def direction_label(response: Column) -> Column:
+    """The direction that the last answer tag names last, or without a tag the last line; null if there is none."""
+    tagged = _last(F.regexp_extract_all(response, F.lit("(?s)<answer>(.*?)</answer>"), F.lit(1)))
+    scope = F.coalesce(tagged, F.element_at(F.split(_stripped(response), r"\R"), -1))
+    return _direction(_last(F.regexp_extract_all(scope, F.lit("(" + "|".join(w for w, _ in DIRECTION_WORDS) + ")"), F.lit(1))))
+
+
+def option_direction(question: Column, letter: Column) -> Column:
+    """The direction that a question's options give a letter; the last of repeated options counts."""
+    pattern = F.lit(r"([A-D])\.\s*(" + "|".join(w for w, _ in DIRECTION_WORDS) + ")")
+    options = F.arrays_zip(F.regexp_extract_all(question, pattern, F.lit(1)).alias("letter"), F.regexp_extract_all(question, pattern, F.lit(2)).alias("word"))
+    return _direction(_last(F.filter(options, lambda o: o["letter"] == letter))["word"])
+
+
+def response_score(response: Column, question: Column, key: Column, label: Column) -> Column:
+    """A response against its key and label: struct of what was read, correct, semantic_correct, option_text_consistent, trace.
+
+    The direction in words goes before that of the chosen option. A response
+    from which nothing is read is wrong, not null.
+    """
+    letter, said = choice(response), direction_label(response)
+    option = option_direction(question, letter)
+    meant = F.coalesce(said, option)
+    return F.struct(
+        letter.alias("prediction"), option.alias("option_label"), said.alias("text_label"), meant.alias("semantic_label"),
+        F.coalesce(letter == key, F.lit(False)).alias("correct"), F.coalesce(meant == label, F.lit(False)).alias("semantic_correct"),
+        (option == said).alias("option_text_consistent"), trace_flags(response).alias("trace"),
+    )
+
+
+def unknown_faults(text: Column) -> Column:
+    """How an answer of "unknown" says more than is known: existence_denied, scene_absence, no_uncertainty; none of them is good."""
+    denied = F.regexp_replace(text, NOT_ABSENCE, "").rlike(ABSENCE)
+    return F.array_compact(F.array(F.when(denied, "existence_denied"), F.when(text.rlike(SCENE_ABSENCE), "scene_absence"), F.when(~text.rlike(UNCERTAIN), "no_uncertainty")))
+
+
+def query_surface(text: Column) -> Column:
+    """What a presence question asks for: what follows its last word of existence; null without one."""
+    return _stripped(_last(F.regexp_extract_all(text, F.lit(QUERY), F.lit(1))))
+
+
+def surface_anchored(question: Column, prefixes: Column, name: Column, names: Column) -> Column:
+    """Whether a question says one of the prefixes and then the name, and there no longer one of the names that begins with it."""
+    quoted = lambda s: F.regexp_replace(s, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+    one_of = lambda a: F.concat(F.lit("(?:"), F.array_join(F.transform(a, quoted), "|"), F.lit(")"))
+    rest = F.transform(F.filter(names, lambda n: F.startswith(n, name) & (F.length(n) > F.length(name))), lambda n: F.substring(n, F.length(name) + 1, F.length(n)))
+    pattern = F.concat(one_of(prefixes), quoted(name), F.when(F.size(rest) > 0, F.concat(F.lit("(?!"), one_of(rest), F.lit(")"))).otherwise(""))
+    return (F.size(prefixes) > 0) & F.rlike(question, pattern)

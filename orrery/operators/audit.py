@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# The relations that an answer may state.
+RELATIONS = ("left_of", "right_of", "in_front_of", "behind", "front_left", "front_right", "back_left", "back_right")
+
 
 def distribution(rows: DataFrame, keys: list[str], target: str) -> DataFrame:
     """Targets by keys with count and share."""
@@ -127,3 +130,69 @@ def family_atomic(rows: DataFrame, group: str, bad: Column) -> DataFrame:
     marked = rows.withColumn("_bad", bad)
     broken = marked.where(F.col("_bad") & F.col(group).isNotNull()).select(group).distinct()
     return marked.where(~F.col("_bad")).drop("_bad").join(broken, group, "left_anti")
+
+
+def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows (label, n) of the values of the keys with / between; a null is written None."""
+    label = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in keys])
+    return rows.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+
+
+def field_marginals(rows: DataFrame, keys: list[str], status: str, value: str) -> DataFrame:
+    """Rows (keys.., path, value, n): how often each field of the JSON targets has each value, status among them."""
+    from orrery.functions.structs import fields
+
+    own = F.array(F.struct(F.lit("status").alias("path"), F.col(status).cast("string").alias("value")))
+    each = rows.select(*keys, F.explode(F.concat(own, fields(F.col(value)))).alias("f"))
+    return each.groupBy(*keys, F.col("f.path").alias("path"), F.col("f.value").alias("value")).agg(F.count("*").alias("n"))
+
+
+def partition_targets(rows: DataFrame, partition: str, split: str, task: str, target: str) -> DataFrame:
+    """For each partition: records, those with split, task and target, what lacks, and the accuracy of each task's majority within its split."""
+    whole = F.col(split).isNotNull() & F.col(task).isNotNull() & F.col(target).isNotNull()
+    told = rows.groupBy(partition).agg(
+        F.count("*").alias("n_records"), F.count_if(whole).alias("n_valid"), *[F.count_if(F.col(c).isNull()).alias(f"no_{k}") for k, c in (("split", split), ("task", task), ("target", target))]
+    )
+    n = rows.where(whole).groupBy(partition, split, task, target).agg(F.count("*").alias("n"))
+    best = n.groupBy(partition, split, task).agg(F.max("n").alias("n")).groupBy(F.col(partition).alias("_p")).agg(F.sum("n").alias("n_majority"), F.count("*").alias("n_groups"))
+    out = told.join(best, F.equal_null(partition, "_p"), "left").drop("_p").fillna(0, ["n_majority", "n_groups"])
+    return out.withColumn("majority_accuracy", F.try_divide("n_majority", "n_valid"))
+
+
+def image_audit(references: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows (measure, value, n) of the images that artifacts name, each path once but for the references.
+
+    references: (artifact, path); files: (path, width, height, mode, format), a null width where a file could not be read.
+    """
+    paths = references.groupBy("path").agg(F.count("*").alias("n_references"))
+    seen = paths.join(files.withColumn("found", F.lit(True)), "path", "left")
+    read = F.col("found") & F.col("width").isNotNull()
+    measure = lambda name, value, n=F.lit(1): F.struct(F.lit(name).alias("measure"), value.cast("string").alias("value"), n.cast("long").alias("n"))
+    each = F.array_compact(F.array(
+        measure("references", F.lit(None), F.col("n_references")), measure("paths", F.when(F.startswith("path", F.lit("/")), "absolute").otherwise("relative")),
+        F.when(F.col("found").isNull(), measure("missing", F.lit(None))), F.when(F.col("found") & F.col("width").isNull(), measure("unreadable", F.lit(None))),
+        F.when(read, measure("dimensions", F.concat_ws("x", "width", "height"))), F.when(read, measure("modes", F.col("mode"))), F.when(read, measure("formats", F.coalesce("format", F.lit("unknown")))),
+    ))
+    return seen.select(F.explode(each).alias("m")).select("m.*").groupBy("measure", "value").agg(F.sum("n").alias("n"))
+
+
+def frame_pair_faults(rows: DataFrame) -> DataFrame:
+    """Families of two frames (variants frame_a and frame_b) and in what they differ beyond the frame: (family, faults).
+
+    rows: (family, variant, view_ids, question, status, answer, task, program). Questions name their image by its place,
+    the first of frame_a and the second of frame_b. A family without exactly these two is not_evaluable.
+    """
+    a, b = (F.max(F.when(F.col("variant") == v, F.struct("view_ids", "question", "status", "answer", "task", "program"))).alias(s) for v, s in (("frame_a", "a"), ("frame_b", "b")))
+    pairs = rows.groupBy("family").agg(a, b, F.count("*").alias("n"), F.count_if(F.col("variant").isin("frame_a", "frame_b")).alias("known"))
+    whole = (F.col("n") == 2) & (F.col("known") == 2) & F.col("a").isNotNull() & F.col("b").isNotNull()
+    frame = lambda s, i: F.replace(F.col(f"{s}.question"), F.lit(f"第{i}张图"), F.lit("第<FRAME>张图"))
+    views = F.col("a.view_ids")
+    good = {
+        "images": (F.size(views) >= 2) & (views == F.col("b.view_ids")) & (F.size(F.array_distinct(views)) == F.size(views)),
+        "frames": F.contains("a.question", F.lit("第1张图")) & F.contains("b.question", F.lit("第2张图")),
+        "question": frame("a", 1) == frame("b", 2), "status": (F.col("a.status") == "accepted") & (F.col("b.status") == "accepted"),
+        "relation": F.col("a.answer").isin(*RELATIONS) & F.col("b.answer").isin(*RELATIONS), "answer": ~F.equal_null("a.answer", "b.answer"),
+        "task": F.equal_null("a.task", "b.task"), "program": F.equal_null("a.program", "b.program"),
+    }
+    faults = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in good.items()]))
+    return pairs.select("family", F.when(whole, faults).otherwise(F.array(F.lit("not_evaluable"))).alias("faults")).where(F.size("faults") > 0)

@@ -157,3 +157,37 @@ def bootstrap(rows: DataFrame, cluster: str, left: Column, right: Column, resamp
     sums = per.select(F.coalesce("d", F.lit(0)).alias("d"), "n", seed.alias("h")).mapInArrow(drawn, "r long, d long, n long")
     each = sums.groupBy("r").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("delta"))
     return each.agg(F.avg("delta").alias("mean"), F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"))
+
+
+def bootstrap_endpoints(rows: DataFrame, cluster: str, left: Column, right: Column, endpoints: dict[str, Column], resamples: int = LEAST_RESAMPLES) -> DataFrame:
+    """bootstrap() over the rows of each endpoint, with its name; an endpoint without rows has nulls."""
+    out = None
+    for name, member in endpoints.items():
+        one = bootstrap(rows.where(member), cluster, left, right, resamples).select(F.lit(name).alias("endpoint"), "mean", "low", "high")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def scalar_metrics(rows: DataFrame, run: str, split: str, metrics: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Rows (run, metric, value): each metric of a run over all its rows, and over each split as split_metric.
+
+    A metric is (correct, counted): the share of the counted rows that are
+    correct, null without any. One pass over the rows.
+    """
+    flags = rows.select(run, split, *[c.alias(f"c_{m}") for m, (c, _) in metrics.items()], *[c.alias(f"t_{m}") for m, (_, c) in metrics.items()])
+    aggs = [F.try_divide(F.count_if(F.col(f"c_{m}") & F.col(f"t_{m}")), F.count_if(F.col(f"t_{m}"))).alias(m) for m in metrics]
+    sets = flags.groupingSets([[F.col(run)], [F.col(run), F.col(split)]], F.col(run), F.col(split)).agg(F.grouping(split).alias("all"), *aggs)
+    prefix = F.when(F.col("all") == 1, "").otherwise(F.concat(F.coalesce(F.col(split).cast("string"), F.lit("none")), F.lit("_")))
+    named = F.explode(F.array(*[F.struct(F.concat(prefix, F.lit(m)).alias("metric"), F.col(m).alias("value")) for m in metrics]))
+    return sets.select(run, named.alias("m")).select(run, "m.*")
+
+
+def zero_shot_summary(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Accuracy, accuracy of the meaning and rate of whole traces by each key alone and in all; score is a response_score()."""
+    flags = scores.select(*keys, F.col("score.correct").alias("c"), F.col("score.semantic_correct").alias("s"), (F.col("score.trace.cue") & F.col("score.trace.reasoning") & F.col("score.trace.answer")).alias("t"))
+    sets = [F.col(k) for k in keys]
+    out = flags.groupingSets([[s] for s in sets] + [[]], *sets).agg(F.count("*").alias("n"), *[F.avg(F.col(x).cast("int")).alias(x) for x in "cst"], *[F.grouping(k).alias(f"g_{k}") for k in keys])
+    name, value = F.lit("all"), F.lit(None).cast("string")
+    for k in keys:
+        name, value = F.when(F.col(f"g_{k}") == 0, k).otherwise(name), F.when(F.col(f"g_{k}") == 0, F.col(k).cast("string")).otherwise(value)
+    return out.select(name.alias("grouping"), value.alias("key"), "n", F.col("c").alias("accuracy"), F.col("s").alias("semantic_accuracy"), F.col("t").alias("trace_rate"))

@@ -110,3 +110,63 @@ def score_spread(rows: DataFrame, key: str, value: str) -> DataFrame:
 def by_tier(rows: DataFrame, split: str, tier: str) -> DataFrame:
     """Records of a split and tier; on a table partitioned by both, only their folders are read."""
     return rows.where((F.col("split") == split) & (F.col("release_tier") == tier))
+
+
+def sft_records(records: DataFrame, arm: str) -> DataFrame:
+    """Chat records of the transform tasks: system, images with the question, and the target; what is trained by arm.
+
+    records: (record_id, task_id, split, scene_id, base_fact_id, system, images, question, cue, reasoning, answer).
+    """
+    if arm not in ("answer_only", "grounded_cot"):
+        raise ValueError(f"no such arm: {arm}")
+    tagged = lambda c: F.concat(F.lit(f"<{c}>"), F.col(c), F.lit(f"</{c}>"))
+    target = tagged("answer") if arm == "answer_only" else F.concat_ws("", tagged("cue"), tagged("reasoning"), tagged("answer"))
+    none = F.array().cast("array<string>")
+    said = lambda role, body: F.struct(F.lit(role).alias("role"), body.alias("content"))
+    messages = F.array(said("system", content(F.col("system"), none)), said("user", content(F.col("question"), F.coalesce("images", none))), said("assistant", content(target, none)))
+    spans = ["answer"] if arm == "answer_only" else ["cue", "transform", "answer"]
+    return records.select("record_id", "task_id", "split", "scene_id", "base_fact_id", F.lit(arm).alias("supervision_arm"), messages.alias("messages"), F.array(*map(F.lit, spans)).alias("role_spans"))
+
+
+def rlvr_records(questions: DataFrame, system: str) -> DataFrame:
+    """Prompts of the training questions with how an answer is rewarded; a prompt that holds a hidden word or an id is an error.
+
+    questions: (scene_id, episode_id, fact_id, family_variant, consistency_group, program_id, split, view_ids, question, answer_kind, tolerance).
+    """
+    from orrery.functions.ids import family_id, stable_id
+    from orrery.functions.structs import reward
+    from orrery.functions.text import leaks
+
+    clean = F.when(F.coalesce(leaks(F.col("question")), F.lit(False)), F.raise_error(F.concat(F.lit("a prompt tells its answer: "), F.col("fact_id").cast("string")))).otherwise(F.col("question"))
+    none = F.array().cast("array<string>")
+    said = lambda role, body: F.struct(F.lit(role).alias("role"), body.alias("content"))
+    return questions.where("split = 'train'").select(
+        stable_id("rlvr", F.col("episode_id"), F.col("fact_id")).alias("record_id"), "scene_id", family_id(F.col("consistency_group"), F.col("scene_id"), F.col("episode_id"), F.col("family_variant")).alias("family_id"),
+        F.array(said("system", content(F.lit(system), none)), said("user", content(clean, F.coalesce("view_ids", none)))).alias("prompt"), reward(F.col("answer_kind"), F.col("tolerance")).alias("reward"), "consistency_group", "program_id",
+    )
+
+
+def optimizer_decisions(records: DataFrame, held_out: tuple[str, ...], least: int = 4, most: int = 6, kinds: int = 3, auxiliary: int = 1) -> DataFrame:
+    """Whether each batch may train: (batch, eligible, n_questions, capabilities, failed checks).
+
+    records: (batch, disposition, program_id, passed, capability, split). Candidates are rows of disposition
+    train_candidate; rows of the held-out programs, and no others, are composition_heldout.
+    """
+    mine = F.col("disposition") == "train_candidate"
+    per = records.groupBy("batch").agg(
+        F.count_if(mine).alias("n_questions"), F.array_sort(F.collect_set(F.when(mine & (F.col("capability") != "AUX"), F.col("capability")))).alias("capabilities"), F.count_if(mine & (F.col("capability") == "AUX")).alias("n_aux"),
+        F.count_if(mine & ~F.coalesce("passed", F.lit(False))).alias("n_bad"), F.count_if(mine & ~F.coalesce(F.col("split") == "train", F.lit(False))).alias("n_other"),
+        F.count_if(F.coalesce(F.col("program_id").isin(*held_out), F.lit(False)) != F.equal_null("disposition", F.lit("composition_heldout"))).alias("n_misplaced"),
+    )
+    good = {
+        "gates": F.col("n_bad") == 0, "question_count": F.col("n_questions").between(least, most), "capabilities": F.size("capabilities") >= kinds, "backbone": F.array_contains("capabilities", "PT"),
+        "auxiliary": F.col("n_aux") <= auxiliary, "split": F.col("n_other") == 0, "held_out": F.col("n_misplaced") == 0,
+    }
+    failed = F.array_compact(F.array(*[F.when(~ok, name) for name, ok in good.items()]))
+    return per.select("batch", ((F.col("n_questions") > 0) & (F.size(failed) == 0)).alias("eligible"), "n_questions", "capabilities", failed.alias("failed"))
+
+
+def file_binding(files: DataFrame, file_set: str) -> DataFrame:
+    """One digest over a set of files (path, bytes, sha256), whatever their order: (file_set, n_files, sha256). A list of files is small by nature."""
+    entry = F.concat_ws(":", F.to_json(F.struct("path")), F.col("bytes").cast("string"), "sha256")
+    return files.agg(F.lit(file_set).alias("file_set"), F.count("*").alias("n_files"), F.sha2(F.concat_ws("\n", F.lit(file_set), F.array_sort(F.collect_list(entry))), 256).alias("sha256"))

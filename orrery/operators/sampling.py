@@ -207,3 +207,25 @@ def covered_subset(rows: DataFrame, unit: str, program: str, facts: str, budget:
     ranked = rows.withColumn("lead", lead)
     so_far = F.sum(facts).over(W.orderBy(F.col("lead").desc(), key, F.col(unit)).rowsBetween(W.unboundedPreceding, 0))
     return ranked.select(unit, "lead", so_far.alias("facts_so_far")).where(F.col("lead") | (F.col("facts_so_far") <= budget))
+
+
+def layout_facts(candidates: DataFrame, scene: str, least: float = 0.5, most: int = 3, per_relation: int = 2) -> DataFrame:
+    """Up to `most` facts a scene by falling margin, ties by ids: no subject twice, no relation over `per_relation`, each with an object not yet named.
+
+    candidates: (scene, subject, reference, relation, margin). What cannot be
+    chosen once never can be later, so choosing in order is taking the best of
+    what is left `most` times: each time one minimum a scene, combined before
+    the shuffle. Scenes with a single fact have none.
+    """
+    rows = candidates.where(F.col("margin") >= least).select(scene, "subject", "reference", "relation", "margin")
+    fact = F.struct((-F.col("margin")).alias("lead"), "subject", "reference", "relation")
+    chosen = rows.groupBy(scene).agg(F.array(F.min(fact)).alias("facts"))
+    for _ in range(most - 1):
+        had = rows.join(chosen.withColumnRenamed(scene, "_scene"), F.equal_null(scene, "_scene")).drop("_scene")
+        subjects, named = F.col("facts.subject"), F.concat("facts.subject", "facts.reference")
+        free = ~F.array_contains(subjects, F.col("subject")) & ~(F.array_contains(named, F.col("subject")) & F.array_contains(named, F.col("reference")))
+        free = free & (F.size(F.filter("facts", lambda f: f["relation"] == F.col("relation"))) < per_relation)
+        more = had.where(free).groupBy(scene).agg(F.array(F.min(fact)).alias("facts"))
+        chosen = chosen.unionByName(more).groupBy(scene).agg(F.sort_array(F.flatten(F.collect_list("facts"))).alias("facts"))
+    out = chosen.where(F.size("facts") >= 2).select(scene, F.posexplode("facts").alias("place", "f"))
+    return out.select(scene, (F.col("place") + 1).alias("place"), "f.subject", "f.reference", "f.relation", (-F.col("f.lead")).alias("margin"))

@@ -72,3 +72,50 @@ def answer_segments(turns: DataFrame, text: str, *keys: str) -> DataFrame:
     rows = lines.withColumn("starts", ends).select(*keys, "starts", F.posexplode("lines").alias("line", "content"))
     start = F.get("starts", F.col("line"))
     return rows.select(*keys, "line", start.alias("start"), (start + F.length("content")).alias("end"))
+
+
+def comparison_faults(draws: DataFrame) -> DataFrame:
+    """Comparisons that are no whole unit of training: (comparison_id, faults).
+
+    draws: (comparison_id, arm, record_id, record_sha256, fact_ids, repeat_index, sample_weight). An episode is one record drawn
+    as often as it has facts, repeats numbered from 0, at weights of one over that number. An isolated comparison is
+    records of one fact each, none twice, drawn once at weight one.
+    """
+    k, near = F.size("fact_ids"), lambda a, b: F.abs(a - b) <= 1e-12
+    per = draws.groupBy("comparison_id").agg(
+        F.count_distinct("arm").alias("arms"), F.count("arm").alias("with_arm"), F.min("arm").alias("arm"), F.count("*").alias("n"), F.count_distinct("record_id").alias("records"),
+        F.count_distinct(F.struct("record_id", "record_sha256")).alias("contents"), F.count_distinct("fact_ids").alias("lists"), F.max(k).alias("k"), F.min(k).alias("least_k"),
+        F.count_distinct("repeat_index").alias("repeats"), F.min("repeat_index").alias("first"), F.max("repeat_index").alias("last"), F.count_distinct(F.get("fact_ids", F.lit(0))).alias("facts"),
+        F.bool_and(F.coalesce(near(F.col("sample_weight"), 1 / k), F.lit(False))).alias("shares"), F.bool_and(F.coalesce(near(F.col("sample_weight"), F.lit(1.0)), F.lit(False))).alias("ones"),
+    )
+    known = (F.col("arms") == 1) & (F.col("with_arm") == F.col("n")) & F.col("arm").isin("episode", "isolated")
+    episode, isolated = known & (F.col("arm") == "episode"), known & (F.col("arm") == "isolated")
+    numbered = (F.col("repeats") == F.col("n")) & (F.col("first") == 0) & (F.col("last") == F.col("n") - 1)
+    faults = F.array_compact(F.array(
+        F.when(~known, "arm"), F.when(episode & (F.col("n") != F.col("k")), "draws"), F.when(episode & ~F.coalesce(numbered, F.lit(False)), "repeats"),
+        F.when(episode & (F.col("contents") != 1), "record"), F.when(episode & (F.col("lists") != 1), "facts"), F.when(episode & ~F.col("shares"), "weight"),
+        F.when(isolated & (F.col("records") != F.col("n")), "record"), F.when(isolated & ((F.col("k") != 1) | (F.col("least_k") != 1) | (F.col("facts") != F.col("n"))), "facts"),
+        F.when(isolated & ~F.coalesce((F.col("first") == 0) & (F.col("last") == 0), F.lit(False)), "repeats"), F.when(isolated & ~F.col("ones"), "weight"),
+    ))
+    return per.select("comparison_id", faults.alias("faults")).where(F.size("faults") > 0)
+
+
+def span_faults(spans: DataFrame, messages: DataFrame) -> DataFrame:
+    """Assistant turns and the spans that claim them, where they disagree: (record_id, message_index, faults).
+
+    spans: (record_id, message_index, turn_id, answer_sha256, supervise_eos); messages: (record_id, message_index, role, text).
+    Each assistant message has one span of its own turn id, with the digest of its text and its end supervised.
+    """
+    keys = ["record_id", "message_index"]
+    ids = spans.groupBy("record_id", "turn_id").agg(F.count("*").alias("n_turn"))
+    claimed = spans.join(ids, ["record_id", "turn_id"], "left").groupBy(*keys).agg(
+        F.count("*").alias("n"), F.bool_or(F.coalesce(F.col("turn_id") == "", F.lit(True)) | (F.coalesce("n_turn", F.lit(1)) > 1)).alias("bad_turn"),
+        F.min("answer_sha256").alias("sha"), F.count("answer_sha256").alias("n_sha"), F.bool_and(F.coalesce("supervise_eos", F.lit(False))).alias("eos"),
+    )
+    both = claimed.join(messages.select(*keys, "role", "text"), keys, "full")
+    reply, has = F.col("role") == "assistant", F.col("n").isNotNull()
+    faults = F.array_compact(F.array(
+        F.when(reply & ~has, "no_span"), F.when(has & ~F.coalesce(reply, F.lit(False)), "not_assistant"), F.when(F.col("n") > 1, "repeated"), F.when(F.col("bad_turn"), "turn_id"),
+        F.when(has & reply & F.coalesce(F.col("text") == "", F.lit(True)), "no_text"), F.when(has & reply & ~F.equal_null("sha", F.sha2("text", 256)), "digest"), F.when(has & ~F.col("eos"), "end"),
+    ))
+    return both.select(*keys, faults.alias("faults")).where(F.size("faults") > 0)

@@ -194,17 +194,21 @@ def family_atomic_filter(spark, d):
     return A.family_atomic(_lines(spark, d).select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", F.col("l_quantity") > 45).select("l_orderkey", "l_linenumber")
 
 
-@query("""WITH c AS (SELECT o_custkey AS c, l_discount >= 0.05 AS a, l_tax >= 0.04 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-p AS (SELECT c, sum(b::INT - a::INT) AS d, count(*) AS n FROM c GROUP BY c),
-s AS (SELECT d, n, CAST('0x' || substr(md5('17:' || c), 1, 12) AS BIGINT) % 2147483647 AS h FROM p),
-r0 AS (SELECT d, n, r, (h + r * 69621 + 1) % 2147483647 AS h FROM s, (SELECT unnest(range(10000)) AS r)),
-r1 AS (SELECT d, n, r, (xor(h, h >> 15) * 48271) % 2147483647 AS h FROM r0),
-r2 AS (SELECT d, n, r, (xor(h, h >> 13) * 40692) % 2147483647 AS h FROM r1),
-r3 AS (SELECT d, n, r, CAST((xor(h, h >> 16) * 16807) % 2147483647 AS DOUBLE) / 2147483647 AS u FROM r2),
-w AS (SELECT d, n, r, CASE WHEN u < 0.36787944117 THEN 0 WHEN u < 0.73575888234 THEN 1 WHEN u < 0.91969860293 THEN 2 WHEN u < 0.98101184312 THEN 3 WHEN u < 0.99634015317 THEN 4
+#: From clusters c (k, c, a, b) the resamples' differences e (k, r, delta) of each endpoint k.
+BOOTSTRAP_SQL = """p AS (SELECT k, c, sum(b::INT - a::INT) AS d, count(*) AS n FROM c GROUP BY k, c),
+s AS (SELECT k, d, n, CAST('0x' || substr(md5('17:' || c), 1, 12) AS BIGINT) % 2147483647 AS h FROM p),
+r0 AS (SELECT k, d, n, r, (h + r * 69621 + 1) % 2147483647 AS h FROM s, (SELECT unnest(range(10000)) AS r)),
+r1 AS (SELECT k, d, n, r, (xor(h, h >> 15) * 48271) % 2147483647 AS h FROM r0),
+r2 AS (SELECT k, d, n, r, (xor(h, h >> 13) * 40692) % 2147483647 AS h FROM r1),
+r3 AS (SELECT k, d, n, r, CAST((xor(h, h >> 16) * 16807) % 2147483647 AS DOUBLE) / 2147483647 AS u FROM r2),
+w AS (SELECT k, d, n, r, CASE WHEN u < 0.36787944117 THEN 0 WHEN u < 0.73575888234 THEN 1 WHEN u < 0.91969860293 THEN 2 WHEN u < 0.98101184312 THEN 3 WHEN u < 0.99634015317 THEN 4
   WHEN u < 0.99940581518 THEN 5 WHEN u < 0.99991675885 THEN 6 WHEN u < 0.99998975080 THEN 7 ELSE 8 END AS w FROM r3),
-e AS (SELECT r, sum(w * d) / nullif(sum(w * n), 0) AS delta FROM w GROUP BY r)
-SELECT round(avg(delta), 9) AS mean, round(quantile_cont(delta, 0.025), 9) AS low, round(quantile_cont(delta, 0.975), 9) AS high FROM e""")
+e AS (SELECT k, r, sum(w * d) / nullif(sum(w * n), 0) AS delta FROM w GROUP BY k, r)"""
+ENDS_SQL = "round(avg(delta), 9) AS mean, round(quantile_cont(delta, 0.025), 9) AS low, round(quantile_cont(delta, 0.975), 9) AS high"
+
+
+@query(f"""WITH c AS (SELECT 'all' AS k, o_custkey AS c, l_discount >= 0.05 AS a, l_tax >= 0.04 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey), {BOOTSTRAP_SQL}
+SELECT {ENDS_SQL} FROM e""")
 def cluster_bootstrap(spark, d):
     rows = _lines(spark, d).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     out = E.bootstrap(rows, "o_custkey", F.expr("l_discount >= 0.05"), F.expr("l_tax >= 0.04"))
