@@ -139,10 +139,11 @@ def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def field_marginals(rows: DataFrame, keys: list[str], status: str, value: str) -> DataFrame:
-    """Rows (keys.., path, value, n): how often each field of the JSON targets has each value, status among them."""
+    """Rows (keys.., path, value, n): how often each field of the JSON targets has each value, as JSON, status among them."""
     from orrery.functions.structs import fields
 
-    own = F.array(F.struct(F.lit("status").alias("path"), F.col(status).cast("string").alias("value")))
+    said = F.regexp_extract(F.to_json(F.array(F.col(status).cast("string"))), r"(?s)^\[(.*)\]$", 1)
+    own = F.array(F.struct(F.lit("status").alias("path"), said.alias("value")))
     each = rows.select(*keys, F.explode(F.concat(own, fields(F.col(value)))).alias("f"))
     return each.groupBy(*keys, F.col("f.path").alias("path"), F.col("f.value").alias("value")).agg(F.count("*").alias("n"))
 

@@ -121,7 +121,7 @@ def composite_counts(spark, d):
     return A.counts_by(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_linenumber")
 
 
-@query("""WITH f AS (SELECT o_orderstatus, unnest([{'path': 'status', 'value': o_orderpriority}, {'path': 'value.at.x', 'value': CAST(o_orderkey % 3 AS VARCHAR)}, {'path': 'value.at.ys', 'value': '[1,' || o_custkey % 2 || ']'}, {'path': 'value.none', 'value': '{}'}]) AS f FROM orders)
+@query("""WITH f AS (SELECT o_orderstatus, unnest([{'path': 'status', 'value': '"' || o_orderpriority || '"'}, {'path': 'value.at.x', 'value': CAST(o_orderkey % 3 AS VARCHAR)}, {'path': 'value.at.ys', 'value': '[1,' || o_custkey % 2 || ']'}, {'path': 'value.none', 'value': '{}'}]) AS f FROM orders)
 SELECT o_orderstatus, f.path AS path, f.value AS value, count(*) AS n FROM f GROUP BY ALL""")
 def field_marginals(spark, d):
     x, y = (F.col("o_orderkey") % 3).cast("string"), (F.col("o_custkey") % 2).cast("string")

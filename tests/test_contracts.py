@@ -53,6 +53,12 @@ def test_fields_open_objects_and_keep_lists(spark):
     assert got == [[("value.a", "{}"), ("value.b.x", "null"), ("value.b.y", '[1,{"a":2}]')], [("value", "[1]")], [("value", "3")], [], [], [("value", "{}")]]
 
 
+def test_a_status_is_json_and_a_null_one_counts(spark):
+    rows = spark.createDataFrame([("k", 'a"b', "1"), ("k", None, None)], "k string, s string, v string")
+    got = {(r["path"], r["value"]): r["n"] for r in A.field_marginals(rows, ["k"], "s", "v").collect()}
+    assert got == {("status", '"a\\"b"'): 1, ("status", "null"): 1, ("value", "1"): 1}
+
+
 def test_digests_do_not_depend_on_order(spark):
     a, b = values(spark, [(['{"a": 1, "b": 2}', "3"],), (["3", '{"b":2,"a":1}'],)], "s array<string>", ids.set_digest(F.col("s")))
     assert a == b
