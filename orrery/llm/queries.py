@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import chat_format, licenses, mixing, quality_rules, substring_dedup, warc
 from orrery.llm.decontamination import contaminated
+from orrery.llm.piece_encoding import decode_ids, digests, encode_texts
 from orrery.llm.simhash import near_groups
 from orrery.llm.token_counts import token_counts
 from orrery.llm.toxicity import fit_on_labels, toxicity
@@ -71,10 +72,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(docs).drop("text", "clean_text", "kept_words")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(decode_ids(encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     of = (
         op1_substring_dedup, op2_token_counts, op3_warc, op4_chat_format, op5_mixing,
         op6_decontamination, op7_license_scan, op8_simhash_near_dedup, op9_toxicity, op10_quality_rules,
+        op11_sentencepiece,
     )
     return {f.__name__: f for f in of}
 
