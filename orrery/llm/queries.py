@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat_format, licenses, mixing, quality_rules, substring_dedup, warc
+from orrery.llm import centroids, chat_format, licenses, merkle, mixing, quality_rules, substring_dedup, warc
 from orrery.llm.decontamination import contaminated
 from orrery.llm.piece_encoding import decode_ids, digests, encode_texts
 from orrery.llm.simhash import near_groups
@@ -76,11 +76,19 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(decode_ids(encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(centroids.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(merkle.manifest(_table(spark, sf_dir, "documents"), changed=merkle.without_line_ends))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     of = (
         op1_substring_dedup, op2_token_counts, op3_warc, op4_chat_format, op5_mixing,
         op6_decontamination, op7_license_scan, op8_simhash_near_dedup, op9_toxicity, op10_quality_rules,
-        op11_sentencepiece,
+        op11_sentencepiece, op12_centroids, op13_merkle,
     )
     return {f.__name__: f for f in of}
 
@@ -93,4 +101,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": mixing.ORACLE_SQL,
         "op7_license_scan": licenses.oracle_sql(),
         "op10_quality_rules": quality_rules.ORACLE_SQL,
+        "op12_centroids": centroids.ORACLE_SQL,
+        "op13_merkle": merkle.ORACLE_SQL,
     }
