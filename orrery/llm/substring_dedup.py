@@ -38,7 +38,7 @@ WINDOW = 20
 CHUNK_BYTES = 4 << 20
 #: Stands for a null id in the order of documents: after all others.
 LAST = (1 << 63) - 1
-#: A row's key: its id and 32 bits of its text's hash, which tell rows of one id apart.
+#: A row's key: its id and 64 bits of its text's hash, which tell rows of one id apart.
 _ID, _TAG = "orrery_row_id", "orrery_row_tag"
 ADDED = ("n_words", "n_removed", "kept_sha256", "removed_spans", "clean_text")
 _MESSAGE = "bucket long, kind int, data binary"
@@ -66,7 +66,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("window must be even")
     kept, text = others(docs, ADDED), place(docs, text_col)
     base = numbered(docs).select(*dict.fromkeys((*kept, text)), F.coalesce(F.col(place(docs, id_col)).cast("long"), F.lit(LAST)).alias(_ID))
-    keyed = base.withColumn(_TAG, F.xxhash64(text).bitwiseAND(0xFFFFFFFF))
+    keyed = base.withColumn(_TAG, F.xxhash64(text))
     buckets = shuffle_partitions(docs.sparkSession)
     bounded_batches(docs.sparkSession)
 
@@ -158,7 +158,7 @@ def pack_places(ids: np.ndarray, tags: np.ndarray, places: np.ndarray) -> bytes:
     last = places[np.append(at[1:], len(places)) - 1]
     rows = np.flatnonzero(row[at])
     counts = np.diff(np.append(rows, len(at)))
-    return pack(ids[at][rows], tags[at][rows].astype(np.uint32), narrow(counts), _steps(places[at], rows), narrow(last - places[at] + 1))
+    return pack(ids[at][rows], tags[at][rows], narrow(counts), _steps(places[at], rows), narrow(last - places[at] + 1))
 
 
 def unpack_places(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +166,7 @@ def unpack_places(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     parts = []
     for ids, tags, counts, steps, n in map(unpack, data):
         counts = counts.astype(np.int64)
-        parts.append((np.repeat(ids, counts), np.repeat(tags.astype(np.int64), counts), _summed(steps, counts), n.astype(np.int64)))
+        parts.append((np.repeat(ids, counts), np.repeat(tags, counts), _summed(steps, counts), n.astype(np.int64)))
     ids, tags, starts, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
     return ids, tags, starts, lengths
 
@@ -242,7 +242,7 @@ def _anchors(width: int, buckets: int):
             known = counts[by_place] > 1
             lead = lead[by_place]
             bucket = ((h[lead] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            rows = list(_bucketed(bucket, doc[lead], place[lead], (ids, tags.astype(np.uint32)), (h[lead].astype(np.uint32), known.astype(np.uint8))))
+            rows = list(_bucketed(bucket, doc[lead], place[lead], (ids, tags), (h[lead].astype(np.uint32), known.astype(np.uint8))))
             own = order[np.repeat(counts > 1, counts)]
             rows += [(b, 1, d) for b, d in _spread(ids[doc[own]], tags[doc[own]], place[own], buckets)]
             yield _messages(rows)
@@ -320,7 +320,7 @@ def _extended(text: str, window: int, buckets: int):
             place = at - ends[doc]
             send, gone = _earliest(h1, h2, ids[doc], place)
             bucket = ((h2[send] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            rows = list(_bucketed(bucket, doc[send], place[send], (ids, tags.astype(np.uint32)), (h1[send], h2[send].astype(np.uint16))))
+            rows = list(_bucketed(bucket, doc[send], place[send], (ids, tags), (h1[send], h2[send].astype(np.uint16))))
             rows += [(b, 1, d) for b, d in _spread(ids[doc[gone]], tags[doc[gone]], place[gone], buckets)]
             yield _messages(rows)
 

@@ -103,14 +103,26 @@ def test_packed_places():
 
 
 def test_rows_of_one_id_keep_their_own_words(spark):
-    """Texts of one id whose hashes agree in their low 16 bits."""
+    """Texts of one id whose hashes agree in their low 16 bits, or low 32."""
     from pyspark.sql import functions as F
 
     shared = " ".join(f"s{i}" for i in range(40))
     texts = spark.range(60_000).select(F.concat(F.lit("u"), F.col("id"), *[F.lit(f" own{i}") for i in range(39)]).alias("text"))
     low = F.xxhash64("text").bitwiseAND(0xFFFF)
+    # 300,000 texts hold pairs that share 32 bits
+    bits = F.xxhash64("text").bitwiseAND(0xFFFFFFFF)
+    many = spark.range(300_000).select(F.concat(F.lit("v"), F.col("id"), *[F.lit(f" pair{i}") for i in range(39)]).alias("text"))
+    twins = [r["ts"] for r in many.groupBy(bits.alias("b")).agg(F.collect_list("text").alias("ts")).where("size(ts) > 1").limit(3).collect()]
+    assert twins
     want = spark.createDataFrame([(shared,)], "text string").select(low).first()[0]
     same = [r["text"] for r in texts.where(low == want).limit(1).collect()]
     docs = spark.createDataFrame([(0, shared), (1, shared), *[(1, t) for t in same]], "doc_id long, text string")
     got = sorted((r["doc_id"], r["n_removed"]) for r in S.dedup_substrings(docs).collect())
     assert got == [(0, 0), *[(1, 0)] * len(same), (1, 40)]
+    for a, b in twins:
+        for i in (7, None):
+            pair = spark.createDataFrame([(0, a), (i, a), (i, b.replace("pair", "own"))], "doc_id long, text string")
+            kept = spark.createDataFrame([(0, a), (i, a), (i, b)], "doc_id long, text string")
+            assert sorted(r["n_removed"] for r in S.dedup_substrings(pair).collect()) == [0, 0, 40]
+            # b shares all words but the first with a
+            assert sorted(r["n_removed"] for r in S.dedup_substrings(kept).collect()) == [0, 39, 40]
