@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.columns import numbered, place
+
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 TARGET_ROLE = "assistant"
 
@@ -46,13 +48,13 @@ def chat_examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
 
     Turns are ordered by number (nulls first), then role and text. Null roles
     and texts are empty. A null conversation id is a conversation. Repeated
-    turns stand as often as they come. Further columns are left out.
+    turns stand as often as they come. Turns may be of any length; a
+    conversation must fit in a task's memory. Further columns, whatever their
+    names, are left out. An empty table gives an empty result.
     """
-    turn = F.struct(
-        F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
-    )
-    whole = turns.select(F.col(f"`{conv_col}`").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    head, body = _segment(F.col("t.role"), F.col("t.text"))
+    conv, number, role, text = (F.col(place(turns, c)) for c in (conv_col, turn_col, role_col, text_col))
+    turn = F.struct(number.alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    whole = numbered(turns).select(conv.alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
 
     def written(t: Column) -> Column:
         head, body = _segment(t["role"], t["text"])
@@ -95,7 +97,11 @@ def reply(text: Column, start: Column, chars: Column) -> Column:
 
 
 def conversation_digests(examples: DataFrame) -> DataFrame:
-    """What chat_examples() wrote, read back: one row a conversation."""
+    """What chat_examples() wrote, read back: one row a conversation, a null id's too.
+
+    A conversation without an assistant turn has an empty loss text. Turns of
+    any length are read whole; an empty table gives an empty result.
+    """
     longest = F.max_by("text", F.length("text"))
     replies = F.transform(
         F.array_sort(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("target", reply(F.col("text"), F.col("loss_start"), F.col("loss_chars")).alias("reply"))))),
