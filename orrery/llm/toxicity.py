@@ -160,7 +160,7 @@ def held_out(id_col: Column) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
     """Rows (k, fold, y, text): of each class at most `sample` different labelled rows that are not held out, the first by hash."""
-    known = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y")).where("i is not null and y in (0, 1)").where(~held_out(F.col("i"))).distinct()
+    known = numbered(labels).select(F.col(place(labels, "doc_id")).alias("i"), F.col(place(labels, "toxic")).cast("int").alias("y")).where("i is not null and y in (0, 1)").where(~held_out(F.col("i"))).distinct()
     rows = numbered(docs).select(F.col(place(docs, id_col)).alias("i"), F.col(place(docs, text_col)).alias("text")).where("i is not null and text is not null")
     keyed = rows.withColumn("k", row_key("i", "text"))
     keys = keyed.select("i", "k").distinct().join(known, "i").select("k", "y")

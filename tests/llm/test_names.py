@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import decontamination, licenses, mixing, near_dedup, quality_rules, simhash, substring_dedup, toxicity, warc
+from orrery.llm import chat_format, decontamination, licenses, mixing, near_dedup, quality_rules, simhash, substring_dedup, toxicity, warc
 from orrery.llm.token_counts import token_counts
 
 NAMES = ("N_WORDS", "Score", "Kept", "N_TOKENS", "orrery_row_key", "orrery_row_id", "copies", "Size", "source_size", "label", "c0", "key", "number", "s")
@@ -64,3 +64,15 @@ class TestNames:
         pages = docs_of(spark, rows).select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), *[F.col(f"`{n}`") for n in NAMES])
         warc.write_warc(warc.warc_records(pages), str(tmp_path / "w"))
         assert warc.read_warc(spark, str(tmp_path / "w")).count() == len(rows)
+
+    def test_turns(self, spark, rows):
+        turns = [(1, 0, "user", "q"), (1, 1, "assistant", "long " * 200_000), (None, 0, None, None)] if rows else []
+        plain = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+        own = plain.select(*[F.lit("own").alias(n) for n in ("TEXT", "Role", "CONV_ID", "turn_", "t", "ts", "parts")], "*")
+        read = lambda t: sorted(map(tuple, chat_format.conversation_digests(chat_format.chat_examples(t)).collect()), key=repr)
+        assert read(own) == read(plain) and len(read(own)) == len({t[0] for t in turns})
+
+    def test_labels(self, spark, rows):
+        docs = docs_of(spark, rows)
+        labels = spark.createDataFrame([(1, 0, "x", 5), (2, 1, "x", 5)], "doc_id long, toxic int, TOXIC string, Doc_Id int")
+        assert toxicity.toxicity(docs, toxicity.fit_on_labels(docs, labels)).count() == len(rows)
