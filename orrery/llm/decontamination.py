@@ -57,8 +57,8 @@ COPY, PARAPHRASE, ANSWER = 0.8, 0.55, 0.6
 SHORT = 8
 #: The benchmark is a query set that the driver and every task hold: at most so many bytes of text.
 BENCHMARK_BYTES = 64 << 20
-#: Items of fewer words are reported but make no document go.
-LEAST_WORDS = 3
+#: Items of fewer words are reported but make no document go; 1 leaves none out.
+LEAST_WORDS = 1
 #: Words at the end of an item that stand for its answer where none is given.
 ANSWER_WORDS = 8
 CHUNK_BYTES = 1 << 20
@@ -390,8 +390,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontamination_stage(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """Docs that hold no benchmark item, with their columns as they are, whatever the names.
 
-    An item of fewer than least_words words makes no document go: such words
-    stand in any text. Null and empty texts hold nothing and stay; rows that
+    An item of fewer than least_words words makes no document go; by default
+    every item counts, of one word too. Null and empty texts hold nothing and stay; rows that
     repeat an id and a text go together; rows of one id with different texts
     are judged apart. Texts of any length are searched whole; empty tables
     take nothing away.
