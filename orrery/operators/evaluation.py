@@ -191,3 +191,47 @@ def zero_shot_summary(scores: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         name, value = F.when(F.col(f"g_{k}") == 0, k).otherwise(name), F.when(F.col(f"g_{k}") == 0, F.col(k).cast("string")).otherwise(value)
     return out.select(name.alias("grouping"), value.alias("key"), "n", F.col("c").alias("accuracy"), F.col("s").alias("semantic_accuracy"), F.col("t").alias("trace_rate"))
+
+
+#: Clusters whose differences every task holds (16 bytes each); more are an error.
+CLUSTERS_AT_ONCE = 1 << 20
+
+
+def bootstrap_draws(rows: DataFrame, cluster: str, left: Column, right: Column, resamples: int = LEAST_RESAMPLES, salt: int = 17) -> DataFrame:
+    """Paired cluster bootstrap of right less left accuracy, each resample drawing as many clusters as there are, with replacement.
+
+    One row: observed, mean, low and high (2.5 and 97.5 percentiles), records,
+    clusters. Draw j of resample r takes the cluster whose place by name a hash
+    of (salt, r, j) gives, so any engine draws the same and every resample has
+    exactly as many draws. Tasks take ranges of resamples and hold one
+    difference and one size a cluster: clusters are a benchmark's scenes, at
+    most CLUSTERS_AT_ONCE, which is checked; bootstrap() has no such bound.
+    """
+    if resamples < LEAST_RESAMPLES:
+        raise ValueError(f"at least {LEAST_RESAMPLES} resamples")
+    per = rows.groupBy(cluster).agg(F.sum(right.cast("int") - left.cast("int")).alias("d"), F.count("*").alias("n"))
+    held = per.orderBy(F.col(cluster).cast("string").asc_nulls_first()).limit(CLUSTERS_AT_ONCE + 1).select(F.coalesce("d", F.lit(0)).alias("d"), "n").toPandas()
+    count = len(held)
+    if count < 2 or count > CLUSTERS_AT_ONCE:
+        raise ValueError(f"{count} clusters: at least 2 and at most {CLUSTERS_AT_ONCE}")
+    difference, size = held["d"].to_numpy(np.int64), held["n"].to_numpy(np.int64)
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.column("id").to_pylist():
+                d = n = 0
+                for start in range(0, count, 1 << 16):
+                    x = (np.arange(start, min(start + (1 << 16), count), dtype=np.int64) * 69_621 + r * 16_807 + salt) % _PRIME
+                    for shift, factor in _STEPS:
+                        x = ((x ^ x >> shift) * factor) % _PRIME
+                    d += int(difference[x % count].sum())
+                    n += int(size[x % count].sum())
+                out.append(d / n)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["delta"])
+
+    spark = rows.sparkSession
+    deltas = spark.range(0, resamples, 1, 4 * spark.sparkContext.defaultParallelism).mapInArrow(drawn, "delta double")
+    ends = (F.avg("delta").alias("mean"), F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"))
+    total = F.lit(int(size.sum())).cast("long")
+    return deltas.agg(*ends).select((F.lit(int(difference.sum())) / total).alias("observed"), "mean", "low", "high", total.alias("records"), F.lit(count).cast("long").alias("clusters"))

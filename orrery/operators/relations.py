@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
+from orrery.plans.durable import cut
 
 #: Labels that name no object (fixed values).
 EXCLUDED_LABELS = ("unknown", "wall", "floor", "ceiling", "clutter", "objects", "void")
@@ -106,25 +107,72 @@ def quadrants(entities: DataFrame, pool: int = 20, reach: tuple[float, float] =
     return top_per(trips, ["region", "origin"], [F.round(clear, 9).desc(), F.col("facing"), F.col("target")], 1)
 
 
-def clearances(entities: DataFrame, reach: float = 6.0, touch: float = 0.01, none: float = 99.0) -> DataFrame:
-    """For each object: overlaps with others of its region within reach, and the least clearance above `touch` (else `none`)."""
-    pairs = near_pairs(entities, reach)
-    a, ah, b, bh = (G.vec(*[F.col(f"{s}_{h}{k}") for k in "xyz"]) for s, h in (("a", ""), ("a", "h"), ("b", ""), ("b", "h")))
-    pairs = pairs.withColumn("clearance", G.aabb_clearance(a, ah, b, bh))
-    both = pairs.select(F.explode(F.array("a_id", "b_id")).alias("entity_id"), "clearance")
-    found = both.groupBy("entity_id").agg(F.count_if(F.col("clearance") <= touch).alias("overlaps"), F.min(F.when(F.col("clearance") > touch, F.col("clearance"))).alias("m"))
-    joined = entities.select("entity_id").join(found, "entity_id", "left")
-    return joined.select("entity_id", F.coalesce("overlaps", F.lit(0)).alias("overlaps"), F.coalesce("m", F.lit(none)).alias("least_clearance"))
-
-
-def nearest(entities: DataFrame, reach: float = 6.0) -> DataFrame:
-    """For each object, the nearest other one of its region in the plane within reach; ties to the smaller id."""
-    d = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y"))
-    pairs = near_pairs(entities, reach, ("x", "y")).withColumn("d", d)
-    ways = F.array(F.struct(F.col("a_id").alias("entity_id"), F.col("b_id").alias("other")), F.struct(F.col("b_id").alias("entity_id"), F.col("a_id").alias("other")))
-    both = pairs.select(F.explode(ways).alias("w"), "d").select("w.*", "d")
-    best = both.groupBy("entity_id").agg(F.min(F.struct(F.round("d", 9).alias("d"), F.col("other"))).alias("b"))
-    return best.select("entity_id", F.col("b.other").alias("nearest"), F.col("b.d").alias("distance"))
+def _around(some: DataFrame, entities: DataFrame, reach: float, columns: tuple[str, ...]) -> DataFrame:
+    """Some objects with all others of their region whose centres are at most `reach` apart in the plane: a_* and b_* of `columns`."""
+    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
+    near = F.array(*[F.struct((cell("x") + i).alias("nx"), (cell("y") + j).alias("ny")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    a = some.select(F.col("region").alias("a_region"), F.col("entity_id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in columns], F.explode(near).alias("near")).select("*", "near.*").drop("near")
+    b = entities.select(F.col("region").alias("b_region"), F.col("entity_id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in columns], cell("x").alias("bx"), cell("y").alias("by"))
+    same = F.col("a_region").eqNullSafe(F.col("b_region")) & (F.col("nx") == F.col("bx")) & (F.col("ny") == F.col("by")) & (F.col("a_id") != F.col("b_id"))
+    return a.join(b, same & (F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")) <= reach)).drop("nx", "ny", "bx", "by", "a_region", "b_region")
+
+
+def _widened(entities: DataFrame, first: float, found) -> DataFrame:
+    """Rows of found(pending objects, reach) that are final, the reach doubled for the others until it spans every region.
+
+    found gives a row for each pending object with final, whether nothing
+    farther away can change it.
+    """
+    ends = entities.groupBy("region").agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xy"]).agg(F.max(F.hypot("x", "y")))
+    span = ends.first()[0]
+    out, pending, reach = None, entities, first
+    while True:
+        last = span is None or reach >= span
+        rows = found(pending, reach)
+        done = rows if last else cut(rows)
+        ready = done if last else done.where("final")
+        out = ready if out is None else out.unionByName(ready)
+        if last:
+            return out.drop("final")
+        rest = cut(pending.join(done.where("not final").select("entity_id"), "entity_id", "left_semi"))
+        if rest.isEmpty():
+            return out.drop("final")
+        pending, reach = rest, 2 * reach
+
+
+def clearances(entities: DataFrame, first: float = 2.0, touch: float = 0.01, none: float = 99.0) -> DataFrame:
+    """For each object: overlaps with others of its region, however far, and the least clearance above `touch`; `none` for one without any.
+
+    Looks within `first` metres, then twice as far and so on, for the objects
+    that something farther could still matter to: a box reaches no farther
+    than its planar half diagonal.
+    """
+    radius = F.hypot("hx", "hy")
+    widest = entities.groupBy("region").agg(F.max(radius).alias("widest"))
+    with_radius = entities.join(widest, entities["region"].eqNullSafe(widest["region"])).select(entities["*"], "widest")
+
+    def found(pending: DataFrame, reach: float) -> DataFrame:
+        pairs = _around(pending, with_radius, reach, ("x", "y", "z", "hx", "hy", "hz"))
+        a, ah, b, bh = (G.vec(*[F.col(f"{s}_{h}{k}") for k in "xyz"]) for s, h in (("a", ""), ("a", "h"), ("b", ""), ("b", "h")))
+        each = pairs.select(F.col("a_id").alias("entity_id"), G.aabb_clearance(a, ah, b, bh).alias("clearance"))
+        least = each.groupBy("entity_id").agg(F.count_if(F.col("clearance") <= touch).alias("overlaps"), F.min(F.when(F.col("clearance") > touch, F.col("clearance"))).alias("m"))
+        rows = pending.select("entity_id", (F.lit(reach) - radius - F.col("widest")).alias("sure")).join(least, "entity_id", "left")
+        final = (F.col("sure") > touch) & (F.col("m") <= F.col("sure"))
+        return rows.select("entity_id", F.coalesce("overlaps", F.lit(0)).alias("overlaps"), F.coalesce("m", F.lit(none)).alias("least_clearance"), F.coalesce(final, F.lit(False)).alias("final"))
+
+    return _widened(with_radius, first, found)
+
+
+def nearest(entities: DataFrame, first: float = 2.0) -> DataFrame:
+    """For each object, the nearest other one of its region in the plane, however far; ties to the smaller id. A lone object has no row."""
+
+    def found(pending: DataFrame, reach: float) -> DataFrame:
+        d = F.round(F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")), 9)
+        best = _around(pending, entities, reach, ("x", "y")).groupBy(F.col("a_id").alias("entity_id")).agg(F.min(F.struct(d.alias("d"), F.col("b_id").alias("other"))).alias("b"))
+        rows = pending.select("entity_id").join(best, "entity_id", "left")
+        return rows.select("entity_id", F.col("b.other").alias("nearest"), F.col("b.d").alias("distance"), F.col("b").isNotNull().alias("final"))
+
+    return _widened(entities, first, found).where("nearest is not null")
 
 
 def swap_candidates(entities: DataFrame, most: float = 0.35, per_target: int = 3, bins: float = 0.5) -> DataFrame:

@@ -95,6 +95,8 @@ p AS (
   FROM entities a JOIN entities b ON a.region IS NOT DISTINCT FROM b.region AND a.entity_id < b.entity_id
   WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 6.0)"""
 
+_ALL_PAIRS = _PAIRS.replace("\n  WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 6.0)", ")")
+
 
 @query(f"""
 WITH {ENTITIES_SQL}, {_PAIRS}
@@ -123,7 +125,7 @@ def aabb_overlaps(spark, sf_dir):
 
 
 @query(f"""
-WITH {ENTITIES_SQL}, {_PAIRS},
+WITH {ENTITIES_SQL}, {_ALL_PAIRS},
 c AS (
   SELECT a, b, sqrt(greatest(abs(ax - bx) - ahx - bhx, 0) ** 2 + greatest(abs(ay - b_y) - ahy - bhy, 0) ** 2 + greatest(abs(az - bz) - ahz - bhz, 0) ** 2) AS c FROM p),
 w AS (SELECT a AS entity_id, c FROM c UNION ALL SELECT b, c FROM c)
@@ -135,7 +137,7 @@ def aabb_clearance(spark, sf_dir):
 
 
 @query(f"""
-WITH {ENTITIES_SQL}, {_PAIRS},
+WITH {ENTITIES_SQL}, {_ALL_PAIRS},
 d AS (SELECT a, b, round(sqrt((ax - bx) ** 2 + (ay - b_y) ** 2), 9) AS d FROM p),
 w AS (SELECT a AS entity_id, b AS nearest, d FROM d UNION ALL SELECT b, a, d FROM d)
 SELECT entity_id, nearest, round(d, 6) AS distance FROM w QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY d, nearest) = 1
