@@ -3,19 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, source_line, line, sha256) with 1-based line numbers of each file; blank lines keep their number.
+def snapshot_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, source_line, line, sha256) with 1-based line numbers of each file and the digest of the very bytes that the lines were cut from.
 
-    A file is read whole, since line numbers run through it, and its digest
-    is that of all its bytes.
+    A file is read whole, in one task, as its digest runs through it: for
+    contracts of at most 2 GB. numbered_lines() splits files.
     """
     files = spark.read.format("binaryFile").load(path)
     text = F.decode("content", "UTF-8")
     rows = files.select("path", F.sha2("content", 256).alias("sha256"), F.posexplode(F.split(text, "\n")).alias("i", "line"))
-    return rows.select("path", (F.col("i") + 1).alias("source_line"), F.regexp_replace("line", "\r$", "").alias("line"), "sha256").where("line != ''")
+    return rows.select("path", (F.col("i") + 1).cast("long").alias("source_line"), F.regexp_replace("line", "\r$", "").alias("line"), "sha256").where("line != ''")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, source_line, line) with 1-based line numbers of each file, read in splits of any size; blank lines keep their number.
+
+    A first pass counts the lines of every split, a row a split; a line's
+    number is its place in its split and the lines of the splits before.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = rows.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    known = splits.select("path", "start", (earlier - F.col("first") + 1).alias("shift"))
+    numbered = rows.join(known, ["path", "start"])
+    return numbered.select("path", (F.col("at") + F.col("shift")).alias("source_line"), F.regexp_replace("line", "\r$", "").alias("line")).where("line != ''")
 
 
 def strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
