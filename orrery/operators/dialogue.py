@@ -6,11 +6,14 @@ fields, evidence array). Rounds are built for all episodes at once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.functions import geometry as G
+from orrery.operators.sampling import layout_facts
 from orrery.operators.visibility import views
+from orrery.plans.durable import cut
 
 
 def releases(seen: DataFrame, per_round: int = 2) -> DataFrame:
@@ -55,3 +58,127 @@ def messages(rounds: DataFrame, question: str, answer: str) -> DataFrame:
         F.struct((2 * F.col("n") + 1).alias("turn"), F.lit("assistant").alias("role"), F.col(answer).alias("text")),
     )
     return rounds.withColumn("n", nth).select("episode", F.explode(pair).alias("m")).select("episode", "m.*")
+
+
+#: Views that each of the seven rounds releases, by step; how many a trajectory has; least pixels, margin and angle (fixed values).
+SLOTS = ((0,), (1, 2), (3, 4), (5, 6, 7), (8, 9), (10,), ())
+N_VIEWS = 11
+LEAST_PIXELS = 256
+LEAST_MARGIN_M = 0.4
+LEAST_ANGLE_DEG = 20.0
+MOST_NAMES = 8
+KINDS = ("inventory", "covis_relation", "temporal", "crossview", "perspective", "epistemic_loop", "layout")
+
+
+def _placed(entities: DataFrame, *sides: str) -> list[DataFrame]:
+    return [entities.select("episode", F.col("label").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("x", "y", "hx", "hy")]) for s in sides]
+
+
+def _pair_relation() -> Column:
+    """struct(relation, margin) of a and b, the margin to three decimals."""
+    dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
+    return F.struct(G.dominant_relation(dx, dy)["relation"].alias("relation"), F.round(F.abs(F.abs(dx) - F.abs(dy)), 3).alias("margin"))
+
+
+def scene_dialogues(entities: DataFrame, shown: DataFrame, trajectories: DataFrame, slots: tuple[tuple[int, ...], ...] = SLOTS) -> DataFrame:
+    """The certified rounds of each episode's dialogue: (episode, round, kind, released, evidence, objects, answer), round from 1.
+
+    entities: (episode, label, x, y, hx, hy), the named objects that some view
+    shows and that are the only one of their label, in the first view's
+    frame, a bounded vocabulary a scene; shown: (episode, step, label,
+    pixels); trajectories: (episode, n_views, closed, unseen), unseen being a
+    name that no view shows, or null.
+
+    A round may use the views released until then: those of its slot and all
+    before. Inventory names what the first view shows; covis_relation relates
+    the clearest pair of one view; temporal asks for what the newest views no
+    longer show; crossview relates two objects that no view shows together,
+    in another relation than covis_relation if there is one; perspective asks for the clearest
+    quadrant, of an object apart from the others' views if possible;
+    epistemic_loop asks at the closed loop for what was never shown and for what is still there;
+    layout sums up. A round that cannot be certified is skipped and its views
+    go to the next, which alone matters to temporal, whose newest views these
+    are. So rounds are built for all episodes at once, and only their order
+    is carried. An episode with another number of views, fewer than four
+    rounds, or neither crossview nor perspective has no dialogue.
+    """
+    n_views = sum(map(len, slots))
+    right = trajectories.where(F.col("n_views") == n_views)
+    slot = F.lit(len(slots))
+    for i in reversed(range(len(slots))):
+        if slots[i]:
+            slot = F.when(F.col("step") <= max(slots[i]), i).otherwise(slot)
+    seen = shown.join(right.select("episode"), "episode").join(entities.select("episode", "label"), ["episode", "label"], "left_semi").withColumn("slot", slot).withColumn("ok", F.col("pixels") >= LEAST_PIXELS)
+    seen = cut(seen.select("episode", "label", "step", "slot", "ok"))
+    first = seen.where("step = 0 and ok").groupBy("episode").agg(F.slice(F.sort_array(F.collect_set("label")), 1, MOST_NAMES).alias("names")).where("size(names) >= 2")
+
+    clear = lambda s, most: seen.where(F.col("ok") & (F.col("slot") <= most)).select("episode", "step", F.col("label").alias(s))
+    a, b = _placed(entities, "a", "b")
+    together = clear("a", 1).join(clear("b", 1), ["episode", "step"]).where("a < b").groupBy("episode", "a", "b").agg(F.min("step").alias("step"))
+    related = together.join(a, ["episode", "a"]).join(b, ["episode", "b"]).withColumn("r", _pair_relation()).where(F.col("r.margin") >= LEAST_MARGIN_M)
+    covis = related.groupBy("episode").agg(F.min(F.struct((-F.col("r.margin")).alias("m"), "a", "b", "step", F.col("r.relation").alias("relation"))).alias("covis"))
+
+    lasting = seen.where("slot <= 2").groupBy("episode", "label").agg(F.max_by(F.struct("step", "slot", "ok"), "step").alias("l")).where("l.ok")
+    gone = lambda low: F.min(F.when(F.col("l.slot") < low, F.struct("label", F.col("l.step").alias("step"))))
+    temporal = lasting.groupBy("episode").agg(gone(2).alias("gone_2"), gone(1).alias("gone_1"))
+
+    well = seen.where("ok and slot <= 3").select("episode", "label").distinct()
+    well = entities.join(well, ["episode", "label"], "left_semi")
+    a, b = _placed(well, "a", "b")
+    pairs = a.join(b, "episode").where("a <> b")
+    every = lambda s: seen.select("episode", "step", F.col("label").alias(s))
+    met = every("a").join(every("b"), ["episode", "step"]).select("episode", "a", "b").distinct()
+    apart = pairs.join(met, ["episode", "a", "b"], "left_anti").withColumn("r", _pair_relation()).where(F.col("r.margin") >= LEAST_MARGIN_M)
+    apart = apart.join(covis.select("episode", F.col("covis.relation").alias("used")), "episode", "left")
+    again = F.coalesce((F.col("r.relation") == F.col("used")).cast("int"), F.lit(0))
+    cross = apart.groupBy("episode").agg(F.min(F.struct(again.alias("again"), (-F.col("r.margin")).alias("m"), "a", "b", F.col("r.relation").alias("relation"))).alias("cross"))
+    steps = lambda most: seen.where(F.col("slot") <= most).groupBy("episode", "label").agg(F.sort_array(F.collect_set("step")).alias("steps"))
+
+    origins = clear("o", 4).join(clear("f", 4), ["episode", "step"]).where("o <> f").groupBy("episode", "o", "f").agg(F.sort_array(F.collect_set("step")).alias("shared"))
+    targets = seen.groupBy("episode", F.col("label").alias("t")).agg(F.collect_set("step").alias("all_steps"), F.min(F.when(F.col("slot") <= 4, F.col("step"))).alias("t_step"), F.bool_or(F.col("ok") & (F.col("slot") <= 4)).alias("well")).where("well")
+    o, f, t = _placed(entities, "o", "f", "t")
+    trips = origins.join(o, ["episode", "o"]).join(f, ["episode", "f"]).join(targets.join(t, ["episode", "t"]), "episode").where("t <> o and t <> f")
+    qx, qy = G.object_components(*[F.col(f"{s}_{k}") for s in "oft" for k in "xy"])
+    heading = F.hypot(F.col("f_x") - F.col("o_x"), F.col("f_y") - F.col("o_y"))
+    ux, uy = F.abs((F.col("f_x") - F.col("o_x")) / heading), F.abs((F.col("f_y") - F.col("o_y")) / heading)
+    trips = trips.where(heading >= 1e-6).withColumn("qx", qx).withColumn("qy", qy).withColumn("ex", uy * F.col("t_hx") + ux * F.col("t_hy")).withColumn("ey", ux * F.col("t_hx") + uy * F.col("t_hy"))
+    angle = F.degrees(F.least(F.atan2(F.abs("qx"), F.abs("qy")), F.atan2(F.abs("qy"), F.abs("qx"))))
+    trips = trips.where((angle >= LEAST_ANGLE_DEG) & (F.abs("qx") > F.col("ex")) & (F.abs("qy") > F.col("ey")))
+    quadrant = F.concat(F.when(F.col("qy") >= 0, "front").otherwise("back"), F.when(F.col("qx") >= 0, "-right").otherwise("-left"))
+    mixed = F.arrays_overlap("all_steps", "shared").cast("int")
+    view = trips.groupBy("episode").agg(F.min(F.struct(mixed.alias("mixed"), (-F.round(angle, 2)).alias("m"), "o", "f", "t", F.col("shared")[0].alias("step"), "t_step", quadrant.alias("quadrant"))).alias("view"))
+
+    still = seen.where((F.col("step") == 0) | ((F.col("step") == n_views - 1) & F.col("ok"))).groupBy("episode", "label").agg(F.count("*").alias("n")).where("n = 2").groupBy("episode").agg(F.min("label").alias("anchor"))
+    a, b = _placed(entities, "a", "b")
+    facts = a.join(b, "episode").where("a < b").withColumn("r", _pair_relation()).select("episode", F.col("a").alias("subject"), F.col("b").alias("reference"), "r.relation", "r.margin")
+    said = F.concat_ws(" ", "subject", "relation", "reference")
+    layout = layout_facts(facts, "episode").groupBy("episode").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", said.alias("said")))), lambda x: x["said"]), "; ").alias("layout"))
+
+    rows = right
+    for part in (first, covis, temporal, cross, view, still, layout):
+        rows = rows.join(part, "episode", "left")
+    ids = lambda s, low, i: F.array(*[F.lit(x) for k in range(low, i + 1) for x in s[k]]).cast("array<int>")
+    views_of = lambda side, most: steps(most).select("episode", F.col("label").alias(f"_{side}"), F.slice("steps", 1, 2).alias(f"{side}_steps"))
+    rows = rows.withColumn("_a", F.col("cross.a")).withColumn("_b", F.col("cross.b"))
+    rows = rows.join(views_of("a", 3), ["episode", "_a"], "left").join(views_of("b", 3), ["episode", "_b"], "left")
+    left = F.when(F.col("covis").isNotNull(), F.col("gone_2")).when(F.col("names").isNotNull(), F.col("gone_1"))
+    loop = F.col("closed") & F.col("unseen").isNotNull() & F.col("anchor").isNotNull()
+    unique = lambda c: F.sort_array(F.array_distinct(c)).cast("array<int>")
+    newest = ids(slots, len(slots), len(slots) - 1)
+    made = (
+        (F.col("names").isNotNull(), F.array(F.lit(0)), F.col("names"), F.array_join("names", ", ")),
+        (F.col("covis").isNotNull(), F.array("covis.step"), F.array("covis.a", "covis.b"), F.col("covis.relation")),
+        (left.isNotNull(), F.array(left["step"]), F.array(left["label"]), (left["step"] + 1).cast("string")),
+        (F.col("cross").isNotNull(), unique(F.concat("a_steps", "b_steps")), F.array("cross.a", "cross.b"), F.col("cross.relation")),
+        (F.col("view").isNotNull(), unique(F.array("view.step", "view.t_step")), F.array("view.o", "view.f", "view.t"), F.col("view.quadrant")),
+        (F.coalesce(loop, F.lit(False)), F.array(F.lit(0), F.lit(n_views - 1)), F.array("unseen", "anchor"), F.lit("unknown")),
+        (F.col("layout").isNotNull(), newest, F.array().cast("array<string>"), F.col("layout")),
+    )
+    told = F.array(*[F.struct(F.lit(i).alias("slot"), kept.alias("kept"), evidence.cast("array<int>").alias("evidence"), objects.cast("array<string>").alias("objects"), answer.alias("answer")) for i, (kept, evidence, objects, answer) in enumerate(made)])
+    rows = rows.select("episode", F.filter(told, lambda r: r["kept"]).alias("rounds")).where((F.size("rounds") >= 4) & F.exists("rounds", lambda r: r["slot"].isin(3, 4)))
+    out = rows.select("episode", "rounds", F.posexplode("rounds").alias("at", "r"))
+    before = F.when(F.col("at") == 0, -1).otherwise(F.get("rounds", F.col("at") - 1)["slot"])
+    dealt = F.array(*[ids(slots, i, i) for i in range(len(slots))])
+    released = F.flatten(F.slice(dealt, before + 2, F.col("r.slot") - before))
+    names = F.array(*map(F.lit, KINDS))
+    return out.select("episode", (F.col("at") + 1).alias("round"), names[F.col("r.slot")].alias("kind"), released.alias("released"), "r.evidence", "r.objects", "r.answer")
