@@ -10,70 +10,93 @@ from orrery.operators import dedup as D
 from orrery.operators.schedule import token_proxy
 from orrery.plans.registry import query, table
 
-#: Phrases that stand for model answers: the driver's tables hold none.
-_SAYINGS = (
-    "It is left_of the table.",
-    "The lamp is to the right, right of it.",
-    "left or right, I cannot say.",
-    "不对；实际在前方。",
+#: Answers around a turn's own text: {r} is a relation word that the text's length picks.
+_FORMS = (
+    "{t} It is {r} of the table.",
+    "left or {r}, I cannot say. {t}",
+    "{t} 说法不对；实际在 {r} 。",
+    "{r} ？不，其实是 {r} ！",
     "看不到。",
-    "能看到。",
-    "证据不足，还不能确定。",
-    "Answer: B",
-    "<answer>C</answer>",
-    'Final: {"relation": "behind"}',
-    '{"claim_correct": true, "relation": "left_of"}',
+    "{t} 能看到。",
+    "现在能看到，刚才看不见。",
+    "{t} 证据不足，还不能确定。",
+    "{t}\n答案：B",
+    "<cue>{t}</cue><reasoning>{r}</reasoning><answer>C</answer>",
+    "{t} 结论是: {\"relation\": \"{r}\"}",
+    "{\"answer_value\": {\"relation\": \"{r}\"}}",
     "true",
-    "<cue>a</cue><reasoning>b</reasoning><answer>D</answer>",
+    "<answer>d.</answer> {t} answer: a",
+    "{t}",
 )
+_WORDS = ("left", "right_of", "前方", "behind", "左侧", "back", "front", "右前")
 
 
 def _answers(spark, d):
-    """A saying for each customer."""
-    said = F.array(*map(F.lit, _SAYINGS))
-    return table(spark, d, "customer").select("c_custkey", F.get(said, (F.col("c_custkey") % len(_SAYINGS)).cast("int")).alias("said"))
+    """An answer of each turn of each conversation, made of its whole text."""
+    text = F.coalesce("text", F.lit(""))
+    pick = lambda of, by: F.get(F.array(*map(F.lit, of)), (by % len(of)).cast("int"))
+    form, word = pick(_FORMS, F.length(text) + F.col("turn")), pick(_WORDS, F.octet_length(text))
+    said = F.replace(F.replace(form, F.lit("{r}"), word), F.lit("{t}"), text)
+    return table(spark, d, "conversations").select("conv_id", "turn", said.alias("said"))
 
 
-_SAID = "s AS (SELECT c_custkey, (" + "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _SAYINGS) + f"])[c_custkey % {len(_SAYINGS)} + 1] AS said FROM customer)"
-_SAYS = {
-    "left_of": r"\bleft_of\b|\bleft\b|左侧|左边|左方|左[前后]",
-    "right_of": r"\bright_of\b|\bright\b|右侧|右边|右方|右[前后]",
-    "in_front_of": r"\bin_front_of\b|\bfront\b|前方|前面",
-    "behind": r"\bbehind\b|\bback\b|后方|后面",
-}
+def _listed(of: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in of) + "]"
 
 
-@query(
-    f"WITH {_SAID}, r AS (SELECT c_custkey, list_filter(["
-    + ", ".join(f"CASE WHEN regexp_matches(lower(said), '{p}') THEN '{n}' END" for n, p in _SAYS.items())
-    + "], lambda x: x IS NOT NULL) AS found FROM s) SELECT c_custkey, CASE WHEN len(found) = 1 THEN found[1] END AS relation FROM r"
-)
+_SAID = f"""s AS MATERIALIZED (SELECT conv_id, turn, replace(replace(({_listed(_FORMS)})[(length(t) + turn) % {len(_FORMS)} + 1], '{{r}}', ({_listed(_WORDS)})[strlen(t) % {len(_WORDS)} + 1]), '{{t}}', t) AS said
+  FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations))"""
+
+
+def _any(patterns: tuple[str, ...]) -> str:
+    """One pattern, without looking around: a character that must not stand before becomes a start or another one."""
+    one = "|".join(f"(?:{p})" for p in patterns)
+    return one.replace("(?<![不未没])", "(?:^|[^不未没])").replace("(?<!不)", "(?:^|[^不])").replace("(?=[前后])", "[前后]")
+
+
+def _sql_one(x: str) -> str:
+    found = ", ".join(f"CASE WHEN regexp_matches(lower({x}), '{_any(p)}') THEN '{n}' END" for n, p in T.RELATIONS)
+    return f"(CASE WHEN len([n FOR n IN [{found}] IF n IS NOT NULL]) = 1 THEN ([n FOR n IN [{found}] IF n IS NOT NULL])[1] END)"
+
+
+def _sql_relation(x: str) -> str:
+    last = f"regexp_extract({x}, '(?is)^.*{T.CORRECTION}(.*)$', 1)"
+    return f"(CASE WHEN regexp_matches(lower({last}), '{_any(tuple(p for _, ps in T.RELATIONS for p in ps))}') THEN {_sql_one(last)} ELSE {_sql_one(x)} END)"
+
+
+@query(f"WITH {_SAID} SELECT conv_id, turn, {_sql_relation('said')} AS relation FROM s")
 def relation_parse(spark, d):
-    return _answers(spark, d).select("c_custkey", T.relation_in(F.col("said")).alias("relation"))
+    return _answers(spark, d).select("conv_id", "turn", T.relation_in(F.col("said")).alias("relation"))
 
 
-@query(f"""WITH {_SAID} SELECT c_custkey, upper(coalesce(nullif(regexp_extract(said, '(?i)<answer>\\s*([A-D])(?:\\.|\\b)', 1), ''),
-  nullif(regexp_extract(said, '(?i)(?:答案|answer|选项)\\s*(?:是|为|:)?\\s*([A-D])(?:\\.|\\b)', 1), ''))) AS choice FROM s""")
+@query(rf"""WITH {_SAID}, t AS (SELECT *, regexp_extract_all(said, '(?i)<answer>\s*([A-D])(?:\.|\b)', 1) AS tagged, regexp_extract_all(said, '(?i)(?:答案|answer|选项)\s*(?:是|为|:)?\s*([A-D])(?:\.|\b)', 1) AS stated,
+  regexp_extract(string_split(trim(said, ' '), chr(10))[-1], '(?i)^\s*([A-D])(?:\..*)?\s*$', 1) AS bare FROM s)
+SELECT conv_id, turn, upper(coalesce(tagged[-1], stated[-1], nullif(bare, ''))) AS choice FROM t""")
 def choice_parse(spark, d):
-    return _answers(spark, d).select("c_custkey", T.choice(F.col("said")).alias("choice"))
+    return _answers(spark, d).select("conv_id", "turn", T.choice(F.col("said")).alias("choice"))
 
 
-@query(f"""WITH {_SAID} SELECT c_custkey, regexp_matches(said, '(?s)<cue>.*?</cue>') AS cue, regexp_matches(said, '(?s)<reasoning>.*?</reasoning>') AS reasoning,
+@query(f"""WITH {_SAID} SELECT conv_id, turn, regexp_matches(said, '(?s)<cue>.*?</cue>') AS cue, regexp_matches(said, '(?s)<reasoning>.*?</reasoning>') AS reasoning,
   regexp_matches(said, '(?s)<answer>.*?</answer>') AS answer FROM s""")
 def trace_format(spark, d):
-    return _answers(spark, d).select("c_custkey", T.trace_flags(F.col("said")).alias("t")).select("c_custkey", "t.*")
+    return _answers(spark, d).select("conv_id", "turn", T.trace_flags(F.col("said")).alias("t")).select("conv_id", "turn", "t.*")
 
 
-@query(f"""WITH {_SAID} SELECT c_custkey, CASE WHEN said = '看不到。' THEN false WHEN said IN ('能看到。', 'true') THEN true END AS visible,
-  said = '证据不足，还不能确定。' AS unknown FROM s""")
+@query(f"""WITH {_SAID}, l AS (SELECT *, trim(lower(said), ' ') AS low FROM s),
+f AS (SELECT *, regexp_matches(low, '{_any(T.NOT_VISIBLE)}') OR regexp_matches(low, '{T.NO}') AS no, regexp_matches(regexp_replace(low, '{_any(T.NOT_VISIBLE)}', '', 'g'), '{_any(T.VISIBLE)}') OR regexp_matches(low, '{T.YES}') AS yes FROM l)
+SELECT conv_id, turn, CASE WHEN no <> yes THEN yes END AS visible, regexp_matches(said, '{_any(T.UNKNOWN)}') AS unknown FROM f""")
 def visibility_parse(spark, d):
-    return _answers(spark, d).select("c_custkey", T.visible(F.col("said")).alias("visible"), T.says_unknown(F.col("said")).alias("unknown"))
+    return _answers(spark, d).select("conv_id", "turn", T.visible(F.col("said")).alias("visible"), T.says_unknown(F.col("said")).alias("unknown"))
 
 
-@query(f"""WITH {_SAID} SELECT c_custkey, said IN ('It is left_of the table.', 'The lamp is to the right, right of it.', '不对；实际在前方。') OR said LIKE '{{"claim%' OR said LIKE 'Final%' AS parsed FROM s""")
+@query(f"""WITH {_SAID}, p AS (SELECT *, trim(regexp_replace(said, '[*`]', '', 'g'), ' ') AS plain FROM s),
+g AS (SELECT *, trim(CASE WHEN regexp_matches(plain, '{T.FINAL}') THEN regexp_extract(plain, '(?is)^.*{T.FINAL}(.*)$', 1) ELSE plain END, ' ') AS segment FROM p),
+v AS (SELECT *, CASE WHEN json_valid(trim(said)) THEN trim(said) WHEN json_valid(segment) THEN segment END AS j FROM g),
+o AS (SELECT *, CASE WHEN json_type(j) = 'OBJECT' THEN coalesce(j ->> '$.answer_value.relation', j ->> '$.relation') END AS given FROM v)
+SELECT conv_id, turn, trim(said, ' ') <> '' AND (CASE WHEN json_type(j) = 'OBJECT' THEN {_sql_relation("given")} ELSE {_sql_relation("segment")} END) IS NOT NULL AS parsed FROM o""")
 def answer_parse(spark, d):
     task, none = F.lit("egocentric_relation"), F.lit(None).cast("string")
-    return _answers(spark, d).select("c_custkey", T.parse_answer(task, F.col("said"), none)["parsed"].alias("parsed"))
+    return _answers(spark, d).select("conv_id", "turn", T.parse_answer(task, F.col("said"), none)["parsed"].alias("parsed"))
 
 
 @query(r"""WITH m AS (SELECT conv_id, turn, coalesce(text, '') || CASE conv_id % 7 WHEN 0 THEN ' see Scene_IR' WHEN 1 THEN ' 123E4567-e89b-12d3-a456-426614174000' WHEN 2 THEN ' x123e4567-e89b-12d3-a456-426614174000' WHEN 3 THEN ' oracles' ELSE '' END AS said FROM conversations)
