@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.plans import bundles, claims, contracts, dialogues, layouts, metrics, rasters, registry, releases, reviews, samples, scenes, seen, spatial, tasks, texts  # noqa: F401  modules register their queries
+from orrery.plans import batches, bundles, claims, contracts, dialogues, layouts, metrics, rasters, registry, releases, reviews, samples, scenes, seen, spatial, tasks, texts  # noqa: F401  modules register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -323,3 +323,9 @@ def surface_anchored(question: Column, prefixes: Column, name: Column, names: Co
     rest = F.transform(F.filter(names, lambda n: F.startswith(n, name) & (F.length(n) > F.length(name))), lambda n: F.substring(n, F.length(name) + 1, F.length(n)))
     pattern = F.concat(one_of(prefixes), quoted(name), F.when(F.size(rest) > 0, F.concat(F.lit("(?!"), one_of(rest), F.lit(")"))).otherwise(""))
     return (F.size(prefixes) > 0) & F.rlike(question, pattern)
+
+
+def entity_name(label: Column, names: Column) -> Column:
+    """The name of a label in a map of normal labels to names; one that it lacks is said with spaces for underscores."""
+    key = F.replace(F.lower(F.btrim(label)), F.lit(" "), F.lit("_"))
+    return F.coalesce(names[key], F.btrim(F.replace(label, F.lit("_"), F.lit(" "))))

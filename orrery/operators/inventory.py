@@ -38,3 +38,16 @@ def capability_coverage(rows: DataFrame, flags: dict[str, str]) -> DataFrame:
     """How many records have each capability: (capability, n_true, n)."""
     pairs = F.array(*[F.struct(F.lit(name).alias("capability"), F.coalesce(F.expr(cond), F.lit(False)).alias("on")) for name, cond in flags.items()])
     return rows.select(F.explode(pairs).alias("p")).groupBy("p.capability").agg(F.count_if("p.on").alias("n_true"), F.count("*").alias("n"))
+
+
+def inventory_views(questions: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Questions' views looked up in an inventory by bundle and view: (question, bundle_root, view_id, status).
+
+    questions: (question, bundle_root, view_id); inventory: (bundle_root,
+    view_id). Roots are compared without a trailing slash, doubled slashes or
+    /./ steps. status: found, absent or repeated (the inventory lists it more than once).
+    """
+    root = lambda c: F.regexp_replace(F.regexp_replace(c, r"/+(?:\./+)*", "/"), r"(?<=.)/\.?$", "")
+    listed = inventory.groupBy(root(F.col("bundle_root")).alias("bundle_root"), "view_id").agg(F.count("*").alias("n"))
+    rows = questions.withColumn("bundle_root", root(F.col("bundle_root"))).join(listed, ["bundle_root", "view_id"], "left")
+    return rows.select("question", "bundle_root", "view_id", F.when(F.col("n").isNull(), "absent").when(F.col("n") > 1, "repeated").otherwise("found").alias("status"))

@@ -196,3 +196,62 @@ def grouped(questions: DataFrame, keys: list[str], priority: Column, most: int =
     """Questions of one group by priority, the first `most` of them: (.., place)."""
     nth = F.row_number().over(W.partitionBy(*keys).orderBy(priority, "fact_id"))
     return questions.withColumn("place", nth).where(F.col("place") <= most)
+
+
+#: Tasks whose question reads the same with more views around it (fixed values).
+LIFTED_TASKS = (
+    "metric_distance", "egocentric_relation", "cross_view_relation", "counterfactual_verification", "last_seen_memory",
+    "orbit_identity", "rotation_change_detection", "elevation_relation_transfer", "object_centric_perspective", "target_view_prediction",
+)
+REPEATED_VARIANTS = ("claim_true", "frame_b")
+
+
+def context_lift(questions: DataFrame, excluded: DataFrame, held_out: tuple[str, ...] = (), tasks: tuple[str, ...] = LIFTED_TASKS, evaluation: bool = False) -> DataFrame:
+    """Questions that an episode's batch may ask of all its views: (episode, fact_id, place), place from 0.
+
+    questions: (episode, fact_id, task_type, program_id, variant, group,
+    models, all_views, score), group empty or null for none, score an
+    orderable column, smaller first, ties by fact_id; excluded: (fact_id). Out go
+    excluded facts, programs held out for evaluation, tasks that do not lift (an
+    unknown_abstention does if it reads all views in order and is canonical)
+    and variants that repeat another; then, in order, a task or group that the batch has already.
+
+    What is taken depends on what came before, but a batch takes a task once,
+    so a task's first row without a group and its first rows of as many groups
+    as there are tasks decide; the fold runs over these alone.
+    """
+    whole = (F.col("task_type") == "unknown_abstention") & F.col("models").eqNullSafe(F.col("all_views")) & (F.col("variant") == "canonical")
+    rows = questions.where(F.col("task_type").isin(*tasks) | F.coalesce(whole, F.lit(False)))
+    rows = rows.where(~F.coalesce(F.col("variant").isin(*REPEATED_VARIANTS), F.lit(False)))
+    if not evaluation and held_out:
+        rows = rows.where(~F.coalesce(F.col("program_id").isin(*held_out), F.lit(False)))
+    rows = rows.join(excluded.select("fact_id").distinct(), "fact_id", "left_anti").withColumn("group", F.coalesce("group", F.lit("")))
+    row = F.struct("score", "fact_id", F.col("task_type").alias("task"), "group")
+    first = rows.groupBy("episode", "task_type", "group").agg(F.min(row).alias("q"))
+    nth = F.row_number().over(W.partitionBy("episode", "task_type").orderBy("q"))
+    few = first.withColumn("nth", nth).where(F.col("nth") <= len(tasks) + 2).groupBy("episode").agg(F.array_sort(F.collect_list("q")).alias("qs"))
+    kind = few.schema["qs"].dataType.simpleString()
+
+    def take(taken: Column, q: Column) -> Column:
+        had = F.exists(taken, lambda t: (t["task"] == q["task"]) | ((q["group"] != "") & (t["group"] == q["group"])))
+        return F.when(had, taken).otherwise(F.array_append(taken, q))
+
+    out = few.select("episode", F.posexplode(F.aggregate("qs", F.array().cast(kind), take)).alias("place", "q"))
+    return out.select("episode", "q.fact_id", "place")
+
+
+def rationale(task: Column, steps: Column, answer: Column) -> Column:
+    """Why an answer holds, from the views (steps from 0) that show it: one sentence by task, and the answer; other tasks have the answer alone."""
+    name = lambda s: F.concat(F.lit("view "), (s + 1).cast("string"))
+    span = F.concat(name(steps[0]), F.lit(" to "), name(F.element_at(steps, -1)))
+    seen = F.when(F.size(steps) > 3, span).otherwise(F.array_join(F.transform(steps, name), ", "))
+    told = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts], F.lit("; "), answer)
+    return (
+        F.when(task == "cross_view_relation", told("The two objects are shown by ", seen, ", and no view shows both; both are placed on one plane and compared"))
+        .when(task == "counterfactual_verification", told("The relation is rebuilt from ", seen, " and compared with the claim"))
+        .when(task == "object_centric_perspective", told("Standpoint, facing and target are bound by ", seen, " and seen from there"))
+        .when(task == "last_seen_memory", told("The object is followed through the views in order, and those after its last are checked"))
+        .when(task == "metric_distance", told("Both objects are bound in ", seen, " and their centres compared"))
+        .when(task == "unknown_abstention", told("Only the views given are checked; what they do not show may still be there"))
+        .otherwise(answer)
+    )

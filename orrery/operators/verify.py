@@ -98,3 +98,28 @@ def unequal_rows(left: DataFrame, right: DataFrame) -> DataFrame:
 def summed_counters(rows: DataFrame, key: str, counter: str) -> DataFrame:
     """Rows (key, name, n): the sum of maps from names to counts."""
     return rows.select(key, F.explode(counter).alias("name", "n")).groupBy(key, "name").agg(F.sum("n").alias("n"))
+
+
+def arm_faults(episodes: DataFrame, isolated: DataFrame) -> DataFrame:
+    """Faults of two training arms that must hold the same facts: (comparison, fault), one row a fault.
+
+    episodes: (comparison, facts array, images array), one row a comparison;
+    isolated: the same columns, one row a fact. Faults: no comparison,
+    repeated comparison, missing in isolated, missing in episodes, more than one fact, other images, other
+    facts (counted as often as they come).
+    """
+    none = F.col("comparison").isNull()
+    e = episodes.where(~none).groupBy("comparison").agg(F.count("*").alias("n"), F.first("facts").alias("facts"), F.first("images").alias("images"))
+    shape = isolated.where(~none).groupBy("comparison").agg(F.count("*").alias("k"), F.bool_or(F.coalesce(F.size("facts"), F.lit(0)) != 1).alias("many"))
+    given = e.select("comparison", F.col("images").alias("wanted"))
+    images = isolated.join(given, "comparison").groupBy("comparison").agg(F.bool_or(~F.col("images").eqNullSafe(F.col("wanted"))).alias("other_images"))
+    count = lambda rows, name: rows.select("comparison", F.explode("facts").alias("fact")).groupBy("comparison", "fact").agg(F.count("*").alias(name))
+    facts = count(e, "a").join(count(isolated, "b"), ["comparison", "fact"], "full").groupBy("comparison").agg(F.bool_or(~F.col("a").eqNullSafe(F.col("b"))).alias("other_facts"))
+    rows = e.drop("facts", "images").join(shape, "comparison", "full").join(images, "comparison", "left").join(facts, "comparison", "left")
+    both = F.col("n").isNotNull() & F.col("k").isNotNull()
+    told = F.array_compact(F.array(
+        F.when(F.col("n") > 1, "repeated comparison"), F.when(F.col("k").isNull(), "missing in isolated"), F.when(F.col("n").isNull(), "missing in episodes"),
+        F.when(F.col("many"), "more than one fact"), F.when(both & F.col("other_images"), "other images"), F.when(both & F.col("other_facts"), "other facts"),
+    ))
+    nameless = episodes.where(none).unionByName(isolated.where(none)).select("comparison", F.lit("no comparison").alias("fault"))
+    return rows.select("comparison", F.explode(told).alias("fault")).unionByName(nameless)

@@ -258,3 +258,72 @@ def test_lines_of_split_files_are_numbered(spark, tmp_path):
         spark.conf.set(key, before)
     whole = sorted((r["path"][-8:], r["source_line"], r["line"]) for r in jsonl.snapshot_lines(spark, str(tmp_path)).collect())
     assert got == whole and len(got) > 1000
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_batches_equal_the_loop(spark, seed):
+    from orrery.operators import questions as Q
+
+    r = random.Random(seed)
+    tasks = [*Q.LIFTED_TASKS, "unknown_abstention", "grounding_presence"]
+    rows = []
+    for i in range(300):
+        n = r.randrange(len(tasks))
+        rows.append((f"e{i % 2}", f"f{i:03d}", tasks[n], f"p{r.randrange(6)}", r.choice(["canonical", "canonical", "claim_true"]), r.choice([None, "", *[f"g{k}" for k in range(5)]]), r.choice([["a"], ["a", "b"]]), ["a", "b"], n))
+    out = {f"f{i:03d}" for i in range(0, 300, 9)}
+    want = []
+    for e in ("e0", "e1"):
+        had, groups = set(), set()
+        for x in sorted((x for x in rows if x[0] == e), key=lambda x: (x[8], x[1])):
+            whole = x[2] == "unknown_abstention" and x[6] == x[7] and x[4] == "canonical"
+            if x[1] in out or x[3] == "p1" or (x[2] not in Q.LIFTED_TASKS and not whole) or x[2] in had or (x[5] and x[5] in groups) or x[4] == "claim_true":
+                continue
+            had.add(x[2])
+            groups |= {x[5]} - {None, ""}
+            want.append((e, x[1]))
+    asked = spark.createDataFrame(rows, "episode string, fact_id string, task_type string, program_id string, variant string, `group` string, models array<string>, all_views array<string>, score int")
+    got = Q.context_lift(asked, spark.createDataFrame([(x,) for x in out], "fact_id string"), ("p1",))
+    assert [(x["episode"], x["fact_id"]) for x in sorted(got.collect(), key=lambda x: (x["episode"], x["place"]))] == want
+
+
+def test_arm_faults(spark):
+    from orrery.operators import verify
+
+    of = lambda rows: spark.createDataFrame(rows, "comparison string, facts array<int>, images array<string>")
+    whole = of([("ok", [1, 1, 2], ["i"]), ("twice", [1], ["i"]), ("twice", [1], ["i"]), ("alone", [1], ["i"]), ("counts", [1, 1], ["i"]), ("image", [1], ["i", "j"]), (None, [1], ["i"])])
+    single = of([("ok", [1], ["i"]), ("ok", [2], ["i"]), ("ok", [1], ["i"]), ("twice", [1], ["i"]), ("counts", [1], ["i"]), ("image", [1], ["j", "i"]), ("strange", [1, 2], ["i"]), ("many", [1, 2], ["i"])])
+    got = sorted((r["comparison"] or "", r["fault"]) for r in verify.arm_faults(whole, single).collect())
+    assert got == [("", "no comparison"), ("alone", "missing in isolated"), ("counts", "other facts"), ("image", "other images"), ("many", "missing in episodes"), ("many", "more than one fact"), ("strange", "missing in episodes"), ("strange", "more than one fact"), ("twice", "repeated comparison")]
+
+
+class TestDialogues:
+    THINGS = [("e", "bed", 0.0, 0.0), ("e", "desk", 3.0, 0.5), ("e", "lamp", 1.0, 4.0), ("e", "sofa", -4.0, 1.0)]
+
+    def rounds(self, spark, shown, closed=True, unseen="oven", n=11):
+        from orrery.operators import dialogue
+
+        things = spark.createDataFrame([(*t, 0.1, 0.1) for t in self.THINGS], "episode string, label string, x double, y double, hx double, hy double")
+        seen = spark.createDataFrame([("e", s, x, p) for s, x, p in shown], "episode string, step int, label string, pixels int")
+        ends = spark.createDataFrame([("e", n, closed, unseen)], "episode string, n_views long, closed boolean, unseen string")
+        return [(r["round"], r["kind"], r["released"], r["evidence"], r["objects"], r["answer"]) for r in sorted(dialogue.scene_dialogues(things, seen, ends).collect(), key=lambda r: r["round"])]
+
+    def test_all_seven(self, spark):
+        shown = [(0, "bed", 900), (0, "desk", 900), (1, "bed", 900), (2, "desk", 900), (5, "lamp", 900), (8, "sofa", 900), (9, "lamp", 900), (10, "bed", 900)]
+        got = self.rounds(spark, shown)
+        assert [r[1] for r in got] == ["inventory", "covis_relation", "temporal", "crossview", "perspective", "epistemic_loop", "layout"]
+        assert got[0] == (1, "inventory", [0], [0], ["bed", "desk"], "bed, desk")
+        assert got[1] == (2, "covis_relation", [1, 2], [0], ["bed", "desk"], "left_of")
+        assert got[2] == (3, "temporal", [3, 4], [1], ["bed"], "2")
+        # lamp and bed are 3 m clear, the first by name goes first, and left_of was used
+        assert got[3][4:] == (["bed", "lamp"], "behind") and got[3][2] == [5, 6, 7] and got[3][3] == [0, 1, 5]
+        assert got[4][4][:2] in (["bed", "desk"], ["desk", "bed"]) and got[5] == (6, "epistemic_loop", [10], [0, 10], ["oven", "bed"], "unknown") and got[6][2:4] == ([], [])
+
+    def test_views_of_a_skipped_round_go_to_the_next(self, spark):
+        shown = [(0, "bed", 900), (0, "desk", 100), (1, "bed", 900), (5, "lamp", 900), (6, "desk", 900), (6, "lamp", 900), (10, "bed", 900)]
+        got = self.rounds(spark, shown)
+        assert [r[1] for r in got][:2] != ["inventory", "covis_relation"] and got[0][2][0] == 0
+        assert [s for r in got for s in r[2]] == sorted(s for r in got for s in r[2])
+
+    def test_refused(self, spark):
+        assert self.rounds(spark, [(0, "bed", 900), (0, "desk", 900)], closed=False) == []
+        assert self.rounds(spark, [(0, "bed", 900), (0, "desk", 900)], n=10) == []
