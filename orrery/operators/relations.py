@@ -117,14 +117,18 @@ def _around(some: DataFrame, entities: DataFrame, reach: float, columns: tuple[s
     return a.join(b, same & (F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")) <= reach)).drop("nx", "ny", "bx", "by", "a_region", "b_region")
 
 
-def _widened(entities: DataFrame, first: float, found) -> DataFrame:
+def _widened(entities: DataFrame, first: float, found, least: Column | None = None) -> DataFrame:
     """Rows of found(pending objects, reach) that are final, the reach doubled for the others until it spans every region.
 
+    least: an aggregate of the objects below which no row can be final, where there is one.
+
     found gives a row for each pending object with final, whether nothing
     farther away can change it.
     """
     ends = entities.groupBy("region").agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xy"]).agg(F.max(F.hypot("x", "y")))
     span = ends.first()[0]
+    if least is not None:
+        first = max(first, entities.agg(least).first()[0] or 0.0)
     out, pending, reach = None, entities, first
     while True:
         last = span is None or reach >= span
@@ -160,7 +164,8 @@ def clearances(entities: DataFrame, first: float = 2.0, touch: float = 0.01, non
         final = (F.col("sure") > touch) & (F.col("m") <= F.col("sure"))
         return rows.select("entity_id", F.coalesce("overlaps", F.lit(0)).alias("overlaps"), F.coalesce("m", F.lit(none)).alias("least_clearance"), F.coalesce(final, F.lit(False)).alias("final"))
 
-    return _widened(with_radius, first, found)
+    # nothing is sure below the radii of an object and of the widest one
+    return _widened(with_radius, first, found, 2 * F.max(radius))
 
 
 def nearest(entities: DataFrame, first: float = 2.0) -> DataFrame:
