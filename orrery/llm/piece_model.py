@@ -133,21 +133,27 @@ class PieceModel:
         """Words are cut before a mark that follows another character.
 
         Marks alone are merged last and from the left if their pieces share
-        the least score and none but the last mark joins a letter: then a run
-        is cut after as many as the longest piece has.
+        the least score and none but the last mark joins a letter. If the
+        longest of them then is made of the first marks of a run, whatever
+        follows, a run is cut after as many: what is left of it is merged as
+        if it began there.
         """
         if any(MARK in p.lstrip(MARK) for p in scores):
             self.words = re.compile(".+", re.S)
             return
         marks = {len(p): s for p, s in scores.items() if p == MARK * len(p) and len(p) > 1}
         others = [s for p, s in scores.items() if p.strip(MARK)]
+        last = len(set(marks.values())) == 1 and min(others) > max(marks.values()) and not any(p.startswith(MARK * 2) and p.strip(MARK) for p in scores)
         most = max(marks, default=0)
-        even = sorted(marks) == list(range(2, most + 1)) and len(set(marks.values())) == 1 and min(others) > max(marks.values())
-        if marks and even and not any(p.startswith(MARK * 2) and p.strip(MARK) for p in scores):
+        if last and all(self._of_marks(n) == self._of_marks(most) + self._of_marks(n - most) for n in range(most + 1, 2 * most + 1)) and len(self._of_marks(most)) == 1:
             self.words = re.compile(f"{MARK}{{{most}}}(?={MARK})|{MARK}+[^{MARK}]*|[^{MARK}]+")
         else:
             self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
+    def _of_marks(self, n: int) -> list[int]:
+        """The pieces of so many marks."""
+        return self._merge(np.full(n, self.symbol[ord(MARK)]), np.zeros(n, np.int64))[0].tolist()
+
     def _forget(self) -> None:
         self.slot: dict[str, int] = {}
         self.flat = np.empty(0, np.int32)

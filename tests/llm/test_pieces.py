@@ -40,6 +40,11 @@ def test_odd_texts(library, model):
     same(library, model, ODD)
 
 
+def test_runs_of_spaces(library, model):
+    same(library, model, [" " * k + end for k in range(70) for end in ("", "the", "\n", "é x")])
+    same(library, model, [" " * 300_000 + "end"])
+
+
 @pytest.mark.parametrize("c", "aexz=-_*/#.0\n\t!一é<")
 def test_long_runs_of_a_character(library, model, c):
     same(library, model, [c * 100_000])
