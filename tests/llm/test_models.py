@@ -168,7 +168,9 @@ class TestDecontamination:
         docs = spark.createDataFrame([(1, "one two three four"), (1, "one two"), (2, None)], "doc_id long, text string")
         bench = spark.createDataFrame([(1, "One two"), (2, "two, THREE four"), (3, " ")], "item_id long, text string")
         assert sorted((r["doc_id"], r["item_id"], r["start_word"]) for r in D.contaminated(docs, bench).collect()) == [(1, 1, 0), (1, 1, 0), (1, 2, 1)]
-        assert sorted(map(tuple, D.decontamination_stage(docs, bench).collect()), key=repr) == [(1, "one two"), (2, None)]
+        assert sorted(map(tuple, D.decontamination_stage(docs, bench, least_words=3).collect()), key=repr) == [(1, "one two"), (2, None)]
+        # by default items of one and two words count too
+        assert sorted(map(tuple, D.decontamination_stage(docs, bench).collect()), key=repr) == [(2, None)]
 
     def test_empty_tables(self, spark):
         docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
