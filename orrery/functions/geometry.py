@@ -253,7 +253,8 @@ def is_dominant(a: Column, b: Column, ratio: float = 1.25) -> Column:
 def object_components(ox: Column, oy: Column, fx: Column, fy: Column, tx: Column, ty: Column) -> tuple[Column, Column]:
     """(right, front) of a target for one who stands at o and faces f; null if o and f coincide."""
     dx, dy = fx - ox, fy - oy
-    n = F.hypot(dx, dy)
+    # not hypot: its last bit decides the sign where the three are in one line
+    n = F.sqrt(dx * dx + dy * dy)
     n = F.when(n >= 1e-6, n)
     ux, uy, vx, vy = dx / n, dy / n, tx - ox, ty - oy
     return vx * uy - vy * ux, vx * ux + vy * uy
