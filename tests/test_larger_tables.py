@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
-from orrery.operators import replay
+from orrery.operators import relations, replay
 from tests.oracle import database, DATA
 
 
@@ -23,3 +26,42 @@ def test_points_in_one_line_have_the_sign_of_the_sql(spark):
     ox, oy, fx, fy, tx, ty = 2.13, -3.1799999999999997, -1.63, -4.62, -0.03000000000000025, 2.46
     right, front = spark.range(1).select(*G.object_components(*map(F.lit, (ox, oy, fx, fy, tx, ty)))).first()
     assert front == 0.0 and right > 6
+
+
+BOX = "entity_id int, region int, x double, y double, z double, hx double, hy double, hz double"
+
+
+def crowd(spark, n=150, seed=1):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice((0, 0, 0, None)), *[rng.gauss(0, 2) for _ in "xy"], rng.gauss(0, 1), *[rng.choice((0.05, 0.1, 0.7)) for _ in "xyz"]) for i in range(n)]
+    return rows, spark.createDataFrame(rows, BOX).coalesce(1)
+
+
+def test_moves_in_a_crowd(spark, monkeypatch):
+    """The boxes that are tried first change nothing, and few moves are left to the join."""
+    rows, table = crowd(spark)
+    want, moves = set(), 0
+    for a, b in itertools.permutations(rows, 2):
+        if a[1] != b[1] or ((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2) ** 0.5 > 3.0:
+            continue
+        moves += 1
+        across = abs(a[2] - b[2]) >= abs(a[3] - b[3])
+        at = (2 * b[2] - a[2] if across else a[2], a[3] if across else 2 * b[3] - a[3], a[4])
+        if not any(o[1] == a[1] and o[0] not in (a[0], b[0]) and all(abs(o[2 + k] - at[k]) < o[5 + k] + a[5 + k] + 0.03 for k in range(3)) for o in rows):
+            want.add((a[0], b[0]))
+    left = []
+    monkeypatch.setattr(relations, "cut", lambda df: left.append(df.count()) or df)
+    got = {(r["target"], r["anchor"]) for r in relations.flip_moves(table).collect()}
+    assert got == want and len(want) < left[0] < 0.7 * moves
+
+
+def test_only_rows_that_can_be_first_are_sorted(spark, monkeypatch):
+    _, table = crowd(spark, 400)
+    sorted_rows, plain = [], relations.top_per
+    monkeypatch.setattr(relations, "top_per", lambda rows, *rest: sorted_rows.append(rows.count()) or plain(rows, *rest))
+    key = lambda r: (r["relation"], r["subject"], r["reference"])
+    some = sorted(map(key, relations.relation_candidates(table, per_relation=5).collect()))
+    every = relations.relation_candidates(table, per_relation=None)
+    assert some == sorted(map(key, plain(every, ["relation"], [relations.candidate_id(), F.col("subject"), F.col("reference")], 5).collect()))
+    assert sorted_rows[-1] < every.count() / 20
+
