@@ -98,10 +98,11 @@ t(g, i, pairs, rels, kept) AS (
   FROM (SELECT t.g, o.i, t.pairs, t.rels, o.pair, o.relation, NOT list_contains(t.pairs, o.pair) AND len(list_filter(t.rels, lambda x: x = o.relation)) < 2 AS ok FROM t JOIN o ON o.g = t.g AND o.i = t.i + 1) AS o JOIN (SELECT DISTINCT g FROM o) AS t ON t.g = o.g)
 SELECT o.region, subject, reference, relation, m AS margin FROM t JOIN o USING (g, i) WHERE kept""")
 def greedy_unique_pairs(spark, d):
-    # with the region at hand, ranks are limited before anything is shuffled
-    c = R.relation_candidates(entities(spark, d), per_relation=None, keep=("region",))
-    c = c.withColumn("rank", -F.round("margin", 9)).select("region", "subject", "reference", "relation", "margin", "rank")
+    e = entities(spark, d)
+    ranked = lambda c: c.withColumn("rank", -F.round("margin", 9)).select("region", "subject", "reference", "relation", "margin", "rank")
+    c, few = (ranked(R.relation_candidates(e, per_relation=None, keep=("region",), some=some)) for some in (None, R.probe(e)))
     # two of each of six relations: ten pairs at most are taken by the others, so the first twelve of a relation hold its two
+    c = R.up_to(c, few, ["region", "relation"], "rank", 2 * len(R.INVERSE))
     c = R.top_per(c, ["region", "relation"], [F.col("rank"), F.col("subject"), F.col("reference")], 2 * len(R.INVERSE))
     return S.greedy_pairs(c, "region", "subject", "reference", "relation", "rank").drop("rank")
 
@@ -116,7 +117,7 @@ t(i, rels, best) AS (
   FROM t JOIN b ON b.i = t.i + 1 GROUP BY t.i)
 SELECT (SELECT any_value(region) FROM b WHERE b.i = t.i) AS region, best.r AS relation, best.m AS margin FROM t WHERE i > 0""")
 def balanced_relations(spark, d):
-    c = R.relation_candidates(entities(spark, d), per_relation=None).join(entities(spark, d).selectExpr("entity_id as subject", "region"), "subject")
+    c = R.relation_candidates(entities(spark, d), per_relation=None, keep=("region",))
     return S.balanced_choices(c, "region", "relation", "margin")
 
 
