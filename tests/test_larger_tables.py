@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
-from orrery.operators import relations, replay
+from orrery.operators import dedup, relations, replay
 from tests.oracle import database, DATA
 
 
@@ -65,3 +65,22 @@ def test_only_rows_that_can_be_first_are_sorted(spark, monkeypatch):
     assert some == sorted(map(key, plain(every, ["relation"], [relations.candidate_id(), F.col("subject"), F.col("reference")], 5).collect()))
     assert sorted_rows[-1] < every.count() / 20
 
+
+def test_texts_with_common_ends_are_not_all_paired(spark, monkeypatch):
+    """Like urls: what they share is common, and only near copies are compared."""
+    rng = random.Random(2)
+    rows = [(i, "http://site.example.net/en/" + "".join(rng.choice("0123456789") for _ in range(9)) + "?page=2&ref=x") for i in range(300)]
+    rows += [(1000 + i, t[:-1] + "y") for i, t in rows[:20]]
+    grams = {k: {t[j : j + 4] for j in range(len(t) - 3)} for k, t in rows}
+    alike = lambda a, b: 2 * len(grams[a] & grams[b]) / (len(grams[a]) + len(grams[b])) >= 0.85
+    want = {(a, b) for (a, _), (b, _) in itertools.combinations(rows, 2) if alike(a, b)}
+    plain = dedup.dice
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counter = spark.sparkContext.accumulator(0)
+        monkeypatch.setattr(dedup, "dice", lambda x, y: plain(x, y) + F.udf(lambda: counter.add(1) or 0.0, "double").asNondeterministic()())
+        got = {(r["a"], r["b"]) for r in dedup.near_duplicates(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == want and len(want) >= 20
+    assert counter.value < 4 * len(want) + 200
