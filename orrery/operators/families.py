@@ -7,6 +7,11 @@ can still win.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -188,3 +193,101 @@ def quota_queries(candidates: DataFrame, seen: DataFrame, per_relation: int = 2,
     common = shared.groupBy("episode", "place").agg(F.min("step").alias("common"))
     evidence = F.when(F.col("common").isNotNull(), F.array("common")).otherwise(F.array("subject_step", "reference_step"))
     return chosen.join(common, ["episode", "place"], "left").select("episode", "place", "subject", "reference", "relation", "margin", evidence.alias("evidence"))
+
+
+#: Planar relations of two objects, by number.
+PLANAR = ("left_of", "right_of", "behind", "in_front_of")
+#: Ordered pairs that a task holds at once (one scene at least).
+PAIRS = 1 << 19
+
+
+def first_places(sizes: np.ndarray, rank: np.ndarray, x: np.ndarray, y: np.ndarray, shown: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Ordered pairs of each scene's objects, the first `most` of each relation with both objects shown: scene, place, subject, reference, relation, margin.
+
+    sizes: objects of each scene; the others are a row an object, rank the
+    order of its id. A pair's place is its rank from 1 among all of the scene,
+    by falling margin, then subject and reference; objects are row numbers.
+    """
+    square = sizes * sizes
+    scene = np.repeat(np.arange(len(sizes)), square)
+    within = np.arange(len(scene)) - np.repeat(np.cumsum(square) - square, square)
+    start = (np.cumsum(sizes) - sizes)[scene]
+    subject, reference = start + within // sizes[scene], start + within % sizes[scene]
+    apart = subject != reference
+    scene, subject, reference = scene[apart], subject[apart], reference[apart]
+    dx, dy = x[subject] - x[reference], y[subject] - y[reference]
+    margin = np.floor(np.abs(np.abs(dx) - np.abs(dy)) * 1e9 + 0.5) / 1e9
+    relation = np.where(np.abs(dx) >= np.abs(dy), dx > 0, 2 + (dy > 0))
+    order = np.lexsort((rank[reference], rank[subject], -margin, scene))
+    scene, subject, reference, relation, margin = (c[order] for c in (scene, subject, reference, relation, margin))
+    pairs = sizes * (sizes - 1)
+    place = 1 + np.arange(len(scene)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+    kept = np.flatnonzero(shown[subject] & shown[reference])
+    key = scene[kept] * len(PLANAR) + relation[kept]
+    by_key = np.argsort(key, kind="stable")
+    begins = np.flatnonzero(np.diff(key[by_key], prepend=-1))
+    nth = np.arange(len(key)) - np.repeat(begins, np.diff(np.append(begins, len(key))))
+    kept = np.sort(kept[by_key[nth < most]])
+    return tuple(c[kept] for c in (scene, place, subject, reference, relation, margin))
+
+
+def taken_rows(scene: np.ndarray, pair: np.ndarray, relation: np.ndarray, per_relation: int) -> np.ndarray:
+    """Which rows, in order within each scene (ascending), a quota takes: each pair once, at most per_relation of a relation. All scenes go on by a row at a time."""
+    begins = np.flatnonzero(np.diff(scene, prepend=-1))
+    ends = np.append(begins[1:], len(scene))
+    used = np.zeros((len(begins), len(PLANAR)), np.int64)
+    pairs = np.full((len(begins), per_relation * len(PLANAR)), -1, np.int64)
+    taken = np.zeros(len(scene), bool)
+    open_, row = np.arange(len(begins)), begins.copy()
+    while len(open_):
+        at = row[open_]
+        free = (used[open_, relation[at]] < per_relation) & ~(pairs[open_] == pair[at, None]).any(axis=1)
+        of, at = open_[free], at[free]
+        pairs[of, used[of].sum(axis=1)] = pair[at]
+        used[of, relation[at]] += 1
+        taken[at] = True
+        row[open_] += 1
+        open_ = open_[row[open_] < ends[open_]]
+    return taken
+
+
+def scene_queries(scenes: DataFrame, per_relation: int = 2) -> DataFrame:
+    """What quota_queries takes of all ordered pairs of each scene's objects, by the planar relation, clearest first.
+
+    scenes: (episode, things), things an array of (entity, x, y, steps), the
+    steps that show the object; ids and coordinates are not null. Objects of a
+    scene are a bounded vocabulary: all pairs of one scene are held by a task,
+    and none is shuffled. Rows as those of quota_queries.
+
+    Up to the last row that is taken of a relation, each row of it is of a
+    pair that is taken. These are at most per_relation of four relations, with
+    two rows each; so the first 8 * per_relation rows of a relation are enough.
+    """
+    most = 2 * len(PLANAR) * per_relation
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column("things")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            chunk = np.cumsum(sizes * sizes) // PAIRS
+            for number in np.unique(chunk).tolist():
+                at, end = np.searchsorted(chunk, [number, number + 1]).tolist()
+                some = batch.slice(at, end - at)
+                flat = some.column("things").flatten()
+                entity, x, y, steps = flat.flatten()
+                rank = np.empty(len(flat), np.int64)
+                rank[pc.sort_indices(entity).to_numpy()] = np.arange(len(flat))
+                shown = pc.fill_null(pc.list_value_length(steps), 0).to_numpy(zero_copy_only=False) > 0
+                rows = first_places(sizes[at:end], rank, x.to_numpy(), y.to_numpy(), shown, most)
+                pair = np.minimum(rows[2], rows[3]) * len(flat) + np.maximum(rows[2], rows[3])
+                taken = taken_rows(rows[0], pair, rows[4], per_relation)
+                scene, place, subject, reference, relation, margin = (c[taken] for c in rows)
+                data = [some.column("episode").take(pa.array(scene)), place, flat.take(pa.array(subject)), flat.take(pa.array(reference)), pa.array(PLANAR).take(pa.array(relation)), margin]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in data], names=["episode", "place", "s", "r", "relation", "margin"])
+
+    thing = scenes.schema["things"].dataType.elementType
+    one = "struct<" + ", ".join(f"{c}: {thing[c].dataType.simpleString()}" for c in ("entity", "x", "y", "steps")) + ">"
+    rows = scenes.select("episode", F.transform("things", lambda t: F.struct(*[t[c].alias(c) for c in ("entity", "x", "y", "steps")])).alias("things"))
+    chosen = rows.mapInArrow(run, f"episode {rows.schema['episode'].dataType.simpleString()}, place long, s {one}, r {one}, relation string, margin double")
+    common = F.array_min(F.array_intersect("s.steps", "r.steps"))
+    evidence = F.when(common.isNotNull(), F.array(common)).otherwise(F.array(F.array_min("s.steps"), F.array_min("r.steps")))
+    return chosen.select("episode", "place", F.col("s.entity").alias("subject"), F.col("r.entity").alias("reference"), "relation", "margin", evidence.alias("evidence"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import itertools
 import random
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
-from orrery.operators import dedup, relations, replay
+from orrery.operators import dedup, families, relations, replay
+from orrery.plans import scenes
 from tests.oracle import database, DATA
 
 
@@ -84,3 +86,22 @@ def test_texts_with_common_ends_are_not_all_paired(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert got == want and len(want) >= 20
     assert counter.value < 4 * len(want) + 200
+
+
+def test_pairs_of_a_scene_are_not_shuffled(spark, monkeypatch):
+    """The same as quota_queries of all pairs: ties, objects in one place, objects never shown, scenes of one or none."""
+    rng = random.Random(4)
+    rows = [(f"e{e}", rng.randrange(-50, 50) * 100 + k, rng.choice((0.0, 1.0, 2.5, 3.25)), rng.choice((0.0, 1.0, 4.5)), sorted(s for s in range(5) if rng.random() < 0.3)) for e in range(40) for k in range(e % 13)]
+    things = spark.createDataFrame(rows, "episode string, entity long, x double, y double, steps array<long>")
+    side = lambda p: things.select("episode", F.col("entity").alias(p), F.col("x").alias(f"{p}_x"), F.col("y").alias(f"{p}_y"))
+    dx, dy = F.col("subject_x") - F.col("reference_x"), F.col("subject_y") - F.col("reference_y")
+    pairs = side("subject").join(side("reference"), "episode").where("subject <> reference")
+    pairs = pairs.select("episode", "subject", "reference", G.dominant_relation(dx, dy)["relation"].alias("relation"), F.round(F.abs(F.abs(dx) - F.abs(dy)), 9).alias("margin"))
+    placed = pairs.withColumn("place", F.row_number().over(W.partitionBy("episode").orderBy(F.col("margin").desc(), "subject", "reference")).cast("long"))
+    key = lambda df: sorted(map(str, df.select("episode", "place", "subject", "reference", "relation", "margin", "evidence").collect()))
+    want = key(families.quota_queries(placed, things.select("episode", "entity", F.explode("steps").alias("step"))))
+    monkeypatch.setattr(families, "PAIRS", 300)
+    got = families.scene_queries(things.groupBy("episode").agg(F.collect_list(F.struct("steps", "y", "x", "entity")).alias("things")).unionByName(spark.createDataFrame([("none", [])], "episode string, things array<struct<steps: array<long>, y: double, x: double, entity: long>>")))
+    assert key(got) == want and len(want) > 100
+    plan = scenes.oracle_queries(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "subject" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
