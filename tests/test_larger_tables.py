@@ -105,3 +105,23 @@ def test_pairs_of_a_scene_are_not_shuffled(spark, monkeypatch):
     assert key(got) == want and len(want) > 100
     plan = scenes.oracle_queries(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "subject" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def test_nearest_in_a_crowd_and_in_one_place(spark, monkeypatch):
+    """Objects in one place are not paired with each other, and a crowd is searched from a small reach on."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice((0, 1, None)), rng.gauss(0, 0.4), rng.gauss(0, 0.4)) for i in range(500)]
+    rows += [(1000 + i, rng.choice((0, None)), 0.5, -0.25) for i in range(200)] + [(2000, 1, 60.0, 1.0), (2001, 7, 0.0, 0.0), (2002, 1, None, 0.0)]
+    tenth = [(3000 + i, 9, float(i % 3), 0.0 + 1e-10 * (i % 2)) for i in range(12)]
+    rows += tenth
+    want = {}
+    for k, g, x, y in rows:
+        near = [(round(((x - u) ** 2 + (y - v) ** 2) ** 0.5, 9), i) for i, h, u, v in rows if h == g and i != k and None not in (x, u)]
+        if near:
+            want[k] = min(near)
+    tried, plain = [], relations._around
+    monkeypatch.setattr(relations, "_around", lambda some, all_, reach, cols: tried.append(plain(some, all_, reach, cols)) or tried[-1])
+    table = spark.createDataFrame(rows, "entity_id int, region int, x double, y double").withColumn("z", F.lit(0.0))
+    got = {r["entity_id"]: (r["distance"], r["nearest"]) for r in relations.nearest(table).collect()}
+    assert got == want
+    assert tried[0].count() < 40 * len(rows)
