@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 from pyspark.sql import Window as W
@@ -131,3 +132,23 @@ def test_masks_are_replayed_from_two_readings_of_the_lines(spark):
     """One for the masks and one for their certificates; what was stored before is known from the order."""
     plan = scenes.mask_replay(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 2
+
+
+def test_swaps_in_a_crowd_and_of_one_form(spark, monkeypatch):
+    """Objects of one form are not paired with each other; distances are taken of few pairs; rows as of all pairs."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice((0, 1, None)), *[2.0 + rng.random() for _ in "xyz"]) for i in range(400)] + [(1000 + i, 0, 0.5, 0.5, 0.25) for i in range(150)]
+    rows += [(2000 + i, 1, 1.0, 1.0, 1.0 + 0.2 * i) for i in range(4)] + [(3000, 0, 0.0, 1.0, 1.0)]
+    table = spark.createDataFrame(rows, "entity_id int, region int, hx double, hy double, hz double")
+    logs = {r[0]: [math.log(x) for x in r[2:]] for r in rows if min(r[2:]) > 0}
+    group = {r[0]: (r[1], math.floor(sum(logs[r[0]]) / 1.5)) for r in rows if r[0] in logs and r[1] is not None}
+    flat = {k: [x - sum(v) / 3 for x in v] for k, v in logs.items()}
+    want = set()
+    for k, g in group.items():
+        near = [(max(abs(x - y) for x, y in zip(flat[k], flat[o], strict=True)), o) for o, h in group.items() if h == g and o != k]
+        want |= {(k, o) for _, o in sorted((round(d, 9), o) for d, o in near if d <= 0.35)[:3]}
+    starts, plain = [], relations.start_reach
+    monkeypatch.setattr(relations, "start_reach", lambda points, *rest: starts.append((points.count(), plain(points, *rest))) or starts[-1][1])
+    got = {(r["target"], r["candidate"]) for r in relations.swap_candidates(table).collect()}
+    assert got == want and len(want) > 800
+    assert starts[0][0] < 420 and starts[0][1] < 0.2
