@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions.ids import hash_rank_key
+from orrery.operators.relations import eligible, start_reach, top_per
+from orrery.plans.durable import cut
 
 
 def hash_split(units: DataFrame, unit: str, salt: str, counts: tuple[tuple[str, int], ...], rest: str = "train") -> DataFrame:
@@ -230,3 +232,64 @@ def layout_facts(candidates: DataFrame, scene: str, least: float = 0.5, most: in
         chosen = chosen.unionByName(more).groupBy(scene).agg(F.sort_array(F.flatten(F.collect_list("facts"))).alias("facts"))
     out = chosen.where(F.size("facts") >= 2).select(scene, F.posexplode("facts").alias("place", "f"))
     return out.select(scene, (F.col("place") + 1).alias("place"), "f.subject", "f.reference", "f.relation", (-F.col("f.lead")).alias("margin"))
+
+
+def relation_layouts(
+    entities: DataFrame, least: float = 0.5, most: int = 3, per_relation: int = 2, reach: tuple[float, float] = (0.3, 4.5), margin: float = 0.4, most_half: float = 2.5, vertical_reach: float = 1.5
+) -> DataFrame:
+    """layout_facts() of each region over its relation_candidates() whose subject has the smaller id, without making them all.
+
+    A margin near the reach leaves a pair little room: on one axis it is as far
+    apart as its margin at least, across it no farther than what is left. So
+    the facts of margins above a floor come from narrow cells. What is chosen
+    from them is final for a region that has its `most` facts, and the others
+    go on with twice the room, down to `least`. Places are compared, not
+    objects: a pair of places gives the first facts that the chosen ones
+    cannot rule out, whatever the number of objects there.
+    """
+    at = ["region", "x", "y", "z"]
+    n_subjects, n_references = 3 * (most - 1) + 1, 2 * (most - 1) + 1
+    real = F.lit(True)
+    for c in at[1:]:
+        real = real & (F.abs(c) < float("inf"))
+    known = eligible(entities, most_half=most_half).where(real).select("entity_id", *at)
+    few = top_per(known, at, [F.col("entity_id")], n_subjects).groupBy(*at).agg(F.sort_array(F.collect_list("entity_id")).alias("ids"))
+    places = cut(few.select(F.col("ids")[0].alias("place"), "ids", *at))
+    here = F.equal_null("region", "_region") & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")) & (F.col("z") == F.col("_z"))
+    objects = known.join(places.select("place", *[F.col(c).alias(f"_{c}") for c in at]), here).select(F.col("place").alias("r_place"), F.col("entity_id").alias("reference"))
+
+    def facts(pending: DataFrame, room: float, floor: float) -> DataFrame:
+        slack = 1e-6
+        far, wide, upright = ((floor - slack, reach[1] + slack), (-room - slack, room + slack), min(room, vertical_reach) + slack)
+        boxes = (("x", far, wide), ("y", wide, far), ("z", (-upright, upright), (-upright, upright)))
+        looks = F.array(*[F.struct(F.lit(k).alias("kind"), *[(F.col(c) + v).alias(f"{c}{i}") for c, ends in (("x", xs), ("y", ys)) for i, v in enumerate(ends)]) for k, xs, ys in boxes])
+        cell = lambda c: F.floor(F.col(c) / room).cast("long")
+        a = pending.select("region", *[F.col(c).alias(f"a_{c}") for c in ("place", "x", "y", "z")], F.explode(looks).alias("k")).select("*", "k.*").drop("k")
+        a = a.withColumn("nx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("ny", F.explode(F.sequence(cell("y0"), cell("y1"))))
+        b = pending.select(F.col("region").alias("b_region"), *[F.col(c).alias(f"b_{c}") for c in ("place", "x", "y", "z")], cell("x").alias("bx"), cell("y").alias("by"))
+        d = {k: F.col(f"b_{k}") - F.col(f"a_{k}") for k in "xyz"}
+        planar, apart = F.hypot(d["x"], d["y"]), F.sqrt(d["x"] ** 2 + d["y"] ** 2 + d["z"] ** 2)
+        by_kind = lambda x, y, z: F.when(F.col("kind") == "x", x).when(F.col("kind") == "y", y).otherwise(z)
+        clear = by_kind(F.abs(d["x"]) - F.abs(d["y"]), F.abs(d["y"]) - F.abs(d["x"]), F.abs(d["z"]) - planar)
+        ahead = by_kind(d["x"], d["y"], d["z"]) > 0
+        kept = ahead & (clear >= margin) & (F.round(clear, 9) >= floor) & (planar <= F.when(F.col("kind") == "z", vertical_reach).otherwise(reach[1])) & (planar <= reach[1]) & apart.between(*reach)
+        pairs = a.join(b, F.equal_null("region", "b_region") & (F.col("nx") == F.col("bx")) & (F.col("ny") == F.col("by")) & kept)
+        ways = F.array(*[F.struct(F.col(f"{s}_place").alias("place"), F.col(f"{r}_place").alias("r_place"), by_kind(*map(F.lit, names)).alias("relation")) for s, r, names in (("a", "b", ("left_of", "behind", "below")), ("b", "a", ("right_of", "in_front_of", "above")))])
+        both = pairs.select(F.round(clear, 9).alias("margin"), F.explode(ways).alias("w")).select("w.*", "margin")
+        each = both.join(places.select("place", "region", "ids"), "place").select("region", "place", "r_place", "relation", "margin", F.explode("ids").alias("subject"))
+        told = each.join(objects, "r_place").where("subject < reference")
+        return top_per(told, ["place", "r_place", "relation", "subject"], [F.col("reference")], n_references).select("region", "subject", "reference", "relation", "margin")
+
+    out, pending, room = None, places, start_reach(places, ["region"], ("x", "y"), reach[1])
+    while True:
+        floor = max(least, reach[1] - room)
+        chosen = cut(layout_facts(cut(facts(pending, room, floor)), "region", least, most, per_relation))
+        if floor <= least:
+            return chosen if out is None else out.unionByName(chosen)
+        whole = chosen.where(F.col("place") == most).select(F.col("region").alias("_region"))
+        ready = chosen.join(whole, F.equal_null("region", "_region"), "left_semi")
+        out = ready if out is None else out.unionByName(ready)
+        pending = cut(pending.join(whole, F.equal_null("region", "_region"), "left_anti"))
+        if pending.isEmpty():
+            return out
+        room *= 2

@@ -9,7 +9,6 @@ from orrery.functions import ids
 from orrery.functions import text as T
 from orrery.operators import audit as A
 from orrery.operators import evaluation as E
-from orrery.operators import relations as R
 from orrery.operators import release as L
 from orrery.operators import sampling as S
 from orrery.operators import schedule as C
@@ -172,8 +171,7 @@ t(g, k, named, subjects, rels, pick) AS (
       AND len(list_filter(t.rels, lambda x: x = c.relation)) < 2 GROUP BY t.g, t.k))
 SELECT nullif(g, -1) AS region, k AS place, pick.s AS subject, pick.r AS reference, pick.l AS relation, round(pick.m, 6) AS margin FROM t WHERE k > 0 AND g IN (SELECT g FROM t WHERE k = 2)""")
 def layout_facts(spark, d):
-    c = R.relation_candidates(entities(spark, d), per_relation=None, keep=("region",)).where("subject < reference").withColumn("margin", F.round("margin", 9))
-    return S.layout_facts(c, "region").select("region", "place", F.col("subject").cast("string").alias("subject"), F.col("reference").cast("string").alias("reference"), "relation", F.round("margin", 6).alias("margin"))
+    return S.relation_layouts(entities(spark, d)).select("region", "place", F.col("subject").cast("string").alias("subject"), F.col("reference").cast("string").alias("reference"), "relation", F.round("margin", 6).alias("margin"))
 
 
 @query("""WITH b AS (SELECT o_custkey, max(row(o_orderkey % 5, o_totalprice, o_orderkey)) AS b FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT o_custkey, b[3] AS job FROM b""")

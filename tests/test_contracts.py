@@ -12,6 +12,7 @@ from orrery.functions import ids, structs
 from orrery.functions import text as T
 from orrery.operators import audit as A
 from orrery.operators import evaluation as E
+from orrery.operators import relations as R
 from orrery.operators import release as L
 from orrery.operators import sampling as S
 from orrery.operators import schedule as C
@@ -122,3 +123,18 @@ def test_a_prompt_that_tells_its_answer_is_an_error(spark):
 def test_an_arm_that_is_not_known_is_an_error(spark):
     with pytest.raises(ValueError):
         L.sft_records(spark.range(1), "both")
+
+
+def test_layouts_of_regions_equal_those_of_all_their_relations(spark):
+    draw = random.Random(8)
+    spot = lambda s: [round(draw.uniform(-s, s), 1) for _ in "xyz"]
+    sizes = ((None, 30, 2.0), (1, 60, 3.0), (2, 3, 1.0), (3, 1, 1.0), (4, 25, 0.4), (5, 12, 6.0))
+    rows = [(region, *at) for region, n, s in sizes for at in [spot(s) for _ in range(n)]]
+    # many copies of a few places, with ids before and after one another
+    rows += [(6, *at) for at in ([0.0, 0.0, 0.0], [4.0, 0.1, 0.0], [0.0, 0.0, -3.0]) for _ in range(15)] + [(7, 0.0, 0.0, 0.0)] + [(7, 4.4, 0.0, 0.0)] * 40
+    ids = draw.sample(range(1000), len(rows))
+    df = spark.createDataFrame([(i, *r, 1.0, 1.0, draw.choice([1.0, 1.0, 1.0, 3.0])) for i, r in zip(ids, rows, strict=True)], "entity_id long, region int, x double, y double, z double, hx double, hy double, hz double")
+    every = R.relation_candidates(df, per_relation=None, keep=("region",)).where("subject < reference").withColumn("margin", F.round("margin", 9))
+    told = lambda out: sorted((str(r["region"]), *r[1:]) for r in out.select("region", "place", "subject", "reference", "relation", "margin").collect())
+    assert told(S.relation_layouts(df)) == told(S.layout_facts(every, "region"))
+    assert S.relation_layouts(df.limit(0)).count() == 0
