@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators import relations as R
+from orrery.plans.durable import small
 
 
 def replay_relations(stored: DataFrame, entities: DataFrame, tolerance: float = 0.11) -> DataFrame:
     """Stored relations against those computed from the objects: ok, wrong_relation, wrong_distance or no_such_pair.
 
-    Each stored row looks up its two objects, so the cost follows the rows.
+    Each stored row looks up its two objects, so the cost follows the rows,
+    which stay where they are if the objects are few enough to be sent to them.
     """
-    side = lambda s, k: entities.select(F.col("entity_id").alias(k), *[F.col(c).alias(f"{s}_{c}") for c in "xyz"])
+    side = lambda s, k: small(entities.select(F.col("entity_id").alias(k), *[F.col(c).alias(f"{s}_{c}") for c in "xyz"]))
     rows = stored.join(side("a", "subject"), "subject", "left").join(side("b", "reference"), "reference", "left")
     d = {k: F.col(f"a_{k}") - F.col(f"b_{k}") for k in "xyz"}
     holds = (

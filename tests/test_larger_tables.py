@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
-from orrery.operators import dedup, families, relations, replay
+from orrery.operators import dedup, families, relations, replay, verify
 from orrery.plans import scenes
 from tests.oracle import database, DATA
 
@@ -152,3 +152,16 @@ def test_swaps_in_a_crowd_and_of_one_form(spark, monkeypatch):
     got = {(r["target"], r["candidate"]) for r in relations.swap_candidates(table).collect()}
     assert got == want and len(want) > 800
     assert starts[0][0] < 420 and starts[0][1] < 0.2
+
+
+def test_replayed_relations_stay_where_they_are_while_objects_are_few(spark):
+    rows = spark.createDataFrame([(i, i % 2, i / 3.0, i % 5 / 2.0, i % 3 * 1.0, 1.0, 1.0, 1.0) for i in range(60)], "entity_id long, region int, x double, y double, z double, hx double, hy double, hz double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = relations.relation_candidates(rows, per_relation=None)
+        out = verify.replay_relations(stored, rows)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r["status"]: r["count"] for r in out.groupBy("status").count().collect()} == {"ok": stored.count()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
