@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.plans.durable import shuffle_partitions
+
 OK, NONE = "OK", "NA_ZERO_DENOMINATOR"
 
 
@@ -136,38 +138,77 @@ def bootstrap(rows: DataFrame, cluster: str, left: Column, right: Column, resamp
     and a cluster never meets another. Draws are made where clusters are and
     summed before the shuffle, so that one row a resample moves from each task.
     """
+    return bootstrap_endpoints(rows, cluster, left, right, {"": F.lit(True)}, resamples, salt).drop("endpoint")
+
+
+def bootstrap_endpoints(rows: DataFrame, cluster: str, left: Column, right: Column, endpoints: dict[str, Column], resamples: int = LEAST_RESAMPLES, salt: str = "17") -> DataFrame:
+    """bootstrap() over the rows of each endpoint, with its name; an endpoint without rows has nulls.
+
+    A cluster's draws are the same for all endpoints, so they are made once.
+    """
     if resamples < LEAST_RESAMPLES:
         raise ValueError(f"at least {LEAST_RESAMPLES} resamples")
-    per = rows.groupBy(cluster).agg(F.sum(right.cast("int") - left.cast("int")).alias("d"), F.count("*").alias("n"))
-    seed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), F.col(cluster).cast("string")).cast("binary")), 1, 12), 16, 10).cast("long") % _PRIME
+    names = list(endpoints)
+    delta = right.cast("int") - left.cast("int")
+    flags = rows.select(F.col(cluster).alias("cluster"), delta.alias("delta"), *[F.coalesce(m, F.lit(False)).alias(f"in{i}") for i, m in enumerate(endpoints.values())])
+    sums = [f for i in range(len(names)) for f in (F.coalesce(F.sum(F.when(F.col(f"in{i}"), F.col("delta"))), F.lit(0)), F.count_if(f"in{i}"))]
+    per = flags.groupBy("cluster").agg(F.array(*sums).alias("v"))
+    seed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), F.col("cluster").cast("string")).cast("binary")), 1, 12), 16, 10).cast("long") % _PRIME
+    width, least = 2 * len(names), [np.uint32(x) for x in _thresholds()]
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = np.arange(resamples, dtype=np.int64)
-        sums = np.zeros((2, resamples), np.int64)
+        base = ((r * 69_621 + 1) % _PRIME).astype(np.uint32)
+        total, part = np.zeros((width, resamples), np.int64), np.empty(resamples, np.int64)
         for batch in batches:
-            for d, n, h in zip(*[batch.column(c).to_pylist() for c in ("d", "n", "h")], strict=True):
-                x = (h + r * 69_621 + 1) % _PRIME
-                for shift, factor in _STEPS:
-                    x = ((x ^ x >> shift) * factor) % _PRIME
-                times = np.searchsorted(_POISSON, x / _PRIME, side="right")
-                sums[0] += times * d
-                sums[1] += times * n
-        yield pa.RecordBatch.from_arrays([pa.array(r), *map(pa.array, sums)], names=["r", "d", "n"])
-
-    sums = per.select(F.coalesce("d", F.lit(0)).alias("d"), "n", seed.alias("h")).mapInArrow(drawn, "r long, d long, n long")
-    each = sums.groupBy("r").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("delta"))
-    return each.agg(F.avg("delta").alias("mean"), F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"))
-
-
-def bootstrap_endpoints(rows: DataFrame, cluster: str, left: Column, right: Column, endpoints: dict[str, Column], resamples: int = LEAST_RESAMPLES) -> DataFrame:
-    """bootstrap() over the rows of each endpoint, with its name; an endpoint without rows has nulls."""
-    out = None
-    for name, member in endpoints.items():
-        one = bootstrap(rows.where(member), cluster, left, right, resamples).select(F.lit(name).alias("endpoint"), "mean", "low", "high")
-        out = one if out is None else out.unionByName(one)
+            values = batch.column("v").flatten().to_numpy().reshape(-1, width)
+            for h, some in zip(batch.column("h").to_pylist(), values.tolist(), strict=True):
+                times = _times(h, base, least).astype(np.int64)
+                for row, value in zip(total, some, strict=True):
+                    row += np.multiply(times, value, out=part)
+        sums = pa.FixedSizeListArray.from_arrays(pa.array(total.T.ravel()), width).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(r), sums], names=["r", "v"])
+
+    # a cluster is a short row and much work: dealt evenly, whatever the bytes
+    dealt = per.select("v", seed.alias("h")).repartition(shuffle_partitions(rows.sparkSession))
+    sums = dealt.mapInArrow(drawn, "r long, v array<long>")
+    of = [F.try_divide(F.sum(F.col("v")[2 * i]), F.sum(F.col("v")[2 * i + 1])).alias(f"e{i}") for i in range(len(names))]
+    each = sums.groupBy("r").agg(*of)
+    ends = [F.struct(F.lit(n).alias("endpoint"), F.avg(f"e{i}").alias("mean"), F.percentile(f"e{i}", 0.025).alias("low"), F.percentile(f"e{i}", 0.975).alias("high")) for i, n in enumerate(names)]
+    return each.agg(F.array(*ends).alias("e")).select(F.inline("e"))
+
+
+def _thresholds() -> list[int]:
+    """The least hash at which each count of the Poisson distribution is passed, as a quotient of doubles tells."""
+    out = []
+    for p in _POISSON:
+        x = int(p * _PRIME) - 2
+        while x / _PRIME < p:
+            x += 1
+        out.append(x)
     return out
 
 
+def _times(h: int, base: np.ndarray, least: list[np.uint32]) -> np.ndarray:
+    """How often a cluster of hash h stands in each resample; remainders by 2**31 - 1 are taken with shifts."""
+    prime = np.uint32(_PRIME)
+    x = base + np.uint32(h)
+    # below twice the prime: of x and x - prime, the one that does not wrap round is less
+    x = np.minimum(x, x - prime)
+    for shift, factor in _STEPS:
+        wide = (x ^ (x >> np.uint32(shift))).astype(np.uint64)
+        wide *= np.uint64(factor)
+        high = wide >> np.uint64(31)
+        wide &= np.uint64(_PRIME)
+        wide += high
+        x = wide.astype(np.uint32)
+        x = np.minimum(x, x - prime)
+    times = np.zeros(len(base), np.uint8)
+    for limit in least:
+        times += (x >= limit).view(np.uint8)
+    return times
+
+
 def scalar_metrics(rows: DataFrame, run: str, split: str, metrics: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Rows (run, metric, value): each metric of a run over all its rows, and over each split as split_metric.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,14 @@ def test_layouts_of_regions_equal_those_of_all_their_relations(spark):
     told = lambda out: sorted((str(r["region"]), *r[1:]) for r in out.select("region", "place", "subject", "reference", "relation", "margin").collect())
     assert told(S.relation_layouts(df)) == told(S.layout_facts(every, "region"))
     assert S.relation_layouts(df.limit(0)).count() == 0
+
+
+def test_draws_of_a_cluster_are_those_of_the_plain_hash():
+    r = np.arange(400, dtype=np.int64)
+    for h in (0, 1, 12_345, E._PRIME - 1):
+        x = (h + r * 69_621 + 1) % E._PRIME
+        for shift, factor in E._STEPS:
+            x = ((x ^ x >> shift) * factor) % E._PRIME
+        want = np.searchsorted(E._POISSON, x / E._PRIME, side="right")
+        got = E._times(h, ((r * 69_621 + 1) % E._PRIME).astype(np.uint32), [np.uint32(x) for x in E._thresholds()])
+        assert got.tolist() == want.tolist()
