@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
+from orrery.plans.durable import parts
 
 
 def grouped_labels(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -25,9 +26,14 @@ def absent_categories(masks: DataFrame, wanted: DataFrame, pixels: int = 64, sid
 
 
 def unambiguous(masks: DataFrame) -> DataFrame:
-    """Views and groups with exactly one candidate: (episode, step, group, entity)."""
-    n = masks.groupBy("episode", "step", "group").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity"))
-    return n.where("n = 1").drop("n")
+    """Views and groups with exactly one candidate: (episode, step, group, entity).
+
+    The least and the greatest candidate tell, so no set is held; tasks are as
+    many as the masks need.
+    """
+    keys = ["episode", "step", "group"]
+    n = masks.select(*keys, "entity").repartition(parts(masks), *keys).groupBy(*keys).agg(F.min("entity").alias("entity"), F.max("entity").alias("last"))
+    return n.where("entity = last").drop("last")
 
 
 def bound_everywhere(masks: DataFrame, required: DataFrame) -> DataFrame:
