@@ -7,17 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions.ids import hash_rank_key
+from orrery.plans.durable import parts
 
 
 def arm_pairs(a: DataFrame, b: DataFrame, key: str, fact: str) -> DataFrame:
     """Comparisons of two arms: numbers of records, whether both hold the same multiset of facts.
 
-    Facts are counted and the counts compared, so no list of facts is built.
+    Facts are counted in one pass over both arms, in as many tasks as the rows
+    need, so no list of facts is built and no arm is joined with the other. A
+    null fact or key matches none of the other arm.
     """
-    na = a.groupBy(key, fact).agg(F.count("*").alias("na"))
-    nb = b.groupBy(key, fact).agg(F.count("*").alias("nb"))
-    both = na.join(nb, [key, fact], "full").fillna(0, ["na", "nb"])
-    return both.groupBy(key).agg(F.sum("na").alias("n_left"), F.sum("nb").alias("n_right"), F.bool_and(F.col("na") == F.col("nb")).alias("same_facts"))
+    arms = a.select(key, fact, F.lit(1).alias("left")).unionAll(b.select(key, fact, F.lit(0).alias("left")))
+    alone = F.when(F.col(key).isNull() | F.col(fact).isNull(), F.col("left"))
+    dealt = arms.withColumn("alone", alone).repartition(parts(arms), key, fact)
+    counts = dealt.groupBy(key, fact, "alone").agg(F.sum("left").alias("na"), F.sum(1 - F.col("left")).alias("nb"))
+    return counts.groupBy(key).agg(F.sum("na").alias("n_left"), F.sum("nb").alias("n_right"), F.bool_and(F.col("na") == F.col("nb")).alias("same_facts"))
 
 
 def expanded(records: DataFrame, repeats: str, regime: str, salt: str, record: str = "record_id", weighted: bool = True) -> DataFrame:
