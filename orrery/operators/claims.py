@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
+from orrery.plans.durable import parts
 
 
 def number(value: Column, digits: int = 2) -> Column:
@@ -78,7 +79,10 @@ def linked_by_pair(questions: DataFrame, proofs: DataFrame, a: str, b: str) -> D
 
 
 def excluded_families(facts: DataFrame, excluded: DataFrame, group: str, fact: str) -> DataFrame:
-    """Excluded facts with all siblings of their families."""
-    own = facts.join(excluded.select(fact).distinct(), fact, "left_semi")
-    siblings = facts.join(own.where(F.col(group).isNotNull()).select(group).distinct(), group, "left_semi").select(fact)
-    return own.select(fact).union(siblings).distinct()
+    """Excluded facts with all siblings of their families. Joins have as many tasks as the facts need."""
+    n = parts(facts)
+    named = facts.select(group, fact).repartition(n, fact)
+    own = named.join(excluded.select(fact).repartition(n, fact).distinct(), fact, "left_semi")
+    groups = own.where(F.col(group).isNotNull()).select(group).repartition(n, group).distinct()
+    siblings = facts.select(group, fact).repartition(n, group).join(groups, group, "left_semi").select(fact)
+    return own.select(fact).distinct().union(siblings.distinct()).distinct()

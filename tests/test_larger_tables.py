@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
-from orrery.operators import dedup, families, relations, replay, verify
-from orrery.plans import scenes
+from orrery.operators import claims, dedup, families, relations, replay, schedule, verify, witness
+from orrery.plans import durable, scenes
 from tests.oracle import database, DATA
 
 
@@ -165,3 +165,24 @@ def test_replayed_relations_stay_where_they_are_while_objects_are_few(spark):
         assert {r["status"]: r["count"] for r in out.groupBy("status").count().collect()} == {"ok": stored.count()}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bindings_and_families_get_more_tasks_with_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(durable, "TASK_ROWS", 10)
+    rows = [(e, e % 3, "g", None if e % 7 == 0 else e) for e in range(400)] + [(1, 1, "g", 9), (2, 2, "g", 2)]
+    got = witness.unambiguous(spark.createDataFrame(rows, "episode int, step int, `group` string, entity int"))
+    assert got.rdd.getNumPartitions() == 41
+    assert {r["episode"] for r in got.collect()} == {e for e in range(400) if e % 7 and e != 1}
+    facts = spark.createDataFrame([(i // 4, i % 101) for i in range(400)], "g int, f int")
+    out = claims.excluded_families(facts, facts.where("f = 3"), "g", "f")
+    assert ", 40)" in out._jdf.queryExecution().executedPlan().toString()
+    groups = {i // 4 for i in range(400) if i % 101 == 3}
+    assert {r["f"] for r in out.collect()} == {i % 101 for i in range(400) if i // 4 in groups}
+
+
+def test_arms_are_counted_without_a_join_and_nulls_match_nothing(spark):
+    a = spark.createDataFrame([(1, 5), (1, 5), (1, None), (2, 7), (3, 1), (None, 4)], "k int, f int")
+    b = spark.createDataFrame([(1, 5), (1, 5), (1, None), (2, 7), (4, 1), (None, 4)], "k int, f int")
+    out = schedule.arm_pairs(a, b, "k", "f")
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: tuple(r)[1:] for r in out.collect()} == {1: (3, 3, False), 2: (1, 1, True), 3: (1, 0, False), 4: (0, 1, False), None: (1, 1, False)}
