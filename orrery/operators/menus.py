@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
+from orrery.plans.durable import cut
 
 LEAST_CENTER_DEG = 15.0
 LEAST_EFFECTIVE_DEG = 8.0
@@ -25,8 +26,11 @@ def layout_questions(layouts: DataFrame, satellites: DataFrame, center: float =
     perspective of its own.
     """
     keys = ["family", "variant"]
-    side = lambda p: satellites.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in ("name", "category", "x", "y", "radius", "view")])
-    pairs = side("s").join(side("r"), keys).where("s_name <> r_name and s_view <> r_view").join(layouts, keys)
+    names = ("name", "category", "x", "y", "radius", "view")
+    # the handful of a layout is paired in its row
+    held = satellites.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("all"))
+    both = held.select(*keys, "all", F.explode("all").alias("s")).select(*keys, "s", F.explode("all").alias("r")).where("s.name <> r.name and s.view <> r.view")
+    pairs = both.select(*keys, *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "sr" for c in names]).join(layouts, keys)
     facing = F.atan2(-(F.col("anchor_x") - F.col("r_x")), F.col("anchor_y") - F.col("r_y"))
     apart = F.hypot(F.col("anchor_x") - F.col("r_x"), F.col("anchor_y") - F.col("r_y")) > 1e-9
     yaws = F.array(F.struct(F.lit(FORMS[0]).alias("task"), F.col("frame_yaw").alias("yaw")), F.struct(F.lit(FORMS[1]).alias("task"), F.when(apart, facing).alias("yaw")))
@@ -52,7 +56,7 @@ def query_menu(questions: DataFrame, variants: tuple[str, ...], per_family: int,
     from 0.
     """
     keys = ["family", "task", "subject", "reference"]
-    wanted = questions.where(F.col("variant").isin(*variants))
+    wanted = cut(questions.where(F.col("variant").isin(*variants)).select(*keys, "variant", "label"))
     shared = wanted.groupBy(*keys).agg(F.count_distinct("variant").alias("n"), F.min(F.when(F.col("variant") == identity, F.col("label"))).alias("own")).where((F.col("n") == len(set(variants))) & F.col("own").isNotNull()).drop("n")
     tasks = shared.groupBy("family").agg(F.sort_array(F.collect_set("task")).alias("tasks"))
     labels = shared.groupBy("family", "task").agg(F.sort_array(F.collect_set("own")).alias("labels"))

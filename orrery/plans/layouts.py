@@ -17,16 +17,16 @@ _SIDES = (("F", "_f"), ("O", "_o"))
 
 def _layouts(spark, d: str):
     """Finished and open orders of a customer as two variants of a family: an anchor at the origin, the first view's yaw, and four nations around it."""
-    out = []
+    frame = None
     for status, _ in _SIDES:
-        where = f"o_orderstatus = '{status}'"
-        seen, rows = views(spark, d, where), lines(spark, d, where)
-        frame = seen.where("step = 0").select(F.col("episode").alias("family"), F.lit(status).alias("variant"), F.lit(0.0).alias("anchor_x"), F.lit(0.0).alias("anchor_y"), F.col("yaw").alias("frame_yaw"))
-        first = rows.groupBy("episode", "entity").agg(F.min("view").alias("view"))
-        few = top_per(entities_of(rows), ["episode"], [F.col("entity")], 4).join(first, ["episode", "entity"])
-        objects = few.select(F.col("episode").alias("family"), F.lit(status).alias("variant"), F.col("entity").alias("name"), F.concat(F.lit("c"), F.col("entity").cast("string")).alias("category"), "x", "y", F.lit(0.15).alias("radius"), "view")
-        out.append((frame, objects))
-    return out[0][0].unionByName(out[1][0]), out[0][1].unionByName(out[1][1])
+        one = views(spark, d, f"o_orderstatus = '{status}'").where("step = 0").select(F.col("episode").alias("family"), F.lit(status).alias("variant"), F.lit(0.0).alias("anchor_x"), F.lit(0.0).alias("anchor_y"), F.col("yaw").alias("frame_yaw"))
+        frame = one if frame is None else frame.unionByName(one)
+    # a family's variant is a scene of its own, so lines are read once for both
+    wanted = ", ".join(f"'{status}'" for status, _ in _SIDES)
+    rows = lines(spark, d, f"o_orderstatus in ({wanted})", "o_orderstatus as variant").withColumn("episode", F.struct("episode", "variant"))
+    few = top_per(entities_of(rows, F.min("view").alias("view")), ["episode"], [F.col("entity")], 4)
+    objects = few.select(F.col("episode.episode").alias("family"), "episode.variant", F.col("entity").alias("name"), F.concat(F.lit("c"), F.col("entity").cast("string")).alias("category"), "x", "y", F.lit(0.15).alias("radius"), "view")
+    return frame, objects
 
 
 def _sql_layout(status: str, p: str) -> str:

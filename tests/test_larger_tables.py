@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
-from orrery.operators import claims, dedup, families, relations, replay, schedule, verify, witness
+from orrery.operators import claims, dedup, families, menus, relations, replay, schedule, verify, witness
 from orrery.plans import durable, scenes
 from tests.oracle import database, DATA
 
@@ -186,3 +186,12 @@ def test_arms_are_counted_without_a_join_and_nulls_match_nothing(spark):
     out = schedule.arm_pairs(a, b, "k", "f")
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r["k"]: tuple(r)[1:] for r in out.collect()} == {1: (3, 3, False), 2: (1, 1, True), 3: (1, 0, False), 4: (0, 1, False), None: (1, 1, False)}
+
+
+def test_satellites_of_a_layout_are_paired_in_their_row(spark):
+    layouts = spark.createDataFrame([(1, "F", 0.0, 0.0, 0.0)], "family int, variant string, anchor_x double, anchor_y double, frame_yaw double")
+    around = spark.createDataFrame([(1, "F", n, f"c{n}", x, y, 0.1, n) for n, x, y in ((1, 0.0, 4.0), (2, 0.0, -4.0))], "family int, variant string, name int, category string, x double, y double, radius double, view int")
+    out = menus.layout_questions(layouts, around)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert {(r["task"], r["subject"], r["label"]) for r in out.collect() if r["task"] == menus.FORMS[0]} == {(menus.FORMS[0], "c1", "front"), (menus.FORMS[0], "c2", "back")}
