@@ -6,14 +6,18 @@ fields, evidence array). Rounds are built for all episodes at once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.functions import geometry as G
-from orrery.operators.sampling import layout_facts
+from orrery.operators.families import PLANAR
 from orrery.operators.visibility import views
-from orrery.plans.durable import cut
+from orrery.plans.durable import shuffle_partitions
 
 
 def releases(seen: DataFrame, per_round: int = 2) -> DataFrame:
@@ -70,14 +74,158 @@ MOST_NAMES = 8
 KINDS = ("inventory", "covis_relation", "temporal", "crossview", "perspective", "epistemic_loop", "layout")
 
 
-def _placed(entities: DataFrame, *sides: str) -> list[DataFrame]:
-    return [entities.select("episode", F.col("label").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("x", "y", "hx", "hy")]) for s in sides]
+#: Pairs times targets that are looked at together.
+TRIPS = 1 << 20
+
+
+def _first(flags: np.ndarray) -> int | None:
+    return int(flags.argmax()) if flags.any() else None
+
+
+def _view_round(x: np.ndarray, y: np.ndarray, hx: np.ndarray, hy: np.ndarray, shown: np.ndarray, clear: np.ndarray) -> tuple | None:
+    """The clearest quadrant: (origin, facing, target, its name); shown and clear are (views, objects)."""
+    n, best, seen = len(x), None, shown.astype(np.float32)
+    c = clear.astype(np.float32)
+    o, f = np.nonzero((c.T @ c > 0) & ~np.eye(n, dtype=bool))
+    well = clear.any(axis=0)
+    for at in range(0, len(o), max(1, TRIPS // n)):
+        i, j = o[at : at + max(1, TRIPS // n)], f[at : at + max(1, TRIPS // n)]
+        dx, dy = x[j] - x[i], y[j] - y[i]
+        long = np.sqrt(dx * dx + dy * dy)
+        far = long >= 1e-6
+        i, j = i[far], j[far]
+        ux, uy = (dx[far] / long[far])[:, None], (dy[far] / long[far])[:, None]
+        vx, vy = x[None] - x[i][:, None], y[None] - y[i][:, None]
+        qx, qy = vx * uy - vy * ux, vx * ux + vy * uy
+        ok = well[None] & (np.abs(qx) > np.abs(uy) * hx + np.abs(ux) * hy) & (np.abs(qy) > np.abs(ux) * hx + np.abs(uy) * hy)
+        ok[np.arange(len(i)), i] = ok[np.arange(len(i)), j] = False
+        p, t = np.nonzero(ok)
+        ax, ay = np.abs(qx[p, t]), np.abs(qy[p, t])
+        angle = np.degrees(np.minimum(np.arctan2(ax, ay), np.arctan2(ay, ax)))
+        steep = angle >= LEAST_ANGLE_DEG
+        p, t, angle = p[steep], t[steep], np.floor(angle[steep] * 100 + 0.5) / 100
+        if not len(p):
+            continue
+        mixed = ((c[:, i] * c[:, j]).T @ seen > 0)[p, t]
+        k = int(np.lexsort((t, j[p], i[p], -angle, mixed))[0])
+        key = (bool(mixed[k]), -float(angle[k]), int(i[p[k]]), int(j[p[k]]), int(t[k]))
+        if best is None or key < best[0]:
+            best = key, ("front" if qy[p[k], t[k]] >= 0 else "back") + ("-right" if qx[p[k], t[k]] >= 0 else "-left")
+    return best and (*best[0][2:], best[1])
+
+
+def _layout(relation: np.ndarray, margin: np.ndarray, least: float = 0.5, most: int = 3, per_relation: int = 2) -> list[tuple[int, int]]:
+    """What layout_facts() takes of all pairs of one scene."""
+    n, out = len(margin), []
+    free = np.triu(margin >= least, 1)
+    while len(out) < most and free.any():
+        a, b = divmod(int(np.where(free, margin, -1.0).argmax()), n)
+        out.append((a, b))
+        free[[s for s, _ in out]] = False
+        named = sorted({k for fact in out for k in fact})
+        free[np.ix_(named, named)] = False
+        if sum(relation[p] == relation[a, b] for p in out) >= per_relation:
+            free &= relation != relation[a, b]
+    return out if len(out) >= 2 else []
+
+
+def _rounds(label: list[str], x: np.ndarray, y: np.ndarray, hx: np.ndarray, hy: np.ndarray, step: np.ndarray, who: np.ndarray, ok: np.ndarray, unseen: str | None, slots: tuple[tuple[int, ...], ...]) -> list[tuple]:
+    """The certified rounds of one scene, before views are dealt to them: (slot, evidence, objects, answer).
+
+    Objects are in the order of their labels; step, who and ok say what is
+    shown, who by object; unseen is null where no loop is closed.
+    """
+    n = len(label)
+    at, row = np.unique(step, return_inverse=True)
+    slot = np.full(len(at), len(slots))
+    for i in reversed(range(len(slots))):
+        if slots[i]:
+            slot[at <= max(slots[i])] = i
+    shown, clear = np.zeros((len(at), n), bool), np.zeros((len(at), n), bool)
+    shown[row, who], clear[row[ok], who[ok]] = True, True
+    dx, dy = x[:, None] - x[None], y[:, None] - y[None]
+    relation = np.where(np.abs(dx) >= np.abs(dy), dx > 0, 2 + (dy > 0))
+    margin = np.floor(np.abs(np.abs(dx) - np.abs(dy)) * 1000 + 0.5) / 1000
+    big = margin >= LEAST_MARGIN_M
+
+    def clearest(pairs: np.ndarray) -> tuple[int, int]:
+        return divmod(int(np.where(pairs, margin, -1.0).argmax()), n)
+
+    def together(flags: np.ndarray) -> np.ndarray:
+        f = flags.astype(np.float32)
+        return f.T @ f > 0
+
+    out, used = [], None
+    names = np.flatnonzero(clear[at == 0].any(axis=0))[:MOST_NAMES]
+    if len(names) >= 2:
+        words = [label[k] for k in names]
+        out.append((0, [0], words, ", ".join(words)))
+    early = clear[slot <= 1]
+    pairs = np.triu(together(early), 1) & big
+    if pairs.any():
+        a, b = clearest(pairs)
+        used = relation[a, b]
+        out.append((1, [int(at[slot <= 1][_first(early[:, a] & early[:, b])])], [label[a], label[b]], PLANAR[used]))
+    low = 2 if used is not None else 1 if out else 0
+    some = shown[slot <= 2]
+    if low and len(some):
+        last = len(some) - 1 - some[::-1].argmax(axis=0)
+        k = _first(some.any(axis=0) & clear[slot <= 2][last, np.arange(n)] & (slot[last] < low))
+        if k is not None:
+            out.append((2, [int(at[last[k]])], [label[k]], str(at[last[k]] + 1)))
+    well = clear[slot <= 3].any(axis=0)
+    pairs = well[:, None] & well[None] & ~together(shown) & big
+    if pairs.any():
+        other = pairs & (relation != used) if used is not None else pairs
+        a, b = clearest(other if other.any() else pairs)
+        steps = [s for k in (a, b) for s in at[(slot <= 3) & shown[:, k]][:2].tolist()]
+        out.append((3, sorted(set(steps)), [label[a], label[b]], PLANAR[relation[a, b]]))
+    view = _view_round(x, y, hx, hy, shown[slot <= 4], clear[slot <= 4])
+    if view:
+        o, f, t, quadrant = view
+        steps = [int(at[_first(clear[:, o] & clear[:, f])]), int(at[_first(shown[:, t])])]
+        out.append((4, sorted(set(steps)), [label[k] for k in (o, f, t)], quadrant))
+    end = sum(map(len, slots)) - 1
+    anchor = _first(shown[at == 0].any(axis=0) & clear[at == end].any(axis=0))
+    if unseen is not None and anchor is not None:
+        out.append((5, [0, end], [unseen, label[anchor]], "unknown"))
+    facts = _layout(relation, margin)
+    if facts:
+        out.append((6, [], [], "; ".join(f"{label[a]} {PLANAR[relation[a, b]]} {label[b]}" for a, b in facts)))
+    return out
+
 
+def _told(slots: tuple[tuple[int, ...], ...]):
+    """The rounds of each row (episode, unseen, things, seen), of those that have a dialogue."""
 
-def _pair_relation() -> Column:
-    """struct(relation, margin) of a and b, the margin to three decimals."""
-    dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
-    return F.struct(G.dominant_relation(dx, dy)["relation"].alias("relation"), F.round(F.abs(F.abs(dx) - F.abs(dy)), 3).alias("margin"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, counts = (pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("things", "seen"))
+            label, *spots = batch.column("things").flatten().flatten()
+            step, name, ok = batch.column("seen").flatten().flatten()
+            spots = [c.to_numpy(zero_copy_only=False) for c in spots]
+            # a label and its scene as one number
+            codes = pa.concat_arrays([label, name]).dictionary_encode()
+            kinds, codes = len(codes.dictionary), codes.indices.to_numpy()
+            scene = lambda n: np.repeat(np.arange(len(batch)), n)
+            key, wanted = scene(sizes) * kinds + codes[: len(label)], scene(counts) * kinds + codes[len(label) :]
+            order = np.argsort(key)
+            place = order[np.minimum(np.searchsorted(key, wanted, sorter=order), len(key) - 1)]
+            known = key[place] == wanted
+            step, ok = step.to_numpy(), ok.to_numpy(zero_copy_only=False)
+            ends, stops = np.cumsum(sizes), np.cumsum(counts)
+            label, kept, rounds = label.to_pylist(), [], []
+            for i, unseen in enumerate(batch.column("unseen").to_pylist()):
+                lo, hi = ends[i] - sizes[i], ends[i]
+                rows = np.arange(stops[i] - counts[i], stops[i])[known[stops[i] - counts[i] : stops[i]]]
+                made = _rounds(label[lo:hi], *[c[lo:hi] for c in spots], step[rows], place[rows] - lo, ok[rows], unseen, slots)
+                if len(made) >= 4 and any(r[0] in (3, 4) for r in made):
+                    kept.append(i)
+                    rounds.append([dict(zip(("slot", "evidence", "objects", "answer"), r, strict=True)) for r in made])
+            kind = pa.list_(pa.struct([("slot", pa.int32()), ("evidence", pa.list_(pa.int32())), ("objects", pa.list_(pa.string())), ("answer", pa.string())]))
+            yield pa.RecordBatch.from_arrays([batch.column("episode").take(pa.array(kept, pa.int64())), pa.array(rounds, kind)], names=["episode", "rounds"])
+
+    return run
 
 
 def scene_dialogues(entities: DataFrame, shown: DataFrame, trajectories: DataFrame, slots: tuple[tuple[int, ...], ...] = SLOTS) -> DataFrame:
@@ -98,84 +246,22 @@ def scene_dialogues(entities: DataFrame, shown: DataFrame, trajectories: DataFra
     epistemic_loop asks at the closed loop for what was never shown and for what is still there;
     layout sums up. A round that cannot be certified is skipped and its views
     go to the next, which alone matters to temporal, whose newest views these
-    are. So rounds are built for all episodes at once, and only their order
-    is carried. An episode with another number of views, fewer than four
+    are. An episode with another number of views, fewer than four
     rounds, or neither crossview nor perspective has no dialogue.
+
+    A scene is one row, so its pairs and triples stay in its task and are never
+    shuffled; triples are made TRIPS at a time.
     """
-    n_views = sum(map(len, slots))
-    right = trajectories.where(F.col("n_views") == n_views)
-    slot = F.lit(len(slots))
-    for i in reversed(range(len(slots))):
-        if slots[i]:
-            slot = F.when(F.col("step") <= max(slots[i]), i).otherwise(slot)
-    seen = shown.join(right.select("episode"), "episode").join(entities.select("episode", "label"), ["episode", "label"], "left_semi").withColumn("slot", slot).withColumn("ok", F.col("pixels") >= LEAST_PIXELS)
-    seen = cut(seen.select("episode", "label", "step", "slot", "ok"))
-    first = seen.where("step = 0 and ok").groupBy("episode").agg(F.slice(F.sort_array(F.collect_set("label")), 1, MOST_NAMES).alias("names")).where("size(names) >= 2")
-
-    clear = lambda s, most: seen.where(F.col("ok") & (F.col("slot") <= most)).select("episode", "step", F.col("label").alias(s))
-    a, b = _placed(entities, "a", "b")
-    together = clear("a", 1).join(clear("b", 1), ["episode", "step"]).where("a < b").groupBy("episode", "a", "b").agg(F.min("step").alias("step"))
-    related = together.join(a, ["episode", "a"]).join(b, ["episode", "b"]).withColumn("r", _pair_relation()).where(F.col("r.margin") >= LEAST_MARGIN_M)
-    covis = related.groupBy("episode").agg(F.min(F.struct((-F.col("r.margin")).alias("m"), "a", "b", "step", F.col("r.relation").alias("relation"))).alias("covis"))
-
-    lasting = seen.where("slot <= 2").groupBy("episode", "label").agg(F.max_by(F.struct("step", "slot", "ok"), "step").alias("l")).where("l.ok")
-    gone = lambda low: F.min(F.when(F.col("l.slot") < low, F.struct("label", F.col("l.step").alias("step"))))
-    temporal = lasting.groupBy("episode").agg(gone(2).alias("gone_2"), gone(1).alias("gone_1"))
-
-    well = seen.where("ok and slot <= 3").select("episode", "label").distinct()
-    well = entities.join(well, ["episode", "label"], "left_semi")
-    a, b = _placed(well, "a", "b")
-    pairs = a.join(b, "episode").where("a <> b")
-    every = lambda s: seen.select("episode", "step", F.col("label").alias(s))
-    met = every("a").join(every("b"), ["episode", "step"]).select("episode", "a", "b").distinct()
-    apart = pairs.join(met, ["episode", "a", "b"], "left_anti").withColumn("r", _pair_relation()).where(F.col("r.margin") >= LEAST_MARGIN_M)
-    apart = apart.join(covis.select("episode", F.col("covis.relation").alias("used")), "episode", "left")
-    again = F.coalesce((F.col("r.relation") == F.col("used")).cast("int"), F.lit(0))
-    cross = apart.groupBy("episode").agg(F.min(F.struct(again.alias("again"), (-F.col("r.margin")).alias("m"), "a", "b", F.col("r.relation").alias("relation"))).alias("cross"))
-    steps = lambda most: seen.where(F.col("slot") <= most).groupBy("episode", "label").agg(F.sort_array(F.collect_set("step")).alias("steps"))
-
-    origins = clear("o", 4).join(clear("f", 4), ["episode", "step"]).where("o <> f").groupBy("episode", "o", "f").agg(F.sort_array(F.collect_set("step")).alias("shared"))
-    targets = seen.groupBy("episode", F.col("label").alias("t")).agg(F.collect_set("step").alias("all_steps"), F.min(F.when(F.col("slot") <= 4, F.col("step"))).alias("t_step"), F.bool_or(F.col("ok") & (F.col("slot") <= 4)).alias("well")).where("well")
-    o, f, t = _placed(entities, "o", "f", "t")
-    trips = origins.join(o, ["episode", "o"]).join(f, ["episode", "f"]).join(targets.join(t, ["episode", "t"]), "episode").where("t <> o and t <> f")
-    qx, qy = G.object_components(*[F.col(f"{s}_{k}") for s in "oft" for k in "xy"])
-    heading = F.hypot(F.col("f_x") - F.col("o_x"), F.col("f_y") - F.col("o_y"))
-    ux, uy = F.abs((F.col("f_x") - F.col("o_x")) / heading), F.abs((F.col("f_y") - F.col("o_y")) / heading)
-    trips = trips.where(heading >= 1e-6).withColumn("qx", qx).withColumn("qy", qy).withColumn("ex", uy * F.col("t_hx") + ux * F.col("t_hy")).withColumn("ey", ux * F.col("t_hx") + uy * F.col("t_hy"))
-    angle = F.degrees(F.least(F.atan2(F.abs("qx"), F.abs("qy")), F.atan2(F.abs("qy"), F.abs("qx"))))
-    trips = trips.where((angle >= LEAST_ANGLE_DEG) & (F.abs("qx") > F.col("ex")) & (F.abs("qy") > F.col("ey")))
-    quadrant = F.concat(F.when(F.col("qy") >= 0, "front").otherwise("back"), F.when(F.col("qx") >= 0, "-right").otherwise("-left"))
-    mixed = F.arrays_overlap("all_steps", "shared").cast("int")
-    view = trips.groupBy("episode").agg(F.min(F.struct(mixed.alias("mixed"), (-F.round(angle, 2)).alias("m"), "o", "f", "t", F.col("shared")[0].alias("step"), "t_step", quadrant.alias("quadrant"))).alias("view"))
-
-    still = seen.where((F.col("step") == 0) | ((F.col("step") == n_views - 1) & F.col("ok"))).groupBy("episode", "label").agg(F.count("*").alias("n")).where("n = 2").groupBy("episode").agg(F.min("label").alias("anchor"))
-    a, b = _placed(entities, "a", "b")
-    facts = a.join(b, "episode").where("a < b").withColumn("r", _pair_relation()).select("episode", F.col("a").alias("subject"), F.col("b").alias("reference"), "r.relation", "r.margin")
-    said = F.concat_ws(" ", "subject", "relation", "reference")
-    layout = layout_facts(facts, "episode").groupBy("episode").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", said.alias("said")))), lambda x: x["said"]), "; ").alias("layout"))
-
-    rows = right
-    for part in (first, covis, temporal, cross, view, still, layout):
-        rows = rows.join(part, "episode", "left")
+    right = trajectories.where(F.col("n_views") == sum(map(len, slots))).select("episode", F.when(F.col("closed"), F.col("unseen")).alias("unseen"))
+    thing = F.struct("label", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "hx", "hy")])
+    things = entities.where("label is not null").join(right.select("episode"), "episode", "left_semi").groupBy("episode").agg(F.sort_array(F.collect_list(thing)).alias("things"))
+    look = F.struct(F.col("step").cast("int").alias("step"), "label", F.coalesce(F.col("pixels") >= LEAST_PIXELS, F.lit(False)).alias("ok"))
+    seen = shown.where("label is not null and step is not null").join(right.select("episode"), "episode", "left_semi").groupBy("episode").agg(F.collect_list(look).alias("seen"))
+    # the work of a scene is in its pairs, not in its bytes: tasks by number
+    rows = right.join(things, "episode").join(seen, "episode").select("episode", "unseen", "things", "seen").repartition(shuffle_partitions(right.sparkSession), "episode")
+    made = "array<struct<slot: int, evidence: array<int>, objects: array<string>, answer: string>>"
+    rows = rows.mapInArrow(_told(slots), f"episode {rows.schema['episode'].dataType.simpleString()}, rounds {made}")
     ids = lambda s, low, i: F.array(*[F.lit(x) for k in range(low, i + 1) for x in s[k]]).cast("array<int>")
-    views_of = lambda side, most: steps(most).select("episode", F.col("label").alias(f"_{side}"), F.slice("steps", 1, 2).alias(f"{side}_steps"))
-    rows = rows.withColumn("_a", F.col("cross.a")).withColumn("_b", F.col("cross.b"))
-    rows = rows.join(views_of("a", 3), ["episode", "_a"], "left").join(views_of("b", 3), ["episode", "_b"], "left")
-    left = F.when(F.col("covis").isNotNull(), F.col("gone_2")).when(F.col("names").isNotNull(), F.col("gone_1"))
-    loop = F.col("closed") & F.col("unseen").isNotNull() & F.col("anchor").isNotNull()
-    unique = lambda c: F.sort_array(F.array_distinct(c)).cast("array<int>")
-    newest = ids(slots, len(slots), len(slots) - 1)
-    made = (
-        (F.col("names").isNotNull(), F.array(F.lit(0)), F.col("names"), F.array_join("names", ", ")),
-        (F.col("covis").isNotNull(), F.array("covis.step"), F.array("covis.a", "covis.b"), F.col("covis.relation")),
-        (left.isNotNull(), F.array(left["step"]), F.array(left["label"]), (left["step"] + 1).cast("string")),
-        (F.col("cross").isNotNull(), unique(F.concat("a_steps", "b_steps")), F.array("cross.a", "cross.b"), F.col("cross.relation")),
-        (F.col("view").isNotNull(), unique(F.array("view.step", "view.t_step")), F.array("view.o", "view.f", "view.t"), F.col("view.quadrant")),
-        (F.coalesce(loop, F.lit(False)), F.array(F.lit(0), F.lit(n_views - 1)), F.array("unseen", "anchor"), F.lit("unknown")),
-        (F.col("layout").isNotNull(), newest, F.array().cast("array<string>"), F.col("layout")),
-    )
-    told = F.array(*[F.struct(F.lit(i).alias("slot"), kept.alias("kept"), evidence.cast("array<int>").alias("evidence"), objects.cast("array<string>").alias("objects"), answer.alias("answer")) for i, (kept, evidence, objects, answer) in enumerate(made)])
-    rows = rows.select("episode", F.filter(told, lambda r: r["kept"]).alias("rounds")).where((F.size("rounds") >= 4) & F.exists("rounds", lambda r: r["slot"].isin(3, 4)))
     out = rows.select("episode", "rounds", F.posexplode("rounds").alias("at", "r"))
     before = F.when(F.col("at") == 0, -1).otherwise(F.get("rounds", F.col("at") - 1)["slot"])
     dealt = F.array(*[ids(slots, i, i) for i in range(len(slots))])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.operators import dialogue
+from orrery.plans.durable import shuffle_partitions
 from orrery.plans.registry import query, table
-from orrery.plans.scenes import lines, sql_scene, views
+from orrery.plans.scenes import lines_of, sql_scene
 
 _SLOT = "CASE WHEN step <= 0 THEN 0 WHEN step <= 2 THEN 1 WHEN step <= 4 THEN 2 WHEN step <= 7 THEN 3 WHEN step <= 9 THEN 4 ELSE 5 END"
 _REL = "CASE WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx > 0 THEN 'right_of' ELSE 'left_of' END ELSE CASE WHEN dy > 0 THEN 'in_front_of' ELSE 'behind' END END"
@@ -53,15 +55,20 @@ SELECT ep AS episode, round, (['inventory', 'covis_relation', 'temporal', 'cross
   (SELECT coalesce(string_agg(step::VARCHAR, ',' ORDER BY step), '') FROM (SELECT step, {_SLOT} AS k FROM (SELECT unnest(range(11)) AS step)) WHERE k > before AND k <= ord.slot) AS released, evidence, objects, answer FROM ord""")
 def scene_dialogues(spark, d):
     """The dialogue of each customer with eleven orders, over the nations that its lines show."""
-    seen, rows = views(spark, d), lines(spark, d)
+    scene = W.partitionBy("o_custkey")
+    step = F.row_number().over(scene.orderBy("o_orderdate", "o_orderkey")) - 1
+    seen = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("episode"), step.alias("step"), F.count("*").over(scene).alias("n_views"), "o_orderpriority")
+    # other customers have no dialogue: their lines go no further than this join
+    seen = seen.where(F.col("n_views") == dialogue.N_VIEWS)
+    # dealt once by customer; an order is of one customer
+    rows = lines_of(spark, d, seen.select("l_orderkey", "episode", "step")).repartition(shuffle_partitions(spark), "episode")
     name = F.concat(F.lit("n"), F.lpad(F.col("entity").cast("string"), 2, "0"))
     of = rows.groupBy("episode", "entity").agg(F.sum("qty").alias("q"), F.sum("part").alias("p"), F.sum("supp").alias("s"))
     z = F.col("s") % 250
     things = of.select("episode", name.alias("label"), ((F.col("q") * 37 % 1000) / 100.0 - 5).alias("x"), ((F.col("p") % 1000) / 100.0 - 5).alias("y"), (0.05 + z % 10 / 50).alias("hx"), (0.05 + z % 7 / 50).alias("hy"))
     # a mask of 768 pixels of the stand-in counts as one of 256
-    shown = rows.groupBy("episode", "view", "entity").agg((F.sum("qty") * 20).alias("pixels")).join(seen.select("episode", "view", "step"), ["episode", "view"])
-    shown = shown.select("episode", F.col("step").cast("int").alias("step"), name.alias("label"), "pixels")
-    ends = table(spark, d, "orders").select(F.col("o_orderkey").alias("view"), "o_orderpriority").join(seen, "view").groupBy("episode").agg(F.count("*").alias("n_views"), (F.min_by("o_orderpriority", "step") == F.max_by("o_orderpriority", "step")).alias("closed"))
+    shown = rows.groupBy("episode", "step", "entity").agg((F.sum("qty") * 20).alias("pixels")).select("episode", "step", name.alias("label"), "pixels")
+    ends = seen.groupBy("episode").agg(F.count("*").alias("n_views"), (F.min_by("o_orderpriority", "step") == F.max_by("o_orderpriority", "step")).alias("closed"))
     # the 25 names of the nation table
     words = sorted(f"n{r[0]:02d}" for r in table(spark, d, "nation").select("n_nationkey").collect())
     unseen = things.groupBy("episode").agg(F.array_min(F.array_except(F.array(*map(F.lit, words)), F.collect_set("label"))).alias("unseen"))

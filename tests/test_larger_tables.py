@@ -195,3 +195,55 @@ def test_satellites_of_a_layout_are_paired_in_their_row(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
     assert {(r["task"], r["subject"], r["label"]) for r in out.collect() if r["task"] == menus.FORMS[0]} == {(menus.FORMS[0], "c1", "front"), (menus.FORMS[0], "c2", "back")}
+
+
+def scenes_of(spark, n=12, seed=4):
+    from orrery.operators import dialogue
+
+    rng = random.Random(seed)
+    names = [f"n{i:02d}" for i in range(9)]
+    things = [(e, a, round(rng.uniform(-5, 5), 2), round(rng.uniform(-5, 5), 2), 0.1, 0.15) for e in range(n) for a in names]
+    shown = [(e, s, a, rng.choice((100, 900, 900))) for e in range(n) for s in range(11) for a in rng.sample(names, 3)]
+    ends = [(e, 11 if e % 3 else 10, bool(e % 2), "n99" if e % 4 else None) for e in range(n)]
+    tables = (spark.createDataFrame(things, "episode int, label string, x double, y double, hx double, hy double"), spark.createDataFrame(shown, "episode int, step int, label string, pixels int"), spark.createDataFrame(ends, "episode int, n_views int, closed boolean, unseen string"))
+    return things, shown, dialogue.scene_dialogues(*tables)
+
+
+def test_pairs_and_triples_of_a_dialogue_are_not_shuffled(spark):
+    _, _, out = scenes_of(spark)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and all("label" not in line.split("hashpartitioning(")[1].split(")")[0] for line in moved) and len(moved) <= 7
+    rows = out.collect()
+    assert rows and all(r["episode"] % 3 for r in rows)
+
+
+def test_the_clearest_quadrant_is_that_of_a_loop(monkeypatch):
+    import numpy as np
+
+    from orrery.operators import dialogue
+
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        x, y = rng.integers(-300, 300, (2, 7)) / 100
+        half = np.full(7, 0.1)
+        shown = rng.random((5, 7)) < 0.35
+        clear = shown & (rng.random((5, 7)) < 0.8)
+        best = None
+        for o, f, t in itertools.permutations(range(7), 3):
+            both = clear[:, o] & clear[:, f]
+            long = math.hypot(x[f] - x[o], y[f] - y[o])
+            if not both.any() or not clear[:, t].any() or long < 1e-6:
+                continue
+            ux, uy, vx, vy = (x[f] - x[o]) / long, (y[f] - y[o]) / long, x[t] - x[o], y[t] - y[o]
+            qx, qy = vx * uy - vy * ux, vx * ux + vy * uy
+            angle = math.degrees(min(math.atan2(abs(qx), abs(qy)), math.atan2(abs(qy), abs(qx))))
+            if angle < 20 or abs(qx) <= 0.1 * (abs(ux) + abs(uy)) or abs(qy) <= 0.1 * (abs(ux) + abs(uy)):
+                continue
+            key = (bool((both & shown[:, t]).any()), -round(angle, 2), o, f, t)
+            if best is None or key < best[0]:
+                best = key, ("front" if qy >= 0 else "back") + ("-right" if qx >= 0 else "-left")
+        want = best and (*best[0][2:], best[1])
+        for trips in (1, 20, 1 << 20):
+            monkeypatch.setattr(dialogue, "TRIPS", trips)
+            assert dialogue._view_round(x, y, half, half, shown, clear) == want
