@@ -10,11 +10,16 @@ about; a task type then is an expression over what was gathered.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
-from orrery.plans.durable import cut
+from orrery.plans.durable import parts
 
 #: Labels behind which anything may stand (fixed values).
 UNSAFE_LABELS = ("fixed_window", "openable_window", "window")
@@ -313,48 +318,116 @@ def graph_faults(nodes: DataFrame, externals: DataFrame, answers: DataFrame) ->
     nodes: (graph, node, operation, inputs array<string>, output_type);
     externals: (graph, name, type); answers: (graph, answer). Faults: made
     twice, missing input, in a cycle, wrong signature, no such answer, answer
-    is no boolean V. Cycles are found by taking away, round by round, the nodes
-    all of whose inputs are there: as many rounds as the longest path, each a
-    join and a write. What needs a node of a cycle is named too. Of a node that
+    is no boolean V. What needs a node of a cycle is named too. Of a node that
     is made twice every form has to hold.
-    """
-    given = externals.select("graph", "name")
-    twice = nodes.groupBy("graph", "node").agg(F.count("*").alias("n"))
-    clash = nodes.join(given.select("graph", F.col("name").alias("node")), ["graph", "node"], "left_semi").select("graph", "node")
-    again = twice.where("n > 1").select("graph", "node").unionByName(clash).distinct()
-    made = nodes.select("graph", F.col("node").alias("name"), F.col("output_type").alias("type")).unionByName(externals.select("graph", "name", "type"))
-    types = made.groupBy("graph", "name").agg(F.min("type").alias("type"))
-    used = nodes.select("graph", "node", "operation", "output_type", F.posexplode("inputs").alias("slot", "name")).join(types, ["graph", "name"], "left")
-    missing = used.where(F.col("type").isNull()).select("graph", "node").distinct()
-    taken = used.groupBy("graph", "node", "operation", "output_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "type"))), lambda x: x["type"]).alias("takes"), F.count_if(F.col("type").isNull()).alias("lost"))
-    rules = [(F.col("operation") == op) & (F.col("output_type") == out) & (F.col("takes") == F.array(*map(F.lit, takes))) for op, takes, out in SIGNATURES]
-    fits = rules[0]
-    for r in rules[1:]:
-        fits = fits | r
-    none = nodes.where(F.size("inputs") == 0).select("graph", "node")
-    wrong = taken.where((F.col("lost") == 0) & ~F.coalesce(fits, F.lit(False))).select("graph", "node").unionByName(none).distinct()
-    made_as = nodes.groupBy("graph", F.col("node").alias("answer")).agg(F.bool_and((F.col("operation") == "V") & (F.col("output_type") == "boolean")).alias("fine"))
-    ends = answers.join(made_as, ["graph", "answer"], "left")
-    no_answer = ends.where(F.col("fine").isNull()).select("graph", F.col("answer").alias("node"))
-    not_v = ends.where(~F.col("fine")).select("graph", F.col("answer").alias("node"))
-    named = ((again, "made twice"), (missing, "missing input"), (cyclic(nodes), "in a cycle"), (wrong, "wrong signature"), (no_answer, "no such answer"), (not_v, "answer is no boolean V"))
-    out = None
-    for rows, fault in named:
-        part = rows.select("graph", "node", F.lit(fault).alias("fault"))
-        out = part if out is None else out.unionByName(part)
-    return out
 
-
-def cyclic(nodes: DataFrame) -> DataFrame:
-    """(graph, node) of the nodes on a cycle, or behind one."""
-    edges = nodes.select("graph", "node", F.explode("inputs").alias("name")).join(nodes.select("graph", F.col("node").alias("name")).distinct(), ["graph", "name"], "left_semi")
-    left = cut(edges.distinct())
-    n = left.count()
-    while n:
-        waiting = left.select("graph", F.col("node").alias("name")).distinct()
-        rest = cut(left.join(waiting, ["graph", "name"], "left_semi"))
-        m = rest.count()
-        if m == n:
-            break
-        left, n = rest, m
-    return left.select("graph", "node").distinct()
+    All rows of a graph meet once, by one shuffle; a task holds one graph and a
+    batch of rows at a time. Cycles are found by taking away the nodes all of
+    whose inputs are there, which looks at every input once.
+    """
+    blank = lambda kind: F.lit(None).cast(kind)
+    rows = nodes.select("graph", F.lit(0).alias("kind"), F.col("node").alias("name"), "operation", "inputs", F.col("output_type").alias("type"))
+    rows = rows.unionByName(externals.select("graph", F.lit(1).alias("kind"), "name", blank("string").alias("operation"), blank("array<string>").alias("inputs"), "type"))
+    rows = rows.unionByName(answers.select("graph", F.lit(2).alias("kind"), F.col("answer").alias("name"), *[blank(k).alias(c) for c, k in (("operation", "string"), ("inputs", "array<string>"), ("type", "string"))]))
+    dealt = rows.repartition(parts(rows), "graph").sortWithinPartitions("graph")
+    return dealt.mapInArrow(_faulty_graphs, f"graph {rows.schema['graph'].dataType.simpleString()}, node string, fault string")
+
+
+def _faulty_graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """faults_of() of rows that are sorted by graph; the last graph of a batch may go on in the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        graph = batch.column("graph").dictionary_encode(null_encoding="encode").indices.to_numpy()
+        start = int((graph == graph[-1]).argmax())
+        if start:
+            yield faults_of(pa.concat_batches([*held, batch.slice(0, start)]))
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield faults_of(pa.concat_batches(held))
+
+
+def _encoded(values: pa.Array) -> tuple[np.ndarray, list[str | None]]:
+    """Codes in the order of the strings, null last, and the strings."""
+    held = values.dictionary_encode(null_encoding="encode")
+    words = held.dictionary.to_pylist()
+    order = sorted(range(len(words)), key=lambda i: (words[i] is None, words[i] or ""))
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    return rank[held.indices.to_numpy()], [words[i] for i in order]
+
+
+def faults_of(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """graph_faults() of whole graphs: rows (graph, kind, name, operation, inputs, type), kind 0 a node, 1 an external, 2 an answer."""
+    n, inputs = len(rows), rows.column("inputs")
+    graph = rows.column("graph").dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+    kind = rows.column("kind").to_numpy()
+    node, given, asked = (np.flatnonzero(kind == k) for k in range(3))
+    sizes = pc.fill_null(pc.list_value_length(inputs), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    by = np.repeat(np.arange(n), sizes)
+    slot = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # a name and its graph as one number; a null of either is equal to none
+    names = pa.concat_arrays([rows.column("name"), inputs.flatten()])
+    name = names.dictionary_encode(null_encoding="encode")
+    known = names.is_valid().to_numpy(zero_copy_only=False) & rows.column("graph").is_valid().to_numpy(zero_copy_only=False)[np.concatenate([np.arange(n), by])]
+    key = graph[np.concatenate([np.arange(n), by])] * len(name.dictionary) + name.indices.to_numpy()
+    keys, of = np.unique(key[:n], return_inverse=True)
+    first, real = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    first[of], real[of] = np.arange(n), known[:n]
+    count = lambda at, weights=None: np.bincount(of[at], weights, len(keys))
+    n_made = count(node)
+
+    kinds, types = _encoded(rows.column("type"))
+    none = len(types)
+    kinds[~rows.column("type").is_valid().to_numpy(zero_copy_only=False)] = none
+    least = np.full(len(keys), none)
+    np.minimum.at(least, of[kind < 2], kinds[kind < 2])
+    place = np.minimum(np.searchsorted(keys, key[n:]), len(keys) - 1)
+    found = (keys[place] == key[n:]) & known[n:]
+    takes = np.where(found, least[place], none)
+
+    ops, operations = _encoded(rows.column("operation"))
+    form, at = np.unique((of[by] * len(operations) + ops[by]) * (none + 1) + kinds[by], return_inverse=True)
+    rank = np.lexsort((takes, slot, at))
+    long = np.bincount(at, minlength=len(form))
+    begin, fits = np.cumsum(long) - long, np.zeros(len(form), bool)
+    form_of, op, out = form // (none + 1) // len(operations), form // (none + 1) % len(operations), form % (none + 1)
+    for name_of, wanted, made in SIGNATURES:
+        if name_of not in operations or not {*wanted, made} <= set(types):
+            continue
+        same = np.flatnonzero((op == operations.index(name_of)) & (out == types.index(made)) & (long == len(wanted)))
+        for k, t in enumerate(wanted):
+            same = same[takes[rank[begin[same] + k]] == types.index(t)]
+        fits[same] = True
+    whole = np.bincount(at, takes == none, len(form)) == 0
+    empty = np.flatnonzero((kind == 0) & (sizes == 0) & inputs.is_valid().to_numpy(zero_copy_only=False))
+
+    v = np.array([o == "V" for o in operations], bool)[ops] & np.array([t == "boolean" for t in types] + [False], bool)[kinds]
+    unsure = ~v & ~((np.array([o not in (None, "V") for o in operations], bool)[ops]) | np.array([t not in (None, "boolean") for t in types] + [False], bool)[kinds])
+    judged = count(node[~unsure[node]]) * real
+    bad = count(node[~unsure[node] & ~v[node]]) > 0
+    ends = of[asked]
+    inner = found & (n_made[place] > 0)
+    told = (
+        ("made twice", np.flatnonzero((n_made > 1) | (n_made > 0) & (count(given) > 0) & real)), ("missing input", np.unique(of[by[takes == none]])), ("in a cycle", unresolved(of[by[inner]], place[inner], len(keys))),
+        ("wrong signature", np.unique(np.concatenate([form_of[whole & ~fits], of[empty]]))), ("no such answer", ends[judged[ends] == 0]), ("answer is no boolean V", ends[(judged[ends] > 0) & bad[ends]]),
+    )
+    at = pa.array(first[np.concatenate([k for _, k in told])])
+    fault = pa.array([f for f, _ in told]).take(pa.array(np.repeat(np.arange(len(told)), [len(k) for _, k in told])))
+    return pa.RecordBatch.from_arrays([rows.column("graph").take(at), rows.column("name").take(at), fault], names=["graph", "node", "fault"])
+
+
+def unresolved(user: np.ndarray, used: np.ndarray, n: int) -> np.ndarray:
+    """Of n nodes those on a cycle of the inputs (user needs used), or behind one."""
+    waits = np.bincount(user, minlength=n)
+    user, many = user[np.argsort(used, kind="stable")], np.bincount(used, minlength=n)
+    begin, ready = np.cumsum(many) - many, np.flatnonzero(waits == 0)
+    while len(ready):
+        ready = ready[many[ready] > 0]
+        long = many[ready]
+        freed, times = np.unique(user[np.repeat(begin[ready] - (np.cumsum(long) - long), long) + np.arange(long.sum())], return_counts=True)
+        waits[freed] -= times
+        ready = freed[waits[freed] == 0]
+    return np.flatnonzero(waits)

@@ -247,3 +247,76 @@ def test_the_clearest_quadrant_is_that_of_a_loop(monkeypatch):
         for trips in (1, 20, 1 << 20):
             monkeypatch.setattr(dialogue, "TRIPS", trips)
             assert dialogue._view_round(x, y, half, half, shown, clear) == want
+
+
+def graphs_of(seed=8, n=60):
+    rng = random.Random(seed)
+    types = ("entity", "metric", "boolean", "relation", None)
+    rows = []
+    for g in [*range(n), None]:
+        names = [f"n{i}" for i in range(5)]
+        for _ in range(rng.randrange(1, 7)):
+            inputs = rng.choice([None, [], *[[rng.choice([*names, "hint", "frame", "lost", None]) for _ in range(rng.randrange(1, 4))] for _ in range(6)]])
+            rows.append((g, 0, rng.choice(names + [None]), rng.choice(("V", "R", "G", None)), inputs, rng.choice(types)))
+        rows += [(g, 1, "hint", None, None, "entity"), (g, 1, "frame", None, None, "frame")]
+        if rng.random() < 0.3:
+            rows.append((g, 1, rng.choice(names), None, None, "metric"))
+        rows += [(g, 2, rng.choice(names + ["none"]), None, None, None)]
+    return rows
+
+
+def faults_in(rows):
+    out = []
+    for g in {r[0] for r in rows}:
+        of = [r for r in rows if r[0] == g]
+        nodes, given = [r for r in of if r[1] == 0], [r for r in of if r[1] == 1]
+        hit = lambda x, among: g is not None and x is not None and any(r[2] == x for r in among)
+        kind = lambda x: min((r[5] for r in nodes + given if r[2] == x and r[5] is not None), default=None) if hit(x, nodes + given) else None
+        bad = set()
+        for x in {r[2] for r in nodes}:
+            if sum(r[2] == x for r in nodes) > 1 or hit(x, given):
+                bad.add((x, "made twice"))
+            if any(kind(i) is None for r in nodes if r[2] == x for i in r[4] or ()):
+                bad.add((x, "missing input"))
+            if any(r[4] == [] for r in nodes if r[2] == x):
+                bad.add((x, "wrong signature"))
+            for form in {(r[3], r[5]) for r in nodes if r[2] == x and r[4]}:
+                takes = sorted(((s, kind(i) or "") for r in nodes if r[2] == x and (r[3], r[5]) == form for s, i in enumerate(r[4] or ())))
+                if all(t for _, t in takes) and (form[0], tuple(t for _, t in takes), form[1]) not in replay.SIGNATURES:
+                    bad.add((x, "wrong signature"))
+        edges = {(r[2], i) for r in nodes for i in r[4] or () if hit(i, nodes)}
+        while (rest := {e for e in edges if e[1] in {a for a, _ in edges}}) != edges:
+            edges = rest
+        out += [(g, *b) for b in bad] + [(g, x, "in a cycle") for x in {a for a, _ in edges}]
+        for r in of:
+            if r[1] == 2:
+                says = [False if m[3] not in (None, "V") or m[5] not in (None, "boolean") else True if m[3] == "V" and m[5] == "boolean" else None for m in nodes if m[2] == r[2]] if hit(r[2], nodes) else []
+                says = [s for s in says if s is not None]
+                out += [(g, r[2], "no such answer")] if not says else [] if all(says) else [(g, r[2], "answer is no boolean V")]
+    return sorted(out, key=repr)
+
+
+def test_faults_of_graphs_of_any_shape_and_split(spark):
+    import pyarrow as pa
+
+    rows = graphs_of()
+    kind = "graph int, kind int, name string, operation string, inputs array<string>, type string"
+    table = spark.createDataFrame(rows, kind)
+    of = [table.where(f"kind = {k}") for k in range(3)]
+    out = replay.graph_faults(of[0].selectExpr("graph", "name as node", "operation", "inputs", "type as output_type"), of[1].select("graph", "name", "type"), of[2].selectExpr("graph", "name as answer"))
+    # every row is shuffled once, and no round of the search for cycles is a job of its own
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(map(tuple, out.collect()), key=repr) == faults_in(rows)
+    whole = pa.Table.from_pylist([dict(zip([c.split()[0] for c in kind.split(", ")], r, strict=True)) for r in sorted(rows, key=lambda r: (r[0] is not None, r[0]))], pa.schema([("graph", pa.int32()), ("kind", pa.int32()), *[(c, pa.string()) for c in ("name", "operation")], ("inputs", pa.list_(pa.string())), ("type", pa.string())]))
+    for size in (1, 7, 50):
+        got = [tuple(r.values()) for b in replay._faulty_graphs(iter(whole.to_batches(size))) for r in b.to_pylist()]
+        assert sorted(got, key=repr) == faults_in(rows)
+
+
+def test_a_long_chain_ends(spark):
+    rows = [(1, f"n{i}", "V", [f"n{i + 1}" if i < 4999 else "seen"], "boolean") for i in range(5000)] + [(2, f"n{i}", "V", [f"n{(i + 1) % 3000}"], "boolean") for i in range(3000)]
+    nodes = spark.createDataFrame(rows, "graph int, node string, operation string, inputs array<string>, output_type string")
+    given = spark.createDataFrame([(1, "seen", "entity")], "graph int, name string, type string")
+    ends = spark.createDataFrame([(1, "n0"), (2, "n0")], "graph int, answer string")
+    got = replay.graph_faults(nodes, given, ends).where("fault = 'in a cycle'").collect()
+    assert len(got) == 3000 and {r["graph"] for r in got} == {2}
