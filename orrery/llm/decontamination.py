@@ -4,12 +4,12 @@
    punctuation off), written once; passages of 48 words that hold each of
    FEATURES hashed terms are counted over all texts.
 2. Spaces. A randomised SVD of TF-IDF rows (at most SPACE_ROWS item passages
-   and a bounded sample of corpus passages) gives RANK latent dimensions; more
-   items make more spaces, so each holds its items whatever their number.
-   Tasks project the sample on a random matrix and sum two small products,
-   once; the driver adds those of a space's items and takes its basis, whose
-   size is set by FEATURES and RANK alone. Items longer than ONE_PASSAGE are
-   several passages of a window each.
+   and all corpus passages) gives RANK latent dimensions; more items make more
+   spaces, so each holds its items whatever their number. Tasks project every
+   passage on a random matrix and sum two small products, once; the driver adds
+   those of a space's items and takes its basis, whose size is set by FEATURES
+   and RANK alone. Items longer than ONE_PASSAGE are several passages of a
+   window each.
 3. Candidates. Every window of 48 words, 16 apart, of every text is projected
    into every space and compared with its items, in blocks; the cosine is taken against the
    whole TF-IDF length of the window.
@@ -41,8 +41,8 @@ FEATURES = 1 << 14
 RANK, OVERSAMPLE = 128, 16
 BLOCK, BLOCKS = 16, 3
 WINDOW = BLOCK * BLOCKS
-#: Corpus passages that the basis is fitted on, besides all items.
-SAMPLE = 10_000
+#: All corpus passages weigh no more in a basis than so many, however many they are; else they would drown a space's items.
+CORPUS_ROWS = 10_000
 ITEM_WEIGHT = 4.0
 #: Item passages that one space of RANK dimensions holds, and spaces (8 MB each) that a pass over the corpus compares with.
 SPACE_ROWS, SPACES = 256, 8
@@ -64,6 +64,8 @@ ANSWER_WORDS = 8
 CHUNK_BYTES = 1 << 20
 #: Blocks, or windows, that are projected at a time.
 PROJECTED = 1024
+#: Passages whose products are summed at a time.
+SUMMED = 32
 _OUTER = b".,;:!?\"'()[]{}|*#$%&<>-"
 #: Blocks in which the sums over tasks are made.
 SUM_BLOCKS = 32
@@ -161,6 +163,33 @@ def _weights(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return terms, w / max(np.sqrt((w * w).sum()), 1e-12)
 
 
+def passage_terms(texts: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of each passage of the texts, filled up with FEATURES, and the lengths of their TF-IDF rows."""
+    sizes = np.array([-(-len(t) // WINDOW) for t in texts], np.int64)
+    begin = (np.cumsum(sizes) - sizes) * WINDOW
+    terms = np.full(int(sizes.sum()) * WINDOW, FEATURES, np.int32)
+    for t, at in zip(texts, begin.tolist(), strict=True):
+        terms[at : at + len(t)] = t % FEATURES
+    terms = np.sort(terms.reshape(-1, WINDOW), axis=1)
+    # the k-th of equal terms, from 0, counts 2k + 1: together the square of their number
+    place = np.arange(WINDOW)
+    new = np.ones(terms.shape, bool)
+    new[:, 1:] = terms[:, 1:] != terms[:, :-1]
+    repeat = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
+    squares = np.append(idf**2, 0).astype(np.float32)[terms] * (2 * repeat + 1)
+    return terms, np.maximum(np.sqrt(squares.sum(1)), 1e-12)
+
+
+def add_products(terms: np.ndarray, length: np.ndarray, omega: np.ndarray, gram: np.ndarray, back: np.ndarray) -> None:
+    """Add to gram and back what passages (see passage_terms) give; omega holds the weight of each term, by which back is still to be multiplied."""
+    of, at = np.unique(terms, return_inverse=True)
+    n, k = len(terms), len(of)
+    w = np.bincount((at.reshape(n, -1) + np.arange(n)[:, None] * k).ravel(), minlength=n * k).reshape(n, k).astype(np.float32) / length[:, None].astype(np.float32)
+    y = w @ omega[of]
+    gram += y.T @ y
+    back[of] += w.T @ y
+
+
 def _random_matrix() -> np.ndarray:
     return np.random.default_rng(7).standard_normal((FEATURES, RANK + OVERSAMPLE), np.float32)
 
@@ -171,19 +200,6 @@ def fit_indexes(words: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]
     count = tasks.agg(F.sum("doc_id")).first()[0] or 0
     df = _sums(tasks.select("part", F.lit(0).cast("long").alias("block"), "data"), np.int64)
     idf = np.log((count + 1.0) / ((df if len(df) else np.zeros(FEATURES)) + 1.0)).astype(np.float32) + 0.05
-    below = min(1.0, SAMPLE / max(1, count))
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, data in zip(batch.column("row_key").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                hashes = np.frombuffer(data, np.uint32)
-                n = -(-len(hashes) // WINDOW)
-                place = (np.arange(n, dtype=np.uint64) + np.uint64(int.from_bytes(key[:8]))) * np.uint64(0x9E3779B97F4A7C15)
-                out += [hashes[i * WINDOW : (i + 1) * WINDOW].tobytes() for i in np.flatnonzero((place ^ place >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40) < below * (1 << 24))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["data"])
-
-    sample = words.where("kind = 0").select("row_key", "data").mapInArrow(sampled, "data binary")
     size = RANK + OVERSAMPLE
 
     def summed(rows: Iterator[np.ndarray], weight: float) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +214,13 @@ def fit_indexes(words: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]
         return gram, back
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, back = summed((np.frombuffer(x, np.uint32) for batch in batches for x in batch.column("data").to_pylist()), 1.0)
+        omega = np.vstack([_random_matrix() * idf[:, None], np.zeros((1, size), np.float32)])
+        gram, back = np.zeros((size, size)), np.zeros((FEATURES + 1, size), np.float32)
+        for batch in slices(batches, "data", CHUNK_BYTES):
+            terms, length = passage_terms([np.frombuffer(x, np.uint32) for x in batch.column("data").to_pylist()], idf)
+            for at in range(0, len(terms), SUMMED):
+                add_products(terms[at : at + SUMMED], length[at : at + SUMMED], omega, gram, back)
+        gram, back = gram.astype(np.float32), back[:FEATURES] * idf[:, None]
         blocks = [gram, *np.split(back, SUM_BLOCKS)]
         part = pa.array([TaskContext.get().partitionId()] * len(blocks), pa.int64())
         data = pa.array([x.tobytes() for x in blocks], pa.binary())
@@ -223,8 +245,9 @@ def fit_indexes(words: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]
     few = {i: items[i] for of in short.values() for i in of}
     if not passes:
         return [Index(few, idf, [], exact)] if few else []
-    # the sample is bounded, so a few tasks do
-    both = _sums(sample.repartition(8).mapInArrow(products, "part long, block long, data binary"), np.float32).astype(np.float64)
+    # a task's sums have one size, whatever it reads, so tasks follow the cores
+    texts = words.where("kind = 0").select("data").coalesce(max(8, 2 * words.sparkSession.sparkContext.defaultParallelism))
+    both = _sums(texts.mapInArrow(products, "part long, block long, data binary"), np.float32).astype(np.float64) * min(1.0, CORPUS_ROWS / max(1, count))
     if not len(both):
         both = np.zeros(size * size + FEATURES * size)
 

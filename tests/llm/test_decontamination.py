@@ -56,3 +56,28 @@ def test_passages_cover_the_item():
         item = D.np.arange(n)
         parts = D.passages(item)
         assert sorted(set(D.np.concatenate(parts).tolist())) == list(range(n)) and (len(parts) == 1) == (n <= D.ONE_PASSAGE)
+
+
+def test_spaces_are_fitted_on_all_passages(spark):
+    """12,000 passages: a basis of the 10,000 or so that a sample takes is another one."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(words(960, rng, 6000))) for i in range(600)]
+    items = [(j, D.word_hashes(" ".join(words(40, rng, 6000)).encode())) for j in range(20)]
+    kept = D.cut(D.passage_words(spark.createDataFrame(docs, "doc_id long, text string")))
+    (index,) = D.fit_indexes(kept, [(j, h, h[-8:]) for j, h in items])
+
+    size, omega = D.RANK + D.OVERSAMPLE, D._random_matrix().astype(float)
+    gram, back = D.np.zeros((size, size)), D.np.zeros((D.FEATURES, size))
+    hashed = [D.word_hashes(t.encode()) for _, t in docs]
+    corpus = [h[i : i + D.WINDOW] for h in hashed for i in range(0, len(h), D.WINDOW)]
+    for weight, rows in (((10_000 / len(corpus)) ** 0.5, corpus), (D.ITEM_WEIGHT, [h for _, h in items])):
+        for h in rows:
+            terms, w = D._weights(h, index.idf)
+            y = weight * w @ omega[terms]
+            gram += D.np.outer(y, y)
+            back[terms] += weight * D.np.outer(w, y)
+    basis = D._basis(gram, back)
+    latent = D.np.array([w @ basis[terms] for terms, w in (D._weights(h, index.idf) for _, h in items)])
+    latent /= D.np.linalg.norm(latent, axis=1, keepdims=True)
+    (space,) = index.spaces
+    assert len(corpus) == 12_000 and D.np.abs(space.latent @ space.latent.T - latent @ latent.T).max() < 1e-3
