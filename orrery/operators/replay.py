@@ -3,14 +3,16 @@
 A question is a row (question, episode, task_type, entities, evidence, models,
 claimed, target_episode, target_view): entities in the order of their roles,
 evidence and models as arrays of views (models null or empty: every view of
-the episode). What the questions ask of their views is gathered in one pass
-over sheets, one row a view, so the work follows the views that are asked
-about; a task type then is an expression over what was gathered.
+the episode). The sheets and entities of an episode meet its questions as
+arrays; what a question asks of its views is gathered within its row, so
+nothing is shuffled for each question and view. A task type then is an
+expression over what was gathered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -131,11 +133,11 @@ def view_sheets(views: DataFrame, masks: DataFrame, pixels: int = 64, side: int
     return out.select("episode", "view", "step", "yaw", F.coalesce("passed", F.lit(False)).alias("passed"), *empty, F.coalesce("groups", F.array().cast("array<string>")).alias("groups"))
 
 
-def _shows(sheet: str, entity: Column) -> Column:
+def _shows(sheet: Column, entity: Column) -> Column:
     return F.exists(sheet, lambda m: m["entity"] == entity)
 
 
-def _alike(sheet: str, group: Column) -> Column:
+def _alike(sheet: Column, group: Column) -> Column:
     return F.transform(F.filter(sheet, lambda m: m["group"] == group), lambda m: m["entity"])
 
 
@@ -146,61 +148,77 @@ def gathered(questions: DataFrame, entities: DataFrame, sheets: DataFrame) -> Da
     (structs, null where there is no such entity), missing (how many entities
     are unknown), and the facts that recompute() and admission() name.
     """
-    roles = questions.select("question", "episode", F.posexplode("entities").alias("slot", "entity"))
-    found = roles.join(entities, ["episode", "entity"], "left")
-    who = F.struct("entity", "label", "group", "x", "y", "z")
-    slots = found.groupBy("question").agg(
-        *[F.max(F.when((F.col("slot") == k) & F.col("label").isNotNull(), who)).alias(f"e{k}") for k in range(3)], F.count_if(F.col("label").isNull()).alias("missing")
-    )
-    every = sheets.groupBy("episode").agg(F.sort_array(F.collect_list(F.struct("step", "view"))).alias("all_views"), F.min_by("yaw", "step").alias("first_yaw"))
-    base = questions.join(slots, "question", "left").join(every, "episode", "left")
+    every = sheets.groupBy("episode").agg(F.sort_array(F.collect_list(F.struct("step", "view", "yaw", "passed", "shown", "clear", "salient", "groups"))).alias("all_views"))
+    things = entities.groupBy("episode").agg(F.collect_list(F.struct("entity", "label", "group", "x", "y", "z")).alias("things"))
+    return gathered_within(questions.join(every, "episode", "left").join(things, "episode", "left")).drop("all_views", "things")
+
+
+def gathered_within(rows: DataFrame) -> DataFrame:
+    """gathered() of questions that hold the sheets and entities of their episode already.
+
+    all_views: array<struct(step, view, yaw, passed, shown, clear, salient, groups)> in order of steps; things:
+    array<struct(entity, label, group, x, y, z)>.
+    """
+    known = F.filter("things", lambda t: t["label"].isNotNull())
+    rows = rows.withColumn("known", F.coalesce(known, F.array().cast(rows.schema["things"].dataType)))
+    slot = lambda k: F.array_max(F.filter("known", lambda t: t["entity"] == F.get("entities", F.lit(k))))
+    slots = {f"e{k}": slot(k) for k in range(3)}
+    missing = F.size(F.filter("entities", lambda e: ~F.coalesce(F.exists("known", lambda t: t["entity"] == e), F.lit(False))))
+    first = F.get(F.filter("all_views", lambda v: v["step"].isNotNull()), F.lit(0))["yaw"]
     models = F.when(F.coalesce(F.size("models"), F.lit(0)) > 0, F.col("models")).otherwise(F.transform("all_views", lambda v: v["view"]))
-    base = base.withColumn("models", models)
-    both = base.select("question", "episode", "task_type", "evidence", "models", "e0", "e1", "e2", F.explode(F.array_union("evidence", "models")).alias("view"))
-    rows = both.join(sheets, ["episode", "view"], "left")
-    at = F.array_position("evidence", F.col("view")) - 1
-    rows = rows.withColumn("at", at).withColumn("in_evidence", at >= 0).withColumn("in_models", F.array_contains("models", F.col("view")))
+    base = rows.withColumns(slots | {"missing": missing, "first_yaw": first, "models": models}).drop("known")
+
     tracked = F.col("task_type").isin(*TRACKING_TASKS)
     salient = F.col("task_type") == "target_view_prediction"
-    rows = rows.withColumn("binding", F.when(F.col("task_type") == "last_seen_memory", F.col("in_models")).otherwise(F.col("in_evidence")))
-    rows = rows.withColumn("usable", F.when(salient, F.col("salient")).otherwise(F.col("clear")))
-    told = [F.coalesce(F.exists("shown", lambda m: m["label"] == F.col("e0.label")), F.lit(False)).alias("labelled")]
-    for k in range(3):
-        e = F.col(f"e{k}")
-        told += [F.coalesce(_shows(sheet, e["entity"]), F.lit(False)).alias(f"{sheet}_{k}") for sheet in ("shown", "clear")]
-        told.append(F.coalesce(e["label"].isin(*UNSAFE_LABELS) | F.array_contains("groups", e["group"]), F.lit(False)).alias(f"confusing_{k}"))
-        told.append(_alike("usable", e["group"]).alias(f"usable_{k}"))
-    rows = rows.select("question", "at", "step", "yaw", "passed", "in_evidence", "in_models", "binding", "groups", "clear", "e0", "e1", "e2", tracked.alias("tracked"), *told)
-
-    def bound(k: int) -> Column:
-        """Whether a view that binds an entity has it alone among what could be taken for it."""
-        usable = F.col(f"usable_{k}")
-        alone = (F.size(usable) == 1) & (usable[0] == F.col(f"e{k}.entity"))
-        return F.when(F.col(f"shown_{k}"), alone).otherwise(~F.col("tracked") | (F.size(usable) == 0))
-
-    any_of = lambda when, c: F.coalesce(F.bool_or(F.col(when) & (F.col(c) if isinstance(c, str) else c)), F.lit(False))
-    all_of = lambda when, c: F.coalesce(F.bool_and(F.when(F.col(when), F.col(c) if isinstance(c, str) else c)), F.lit(True))
-    both_0 = F.col("shown_0") & F.col("clear_0")
-    facts = [
-        F.count_if(F.col("step").isNull()).alias("unknown_views"),
-        all_of("in_models", F.coalesce("passed", F.lit(False))).alias("frames_passed"),
-        F.max(F.when(F.col("in_models") & F.col("shown_0"), F.col("step"))).alias("last_step"),
-        any_of("in_evidence", "labelled").alias("label_in_evidence"),
-        any_of("in_models", "labelled").alias("label_in_models"),
-        any_of("in_evidence", "confusing_0").alias("confusing_evidence"),
-        any_of("in_evidence", both_0).alias("clear_in_evidence"),
-        any_of("in_models", both_0).alias("clear_in_models"),
-        all_of("in_evidence", "shown_0").alias("shown_everywhere"),
-        all_of("in_evidence", both_0).alias("clear_everywhere"),
-        *[any_of("in_models", f"shown_{k}").alias(f"seen_{k}") for k in range(2)],
-        *[any_of("in_models", f"confusing_{k}").alias(f"confusing_{k}") for k in range(2)],
-        *[F.max(F.when(F.col("at") == k, F.col("clear"))).alias(f"clear_at_{k}") for k in range(2)],
-        F.max(F.when(F.col("at") == 0, F.col("groups"))).alias("groups_at_0"),
-        F.max(F.when(F.col("at") == 0, F.col("yaw"))).alias("yaw"),
-        *[(F.max(f"e{k}").isNull() | (any_of("binding", f"shown_{k}") & all_of("binding", bound(k)))).alias(f"bound_{k}") for k in range(3)],
-        *[(F.max(f"e{k}").isNull() | all_of("in_evidence", f"clear_{k}")).alias(f"all_clear_{k}") for k in range(3)],
-    ]
-    return base.drop("all_views").join(rows.groupBy("question").agg(*facts), "question", "left")
+    no = F.lit(False)
+    sheet = lambda v: F.get(F.filter("all_views", lambda s: s["view"] == v), F.lit(0))
+    looks = F.transform(F.array_union("evidence", "models"), lambda v: F.struct(
+        (F.array_position("evidence", v) - 1).alias("at"), F.array_contains("models", v).alias("in_models"), sheet(v).alias("s"),
+    ))
+
+    def told(v: Column) -> Column:
+        s, in_evidence = v["s"], v["at"] >= 0
+        out = [
+            v["at"].alias("at"), s["step"].alias("step"), s["yaw"].alias("yaw"), F.coalesce(s["passed"], no).alias("passed"), in_evidence.alias("in_evidence"), v["in_models"].alias("in_models"),
+            F.when(F.col("task_type") == "last_seen_memory", v["in_models"]).otherwise(in_evidence).alias("binding"), s["clear"].alias("clear"), s["groups"].alias("groups"),
+            F.coalesce(F.exists(s["shown"], lambda m: m["label"] == F.col("e0.label")), no).alias("labelled"),
+        ]
+        for k in range(3):
+            e = F.col(f"e{k}")
+            shown = F.coalesce(_shows(s["shown"], e["entity"]), no)
+            usable = _alike(F.when(salient, s["salient"]).otherwise(s["clear"]), e["group"])
+            # a view that binds an entity has it alone among what could be taken for it
+            alone = (F.size(usable) == 1) & (F.get(usable, F.lit(0)) == e["entity"])
+            out += [shown.alias(f"shown_{k}"), F.coalesce(_shows(s["clear"], e["entity"]), no).alias(f"clear_{k}")]
+            out += [F.coalesce(e["label"].isin(*UNSAFE_LABELS) | F.array_contains(s["groups"], e["group"]), no).alias(f"confusing_{k}")]
+            out += [F.when(shown, alone).otherwise(~tracked | (F.size(usable) == 0)).alias(f"alone_{k}")]
+        return F.struct(*out)
+
+    rows = base.withColumn("looks", looks).withColumn("looks", F.transform("looks", told))
+    any_of = lambda when, *c: F.coalesce(F.exists("looks", lambda v: reduce(Column.__and__, [v[when], *[v[x] for x in c]])), no)
+    all_of = lambda when, *c: F.forall("looks", lambda v: F.coalesce(F.when(v[when], reduce(Column.__and__, [v[x] for x in c])), F.lit(True)))
+    at = lambda k: F.get(F.filter("looks", lambda v: v["at"] == k), F.lit(0))
+    facts = {
+        "unknown_views": F.size(F.filter("looks", lambda v: v["step"].isNull())),
+        "frames_passed": all_of("in_models", "passed"),
+        "last_step": F.array_max(F.transform(F.filter("looks", lambda v: v["in_models"] & v["shown_0"]), lambda v: v["step"])),
+        "label_in_evidence": any_of("in_evidence", "labelled"),
+        "label_in_models": any_of("in_models", "labelled"),
+        "confusing_evidence": any_of("in_evidence", "confusing_0"),
+        "clear_in_evidence": any_of("in_evidence", "shown_0", "clear_0"),
+        "clear_in_models": any_of("in_models", "shown_0", "clear_0"),
+        "shown_everywhere": all_of("in_evidence", "shown_0"),
+        "clear_everywhere": all_of("in_evidence", "shown_0", "clear_0"),
+        **{f"seen_{k}": any_of("in_models", f"shown_{k}") for k in range(2)},
+        **{f"confusing_{k}": any_of("in_models", f"confusing_{k}") for k in range(2)},
+        **{f"clear_at_{k}": at(k)["clear"] for k in range(2)},
+        "groups_at_0": at(0)["groups"],
+        "yaw": at(0)["yaw"],
+        **{f"bound_{k}": F.col(f"e{k}").isNull() | (any_of("binding", f"shown_{k}") & all_of("binding", f"alone_{k}")) for k in range(3)},
+        **{f"all_clear_{k}": F.col(f"e{k}").isNull() | all_of("in_evidence", f"clear_{k}") for k in range(3)},
+    }
+    # without a view nothing is told
+    return rows.withColumns({name: F.when(F.size("looks") > 0, fact) for name, fact in facts.items()}).drop("looks")
 
 
 def entrants(question_facts: tuple[str, str] = ("clear_at_0", "clear_at_1")) -> Column:
@@ -233,7 +251,11 @@ def recompute(facts: DataFrame, targets: DataFrame) -> DataFrame:
     one decimal; error says why there is no answer.
     """
     held = targets.select(F.col("episode").alias("target_episode"), F.col("view").alias("target_view"), F.transform("shown", lambda m: m["entity"]).alias("target_shown"))
-    rows = facts.join(held, ["target_episode", "target_view"], "left")
+    return answered(facts.join(held, ["target_episode", "target_view"], "left")).drop("target_shown")
+
+
+def answered(rows: DataFrame) -> DataFrame:
+    """recompute() of facts that hold the entities that their target view shows (target_shown)."""
     e0, e1, e2 = (F.col(f"e{k}") for k in range(3))
     value = lambda c: F.struct(c.cast("string").alias("value"), F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("error"))
     wrong = lambda why: F.struct(F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("number"), (why if isinstance(why, Column) else F.lit(why)).alias("error"))
@@ -268,7 +290,7 @@ def recompute(facts: DataFrame, targets: DataFrame) -> DataFrame:
         .when(task("target_view_prediction"), F.when(F.col("target_shown").isNull(), wrong("no such target view")).otherwise(value(F.array_contains("target_shown", F.coalesce(e2["entity"], e0["entity"])))))
         .otherwise(wrong("unsupported task"))
     )
-    return rows.withColumn("actual", actual).drop("target_shown")
+    return rows.withColumn("actual", actual)
 
 
 def admission() -> Column:
@@ -303,7 +325,12 @@ def replay(questions: DataFrame, entities: DataFrame, sheets: DataFrame, targets
     differ by MOST_ERROR_M. Questions with the same id are taken for one
     another's evidence: ids have to be unique.
     """
-    rows = recompute(gathered(questions, entities, sheets), sheets if targets is None else targets).withColumn("refused", admission())
+    return judged(recompute(gathered(questions, entities, sheets), sheets if targets is None else targets))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """replay() of recomputed facts."""
+    rows = rows.withColumn("refused", admission())
     a = F.col("actual")
     near = F.coalesce(F.abs(F.col("stored_number") - a["number"]) <= MOST_ERROR_M, F.lit(False))
     same = F.when(F.col("task_type") == "metric_distance", near).otherwise(F.col("stored").eqNullSafe(a["value"]))

@@ -320,3 +320,10 @@ def test_a_long_chain_ends(spark):
     ends = spark.createDataFrame([(1, "n0"), (2, "n0")], "graph int, answer string")
     got = replay.graph_faults(nodes, given, ends).where("fault = 'in a cycle'").collect()
     assert len(got) == 3000 and {r["graph"] for r in got} == {2}
+
+
+def test_questions_of_a_replay_are_not_shuffled(spark):
+    """Lines and orders meet by order, then views by customer; what the questions ask of them stays within a row, and nothing is written between."""
+    plan = scenes.question_replay(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan and "hashpartitioning(question" not in plan
+    assert plan.count("hashpartitioning(") <= 4
