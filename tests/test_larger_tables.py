@@ -342,3 +342,25 @@ def test_masks_of_frame_families_are_not_written(spark, monkeypatch):
     written = []
     monkeypatch.setattr(scenes, "cut", lambda df: written.append(df) or df)
     assert scenes.frame_families(spark, DATA).columns[0] == "ep" and not written
+
+
+def test_long_texts_of_one_language_are_not_all_compared(spark, monkeypatch):
+    """They share most of their grams and some rare ones; copies with a few other words are found among them, and little else is compared."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 7))) for _ in range(250)]
+    texts = [[rng.choice(words) for _ in range(90)] for _ in range(160)]
+    for t in texts[:20]:
+        texts.append([*t[:40], "zebra", *t[41:]])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    grams = {k: {t[j : j + 4] for j in range(len(t) - 3)} for k, t in rows}
+    want = {(a, b) for (a, _), (b, _) in itertools.combinations(rows, 2) if 2 * len(grams[a] & grams[b]) >= 0.85 * (len(grams[a]) + len(grams[b]))}
+    plain = dedup.dice
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counter = spark.sparkContext.accumulator(0)
+        monkeypatch.setattr(dedup, "dice", lambda x, y: plain(x, y) + F.udf(lambda: counter.add(1) or 0.0, "double").asNondeterministic()())
+        got = {(r["a"], r["b"]) for r in dedup.near_duplicates(spark.createDataFrame(rows, "k long, t string"), "k", "t", words=16).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == want and len(want) >= 20
+    assert counter.value < 4 * len(want)
