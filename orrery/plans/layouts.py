@@ -10,7 +10,7 @@ from orrery.operators import menus, pairs
 from orrery.operators.relations import top_per
 from orrery.plans.durable import cut
 from orrery.plans.registry import query, table
-from orrery.plans.scenes import entities_of, lines, masks_of, sql_scene, views
+from orrery.plans.scenes import entities_of, lines, sql_scene, views
 
 _SIDES = (("F", "_f"), ("O", "_o"))
 
@@ -103,27 +103,35 @@ SELECT ep AS proposal, CASE WHEN failed = '' THEN 'pair-' || substr(sha256('{{"b
   CASE WHEN swap THEN 'answer_invariance' ELSE 'answer_flip' END AS signal, r0 AS relation_before, r1 AS relation_after, round(abs(abs(dx0) - abs(dy0)), 6) AS margin_before, round(abs(abs(dx1) - abs(dy1)), 6) AS margin_after, round(moved, 6) AS movement_m, round(drift, 6) AS drift_m FROM k""")
 def pair_certificates(spark, d):
     """Each customer with pending orders as a pair: the scene without them and with them, the nation that got most of them as the target."""
-    sides, ends, shown, first = [], [], [], []
-    for name, where in (("b", "o_orderstatus <> 'P'"), ("v", "true")):
-        rows, seen = cut(lines(spark, d, where)), views(spark, d, where)
-        key = F.concat(F.lit(name), F.col("episode").cast("string"))
-        model = rows.groupBy("episode", "entity").agg(F.concat(F.lit("m"), (F.sum("part") % 3).cast("string")).alias("model"))
-        sides.append(entities_of(rows).join(model, ["episode", "entity"]).select(key.alias("episode"), "entity", "x", "y", "z", "model", F.col("label").alias("category"), F.col("episode").alias("customer")))
-        shown.append(masks_of(rows, seen).where("pixels >= 600").select(key.alias("episode"), "entity"))
-        ends.append(seen.where("step = 0").select(key.alias("episode"), F.col("episode").alias("scene"), F.sha2(F.col("view").cast("string"), 256).alias("trajectory_sha256")))
+    # one reading of the lines for both sides: sums of a view's entities, then of a customer's, with what is late
+    old, late = F.col("status") != "P", F.col("status") == "P"
+    sums = lines(spark, d, "true", "o_orderstatus as status").groupBy("episode", "view", "status", "entity", "label").agg(*[F.sum(c).alias(c) for c in ("qty", "part", "supp")])
+    of_side = lambda p, here: [F.sum(F.when(here, F.col(c))).alias(f"{p}_{c}") for c in ("qty", "part", "supp")] + [F.max(F.when(here, F.col("qty") * 60)).alias(f"{p}_pixels")]
+    things = cut(sums.groupBy("episode", "entity", "label").agg(*of_side("b", old), *of_side("v", F.lit(True)), F.sum(F.when(late, F.col("qty"))).alias("late")))
+    begins = F.struct(F.col("o_orderdate"), F.col("o_orderkey"))
+    orders = table(spark, d, "orders").withColumnRenamed("o_orderstatus", "status").groupBy(F.col("o_custkey").alias("episode"))
+    orders = orders.agg(F.min(F.when(old, begins)).alias("b"), F.min(begins).alias("v"))
+    sides, ends, shown = [], [], []
+    for name in "bv":
+        key = F.concat(F.lit(name), F.col("episode").cast("string")).alias("episode")
+        here = things.where(F.col(f"{name}_qty").isNotNull()).withColumns({c: F.col(f"{name}_{c}") for c in ("qty", "part", "supp", "pixels")})
+        at = ("(qty * 37 % 1000) / 100.0D - 5 as x", "(part % 1000) / 100.0D - 5 as y", "(supp % 250) / 100.0D as z", "concat('m', cast(part % 3 as string)) as model")
+        sides.append(here.select(key, "entity", *map(F.expr, at), F.col("label").alias("category"), F.col("episode").alias("customer")))
+        shown.append(here.where("pixels >= 600").select(key, "entity"))
+        ends.append(orders.where(F.col(name).isNotNull()).select(key, F.col("episode").alias("scene"), F.sha2(F.col(f"{name}.o_orderkey").cast("string"), 256).alias("trajectory_sha256")))
     who = table(spark, d, "customer").select(F.col("c_custkey").alias("scene"), F.col("c_nationkey").alias("family"))
     episodes = ends[0].unionByName(ends[1]).join(who, "scene")
-    late = lines(spark, d, "o_orderstatus = 'P'").groupBy("episode", "entity").agg(F.sum("qty").alias("q"))
-    target = late.groupBy("episode").agg(F.max(F.struct("q", (-F.col("entity")).alias("e"))).alias("m")).select(F.col("episode").alias("customer"), (-F.col("m.e")).alias("target"))
+    target = things.where("late is not null").groupBy("episode").agg(F.max(F.struct("late", (-F.col("entity")).alias("e"))).alias("m")).select(F.col("episode").alias("customer"), (-F.col("m.e")).alias("target"))
     anchor = sides[0].join(target, "customer").where("entity <> target").groupBy("customer", "target").agg(F.min("entity").alias("anchor"))
     at = lambda w: sides[0].select("customer", F.col("entity").alias(w), F.col("x").alias(f"{w}_x"), F.col("y").alias(f"{w}_y"), F.col("model").alias(f"{w}_model"), F.col("category").alias(f"{w}_category"))
     says = F.array(*[F.lit(r) for r in ("left_of", "right_of", "in_front_of", "behind")])[F.col("family") % 4]
     planned = F.when(F.col("target_x").isNotNull(), G.dominant_relation(F.col("target_x") - F.col("anchor_x"), F.col("target_y") - F.col("anchor_y"))["relation"])
     rows = anchor.join(at("target"), ["customer", "target"], "left").join(at("anchor"), ["customer", "anchor"], "left").join(who.withColumnRenamed("scene", "customer"), "customer")
-    proposals = rows.select(
+    # one row a customer, read six times
+    proposals = cut(rows.select(
         F.col("customer").alias("proposal"), F.when(F.col("family") >= 12, pairs.KINDS[1]).otherwise(pairs.KINDS[0]).alias("kind"), F.concat(F.lit("b"), F.col("customer").cast("string")).alias("base"), F.concat(F.lit("v"), F.col("customer").cast("string")).alias("variant"),
         "target", "anchor", planned.alias("planned_before"), says.alias("planned_after"), F.lit(None).cast("double").alias("yaw"), F.col("target_model").alias("source_model"), F.lit("m1").alias("new_model"), F.col("target_category").alias("category"), F.lit(True).alias("executed"),
-    )
+    ))
     out = pairs.certify_pairs(proposals, episodes, sides[0].unionByName(sides[1]).drop("customer"), shown[0].unionByName(shown[1]))
     rounded = [F.round(c, 6).alias(c) for c in ("margin_before", "margin_after", "movement_m", "drift_m")]
     return out.select("proposal", "pair_id", "status", F.array_join("failed", ",").alias("failed"), "signal", "relation_before", "relation_after", *rounded)

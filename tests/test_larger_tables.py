@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
 from orrery.operators import claims, dedup, families, menus, relations, replay, schedule, verify, witness
-from orrery.plans import durable, scenes
+from orrery.plans import durable, layouts, scenes
 from tests.oracle import database, DATA
 
 
@@ -364,3 +364,9 @@ def test_long_texts_of_one_language_are_not_all_compared(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert got == want and len(want) >= 20
     assert counter.value < 4 * len(want)
+
+
+def test_pair_certificates_read_the_lines_once(spark, monkeypatch):
+    read, plain = [], layouts.lines
+    monkeypatch.setattr(layouts, "lines", lambda *args: read.append(args) or plain(*args))
+    assert layouts.pair_certificates(spark, DATA).columns[0] == "proposal" and len(read) == 1
